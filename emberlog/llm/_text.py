@@ -126,13 +126,13 @@ def byte_codes(data: np.ndarray) -> np.ndarray:
 def sliding_min_positions(values: np.ndarray, width: int) -> np.ndarray:
     """For each window of `width` values the position of its (leftmost) smallest value.
 
-    Van Herk's block prefix and suffix minima on values whose low bits hold the
-    position inside a 2*width cycle, so ties resolve to the leftmost.
+    Block prefix and suffix minima; the low bits hold the position, so ties of the
+    upper bits resolve to the leftmost.
     """
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    bits = U64(max(1, (len(values) - 1).bit_length()))
+    bits = U64(32)  # the same for every chunk: which value wins depends on the values alone
     keyed = ((values >> bits) << bits) | np.arange(len(values), dtype=U64)
     pad = (-len(values)) % width
     blocks = np.concatenate([keyed, np.full(pad, ~U64(0), U64)]).reshape(-1, width)
@@ -206,3 +206,42 @@ def written(df, name: str):
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def doc_bucket(values: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each id; doc_bucket_column() is the same in SQL."""
+    return (values % 1000003 * 7919 % n).astype(np.int32)
+
+
+def doc_bucket_column(column, n: int):
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.pmod(F.coalesce(column, F.lit(NO_ID)), F.lit(1000003)) * F.lit(7919), F.lit(n)).cast("int")
+
+
+def pack(bucket: np.ndarray, n: int, kind: int, columns: dict[str, np.ndarray]):
+    """One Arrow row for each bucket that has rows: bucket, kind and every column's bytes."""
+    order, bounds = by_bucket(bucket, n)
+    used = np.flatnonzero(np.diff(bounds))
+    arrays = [pa.array(used, pa.int32()), pa.array(np.full(len(used), kind), pa.int32())]
+    for c in columns.values():
+        c = np.ascontiguousarray(c[order])
+        width = c.itemsize * (c.shape[1] if c.ndim > 1 else 1)
+        offsets = np.concatenate([bounds[used], bounds[-1:]]) * width if len(used) else np.zeros(1, np.int64)
+        arrays.append(pa.Array.from_buffers(pa.large_binary(), len(used), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(c)]).cast(pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "kind", *columns])
+
+
+def unpack(table, name: str, dtype) -> np.ndarray:
+    """All values of one packed column."""
+    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), dtype)
+
+
+def packed_schema(columns) -> str:
+    return ", ".join(["bucket int", "kind int", *(f"{c} binary" for c in columns)])
+
+
+def filtered(table: pa.Table, kind: int) -> pa.Table:
+    import pyarrow.compute as pc
+
+    return table.filter(pc.equal(table.column("kind"), kind))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import bpe, quality
+from emberlog.llm import bpe, quality, relative_lz, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,6 +26,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz.passage_digests(_table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(_table(spark, sf_dir, "documents"))
 
