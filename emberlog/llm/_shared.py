@@ -31,7 +31,8 @@ from emberlog.llm import _text as tx
 
 U64 = tx.U64
 FLUSH = 1 << 20
-MASK48 = U64((1 << 48) - 1)
+KEY_BYTES = 5  # with the bucket enough to tell keys of one bucket apart; a chance match only costs a comparison
+SHORT = U64((1 << 8 * KEY_BYTES) - 1)
 
 
 @dataclass
@@ -76,23 +77,23 @@ def segments(codes: np.ndarray, bounds: np.ndarray, units: Units) -> Segments:
 
 
 def _short(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of a key, and the key as it travels: 48 bits and its bucket."""
-    bucket = ((key >> U64(16)) % U64(n)).astype(np.int32)
-    return bucket, key & MASK48
+    """The bucket of a key, and the part of it that travels."""
+    return ((key >> U64(20)) % U64(n)).astype(np.int32), key & SHORT
 
 
-def _joined(bucket: np.ndarray, short: np.ndarray) -> np.ndarray:
-    return short | (bucket.astype(U64) << U64(48))
+def _to_bytes(short: np.ndarray) -> np.ndarray:
+    return short.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
 
 
-def _six(short: np.ndarray) -> np.ndarray:
-    return short.view(np.uint8).reshape(-1, 8)[:, :6]
+def _from_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(U64).ravel()
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(U64).ravel()
+def _told(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What tells a (document, key) from others; of the key its low 32 bits are used."""
+    return tx.mix(doc.astype(U64)) ^ key.astype(np.uint32)
 
 
 def _shared_keys(key: np.ndarray, doc: np.ndarray):
@@ -116,9 +117,9 @@ def _anchor_rows(units: Units, n: int):
         known = np.repeat(many, ends - first)
         bucket, short = _short(key, n)
         keep = tx.run_starts(key[known], doc[known])
-        yield tx.pack(tx.doc_bucket(doc[known][keep], n), n, 1, {"key": _joined(bucket, short)[known][keep], "doc": doc[known][keep]})
+        yield tx.pack(tx.doc_bucket(doc[known][keep], n), n, 1, {"key": key[known][keep].astype(np.uint32), "doc": doc[known][keep]})
         by_doc = first[np.argsort(doc[first], kind="stable")]  # ids in order compress
-        yield tx.pack(bucket[by_doc], n, 0, {"key": _six(short[by_doc]), "doc": doc[by_doc]})
+        yield tx.pack(bucket[by_doc], n, 0, {"key": _to_bytes(short[by_doc]), "doc": doc[by_doc]})
 
     def run(batches):
         keys, docs, size = [], [], 0
@@ -144,38 +145,45 @@ def _find_shared(n: int):
     """A bucket of anchors -> (doc, key) of those in two or more documents, packed by document."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = int(table.column("bucket")[0].as_py())
         out = [tx.pack(np.zeros(0, np.int32), n, 0, {c: np.zeros(0, U64) for c in ANCHORS})]
         known = tx.filtered(table, 1)
         if known.num_rows:
             out.append(known.cast(pa.schema(out[0].schema)).combine_chunks().to_batches()[0])
         rows = tx.filtered(table, 0)
         if rows.num_rows:
-            key = _from_six(b"".join(x.as_py() for x in rows.column("key")))
+            key = _from_bytes(b"".join(x.as_py() for x in rows.column("key")))
             key, doc, first, ends, many = _shared_keys(key, tx.unpack(rows, "doc", np.int64))
             keep = np.repeat(many, ends - first)
             key, doc = key[keep], doc[keep]
             order = np.argsort(doc, kind="stable")
             key, doc = key[order], doc[order]
-            out.append(tx.pack(tx.doc_bucket(doc, n), n, 1, {"key": _joined(np.full(len(key), bucket), key), "doc": doc}))
+            out.append(tx.pack(tx.doc_bucket(doc, n), n, 1, {"key": key.astype(np.uint32), "doc": doc}))
         return pa.Table.from_batches(out)
 
     return run
 
 
-def _tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    view = memoryview(np.ascontiguousarray(data))
-    return np.array([zlib.crc32(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint32)
+def _tags(doc: np.ndarray, texts: pa.ChunkedArray) -> np.ndarray:
+    """Tells rows of one doc_id with different texts apart: the rank of the text among them, mostly 0."""
+    tags = np.zeros(len(doc), np.uint8)
+    order = np.argsort(doc, kind="stable")
+    first = tx.run_starts(doc[order])
+    sizes = np.diff(np.append(first, len(doc)))
+    for begin, size in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        rows = order[begin : begin + size]
+        marks = [zlib.crc32((texts[int(i)].as_py() or "").encode()) for i in rows]
+        rank = {m: j for j, m in enumerate(sorted(set(marks)))}
+        tags[rows] = [min(rank[m], 255) for m in marks]
+    return tags
 
 
 #: A covered span: units [start, end) of a document also stand in document ref, from unit ref_start on.
-SPANS = {"doc": np.int64, "tag": np.uint32, "start": np.int32, "end": np.int32, "ref": np.int64, "ref_start": np.int32}
+SPANS = {"doc": np.int64, "tag": np.uint8, "start": np.int32, "end": np.int32, "ref": np.int64, "ref_start": np.int32}
 
 
-def _span_rows(n: int, kind: int, spans: dict[str, np.ndarray], extra: tuple[str, ...] = ()):
+def _span_rows(n: int, kind: int, spans: dict[str, np.ndarray]):
     order = np.lexsort((spans["start"], spans["doc"]))
     columns = {c: spans[c][order].astype(t) for c, t in SPANS.items()}
-    columns |= {c: np.zeros((len(order), 0), np.uint8) for c in extra}
     return tx.pack(tx.doc_bucket(columns["doc"], n), n, kind, columns)
 
 
@@ -194,7 +202,7 @@ def collapse(key, content, doc, low):
     return order, label, doc == doc[first][label] if len(first) else np.zeros(0, bool), first
 
 
-SEGMENT = {"key": U64, "content": U64, "doc": np.int64, "tag": np.uint32, "start": np.int32, "size": np.int32}
+SEGMENT = {"doc": np.int64, "tag": np.uint8, "start": np.int32, "size": np.uint8}
 
 
 def _segment_rows(units: Units, n: int, payload):
@@ -202,7 +210,7 @@ def _segment_rows(units: Units, n: int, payload):
 
     payload(data, codes, low, high) -> (per-segment byte sizes, all bytes).
     """
-    names = [*dict.fromkeys([*SEGMENT, *SPANS])]
+    names = [*dict.fromkeys(["key", *SEGMENT, *SPANS])]
 
     def full(batch):
         present = dict(zip(batch.schema.names, batch.columns, strict=True))
@@ -212,45 +220,82 @@ def _segment_rows(units: Units, n: int, payload):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         out = [full(tx.pack(np.zeros(0, np.int32), n, 0, {c: np.zeros(0, U64) for c in names}))]
         if docs.num_rows and shared.num_rows:
-            wanted = np.unique(tx.mix(tx.unpack(shared, "doc", np.int64).astype(U64)) ^ tx.unpack(shared, "key", U64))
+            wanted = np.unique(_told(tx.unpack(shared, "doc", np.int64), tx.unpack(shared, "key", np.uint32)))
             doc = tx.ids(docs.column("doc_id"))
+            tags = _tags(doc, docs.column("text"))
             parts: list[dict[str, np.ndarray]] = []
             bodies, sizes = [], []
-            for row, data, offsets in tx.chunks(docs.column("text")):
+            for row, data, offsets in tx.chunks(docs.column("text"), tx.CHUNK_BYTES // 2):
                 codes, bounds = units.of(data, offsets)
                 s = segments(codes, bounds, units)
                 own = doc[row + s.text]
-                at = np.flatnonzero(np.isin(tx.mix(own.astype(U64)) ^ _joined(*_short(s.key, n)), wanted) & (own != tx.NO_ID))
+                at = np.flatnonzero(np.isin(_told(own, s.key), wanted) & (own != tx.NO_ID))
                 low, high, text = s.low[at], s.high[at], s.text[at]
                 content = tx.span_hashes(codes, low, high + units.length)
                 size, body = payload(data, codes, low, high)
-                parts.append({"key": s.key[at], "content": content, "doc": own[at], "tag": _tags(data, offsets)[text], "start": (low - bounds[text]).astype(np.int32), "size": (high - low + 1).astype(np.int32)})
+                parts.append({"key": s.key[at], "content": content, "doc": own[at], "tag": tags[row + text], "start": (low - bounds[text]).astype(np.int32), "size": (high - low + 1).astype(np.uint8)})
                 sizes.append(size)
                 bodies.append(body)
-            have = {c: np.concatenate([p[c] for p in parts]) for c in SEGMENT}
+            have = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
             sizes, body = np.concatenate(sizes), np.concatenate(bodies)
             begins = np.cumsum(sizes) - sizes
             order, label, stays, first = collapse(have["key"], have["content"], have["doc"], have["start"])
             have = {c: v[order] for c, v in have.items()}
             sizes, begins = sizes[order], begins[order]
             gone, lead = ~stays, first[label] if len(first) else label
-            out.append(full(_span_rows(n, 1, {"doc": have["doc"][gone], "tag": have["tag"][gone], "start": have["start"][gone], "end": have["start"][gone] + have["size"][gone] + units.length - 1, "ref": have["doc"][lead][gone], "ref_start": have["start"][lead][gone]})))
+            out.append(full(_span_rows(n, 1, {"doc": have["doc"][gone], "tag": have["tag"][gone], "start": have["start"][gone], "end": have["start"][gone] + have["size"][gone].astype(np.int32) + units.length - 1, "ref": have["doc"][lead][gone], "ref_start": have["start"][lead][gone]})))
             have = {c: v[stays] for c, v in have.items()}
             sizes, begins = sizes[stays], begins[stays]
-            bucket, _ = _short(have["key"], n)
+            by_doc = np.lexsort((have["start"], have["doc"]))  # ids in order compress
+            have = {c: v[by_doc] for c, v in have.items()}
+            sizes, begins = sizes[by_doc], begins[by_doc]
+            bucket, short = _short(have["key"], n)
             order, bounds = tx.by_bucket(bucket, n)
-            rows = full(tx.pack(bucket, n, 0, have))
+            rows = full(tx.pack(bucket, n, 0, {"key": _to_bytes(short), **{c: have[c] for c in SEGMENT}}))
             sizes, begins = sizes[order], begins[order]
-            bytes_in_order = body[tx.ranges(begins, sizes)]
-            ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
-            used = np.flatnonzero(np.diff(bounds))
-            packed = [zlib.compress(bytes_in_order[ends[b] : ends[b + 1]].tobytes(), 1) for b in used]
+            pairs = [(bounds[b], bounds[b + 1]) for b in np.flatnonzero(np.diff(bounds))]
+            packed = [zlib.compress(body[tx.ranges(begins[a:b], sizes[a:b])].tobytes(), 1) for a, b in pairs]
             out.append(rows.set_column(rows.schema.names.index("body"), "body", pa.array(packed, pa.binary())))
         return pa.Table.from_batches(out)
 
     return run, tx.packed_schema([*names, "body"])
 
 
+def _slices(classes: np.ndarray, key: np.ndarray, windows: np.ndarray, limit: int = 400_000):
+    """Slices of the classes of about `limit` windows; a key is never cut."""
+    heads = np.append(tx.run_starts(key[classes]), len(classes))
+    total = np.concatenate([[0], np.cumsum(windows[classes])])[heads]
+    at = 0
+    while at < len(heads) - 1:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
+        yield classes[heads[at] : heads[to]]
+        at = to
+
+
+def _window_spans(have, sizes, body, begins, classes, members, member_class, units: Units, resolve) -> dict[str, np.ndarray]:
+    """Spans of the windows of `classes` that a smaller document holds too."""
+    (number, offset), group = resolve(body, begins[classes], sizes[classes])
+    doc = have["doc"][classes][number]
+    order = np.lexsort((offset, doc, group))
+    number, offset, group, doc = number[order], offset[order], group[order], doc[order]
+    head = tx.run_starts(group)
+    head = np.repeat(head, np.diff(np.append(head, len(group))))
+    hit = np.flatnonzero(doc > doc[head])
+    ref, ref_start = doc[head][hit], have["start"][classes][number[head]][hit] + offset[head][hit]
+    number, offset = number[hit], offset[hit]
+    order = np.lexsort((offset, number))
+    number, offset, ref, ref_start = number[order], offset[order], ref[order], ref_start[order]
+    begin = tx.run_starts(number, ref, offset - np.arange(len(offset)), ref_start - offset)
+    count = np.diff(np.append(begin, len(number)))
+    number, offset, ref, ref_start = number[begin], offset[begin], ref[begin], ref_start[begin]
+    bounds = np.searchsorted(member_class, np.arange(len(classes) + 1))
+    times = np.diff(bounds)[number]
+    pick = members[tx.ranges(bounds[:-1][number], times)]
+    at = np.repeat(np.arange(len(number)), times)
+    start = have["start"][pick] + offset[at]
+    return {"doc": have["doc"][pick], "tag": have["tag"][pick], "start": start, "end": start + count[at] + units.length - 1, "ref": ref[at], "ref_start": ref_start[at]}
+
+
 def _compare(n: int, units: Units, resolve):
     """A bucket of segments -> spans.  resolve(segments, bodies) -> spans of what is not equal as a whole."""
 
@@ -266,6 +311,12 @@ def _compare(n: int, units: Units, resolve):
             sizes = have["size"].astype(np.int64)
             body_sizes = resolve.body_size(sizes)
             begins = np.cumsum(body_sizes) - body_sizes
+            have["key"] = _from_bytes(b"".join(x.as_py() for x in rows.column("key")))
+            content = [np.zeros(0, U64)]
+            for at in range(0, len(begins), 8192):  # hashing needs several words for each byte
+                b = slice(at, at + 8192)
+                content.append(resolve.content(body[begins[at] : begins[b][-1] + body_sizes[b][-1]], begins[b] - begins[at], sizes[b]))
+            have["content"] = np.concatenate(content)
             order, label, stays, first = collapse(have["key"], have["content"], have["doc"], have["start"])
             have = {c: v[order] for c, v in have.items()}
             begins, sizes = begins[order], sizes[order]
@@ -276,34 +327,12 @@ def _compare(n: int, units: Units, resolve):
             key_first = tx.run_starts(have["key"][first])
             kinds = np.diff(np.append(key_first, len(first)))
             several = np.repeat(kinds > 1, kinds)
-            classes = first[several]
-            if len(classes):
-                window, group = resolve(body, begins[classes], sizes[classes])  # class number and offset of each window, in order; groups of equal windows
-                number, offset = window
-                doc = have["doc"][classes][number]
-                order = np.lexsort((offset, doc, group))
-                number, offset, group, doc = number[order], offset[order], group[order], doc[order]
-                head = tx.run_starts(group)
-                head = np.repeat(head, np.diff(np.append(head, len(group))))
-                hit = np.flatnonzero(doc > doc[head])
-                ref, ref_start = doc[head][hit], have["start"][classes][number[head]][hit] + offset[head][hit]
-                number, offset = number[hit], offset[hit]
-                order = np.lexsort((offset, number))
-                number, offset, ref, ref_start = number[order], offset[order], ref[order], ref_start[order]
-                begin = tx.run_starts(number, ref, offset - np.arange(len(offset)), ref_start - offset)
-                count = np.diff(np.append(begin, len(number)))
-                number, offset, ref, ref_start = number[begin], offset[begin], ref[begin], ref_start[begin]
-                # all entries of the class in its smallest document
-                class_of = np.full(len(have["key"]), -1)
+            class_of = np.full(len(have["key"]), -1)
+            for classes in _slices(first[several], have["key"], sizes):
+                class_of[:] = -1
                 class_of[classes] = np.arange(len(classes))
-                members = np.flatnonzero(stays & (class_of[lead] >= 0))
-                own = class_of[lead[members]]
-                bounds = np.searchsorted(own, np.arange(len(classes) + 1))
-                times = np.diff(bounds)[number]
-                pick = members[tx.ranges(bounds[:-1][number], times)]
-                at = np.repeat(np.arange(len(number)), times)
-                start = have["start"][pick] + offset[at]
-                spans.append({"doc": have["doc"][pick], "tag": have["tag"][pick], "start": start, "end": start + count[at] + units.length - 1, "ref": ref[at], "ref_start": ref_start[at]})
+                members = np.flatnonzero(stays & (class_of[lead] >= 0))  # all entries of a class in its smallest document
+                spans.append(_window_spans(have, sizes, body, begins, classes, members, class_of[lead[members]], units, resolve))
             out.append(_span_rows(n, 1, {c: np.concatenate([s[c] for s in spans]) for c in SPANS}))
         return pa.Table.from_batches(out)
 
@@ -329,9 +358,11 @@ def shared_spans(documents: DataFrame, units: Units, payload, resolve, finish, s
         doc = tx.ids(docs.column("doc_id"))
         low, high = np.searchsorted(have["doc"], doc), np.searchsorted(have["doc"], doc, "right")
 
-        def spans_of(row: int, tag: int) -> dict[str, np.ndarray]:
+        tags = _tags(doc, docs.column("text"))
+
+        def spans_of(row: int) -> dict[str, np.ndarray]:
             part = {c: v[low[row] : high[row]] for c, v in have.items()}
-            keep = part["tag"] == tag
+            keep = part["tag"] == tags[row]
             return part if keep.all() else {c: v[keep] for c, v in part.items()}
 
         return finish(docs.drop_columns(["bucket"]), spans_of)

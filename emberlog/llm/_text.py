@@ -186,7 +186,7 @@ def shuffle_partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-BUCKETS_PER_TASK = 4
+BUCKETS_PER_TASK = 2
 
 
 def scratch(spark, name: str) -> str:

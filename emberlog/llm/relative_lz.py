@@ -37,6 +37,9 @@ class _Resolve:
     def body_size(self, windows: np.ndarray) -> np.ndarray:
         return windows * 8
 
+    def content(self, body, begins, windows):
+        return tx.span_hashes(body.view(np.uint64), begins // 8, begins // 8 + windows)
+
     def __call__(self, body, begins, windows):
         """Windows looked up in the index of all blocks: equal ones share a number."""
         number = np.repeat(np.arange(len(begins)), windows)
@@ -76,11 +79,10 @@ def factors(spans: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def _rows(docs: pa.Table, spans_of):
     """(text bytes, word starts, word ends, factors) of every text."""
     for row, data, offsets in tx.chunks(docs.column("text")):
-        tags = sh._tags(data, offsets)
         starts, ends, first = tx.word_spans(data, offsets)
         for i in range(len(offsets) - 1):
             base = offsets[i]
-            yield data[base : offsets[i + 1]], starts[first[i] : first[i + 1]] - base, ends[first[i] : first[i + 1]] - base, factors(spans_of(row + i, tags[i]))
+            yield data[base : offsets[i + 1]], starts[first[i] : first[i + 1]] - base, ends[first[i] : first[i + 1]] - base, factors(spans_of(row + i))
 
 
 def _kept_words(text, starts, ends, keep) -> bytes:

@@ -145,6 +145,9 @@ class _Resolve:
     def body_size(self, windows: np.ndarray) -> np.ndarray:
         return windows + LENGTH - 1
 
+    def content(self, body, begins, windows):
+        return tx.span_hashes(tx.byte_codes(body), begins, begins + windows + LENGTH - 1)
+
     def __call__(self, body, begins, windows):
         """Windows of the classes in suffix order, and the number of each group of equal ones."""
         at = tx.ranges(begins, windows)
@@ -166,9 +169,8 @@ UNITS = sh.Units(sh.byte_units, LENGTH, GRAM)
 def _rows(docs: pa.Table, spans_of):
     """(row, bytes, keep mask) of every text; mask None if nothing goes."""
     for row, data, offsets in tx.chunks(docs.column("text")):
-        tags = sh._tags(data, offsets)
         for i in range(len(offsets) - 1):
-            spans, text = spans_of(row + i, tags[i]), data[offsets[i] : offsets[i + 1]]
+            spans, text = spans_of(row + i), data[offsets[i] : offsets[i + 1]]
             yield text, ~tx.union_mask(len(text), spans["start"], spans["end"]) if len(spans["start"]) else None
 
 
