@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import bpe, quality, relative_lz, suffix_dedup
+from emberlog.llm import bpe, jaccard_join, quality, relative_lz, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,6 +26,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_lz.passage_digests(_table(spark, sf_dir, "documents"))
 
