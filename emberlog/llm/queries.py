@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import bpe, jaccard_join, quality, relative_lz, suffix_dedup
+from emberlog.llm import bpe, chat, jaccard_join, mixing, quality, relative_lz, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,6 +30,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_lz.passage_digests(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.substring_digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chat_digests(rows.unionByName(extra))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(_table(spark, sf_dir, "documents"))
 
@@ -47,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op4_mix_sources": mixing.ORACLE, "op8_chat_format": chat.ORACLE}
