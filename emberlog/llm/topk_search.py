@@ -24,6 +24,7 @@ from emberlog.llm import _text as tx
 
 SCALE, LIMIT = 64, 1 << 24
 QUERY_BLOCK, CANDIDATE_BLOCK, STRIP = 1024, 8192, 1024
+NEVER = -(1 << 62)  # below every score
 LEVELS = (16, 4, 2)  # segment lengths, coarse to fine
 
 
@@ -39,7 +40,7 @@ def _statistics(x: np.ndarray, length: int) -> np.ndarray:
 
 def best_of_cell(qid, q, cid, c, k: int):
     """(query id, vec id, score) of each query's best k candidates of one cell."""
-    best_score = np.full((len(q), 0), np.iinfo(np.int64).min)
+    best_score = np.full((len(q), 0), NEVER)
     best_id = np.full((len(q), 0), 0, np.int64)
     levels = [length for length in LEVELS if length < q.shape[1]]
     q_stats = [_statistics(q, length) for length in levels]
@@ -60,16 +61,16 @@ def best_of_cell(qid, q, cid, c, k: int):
         if not live.any():
             continue
         if live.mean() > 0.05:
-            score = np.where(live, (q @ part.T).astype(np.int64), np.iinfo(np.int64).min)  # whole numbers below 2**53
+            score = np.where(live, (q @ part.T).astype(np.int64), NEVER)  # whole numbers below 2**53
         else:
             i, j = np.nonzero(live)
-            score = np.full(live.shape, np.iinfo(np.int64).min)
+            score = np.full(live.shape, NEVER)
             score[i, j] = np.einsum("ij,ij->i", q[i], part[j]).astype(np.int64)
         score = np.concatenate([best_score, score], axis=1)
         ids = np.concatenate([best_id, np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
         order = np.lexsort((ids, -score), axis=1)[:, :k]
         best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-    i, j = np.nonzero(best_score > np.iinfo(np.int64).min)
+    i, j = np.nonzero(best_score > NEVER)
     return qid[i], best_id[i, j], best_score[i, j]
 
 
