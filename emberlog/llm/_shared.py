@@ -346,9 +346,9 @@ def shared_spans(documents: DataFrame, units: Units, payload, resolve, finish, s
     narrow = rows.select("doc_id", "text")
     anchors = narrow.mapInArrow(_anchor_rows(units, n), tx.packed_schema(ANCHORS))
     shared = anchors.groupBy("bucket").applyInArrow(_find_shared(n), tx.packed_schema(ANCHORS))
-    dealt = rows.withColumn("bucket", tx.doc_bucket_column(F.col("doc_id"), n))
+    dealt = rows.withColumn("__bucket", tx.doc_bucket_column(F.col("doc_id"), n))
     cut, cut_schema = _segment_rows(units, n, payload)
-    found = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut, cut_schema)
+    found = dealt.groupBy("__bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut, cut_schema)
     spans = found.groupBy("bucket").applyInArrow(_compare(n, units, resolve), tx.packed_schema(SPANS))
 
     def final(docs: pa.Table, spans: pa.Table) -> pa.Table:
@@ -365,6 +365,6 @@ def shared_spans(documents: DataFrame, units: Units, payload, resolve, finish, s
             keep = part["tag"] == tags[row]
             return part if keep.all() else {c: v[keep] for c, v in part.items()}
 
-        return finish(docs.drop_columns(["bucket"]), spans_of)
+        return finish(docs.drop_columns(["__bucket"]), spans_of)
 
-    return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(final, schema)
+    return dealt.groupBy("__bucket").cogroup(spans.groupBy("bucket")).applyInArrow(final, schema)

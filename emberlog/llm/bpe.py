@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.llm import _text as tx
 
@@ -240,7 +241,7 @@ def encode_text(documents: DataFrame, path: str, pattern: str, text_col: str = "
                 part = batch.slice(row, len(texts))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*names, ids_col])
 
-    schema = documents.select(*[F.col(f"`{c}`") for c in names]).schema.add(ids_col, "array<int>")
+    schema = T.StructType([*(documents.schema[c] for c in names), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     return documents.mapInArrow(run, schema)
 
 
@@ -273,7 +274,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str, ids_col: str = "toke
             decoded = [bytes(x) for x in _pieces(table, *_ids(batch.column(at)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*encoded.columns, out_col])
 
-    return encoded.mapInArrow(run, encoded.schema.add(out_col, "binary"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def token_digests(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

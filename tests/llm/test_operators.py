@@ -112,7 +112,8 @@ def test_relative_lz(docs, rows):
     want = {d: (len(w), len(gone[d]), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone[d]).encode()).hexdigest()) for d, w in units.items()}
     assert by_id(relative_lz.passage_digests(docs), "n_words", "n_removed", "kept_sha256") == want
     assert sum(map(len, gone.values())) > 0
-    assert relative_lz.remove_passages(docs).columns == docs.columns
+    left = {r.doc_id: (r.text or "", r.kind, r.bucket) for r in relative_lz.remove_passages(docs).collect()}
+    assert {d: (len(words(t)), k, b) for d, (t, k, b) in left.items()} == {d: (len(w) - len(gone[d]), "x", 1) for d, w in units.items()}
 
 
 def test_suffix_dedup(docs, rows):
