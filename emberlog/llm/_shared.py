@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from emberlog.llm import _text as tx
 
 U64 = tx.U64
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 KEY_BYTES = 5  # with the bucket enough to tell keys of one bucket apart; a chance match only costs a comparison
 SHORT = U64((1 << 8 * KEY_BYTES) - 1)
 

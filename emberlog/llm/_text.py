@@ -7,11 +7,13 @@ be handled without building Python strings.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 20) - 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -83,6 +85,23 @@ def chunks(column, limit: int = CHUNK_BYTES):
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
         row = to
+    if len(data) > CHUNK_BYTES:
+        release()
+
+
+_libc: list = []
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on after a task, beside other stages' workers."""
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):
+            _libc.append(None)
+    pa.default_memory_pool().release_unused()
+    if _libc[0] is not None:
+        _libc[0](0)
 
 
 def ids(column) -> np.ndarray:

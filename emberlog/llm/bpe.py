@@ -267,12 +267,13 @@ def _pieces(table: _Pieces, ids: np.ndarray, bounds: np.ndarray, limit: int = 1
 def decode_ids(encoded: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """`encoded` with a binary column of the bytes that its token ids stand for."""
     at = encoded.columns.index(ids_col)
+    names = [*encoded.columns, out_col]
 
     def run(batches):
         for batch in batches:
             table = encoder(path, pattern).ranks.bytes_table
             decoded = [bytes(x) for x in _pieces(table, *_ids(batch.column(at)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*encoded.columns, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names)
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
