@@ -12,6 +12,7 @@ from emberlog.operators import analytics as an
 from emberlog.operators import indicators as ind
 from emberlog.operators import rules as ru
 from emberlog.operators import search as se
+from emberlog.plans import hunt_queries
 from emberlog.plans.log_view import WITH, log_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,8 +369,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | hunt_queries.queries()
 
 
 def oracles() -> dict[str, str]:
-    return dict(_oracles)
+    return _oracles | hunt_queries.oracles()
