@@ -25,7 +25,11 @@ _DUCK = ", ".join(f'{sql} AS "{name}"' for name, sql in COLUMNS.items())
 WITH = f"WITH logs AS (SELECT {_DUCK} FROM (SELECT *, {_K} AS k FROM events))"
 
 
-def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.expr(_K))
+def as_logs(events: DataFrame) -> DataFrame:
+    """The view over any batch or stream of the table's rows."""
     doubled = {name: sql.replace("\\", "\\\\") for name, sql in COLUMNS.items()}
-    return events.select(*[F.expr(sql).alias(name) for name, sql in doubled.items()])
+    return events.withColumn("k", F.expr(_K)).select(*[F.expr(sql).alias(name) for name, sql in doubled.items()])
+
+
+def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_logs(spark.read.parquet(f"{sf_dir}/events.parquet"))

@@ -12,11 +12,16 @@ def _entry(key: Column, value: Column) -> Column:
     return F.struct(key.alias("key"), value.alias("value"))
 
 
+def _let(value: Column, then) -> Column:
+    """`then` of a value that is computed once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def first_wins(entries: Column) -> Column:
     """Map of (key, value) entries with non-empty values; of equal keys the first counts."""
     full = F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    keys = F.transform(full, lambda e: e["key"])
-    return F.map_from_entries(F.filter(full, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+    first = lambda x: F.filter(x, lambda e, i: F.array_position(x["key"], e["key"]) == i + 1)
+    return F.map_from_entries(_let(full, first))
 
 
 def last_wins(entries: Column) -> Column:
@@ -58,9 +63,9 @@ def json_fields(text: Column, depth: int = 4) -> Column:
     for _ in range(depth):
         entries = F.flatten(F.transform(entries, opened))
     plain = lambda v: F.when(v.rlike(r"^\s*\["), F.coalesce(F.array_join(F.from_json(v, "array<string>"), ", "), v)).otherwise(v)
-    long = F.transform(entries, lambda e: _entry(e["key"], plain(e["value"])))
-    short = F.transform(entries, lambda e: _entry(e["bare"], plain(e["value"])))
-    return first_wins(F.concat(long, short))
+    flat = F.transform(entries, lambda e: leaf(e["key"], e["bare"], plain(e["value"])))
+    named = lambda x, name: F.transform(x, lambda e: _entry(e[name], e["value"]))
+    return first_wins(_let(flat, lambda x: F.concat(named(x, "key"), named(x, "bare"))))
 
 
 _RFC5424 = r"^<([0-9]{1,3})>([0-9]+) (\S+) (\S+) (\S+) (\S+) (\S+) ?(.*)$"
@@ -152,9 +157,12 @@ MACOS = [("processImagePath", "Image"), ("processID", "ProcessId"), ("eventMessa
 
 def with_aliases(fields: Column, aliases=tuple(ALIASES)) -> Column:
     """Adds short names that are not there; fields EventXML_x also become x."""
-    added = F.array(*[_entry(F.lit(short), F.try_element_at(fields, F.lit(long))) for long, short in reversed(list(aliases))])
-    stripped = F.transform(F.filter(F.map_entries(fields), lambda e: F.startswith(e["key"], F.lit("EventXML_"))), lambda e: _entry(F.substring(e["key"], 10, 1_000), e["value"]))
-    return first_wins(F.concat(F.map_entries(fields), added, stripped))
+    def extended(m: Column) -> Column:
+        added = F.array(*[_entry(F.lit(short), F.try_element_at(m, F.lit(long))) for long, short in reversed(list(aliases))])
+        stripped = F.transform(F.filter(F.map_entries(m), lambda e: F.startswith(e["key"], F.lit("EventXML_"))), lambda e: _entry(F.substring(e["key"], 10, 1_000), e["value"]))
+        return F.concat(F.map_entries(m), added, stripped)
+
+    return first_wins(_let(fields, extended))
 
 
 PARSERS = {"json": json_fields, "syslog": syslog_fields, "cef": cef_fields, "leef": leef_fields, "auditd": auditd_fields, "event_xml": event_xml_fields, "text": text_fields}
