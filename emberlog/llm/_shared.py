@@ -11,9 +11,12 @@ windows that pick one anchor form a segment.  Two exchanges follow:
 
 Copies inside a task collapse first: of equal segments only those of the smallest
 doc_id travel, the others are covered at once, so that a passage that a third of all
-documents hold reaches a task no more than once from each task before it.  Rows
-travel packed, one row per bucket, with a number of buckets that follows
-spark.sql.shuffle.partitions.
+documents hold reaches a task no more than once from each task before it.  A hot
+k-gram, one with more segments than a quarter of an average bucket, may stand in
+different surroundings in as many documents; its segments travel as single windows,
+keyed by the whole window, so that only equal windows meet, and those collapse too.
+Hot k-grams are at most four for each bucket.  Rows travel packed, one row per
+bucket, with a number of buckets that follows spark.sql.shuffle.partitions.
 """
 
 from __future__ import annotations
@@ -97,29 +100,40 @@ def _told(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _shared_keys(key: np.ndarray, doc: np.ndarray):
-    """Entries sorted by key: which are in keys of two or more documents, and each key's smallest document."""
+    """The order by key, the entries in it, and which keys are in two or more documents; each key's smallest document is first."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     first = tx.run_starts(key)
     ends = np.append(first[1:], len(key))
     many = doc[first] != doc[ends - 1] if len(first) else np.zeros(0, bool)
-    return key, doc, first, ends, many
+    return order, key, doc, first, ends, many
 
 
-ANCHORS = ("key", "doc")
+#: Of each entry its key, smallest document and number of segments; of each row how many segments its flush had in all.
+ANCHORS = ("key", "doc", "count", "total")
+HOT = 4  # a key is hot with more than 1/HOT of an average bucket
+
+
+def _anchor_batch(bucket: np.ndarray, n: int, kind: int, key: np.ndarray, doc: np.ndarray, count: np.ndarray | None = None):
+    """Packed anchors; without counts the columns count and total are empty."""
+    counts = np.zeros((len(key), 0), np.uint8) if count is None else count.astype(np.uint32)
+    batch = tx.pack(bucket, n, kind, {"key": key, "doc": doc, "count": counts})
+    total = b"" if count is None else np.int64(count.sum()).tobytes()
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array([total] * batch.num_rows, pa.binary())], [*batch.schema.names, "total"])
 
 
 def _anchor_rows(units: Units, n: int):
     """(doc_id, text) batches -> packed anchors: kind 0 to compare, kind 1 known to be shared."""
 
     def flush(keys, docs):
-        key, doc, first, ends, many = _shared_keys(np.concatenate(keys), np.concatenate(docs))
+        _, key, doc, first, ends, many = _shared_keys(np.concatenate(keys), np.concatenate(docs))
         known = np.repeat(many, ends - first)
         bucket, short = _short(key, n)
         keep = tx.run_starts(key[known], doc[known])
-        yield tx.pack(tx.doc_bucket(doc[known][keep], n), n, 1, {"key": key[known][keep].astype(np.uint32), "doc": doc[known][keep]})
-        by_doc = first[np.argsort(doc[first], kind="stable")]  # ids in order compress
-        yield tx.pack(bucket[by_doc], n, 0, {"key": _to_bytes(short[by_doc]), "doc": doc[by_doc]})
+        yield _anchor_batch(tx.doc_bucket(doc[known][keep], n), n, 1, key[known][keep].astype(np.uint32), doc[known][keep])
+        order = np.argsort(doc[first], kind="stable")  # ids in order compress
+        by_doc = first[order]
+        yield _anchor_batch(bucket[by_doc], n, 0, _to_bytes(short[by_doc]), doc[by_doc], (ends - first)[order])
 
     def run(batches):
         keys, docs, size = [], [], 0
@@ -142,22 +156,27 @@ def _anchor_rows(units: Units, n: int):
 
 
 def _find_shared(n: int):
-    """A bucket of anchors -> (doc, key) of those in two or more documents, packed by document."""
+    """A bucket of anchors -> by document: kind 1, those in two or more documents; kind 2, to every bucket, the hot keys."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = [tx.pack(np.zeros(0, np.int32), n, 0, {c: np.zeros(0, U64) for c in ANCHORS})]
+        nothing = np.zeros(0, U64)
+        out = [_anchor_batch(np.zeros(0, np.int32), n, 1, nothing, nothing)]
         known = tx.filtered(table, 1)
         if known.num_rows:
-            out.append(known.cast(pa.schema(out[0].schema)).combine_chunks().to_batches()[0])
+            out.append(known.cast(out[0].schema).combine_chunks().to_batches()[0])
         rows = tx.filtered(table, 0)
         if rows.num_rows:
             key = _from_bytes(b"".join(x.as_py() for x in rows.column("key")))
-            key, doc, first, ends, many = _shared_keys(key, tx.unpack(rows, "doc", np.int64))
+            count, total = tx.unpack(rows, "count", np.uint32).astype(np.int64), tx.unpack(rows, "total", np.int64).sum()
+            order, key, doc, first, ends, many = _shared_keys(key, tx.unpack(rows, "doc", np.int64))
+            hot = key[first][np.add.reduceat(count[order], first) * HOT * n > total].astype(np.uint32)
+            to = np.repeat(np.arange(n), len(hot))
+            out.append(_anchor_batch(to, n, 2, np.tile(hot, n), np.zeros(len(to), np.int64)))
             keep = np.repeat(many, ends - first)
             key, doc = key[keep], doc[keep]
             order = np.argsort(doc, kind="stable")
             key, doc = key[order], doc[order]
-            out.append(tx.pack(tx.doc_bucket(doc, n), n, 1, {"key": key.astype(np.uint32), "doc": doc}))
+            out.append(_anchor_batch(tx.doc_bucket(doc, n), n, 1, key.astype(np.uint32), doc))
         return pa.Table.from_batches(out)
 
     return run
@@ -205,7 +224,33 @@ def collapse(key, content, doc, low):
 SEGMENT = {"doc": np.int64, "tag": np.uint8, "start": np.int32, "size": np.uint8}
 
 
-def _segment_rows(units: Units, n: int, payload):
+def _split_windows(have, begins, body, length: int, resolve):
+    """Segments as single windows keyed by their content: (windows, begins of their bodies, spans of those a smaller document of this task holds)."""
+    one, two = resolve.body_size(np.array([1, 2])).tolist()
+    windows = have["size"].astype(np.int64)
+    number = np.repeat(np.arange(len(windows)), windows)
+    offset = tx.ranges(np.zeros(len(windows), np.int64), windows)
+    begins = begins[number] + offset * (two - one)
+    content = [np.zeros(0, U64)]
+    for at in range(0, len(begins), 1 << 14):  # hashing needs several words for each byte
+        b = begins[at : at + (1 << 14)]
+        width = np.full(len(b), one)
+        content.append(resolve.content(body[tx.ranges(b, width)], np.arange(len(b)) * one, np.ones(len(b), np.int64)))
+    content = np.concatenate(content)
+    out = {"key": tx.mix(content), "content": content, "doc": have["doc"][number], "tag": have["tag"][number], "start": (have["start"][number] + offset).astype(np.int32), "size": np.ones(len(number), np.uint8)}
+    order, label, stays, first = collapse(out["key"], content, out["doc"], out["start"])
+    out, begins = {c: v[order] for c, v in out.items()}, begins[order]
+    lead = first[label]
+    doc, tag, start, ref, ref_start = (v[~stays] for v in (out["doc"], out["tag"], out["start"], out["doc"][lead], out["start"][lead]))
+    order = np.lexsort((start, ref_start - start, ref, tag, doc))
+    doc, tag, start, ref, ref_start = (v[order] for v in (doc, tag, start, ref, ref_start))
+    run = tx.run_starts(doc, tag, ref, ref_start - start, start - np.arange(len(start)))
+    count = np.diff(np.append(run, len(start)))
+    spans = {"doc": doc[run], "tag": tag[run], "start": start[run], "end": start[run] + count + length - 1, "ref": ref[run], "ref_start": ref_start[run]}
+    return {c: v[stays] for c, v in out.items()}, begins[stays], spans
+
+
+def _segment_rows(units: Units, n: int, payload, resolve):
     """Documents and their shared anchors -> packed segments (kind 0) and spans known already (kind 1).
 
     payload(data, codes, low, high) -> (per-segment byte sizes, all bytes).
@@ -220,6 +265,8 @@ def _segment_rows(units: Units, n: int, payload):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         out = [full(tx.pack(np.zeros(0, np.int32), n, 0, {c: np.zeros(0, U64) for c in names}))]
         if docs.num_rows and shared.num_rows:
+            hot_keys = np.unique(tx.unpack(tx.filtered(shared, 2), "key", np.uint32))
+            shared = tx.filtered(shared, 1)
             wanted = np.unique(_told(tx.unpack(shared, "doc", np.int64), tx.unpack(shared, "key", np.uint32)))
             doc = tx.ids(docs.column("doc_id"))
             tags = _tags(doc, docs.column("text"))
@@ -246,6 +293,13 @@ def _segment_rows(units: Units, n: int, payload):
             out.append(full(_span_rows(n, 1, {"doc": have["doc"][gone], "tag": have["tag"][gone], "start": have["start"][gone], "end": have["start"][gone] + have["size"][gone].astype(np.int32) + units.length - 1, "ref": have["doc"][lead][gone], "ref_start": have["start"][lead][gone]})))
             have = {c: v[stays] for c, v in have.items()}
             sizes, begins = sizes[stays], begins[stays]
+            hot = np.isin(have["key"].astype(np.uint32), hot_keys)
+            if hot.any():
+                split, at, spans = _split_windows({c: v[hot] for c, v in have.items()}, begins[hot], body, units.length, resolve)
+                out.append(full(_span_rows(n, 1, spans)))
+                have = {c: np.concatenate([v[~hot], split[c]]) for c, v in have.items()}
+                begins = np.concatenate([begins[~hot], at])
+                sizes = resolve.body_size(have["size"].astype(np.int64))
             by_doc = np.lexsort((have["start"], have["doc"]))  # ids in order compress
             have = {c: v[by_doc] for c, v in have.items()}
             sizes, begins = sizes[by_doc], begins[by_doc]
@@ -347,7 +401,7 @@ def shared_spans(documents: DataFrame, units: Units, payload, resolve, finish, s
     anchors = narrow.mapInArrow(_anchor_rows(units, n), tx.packed_schema(ANCHORS))
     shared = anchors.groupBy("bucket").applyInArrow(_find_shared(n), tx.packed_schema(ANCHORS))
     dealt = rows.withColumn("__bucket", tx.doc_bucket_column(F.col("doc_id"), n))
-    cut, cut_schema = _segment_rows(units, n, payload)
+    cut, cut_schema = _segment_rows(units, n, payload, resolve)
     found = dealt.groupBy("__bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut, cut_schema)
     spans = found.groupBy("bucket").applyInArrow(_compare(n, units, resolve), tx.packed_schema(SPANS))
 

@@ -123,6 +123,26 @@ def test_suffix_dedup(docs, rows):
     assert by_id(suffix_dedup.substring_digests(docs), "n_bytes", "n_removed", "kept_sha256") == want
 
 
+def test_hot_passage_in_different_surroundings(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(30)]
+    around = [([word() for _ in range(40)], [word() for _ in range(40)]) for _ in range(200)]
+    rows = []
+    for i in range(300):
+        before, after = around[rng.randrange(200)] if i % 3 else ([word() for _ in range(40)], [word() for _ in range(40)])
+        rows.append((i, " ".join([*before[rng.randint(0, 30) :], *common, *after[: rng.randint(5, 40)]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for query, units, join in (
+        (relative_lz.passage_digests, {d: words(t) for d, t in rows}, lambda x: " ".join(x).encode()),
+        (suffix_dedup.substring_digests, {d: t.encode() for d, t in rows}, bytes),
+    ):
+        gone = windows_removed(units, 50)
+        want = {d: (len(gone[d]), hashlib.sha256(join([x for i, x in enumerate(u) if i not in gone[d]])).hexdigest()) for d, u in units.items()}
+        assert by_id(query(df), "n_removed", "kept_sha256") == want
+        assert any(gone.values())
+
+
 def test_blind_trie_orders_strings():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab") for _ in range(9)) for _ in range(300)]
