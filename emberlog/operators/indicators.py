@@ -60,3 +60,21 @@ def decode_utf16_base64(df: DataFrame, name: str = "CommandLine") -> DataFrame:
     texts = F.flatten(F.transform(binary, lambda b: F.array(F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")), F.decode(b, "UTF-16LE"))))
     printable = F.filter(texts, lambda t: t.isNotNull() & (t != "") & ~t.rlike(r"[^\x20-\x7E\r\n\t]"))
     return df.withColumn(f"decoded_{name}", F.try_element_at(printable, F.lit(1)))
+
+
+def deobfuscate(df: DataFrame, name: str = "CommandLine") -> DataFrame:
+    """deobfuscated_<name> and deobfuscation (kinds found), both null unless the text changes.
+
+    Three carets or more go, and so do backticks before letters where there are two or
+    more; joined strings and parts of environment variables are only named.
+    """
+    c = field(df, name)
+    count = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    carets, ticks = count("^") >= 3, count("`") >= 2
+    plain = F.when(carets, F.replace(c, F.lit("^"), F.lit(""))).otherwise(c)
+    plain = F.when(ticks, F.regexp_replace(plain, "`([a-zA-Z])", "$1")).otherwise(plain)
+    joined = F.contains(c, F.lit("'+'")) & c.rlike(r"'[^']*'\s*\+\s*'[^']*'")
+    part = F.contains(c, F.lit(":~")) & F.contains(c, F.lit("%"))
+    kinds = F.concat_ws(",", *[F.when(test, kind) for test, kind in ((carets, "CARET"), (ticks, "BACKTICK"), (joined, "CONCAT"), (part, "ENV_SUBSTR"))])
+    changed = (F.length(c) > 10) & (plain != c)
+    return df.withColumns({f"deobfuscated_{name}": F.when(changed, plain), "deobfuscation": F.when(changed, kinds)})

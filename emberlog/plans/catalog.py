@@ -12,7 +12,7 @@ from emberlog.operators import analytics as an
 from emberlog.operators import indicators as ind
 from emberlog.operators import rules as ru
 from emberlog.operators import search as se
-from emberlog.plans import hunt_queries, ingest_queries
+from emberlog.plans import hunt_queries, incident_queries, ingest_queries
 from emberlog.plans.log_view import WITH, log_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +365,7 @@ def entropy_of_names(spark, sf):
 
 
 ingest_queries.setup(RULES, _HITS, ru.apply_rules)
+incident_queries.setup(RULES, _HITS, ru.apply_rules)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,8 +373,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _queries | hunt_queries.queries() | ingest_queries.queries()
+    return _queries | hunt_queries.queries() | ingest_queries.queries() | incident_queries.queries()
 
 
 def oracles() -> dict[str, str]:
-    return _oracles | hunt_queries.oracles() | ingest_queries.oracles()
+    return _oracles | hunt_queries.oracles() | ingest_queries.oracles() | incident_queries.oracles()
