@@ -11,6 +11,7 @@ from emberlog.functions.columns import entropy, is_public_ip
 from emberlog.operators import analytics as an
 from emberlog.operators import indicators as ind
 from emberlog.operators import rules as ru
+from emberlog.operators import run_all
 from emberlog.operators import search as se
 from emberlog.plans import hunt_queries, incident_queries, ingest_queries
 from emberlog.plans.log_view import WITH, log_events
@@ -368,6 +369,20 @@ ingest_queries.setup(RULES, _HITS, ru.apply_rules)
 incident_queries.setup(RULES, _HITS, ru.apply_rules)
 
 
+# --- all analyses by one call -------------------------------------------------------------------
+_PARTS = ("detections", "timeline", "attack_chains", "threat_scores", "kill_chain", "incident_summary", "logins_by_user", "logins_by_ip", "confidence")
+
+
+def _analyse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = run_all.analyse(log_events(spark, sf_dir), RULES, ingest_queries.techniques(spark), user="AcctName")
+    return run_all.sizes({name: parts[name] for name in _PARTS})
+
+
+_queries["analyse_all"] = _analyse_all
+_known = _oracles | ingest_queries.oracles() | incident_queries.oracles()
+_oracles["analyse_all"] = " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n FROM ({_known[name]})" for name in _PARTS)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["detections"](spark, sf_dir)
 

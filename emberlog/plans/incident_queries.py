@@ -10,7 +10,7 @@ from emberlog.operators import field_indicators as fi
 from emberlog.operators import incident as inc
 from emberlog.operators import indicators as ind
 from emberlog.operators.rule_checks import validate_rules
-from emberlog.plans.ingest_queries import TECHNIQUES
+from emberlog.plans.ingest_queries import techniques
 from emberlog.plans.log_view import WITH, log_events
 from emberlog.sources.formats import format_of
 
@@ -87,7 +87,6 @@ _oracles["deobfuscate"] = f"""{WITH} SELECT event_id, 'powershell' AS "deobfusca
 
 def setup(rules, hits_sql: str, apply_rules):
     """Registers what needs the catalog's rules and the SQL of their hits."""
-    techniques = lambda spark: spark.sql(f"SELECT * FROM {TECHNIQUES} AS t(id, name, tactic)")
     tactics = f"""{hits_sql}, found AS (SELECT title, level, count(*) AS n FROM hits GROUP BY 1,2), tactic AS (SELECT pos, slug, shown FROM found JOIN (VALUES
 (4,'execution','Execution','Encoded shell'), (8,'credential-access','Credential Access','Failed logon'), (9,'discovery','Discovery','Discovery command'), (12,'command-and-control','Command and Control','Download with a system tool')) t(pos, slug, shown, name) ON title = name)"""
 

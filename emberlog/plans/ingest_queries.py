@@ -36,10 +36,13 @@ _parse("parse_access_log", parsers.text_fields, """concat(IpAddress, ' - ', Acct
 TECHNIQUES = "VALUES ('T1033','Owner discovery','discovery'), ('T1059.001','Shell','execution'), ('T1105','Tool transfer','command-and-control')"
 
 
+def techniques(spark):
+    return spark.sql(f"SELECT * FROM {TECHNIQUES} AS t(id, name, tactic)")
+
+
 def setup(rules, hits_sql: str, apply_rules):
     """Registers what needs the catalog's rules and the SQL of their hits."""
     found = lambda spark, sf: at.tagged(apply_rules(log_events(spark, sf), rules))
-    techniques = lambda spark: spark.sql(f"SELECT * FROM {TECHNIQUES} AS t(id, name, tactic)")
     tags = f"""{hits_sql}, found AS (SELECT title, level, count(*) AS n FROM hits GROUP BY 1,2), tagged AS (SELECT f.*, technique, tactic FROM found f JOIN (VALUES
 ('Discovery command','T1033','discovery'), ('Encoded shell','T1059.001','execution'), ('Download with a system tool','T1105','command-and-control'), ('Failed logon',NULL,'credential-access')) t(name, technique, tactic) ON f.title = t.name)"""
     _queries["parse_tags"] = lambda spark, sf: at.parse_tags(found(spark, sf))
