@@ -15,7 +15,7 @@ documents hold reaches a task no more than once from each task before it.  A hot
 k-gram, one with more segments than a quarter of an average bucket, may stand in
 different surroundings in as many documents; its segments travel as single windows,
 keyed by the whole window, so that only equal windows meet, and those collapse too.
-Hot k-grams are at most four for each bucket.  Rows travel packed, one row per
+Hot k-grams are about four for each bucket at most, on average.  Rows travel packed, one row per
 bucket, with a number of buckets that follows spark.sql.shuffle.partitions.
 """
 
