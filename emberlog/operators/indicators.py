@@ -17,6 +17,9 @@ PATTERNS = {
     "md5": r"\b[0-9a-fA-F]{32}\b",
 }
 
+#: Upper-case hex of UTF-16LE without single surrogates.
+_UTF16 = "^(?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])+$"
+
 
 def extract_iocs(df: DataFrame, text: str, types=tuple(PATTERNS), public_ips: bool = True) -> DataFrame:
     """(type, value) of every indicator of each row once, with the row's other columns."""
@@ -48,7 +51,7 @@ def entropy_level(df: DataFrame, name: str = "QueryName") -> DataFrame:
 def obfuscation_score(df: DataFrame, name: str = "CommandLine") -> DataFrame:
     c = field(df, name)
     count = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
-    parts = [(count("^") >= 3, 3), (F.contains(c, F.lit('"+"')) | F.contains(c, F.lit("'+'")), 3), (count("`") >= 2, 2), (count("%") >= 4, 2), (F.length(c) > 1000, 1), (entropy(c) > 4.5, 1)]
+    parts = [(count("^") >= 3, 3), (F.contains(c, F.lit('"+"')) | F.contains(c, F.lit("'+'")), 3), (count("`") >= 2, 2), (count("%") >= 4, 2), (F.octet_length(c) > 1000, 1), (entropy(c) > 4.5, 2)]
     return df.withColumn("obfuscation_score", sum((F.when(p, w).otherwise(0) for p, w in parts), F.lit(0)))
 
 
@@ -57,8 +60,9 @@ def decode_utf16_base64(df: DataFrame, name: str = "CommandLine") -> DataFrame:
     runs = F.regexp_extract_all(field(df, name), F.lit(r"[A-Za-z0-9+/]{8,}={0,2}"), F.lit(0))
     whole = F.filter(runs, lambda r: F.length(r) % 4 == 0)
     binary = F.filter(F.transform(whole, lambda r: F.try_to_binary(r, F.lit("base64"))), lambda b: b.isNotNull())
-    texts = F.flatten(F.transform(binary, lambda b: F.array(F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")), F.decode(b, "UTF-16LE"))))
-    printable = F.filter(texts, lambda t: t.isNotNull() & (t != "") & ~t.rlike(r"[^\x20-\x7E\r\n\t]"))
+    wide = lambda b: F.when(F.hex(b).rlike(_UTF16), F.decode(b, "UTF-16LE"))
+    texts = F.flatten(F.transform(binary, lambda b: F.array(F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")), wide(b))))
+    printable = F.filter(texts, lambda t: t.isNotNull() & (t != "") & ~F.regexp_replace(t, r"[\r\n\t]", "").rlike(r"\p{Cc}"))
     return df.withColumn(f"decoded_{name}", F.try_element_at(printable, F.lit(1)))
 
 

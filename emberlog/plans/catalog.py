@@ -365,6 +365,36 @@ def entropy_of_names(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_name").alias("name")).distinct().withColumn("entropy", F.round(entropy(F.col("name")), 2))
 
 
+# --- commands over the whole view ------------------------------------------------------------------
+#: Entropy over the bytes of each command line.
+_ENTROPY = """, ent AS (SELECT c, -sum(p*log2(p)) AS e FROM (SELECT c, n/sum(n) OVER (PARTITION BY c) AS p FROM (SELECT c, b, count(*) AS n FROM (
+SELECT c, unnest(regexp_extract_all(hex(encode(c)), '..')) AS b FROM (SELECT DISTINCT "CommandLine" AS c FROM logs WHERE "CommandLine" <> '')) GROUP BY 1,2)) GROUP BY 1)"""
+
+
+@query(f"""{_ENTROPY} SELECT event_id, round(e, 2) AS entropy FROM logs JOIN ent ON c = "CommandLine" WHERE length(c) > 20 AND e > 3.5""")
+def high_entropy_command_all(ev):
+    return an.high_entropy_command(ev, 20, 3.5).select("event_id", F.round("_entropy", 2).alias("entropy"))
+
+
+@query(f"""{_ENTROPY} SELECT event_id, CAST(3 * (length(c) - length(replace(c,'^','')) >= 3)::INT + 3 * (contains(c,'"+"') OR contains(c,'''+'''))::INT + 2 * (length(c) - length(replace(c,'`','')) >= 2)::INT
++ 2 * (length(c) - length(replace(c,'%','')) >= 4)::INT + (strlen(c) > 1000)::INT + 2 * (e > 4.5)::INT AS INTEGER) AS obfuscation_score
+FROM (SELECT event_id, "CommandLine" AS c, coalesce(e, 0) AS e FROM logs LEFT JOIN ent ON c = "CommandLine")""")
+def obfuscation_score_all(ev):
+    return ind.obfuscation_score(ev).select("event_id", "obfuscation_score")
+
+
+#: The first printable text of each command line's base64 runs, as UTF-8 or else UTF-16LE (no surrogates).
+_DECODED = r""", runs AS (SELECT c, i, unnest([TRY(decode(b)), CASE WHEN regexp_matches(hex(b), '^(?:..(?:[0-9A-CEF].|D[0-7]))+$') THEN
+list_reduce(list_transform(regexp_extract_all(hex(b), '....'), lambda h: chr(CAST('0x' || h[3:4] || h[1:2] AS INTEGER))), lambda x, y: x || y) END]) AS t, unnest([0, 1]) AS k FROM (
+SELECT c, i, from_base64(r) AS b FROM (SELECT c, unnest(rs) AS r, generate_subscripts(rs, 1) AS i FROM (SELECT c, regexp_extract_all(c, '[A-Za-z0-9+/]{8,}={0,2}') AS rs FROM (SELECT DISTINCT "CommandLine" AS c FROM logs))) WHERE length(r) % 4 = 0)),
+texts AS (SELECT c, arg_min(t, 2 * i + k) AS decoded FROM runs WHERE t <> '' AND NOT regexp_matches(regexp_replace(t, '[\r\n\t]', '', 'g'), '\p{Cc}') GROUP BY 1)"""
+
+
+@query(f"""{_DECODED} SELECT event_id, decoded FROM logs LEFT JOIN texts ON "CommandLine" = c""")
+def decode_base64_all(ev):
+    return ind.decode_utf16_base64(ev).select("event_id", F.col("decoded_CommandLine").alias("decoded"))
+
+
 ingest_queries.setup(RULES, _HITS, ru.apply_rules)
 incident_queries.setup(RULES, _HITS, ru.apply_rules)
 
