@@ -3,16 +3,20 @@
 Words are counted over all training documents.  The most frequent VOCABULARY words
 get CLASSES classes by exchange clustering: each round counts, for every such word,
 the classes of its neighbours over all training documents, and moves words to the
-class that raises the likelihood of the class bigrams most.  All rarer words form
-one class, the end of a text another.  A token's probability is
+class that raises the likelihood of the class bigrams most.  Every other word seen
+LEAST times or more then gets the class that does so, chosen in its bucket from the
+classes before and after it each time, against the class bigrams of the exchange;
+its neighbours that are not among the frequent words count as one class there.
+Class bigrams are counted again over all classes.  Words seen less often form one
+class, the end of a text another.  A token's probability is
 
     MIX * P(class | class before) * P(word | class) + (1 - MIX) * unigram(word),
 
 with the same smoothed unigrams that give the base score, so it sums to one.
 
-What the driver or a broadcast holds is bounded by VOCABULARY * CLASSES.  Counts of
-rare words never leave their buckets: rare tokens travel to them as hashes, and the
-sums per document travel back.
+What the driver or a broadcast holds is bounded by VOCABULARY * CLASSES.  Counts and
+neighbours of the other words never leave their buckets: each block of texts asks for
+its distinct words there, and their classes and counts travel back.
 
 Defined results: null and empty texts are one end token; a null doc_id trains and
 is scored as null; repeated rows are scored one by one; an empty table gives no
@@ -25,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,7 @@ from emberlog.llm import _text as tx
 
 U64 = tx.U64
 VOCABULARY, CLASSES, ROUNDS, MIX, ADD, ALPHA = 16384, 48, 3, 0.8, 0.1, 1.0
+LEAST = 2  # of training occurrences of a word with a class of its own choice
 FOLDS = 10
 FLUSH = 1 << 20
 PARTS = 16  # blocks in which neighbour counts are summed
@@ -81,10 +87,10 @@ def word_counts(training: DataFrame, n: int) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         k, c = _distinct(tx.unpack(table, "key", U64), tx.unpack(table, "count", np.int64))
-        return pa.table({"bucket": table.column("bucket")[:1], "key": [k.tobytes()], "count": [c.tobytes()], "total": pa.array([int(c.sum())], pa.int64()), "distinct": pa.array([len(k)], pa.int64())})
+        return pa.table({"bucket": table.column("bucket")[:1], "key": [k.tobytes()], "count": [c.tobytes()], "total": pa.array([int(c.sum())], pa.int64()), "distinct": pa.array([len(k)], pa.int64()), "few": pa.array([int((c < LEAST).sum())], pa.int64()), "few_tokens": pa.array([int(c[c < LEAST].sum())], pa.int64())})
 
     packed = training.select("text").mapInArrow(run, tx.packed_schema(["key", "count"]))
-    return packed.groupBy("bucket").applyInArrow(add, "bucket int, key binary, count binary, total long, distinct long")
+    return packed.groupBy("bucket").applyInArrow(add, "bucket int, key binary, count binary, total long, distinct long, few long, few_tokens long")
 
 
 def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -103,44 +109,173 @@ def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], count[order]
 
 
-ENCODED = "doc_id long, held_out boolean, row long, ids binary, rare binary"
+#: A row is a block of whole texts: ids of documents, marks (1 held out, 2 no id), tokens of each text as numbers of
+#: frequent words (or RARE), END last, and for each rare token its place in the block's sorted rare words (keys).
+ENCODED = "block long, doc binary, mark binary, size binary, ids binary, place binary, keys binary"
+BLOCK = 1 << 18
+_TYPES = {"doc": np.int64, "mark": np.uint8, "size": np.int64, "ids": np.uint16, "place": np.uint32, "keys": U64, "label": np.uint8, "count": np.int64}
 
 
-def encoded(documents: DataFrame, frequent) -> DataFrame:
-    """Each text as numbers of frequent words (or RARE), END last, and the hashes of its rare words."""
+def _arrays(batch):
+    """The arrays of each block of a batch, by name."""
+    names = [(i, n) for i, n in enumerate(batch.schema.names) if n in _TYPES]
+    for r in range(batch.num_rows):
+        yield {n: np.frombuffer(batch.column(i)[r].as_py(), _TYPES[n]) for i, n in names}
+
 
+def encoded(documents: DataFrame, frequent) -> DataFrame:
     def run(batches):
-        words = frequent.value
+        words, part = frequent.value, TaskContext.get().partitionId() << 32
         rare_id, end_id = len(words), len(words) + 1
+        held, size, number = {n: [] for n in ("doc", "mark", "size", "ids", "rare")}, 0, 0
+
+        def flush():
+            got = {n: np.concatenate(v) for n, v in held.items()}
+            keys, place = np.unique(got.pop("rare"), return_inverse=True)
+            got |= {"place": place, "keys": keys}
+            return pa.RecordBatch.from_arrays([pa.array([part + number], pa.int64()), *(pa.array([got[n].astype(_TYPES[n]).tobytes()], pa.binary()) for n in ("doc", "mark", "size", "ids", "place", "keys"))], ["block", "doc", "mark", "size", "ids", "place", "keys"])
+
         for batch in batches:
-            texts = tx.strings(batch.column(2))
-            ids = tx.ids(batch.column(0))
-            for row, hashes, first in _words(texts):
+            doc = tx.ids(batch.column(0))
+            mark = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8) + 2 * batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            for row, hashes, first in _words(tx.strings(batch.column(2))):
                 n = len(first) - 1
                 at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
                 known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-                number = np.where(known, at, rare_id).astype(np.uint16)
-                with_end = np.insert(number, first[1:], end_id)
-                cuts = first + np.arange(n + 1)
-                rare_cuts = np.concatenate([[0], np.cumsum(~known)])[first]
-                rare = hashes[~known]
-                marks = np.array([zlib.crc32((x.as_py() or "").encode()) for x in texts.slice(row, n)], np.uint64)
-                key = tx.mix(ids[row : row + n].astype(U64) * tx._M) ^ tx.mix(marks + U64(7))
-                binary = lambda a, c, w: pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((c * w).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(a))]).cast(pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(key.view(np.int64)), binary(with_end, cuts, 2), binary(rare, rare_cuts, 8)], ["doc_id", "held_out", "row", "ids", "rare"])
+                new = {"doc": doc[row : row + n], "mark": mark[row : row + n], "size": np.diff(first) + 1, "ids": np.insert(np.where(known, at, rare_id), first[1:], end_id).astype(np.uint16), "rare": hashes[~known]}
+                for name, values in new.items():
+                    held[name].append(values.copy())
+                size += len(hashes) + n
+                if size >= BLOCK:
+                    yield flush()
+                    held, size, number = {n: [] for n in held}, 0, number + 1
+        if size:
+            yield flush()
 
     return documents.mapInArrow(run, ENCODED)
 
 
-def _sequences(column):
-    """(first row, all ids, bounds) of slices of an ids column."""
-    row, limit = 0, 1 << 20
-    sizes = np.array([len(x.as_buffer()) // 2 for x in column], np.int64)
-    while row < len(column):
-        to = row + max(1, int(np.searchsorted(np.cumsum(sizes[row:]), limit, "right")))
-        ids = np.frombuffer(b"".join(x.as_py() for x in column[row:to]), np.uint16).astype(np.int64)
-        yield row, ids, np.concatenate([[0], np.cumsum(sizes[row:to])])
-        row = to
+def _classes_of(block: dict, label: np.ndarray, rare_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each token of a block, and where its rare tokens are."""
+    rare = np.flatnonzero(block["ids"] == rare_id)
+    out = label[block["ids"]]
+    if "label" in block and len(rare):
+        out[rare] = block["label"][block["place"]]
+    return out, rare
+
+
+def _training(block: dict) -> np.ndarray:
+    """Which tokens of a block stand in training texts."""
+    return np.repeat((block["mark"] & 1) == 0, block["size"])
+
+
+def _requests(table: DataFrame, classes, n_words: int, n: int) -> DataFrame:
+    """For each block and bucket: its rare words, how often each is in training texts, and (class before, class after) each time."""
+
+    def run(batches):
+        label = classes.value
+        for batch in batches:
+            for number, block in zip(batch.column(0).to_pylist(), _arrays(batch), strict=True):
+                keys = block["keys"]
+                if not len(keys):
+                    continue
+                group, rare = _classes_of(block, label, n_words)
+                train = _training(block)[rare]
+                at, place = rare[train], block["place"][train]
+                before = np.where(at > 0, group[at - 1], CLASSES + 1)
+                pairs = np.stack([before, group[at + 1]], axis=1).astype(np.uint8)
+                times = np.bincount(place, minlength=len(keys))
+                bucket = _bucket(keys, n)
+                order, bounds = tx.by_bucket(bucket, n)
+                used = np.flatnonzero(np.diff(bounds))
+                rank = np.empty(len(keys), np.int64)
+                rank[order] = np.arange(len(keys))
+                pairs = pairs[np.argsort(rank[place], kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(times[order])])
+                cut = lambda v, lo, hi: v[lo:hi].tobytes()
+                rows = [(cut(keys[order], bounds[u], bounds[u + 1]), cut(times[order].astype(np.uint32), bounds[u], bounds[u + 1]), cut(pairs, ends[bounds[u]], ends[bounds[u + 1]])) for u in used]
+                columns = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), number), pa.int64()), *columns], ["bucket", "block", "key", "times", "pairs"])
+
+    return table.select("block", "mark", "size", "ids", "place", "keys").mapInArrow(run, "bucket int, block long, key binary, times binary, pairs binary")
+
+
+def best_classes(word: np.ndarray, pairs: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+    """The class of each of n words that raises the likelihood of the class bigrams `table` most, from the classes before and after each time."""
+    width = len(table)
+    mass, best = table.sum(axis=1)[:CLASSES], np.zeros(n, np.int64)
+    order = np.argsort(word, kind="stable")
+    word, pairs = word[order], pairs[order]
+    for lo in range(0, n, 4096):
+        hi = min(n, lo + 4096)
+        a, b = np.searchsorted(word, [lo, hi])
+        gain = np.zeros((hi - lo, CLASSES))
+        for side, rows in ((1, table), (0, table.T)):
+            cell, times = np.unique((word[a:b] - lo) * width + pairs[a:b, side], return_counts=True)
+            for s in range(0, len(cell), 1 << 14):
+                w, c = np.divmod(cell[s : s + (1 << 14)], width)
+                now = rows[:CLASSES, c].T
+                np.add.at(gain, w, _xlogx(now + times[s : s + (1 << 14), None]) - _xlogx(now))
+        own = np.bincount(word[a:b] - lo, minlength=hi - lo)[:, None]
+        best[lo:hi] = (gain - 2 * (_xlogx(mass + own) - _xlogx(mass))).argmax(axis=1)
+    return best
+
+
+def _answers(requests: DataFrame, counts: DataFrame, bigrams) -> DataFrame:
+    """The class and count of each rare word, for every block that holds it; words seen less than LEAST times stay in the class of rare ones."""
+
+    def choose(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "label": pa.array([], pa.binary()), "count": pa.array([], pa.binary())})
+        have, c = tx.unpack(counted, "key", U64), tx.unpack(counted, "count", np.int64)
+        key, times = tx.unpack(asked, "key", U64), tx.unpack(asked, "times", np.uint32)
+        pairs = tx.unpack(asked, "pairs", np.uint8).reshape(-1, 2)
+        words, at = np.unique(key, return_inverse=True)
+        place = np.minimum(np.searchsorted(have, words), max(len(have) - 1, 0))
+        count = np.where(have[place] == words, c[place], 0) if len(have) else np.zeros(len(words), np.int64)
+        admitted = count >= LEAST
+        label = np.full(len(words), CLASSES, np.int64)
+        number = np.cumsum(admitted) - 1
+        word = np.repeat(at, times)
+        keep = admitted[word]
+        label[admitted] = best_classes(number[word[keep]], pairs[keep], int(admitted.sum()), bigrams.value)
+        label, count = label.astype(np.uint8)[at], count[at]
+        ends = np.concatenate([[0], np.cumsum([len(x.as_buffer()) // 8 for x in asked.column("key")])])
+        cut = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        return pa.table({"block": asked.column("block"), "keys": cut(key), "label": cut(label), "count": cut(count)})
+
+    return requests.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(choose, "block long, keys binary, label binary, count binary")
+
+
+LABELLED = "block long, doc binary, mark binary, size binary, ids binary, place binary, label binary, count binary"
+
+
+def _labelled(table: DataFrame, answers: DataFrame) -> DataFrame:
+    def join(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        order = np.argsort(tx.unpack(found, "keys", U64), kind="stable")
+        own = {c: [tx.unpack(found, c, _TYPES[c])[order].tobytes()] for c in ("label", "count")}
+        return pa.table({c: blocks.column(c) for c in ("block", "doc", "mark", "size", "ids", "place")} | {c: pa.array(v, pa.binary()) for c, v in own.items()})
+
+    return table.drop("keys").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, LABELLED)
+
+
+def class_counts(labelled: DataFrame, classes, n_words: int) -> np.ndarray:
+    """How often each class follows each class in the training texts."""
+    width = CLASSES + 2
+
+    def run(batches):
+        out = np.zeros(width * width, np.int64)
+        for batch in batches:
+            for block in _arrays(batch):
+                group = _classes_of(block, classes.value, n_words)[0][_training(block)]
+                out += np.bincount(_before(group, CLASSES + 1) * width + group, minlength=width * width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width), pa.int32()), pa.array(out)], ["cell", "n"])
+
+    rows = labelled.select("mark", "size", "ids", "place", "label").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(width * width, np.int64)
+    for r in rows:
+        out[r.cell] = r.n
+    return out.reshape(width, width)
 
 
 def _before(ids: np.ndarray, end_id: int) -> np.ndarray:
@@ -157,7 +292,8 @@ def neighbour_counts(table: DataFrame, classes, n_words: int, n_classes: int) ->
         right = np.zeros(PARTS * width * n_classes, np.int64)
         left = np.zeros_like(right)
         for batch in batches:
-            for _, ids, _ in _sequences(batch.column(0)):
+            for block in _arrays(batch):
+                ids = block["ids"][_training(block)].astype(np.int64)
                 prev = _before(ids, n_words + 1)
                 right += np.bincount(prev * n_classes + label[ids], minlength=len(right))
                 left += np.bincount(ids * n_classes + label[prev], minlength=len(left))
@@ -169,7 +305,7 @@ def neighbour_counts(table: DataFrame, classes, n_words: int, n_classes: int) ->
         return pa.table({"part": t.column("part")[:1], "right": [total("right")], "left": [total("left")]})
 
     schema = "part int, right binary, left binary"
-    rows = {r.part: r for r in table.filter("not held_out").select("ids").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()}
+    rows = {r.part: r for r in table.select("mark", "size", "ids").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()}
     if not rows:
         return (np.zeros((n_words + 2, n_classes), np.int64),) * 2
     whole = lambda c: np.concatenate([np.frombuffer(rows[p][c], np.int64) for p in range(PARTS)]).reshape(-1, n_classes)[: n_words + 2]
@@ -217,26 +353,13 @@ def exchange(label: np.ndarray, right: np.ndarray, left: np.ndarray, n_free: int
     return label
 
 
-def _score_tables(label, right, count, n_tokens, n_distinct, n_ends, n_words, n_classes):
-    """log10 probabilities by (class before, number), base ones by number; for RARE without its count."""
-    bigrams = np.zeros((n_classes, n_classes))
-    np.add.at(bigrams, label, right)
+def _class_steps(bigrams: np.ndarray) -> np.ndarray:
+    """P(class | class before), smoothed."""
     follow = bigrams.sum(axis=0)
-    unigram = (follow + 1) / (follow.sum() + n_classes)
-    step = (bigrams + ALPHA * unigram) / (bigrams.sum(axis=1, keepdims=True) + ALPHA)
-    ends = float(n_ends)
-    known = np.concatenate([count.astype(float), [0.0, ends]])
-    base = (known + ADD) / (n_tokens + ADD * (n_distinct + 1))
-    in_class = np.bincount(label, known, minlength=n_classes)
-    emit = known / np.maximum(in_class[label], 1)
-    emit[-1] = 1.0
-    rare_tokens, rare_words = n_tokens - count.sum() - ends, n_distinct - len(count) - 1
-    base[n_words] = 1 / (n_tokens + ADD * (n_distinct + 1))  # times count + ADD
-    emit[n_words] = 1 / (rare_tokens + ADD * (rare_words + 1))
-    return np.log10(MIX * step[:, label] * emit + (1 - MIX) * base), np.log10(base)
-
-
-MAIN = "bucket int, doc_id long, held_out boolean, row long, n_tokens long, n_frequent long, base double, model double"
+    unigram = (follow + 1) / (follow.sum() + len(bigrams))
+    return (bigrams + ALPHA * unigram) / (bigrams.sum(axis=1, keepdims=True) + ALPHA)
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -264,62 +387,37 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if turn < 2 * ROUNDS - 1:
             label = exchange(label, right, left, CLASSES, turn)
     right, left = neighbour_counts(table, spark.sparkContext.broadcast(label), n_words, n_classes)
-    tables = spark.sparkContext.broadcast((label, *_score_tables(label, right, count, train_tokens, n_distinct, n_ends, n_words, n_classes)))
-
-    def known_part(batches):
-        label, model, base = tables.value
-        for batch in batches:
-            for row, ids, bounds in _sequences(batch.column(3)):
-                m = len(bounds) - 1
-                sums = lambda v: np.add.reduceat(v, bounds[:-1]) if m else v  # noqa: B023, E731
-                key = batch.column(2).slice(row, m).to_numpy(zero_copy_only=False).view(U64)
-                frequent = sums(((ids != n_words) & ((ids != n_words + 1) | (n_ends > 0))).astype(np.int64))
-                parts = [pa.array(_bucket(key, n)), *(batch.column(i).slice(row, m) for i in range(3)), pa.array(np.diff(bounds)), pa.array(frequent), pa.array(sums(base[ids])), pa.array(sums(model[label[_before(ids, n_words + 1)], ids]))]
-                yield pa.RecordBatch.from_arrays(parts, ["bucket", "doc_id", "held_out", "row", "n_tokens", "n_frequent", "base", "model"])
-
-    def rare_part(batches):
-        keys, rows, size = [], [], 0
-        flush = lambda: tx.pack(_bucket(np.concatenate(keys), n), n, 0, {"key": np.concatenate(keys), "row": np.concatenate(rows)})
+    bigrams = np.zeros((n_classes, n_classes))
+    np.add.at(bigrams, label, right)
+    classes = spark.sparkContext.broadcast(label)
+    answers = _answers(_requests(table, classes, n_words, n), counts, spark.sparkContext.broadcast(bigrams))
+    labelled = tx.written(_labelled(table, answers), "labelled")
+    bigrams = class_counts(labelled, classes, n_words)
+    few = F.coalesce(F.sum("few"), F.lit(0)), F.coalesce(F.sum("few_tokens"), F.lit(0))
+    rare_words, rare_tokens = counts.agg(*few).first() if n_words else (0, 0)
+    in_head = count < LEAST  # only where the whole table has fewer than VOCABULARY words
+    rare_words, rare_tokens = rare_words - int(in_head.sum()), rare_tokens - int(count[in_head].sum())
+    model = spark.sparkContext.broadcast((label, count, _class_steps(bigrams), bigrams.sum(axis=0).astype(float)))
+
+    def score(batches):
+        label, count, step, size = model.value
+        known_count = np.concatenate([count, [0, n_ends]])
         for batch in batches:
-            for row, rare in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                k = np.frombuffer(rare.as_py(), U64)
-                keys.append(k)
-                rows.append(np.full(len(k), row, np.int64))
-                size += len(k)
-                if size >= FLUSH:
-                    yield flush()
-                    keys, rows, size = [], [], 0
-        if keys:
-            yield flush()
-
-    def look_up(rare: pa.Table, counted: pa.Table) -> pa.Table:
-        out = [tx.pack(np.zeros(0, np.int32), n, 0, {"row": np.zeros(0, U64), "log": np.zeros(0), "known": np.zeros(0, np.int32)})]
-        if rare.num_rows:
-            key, row = tx.unpack(rare, "key", U64), tx.unpack(rare, "row", U64)
-            have, c = tx.unpack(counted, "key", U64), tx.unpack(counted, "count", np.int64)
-            at = np.minimum(np.searchsorted(have, key), max(len(have) - 1, 0))
-            value = np.where(have[at] == key, c[at], 0) if len(have) else np.zeros(len(key), np.int64)
-            order = np.argsort(row, kind="stable")
-            row, value = row[order], value[order]
-            head = tx.run_starts(row)
-            log, known = np.add.reduceat(np.log10(value + ADD), head), np.add.reduceat((value > 0).astype(np.int32), head)
-            out.append(tx.pack(_bucket(row[head], n), n, 0, {"row": row[head], "log": log, "known": known.astype(np.int32)}))
-        return pa.Table.from_batches(out)
-
-    def join(main: pa.Table, parts: pa.Table) -> pa.Table:
-        key = main.column("row").to_numpy().view(U64)
-        same, where, times = np.unique(key, return_inverse=True, return_counts=True)
-        log, known = np.zeros(len(same)), np.zeros(len(same), np.int64)
-        if parts.num_rows and len(same):
-            row = tx.unpack(parts, "row", U64)
-            at = np.searchsorted(same, row)
-            np.add.at(log, at, tx.unpack(parts, "log", np.float64))
-            np.add.at(known, at, tx.unpack(parts, "known", np.int32))
-        log, known = (log / times)[where], (known // times)[where]  # equal rows have added up
-        column = lambda c: main.column(c).to_numpy()
-        return pa.table({"doc_id": main.column("doc_id"), "held_out": main.column("held_out"), "n_tokens": main.column("n_tokens"), "n_known": column("n_frequent") + known, "train_tokens": pa.array(np.full(len(key), train_tokens), pa.int64()), "base_score": column("base") + log, "score": column("model") + log})
-
-    main = table.select("doc_id", "held_out", "row", "ids").mapInArrow(known_part, MAIN)
-    rare = table.select("row", "rare").mapInArrow(rare_part, tx.packed_schema(["key", "row"]))
-    sums = rare.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(look_up, tx.packed_schema(["row", "log", "known"]))
-    return main.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(join, RESULT)
+            for block in _arrays(batch):
+                group, rare = _classes_of(block, label, n_words)
+                times = known_count[block["ids"]]
+                times[rare] = block["count"][block["place"]]
+                base = (times + ADD) / (train_tokens + ADD * (n_distinct + 1))
+                few = group == CLASSES
+                emit = np.where(few, (times + ADD) / max(rare_tokens + ADD * (rare_words + 1), ADD), times / np.maximum(size[group], 1))
+                emit[group == CLASSES + 1] = 1.0
+                value = np.log10(MIX * step[_before(group, CLASSES + 1), group] * emit + (1 - MIX) * base)
+                starts = np.cumsum(block["size"]) - block["size"]
+                mark = block["mark"]
+                sums = lambda v: np.add.reduceat(v, starts)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block["doc"], mask=(mark & 2) > 0), pa.array((mark & 1) > 0), pa.array(block["size"]), pa.array(sums((times > 0).astype(np.int64))), pa.array(np.full(len(mark), train_tokens), pa.int64()), pa.array(sums(np.log10(base))), pa.array(sums(value))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return labelled.mapInArrow(score, RESULT)
