@@ -48,6 +48,7 @@ def anomaly_report(df: DataFrame, user: str = "TargetUserName", ip: str = "IpAdd
         total(off_hours_logon(df), "off_hours_logon", "low", F.least(n * 0.5, F.lit(10.0))),
         total(rare_parent_child(df), "rare_parent_child", "medium", F.least(n * 0.5, F.lit(10.0))),
         total(brute_force(df, user, ip), "brute_force", "high", F.least(n * 2, F.lit(10))),
+        total(high_entropy_command(df), "high_entropy_command", "medium", F.least(n, F.lit(10))),
     ]
     out = parts[0]
     for p in parts[1:]:

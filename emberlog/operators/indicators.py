@@ -82,3 +82,25 @@ def deobfuscate(df: DataFrame, name: str = "CommandLine") -> DataFrame:
     kinds = F.concat_ws(",", *[F.when(test, kind) for test, kind in ((carets, "CARET"), (ticks, "BACKTICK"), (joined, "CONCAT"), (part, "ENV_SUBSTR"))])
     changed = (F.length(c) > 10) & (plain != c)
     return df.withColumns({f"deobfuscated_{name}": F.when(changed, plain), "deobfuscation": F.when(changed, kinds)})
+
+
+#: System tools that attackers use, in the order in which they are named (fixed values).
+LOLBINS = (
+    "bash.exe", "bginfo.exe", "bitsadmin", "certutil", "cmd.exe", "cmstp", "control", "cscript", "dfsvc", "dnscmd", "esentutl.exe", "explorer.exe", "extrac32.exe", "findstr.exe", "forfiles", "ftp.exe", "hh.exe", "ieexec", "infdefaultinstall.exe", "installutil", "makecab.exe", "mavinject.exe", "msbuild", "msconfig", "mshta", "msiexec", "msxsl.exe", "pcalua", "powershell", "presentationhost", "pwsh", "regasm", "register-cimprovider.exe", "regsvcs", "regsvr32", "replace.exe", "rpcping.exe", "rundll32", "scriptrunner.exe", "sfc.exe", "syncappvpublishingserver.exe", "wmic", "wscript", "xwizard",
+)
+
+
+def lolbin(df: DataFrame, name: str = "Image") -> DataFrame:
+    """is_lolbin and lolbin_name: the first of LOLBINS that the image holds, else null."""
+    first = F.coalesce(*[F.when(F.contains(F.lower(field(df, name)), F.lit(x)), F.lit(x)) for x in LOLBINS])
+    return df.withColumns({"is_lolbin": F.when(first.isNotNull(), F.lit(True)), "lolbin_name": first})
+
+
+def inline_iocs(df: DataFrame, name: str = "_raw") -> DataFrame:
+    """ioc_ips, ioc_urls and ioc_domains of each event, in the order of their first places, or null."""
+    tlds = "com|net|org|io|xyz|top|ru|cn|tk|pw|info|biz|cc"
+    found = lambda pattern: F.array_distinct(F.regexp_extract_all(field(df, name), F.lit(pattern), F.lit(0)))
+    joined = lambda values: F.when(F.size(values) > 0, F.array_join(values, ", "))
+    ips = F.filter(found(PATTERNS["ipv4"]), lambda x: ~x.rlike(r"^(10|192\.168|127|0)\."))
+    domains = found(rf"\b[a-zA-Z0-9](?:[a-zA-Z0-9\-]{{0,61}}[a-zA-Z0-9])?\.(?:{tlds})\b")
+    return df.withColumns({"ioc_ips": joined(ips), "ioc_urls": joined(found(PATTERNS["url"])), "ioc_domains": joined(domains)})

@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter
 
+from emberlog.operators import analytics as an
 from emberlog.operators import indicators as ind
 from emberlog.plans import catalog
 
@@ -38,3 +39,17 @@ def test_high_entropy_over_all_commands(spark):
     want = {r.event_id for r in logs if len(r.CommandLine) > 20 and bits(r.CommandLine) > 3.5}
     assert {r.event_id for r in catalog.queries()["high_entropy_command_all"](spark, SF).collect()} == want
     assert any(re.search("-enc", r.CommandLine) for r in logs if r.event_id in want)
+
+
+def test_report_holds_long_commands_of_high_entropy(spark):
+    odd = "".join(map(chr, range(33, 127))) * 3
+    rows = spark.createDataFrame([(odd,), (odd,), ("a" * 300,)], "CommandLine string")
+    got = {r.category: (r.severity, r.n, r.score) for r in an.anomaly_report(rows).collect()}
+    assert got == {"high_entropy_command": ("medium", 2, 2.0)}
+
+
+def test_tools_and_indicators_of_each_event(spark):
+    rows = spark.createDataFrame([("C:\\x\\CertUtil.exe", "8.8.8.8 10.0.0.1 8.8.8.8 http://a.evil.com/x b.org"), ("x.exe", "192.168.0.1"), (None, None)], "Image string, _raw string")
+    a, b, c = ind.inline_iocs(ind.lolbin(rows)).collect()
+    assert (a.is_lolbin, a.lolbin_name, a.ioc_ips, a.ioc_urls, a.ioc_domains) == (True, "certutil", "8.8.8.8", "http://a.evil.com/x", "evil.com, b.org")
+    assert tuple(b)[2:] == tuple(c)[2:] == (None,) * 5
