@@ -365,6 +365,28 @@ def entropy_of_names(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_name").alias("name")).distinct().withColumn("entropy", F.round(entropy(F.col("name")), 2))
 
 
+# --- indicators of all types in all texts ------------------------------------------------------------
+_PUBLIC_IP = r"""(regexp_full_match(value, '(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}') AND list_max(o) <= 255 AND NOT (o[1] IN (0, 10, 127) OR o[1] >= 224 OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168)
+OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 100 AND o[2] BETWEEN 64 AND 127) OR (o[3] = 0 AND o[4] = 0) OR o[4] = 255))"""
+_ALL_TEXTS = {"documents.text": ("documents", "doc_id", "text"), "pages.url": ("pages", "page_id", "url"), "pages.html": ("pages", "page_id", "html")}
+_ALL_IOC = "SELECT source, id, type, value FROM (SELECT *, CASE WHEN type = 'ipv4' THEN list_transform(string_split(value, '.'), lambda x: CAST(x AS INTEGER)) END AS o FROM (" + " UNION ALL ".join(
+    f"""SELECT '{source}' AS source, {key} AS id, '{kind}' AS type, unnest(list_distinct(regexp_extract_all(coalesce({column},''), '{pattern.replace("'", "''")}'))) AS value FROM {name}"""
+    for source, (name, key, column) in _ALL_TEXTS.items()
+    for kind, pattern in ind.PATTERNS.items()
+) + f")) WHERE type <> 'ipv4' OR {_PUBLIC_IP}"
+
+
+@query(_ALL_IOC, logs=False)
+def extract_iocs_all(spark, sf):
+    parts = [ind.extract_iocs(table(spark, sf, name).select(F.lit(source).alias("source"), F.col(key).alias("id"), column), column) for source, (name, key, column) in _ALL_TEXTS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"SELECT type, value, count(*) AS n, min(id) AS first_key, max(id) AS last_key FROM ({_ALL_IOC}) GROUP BY 1,2", logs=False)
+def ioc_rollup_all(spark, sf):
+    return ind.ioc_rollup(extract_iocs_all(spark, sf), "id")
+
+
 # --- commands over the whole view ------------------------------------------------------------------
 #: Entropy over the bytes of each command line.
 _ENTROPY = """, ent AS (SELECT c, -sum(p*log2(p)) AS e FROM (SELECT c, n/sum(n) OVER (PARTITION BY c) AS p FROM (SELECT c, b, count(*) AS n FROM (
