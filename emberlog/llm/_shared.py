@@ -9,21 +9,25 @@ windows that pick one anchor form a segment.  Two exchanges follow:
 2. segments: what an operator ships of each remaining segment (its bytes, or its
    window hashes) meets under the same k-gram, where the operator compares them.
 
-Copies inside a task collapse first: of equal segments only those of the smallest
-doc_id travel, the others are covered at once, so that a passage that a third of all
-documents hold reaches a task no more than once from each task before it.  A hot
-k-gram, one with more segments than a quarter of an average bucket, may stand in
-different surroundings in as many documents; its segments travel as single windows,
-keyed by the whole window, so that only equal windows meet, and those collapse too.
-Hot k-grams are about four for each bucket at most, on average.  Rows travel packed, one row per
-bucket, with a number of buckets that follows spark.sql.shuffle.partitions.
+Copies inside a task collapse first: of equal segments (equal as the operator judges,
+see Matcher) only those of the smallest doc_id travel, the others are covered at once,
+so that a passage that a third of all documents hold reaches a task no more than once
+from each task before it.  A hot k-gram, one with more segments than a quarter of an
+average bucket, may stand in different surroundings in as many documents; its segments
+travel as single windows, keyed by the whole window, so that only equal windows meet,
+and those collapse too.  Hot k-grams are about four for each bucket at most, on
+average.  Rows travel packed, one row per bucket; the number of buckets follows the
+shuffle partitions and the size of the input.  Rows without doc_id take no part in the
+exchanges and are finished where they are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +44,16 @@ SHORT = U64((1 << 8 * KEY_BYTES) - 1)
 
 @dataclass
 class Units:
-    """How a chunk of texts becomes units: 64-bit codes and the bounds of each text in them."""
+    """How a chunk of texts becomes units: their codes and the bounds of each text in them, and hashes of k-grams of codes."""
 
     of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    grams: Callable[[np.ndarray, int], np.ndarray]
     length: int
     k: int
 
 
 def byte_units(data, offsets):
-    return tx.byte_codes(data), offsets
+    return data, offsets
 
 
 def word_units(data, offsets):
@@ -56,6 +61,28 @@ def word_units(data, offsets):
     return tx.word_hashes(data, starts, ends), first
 
 
+class Matcher(Protocol):
+    """What an operator ships of a segment (its body), and how it compares segments."""
+
+    def payload(self, data, codes, low, high) -> tuple[np.ndarray, np.ndarray]:
+        """The size in bytes of each segment's body, and all bodies."""
+
+    def body_size(self, windows: np.ndarray) -> np.ndarray:
+        """The size in bytes of a body of so many windows."""
+
+    def windows(self, body, at) -> np.ndarray:
+        """The hashes of the windows whose bodies begin at `at`."""
+
+    def classes(self, key, body, begins, windows) -> np.ndarray:
+        """A number for each segment, equal for equal keys and equal contents."""
+
+    def spans(self, doc, start, body, begins, windows) -> dict[str, np.ndarray]:
+        """For segments that differ: runs of windows that a segment of a smaller document holds too.
+
+        number (of the segment), offset, count (windows), ref (number of the other segment), ref_offset.
+        """
+
+
 @dataclass
 class Segments:
     """Runs of windows with one anchor: windows start at low..high."""
@@ -68,7 +95,7 @@ class Segments:
 
 def segments(codes: np.ndarray, bounds: np.ndarray, units: Units) -> Segments:
     """The segments of all texts; positions count in the chunk."""
-    grams = tx.gram_hashes(codes, units.k)
+    grams = units.grams(codes, units.k)
     least = tx.sliding_min_positions(grams, units.length - units.k + 1)
     counts = np.maximum(np.diff(bounds) - units.length + 1, 0)
     start = tx.ranges(bounds[:-1], counts)
@@ -183,21 +210,21 @@ def _find_shared(n: int):
 
 
 def _tags(doc: np.ndarray, texts: pa.ChunkedArray) -> np.ndarray:
-    """Tells rows of one doc_id with different texts apart: the rank of the text among them, mostly 0."""
-    tags = np.zeros(len(doc), np.uint8)
+    """Tells rows of one doc_id with different texts apart: the rank of the text's digest among theirs, mostly 0."""
+    tags = np.zeros(len(doc), np.uint32)
     order = np.argsort(doc, kind="stable")
     first = tx.run_starts(doc[order])
     sizes = np.diff(np.append(first, len(doc)))
     for begin, size in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
         rows = order[begin : begin + size]
-        marks = [zlib.crc32((texts[int(i)].as_py() or "").encode()) for i in rows]
+        marks = [hashlib.sha256((texts[int(i)].as_py() or "").encode()).digest() for i in rows]
         rank = {m: j for j, m in enumerate(sorted(set(marks)))}
-        tags[rows] = [min(rank[m], 255) for m in marks]
+        tags[rows] = [rank[m] for m in marks]
     return tags
 
 
 #: A covered span: units [start, end) of a document also stand in document ref, from unit ref_start on.
-SPANS = {"doc": np.int64, "tag": np.uint8, "start": np.int32, "end": np.int32, "ref": np.int64, "ref_start": np.int32}
+SPANS = {"doc": np.int64, "tag": np.uint32, "start": np.int32, "end": np.int32, "ref": np.int64, "ref_start": np.int32}
 
 
 def _span_rows(n: int, kind: int, spans: dict[str, np.ndarray]):
@@ -206,39 +233,34 @@ def _span_rows(n: int, kind: int, spans: dict[str, np.ndarray]):
     return tx.pack(tx.doc_bucket(columns["doc"], n), n, kind, columns)
 
 
-def collapse(key, content, doc, low):
-    """Of equal segments: those of the smallest document stay; spans for the others.
+def collapse(label, doc, low):
+    """Of segments with equal labels: those of the smallest document stay; spans for the others.
 
     Returns the order, the class of each entry in it, whether it stays, and the
     position of the entry that stands for its class.
     """
-    order = np.lexsort((low, doc, content, key))
-    key, content, doc = key[order], content[order], doc[order]
-    first = tx.run_starts(key, content)
-    label = np.zeros(len(order), np.int64)
-    label[first] = 1
-    label = np.cumsum(label) - 1
-    return order, label, doc == doc[first][label] if len(first) else np.zeros(0, bool), first
+    order = np.lexsort((low, doc, label))
+    label, doc = label[order], doc[order]
+    first = tx.run_starts(label)
+    number = np.zeros(len(order), np.int64)
+    number[first] = 1
+    number = np.cumsum(number) - 1
+    return order, number, doc == doc[first][number] if len(first) else np.zeros(0, bool), first
 
 
-SEGMENT = {"doc": np.int64, "tag": np.uint8, "start": np.int32, "size": np.uint8}
+SEGMENT = {"doc": np.int64, "tag": np.uint32, "start": np.int32, "size": np.uint8}
 
 
-def _split_windows(have, begins, body, length: int, resolve):
+def _split_windows(have, begins, body, length: int, matcher: Matcher):
     """Segments as single windows keyed by their content: (windows, begins of their bodies, spans of those a smaller document of this task holds)."""
-    one, two = resolve.body_size(np.array([1, 2])).tolist()
+    one, two = matcher.body_size(np.array([1, 2])).tolist()
     windows = have["size"].astype(np.int64)
     number = np.repeat(np.arange(len(windows)), windows)
     offset = tx.ranges(np.zeros(len(windows), np.int64), windows)
     begins = begins[number] + offset * (two - one)
-    content = [np.zeros(0, U64)]
-    for at in range(0, len(begins), 1 << 14):  # hashing needs several words for each byte
-        b = begins[at : at + (1 << 14)]
-        width = np.full(len(b), one)
-        content.append(resolve.content(body[tx.ranges(b, width)], np.arange(len(b)) * one, np.ones(len(b), np.int64)))
-    content = np.concatenate(content)
-    out = {"key": tx.mix(content), "content": content, "doc": have["doc"][number], "tag": have["tag"][number], "start": (have["start"][number] + offset).astype(np.int32), "size": np.ones(len(number), np.uint8)}
-    order, label, stays, first = collapse(out["key"], content, out["doc"], out["start"])
+    key = tx.mix(matcher.windows(body, begins))
+    out = {"key": key, "doc": have["doc"][number], "tag": have["tag"][number], "start": (have["start"][number] + offset).astype(np.int32), "size": np.ones(len(number), np.uint8)}
+    order, label, stays, first = collapse(matcher.classes(key, body, begins, out["size"].astype(np.int64)), out["doc"], out["start"])
     out, begins = {c: v[order] for c, v in out.items()}, begins[order]
     lead = first[label]
     doc, tag, start, ref, ref_start = (v[~stays] for v in (out["doc"], out["tag"], out["start"], out["doc"][lead], out["start"][lead]))
@@ -250,11 +272,8 @@ def _split_windows(have, begins, body, length: int, resolve):
     return {c: v[stays] for c, v in out.items()}, begins[stays], spans
 
 
-def _segment_rows(units: Units, n: int, payload, resolve):
-    """Documents and their shared anchors -> packed segments (kind 0) and spans known already (kind 1).
-
-    payload(data, codes, low, high) -> (per-segment byte sizes, all bytes).
-    """
+def _segment_rows(units: Units, n: int, matcher: Matcher, text: str):
+    """Documents and their shared anchors -> packed segments (kind 0) and spans known already (kind 1)."""
     names = [*dict.fromkeys(["key", *SEGMENT, *SPANS])]
 
     def full(batch):
@@ -268,25 +287,25 @@ def _segment_rows(units: Units, n: int, payload, resolve):
             hot_keys = np.unique(tx.unpack(tx.filtered(shared, 2), "key", np.uint32))
             shared = tx.filtered(shared, 1)
             wanted = np.unique(_told(tx.unpack(shared, "doc", np.int64), tx.unpack(shared, "key", np.uint32)))
-            doc = tx.ids(docs.column("doc_id"))
-            tags = _tags(doc, docs.column("text"))
+            doc = tx.ids(docs.column(ID))
+            tags = _tags(doc, docs.column(text))
             parts: list[dict[str, np.ndarray]] = []
             bodies, sizes = [], []
-            for row, data, offsets in tx.chunks(docs.column("text"), tx.CHUNK_BYTES // 2):
+            for row, data, offsets in tx.chunks(docs.column(text), tx.CHUNK_BYTES // 2):
                 codes, bounds = units.of(data, offsets)
                 s = segments(codes, bounds, units)
                 own = doc[row + s.text]
-                at = np.flatnonzero(np.isin(_told(own, s.key), wanted) & (own != tx.NO_ID))
-                low, high, text = s.low[at], s.high[at], s.text[at]
-                content = tx.span_hashes(codes, low, high + units.length)
-                size, body = payload(data, codes, low, high)
-                parts.append({"key": s.key[at], "content": content, "doc": own[at], "tag": tags[row + text], "start": (low - bounds[text]).astype(np.int32), "size": (high - low + 1).astype(np.uint8)})
+                at = np.flatnonzero(np.isin(_told(own, s.key), wanted))
+                low, high, of = s.low[at], s.high[at], s.text[at]
+                size, body = matcher.payload(data, codes, low, high)
+                parts.append({"key": s.key[at], "doc": own[at], "tag": tags[row + of], "start": (low - bounds[of]).astype(np.int32), "size": (high - low + 1).astype(np.uint8)})
                 sizes.append(size)
                 bodies.append(body)
             have = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
             sizes, body = np.concatenate(sizes), np.concatenate(bodies)
             begins = np.cumsum(sizes) - sizes
-            order, label, stays, first = collapse(have["key"], have["content"], have["doc"], have["start"])
+            label = matcher.classes(have["key"], body, begins, have["size"].astype(np.int64))
+            order, label, stays, first = collapse(label, have["doc"], have["start"])
             have = {c: v[order] for c, v in have.items()}
             sizes, begins = sizes[order], begins[order]
             gone, lead = ~stays, first[label] if len(first) else label
@@ -295,11 +314,11 @@ def _segment_rows(units: Units, n: int, payload, resolve):
             sizes, begins = sizes[stays], begins[stays]
             hot = np.isin(have["key"].astype(np.uint32), hot_keys)
             if hot.any():
-                split, at, spans = _split_windows({c: v[hot] for c, v in have.items()}, begins[hot], body, units.length, resolve)
+                split, at, spans = _split_windows({c: v[hot] for c, v in have.items()}, begins[hot], body, units.length, matcher)
                 out.append(full(_span_rows(n, 1, spans)))
                 have = {c: np.concatenate([v[~hot], split[c]]) for c, v in have.items()}
                 begins = np.concatenate([begins[~hot], at])
-                sizes = resolve.body_size(have["size"].astype(np.int64))
+                sizes = matcher.body_size(have["size"].astype(np.int64))
             by_doc = np.lexsort((have["start"], have["doc"]))  # ids in order compress
             have = {c: v[by_doc] for c, v in have.items()}
             sizes, begins = sizes[by_doc], begins[by_doc]
@@ -326,32 +345,20 @@ def _slices(classes: np.ndarray, key: np.ndarray, windows: np.ndarray, limit: in
         at = to
 
 
-def _window_spans(have, sizes, body, begins, classes, members, member_class, units: Units, resolve) -> dict[str, np.ndarray]:
-    """Spans of the windows of `classes` that a smaller document holds too."""
-    (number, offset), group = resolve(body, begins[classes], sizes[classes])
-    doc = have["doc"][classes][number]
-    order = np.lexsort((offset, doc, group))
-    number, offset, group, doc = number[order], offset[order], group[order], doc[order]
-    head = tx.run_starts(group)
-    head = np.repeat(head, np.diff(np.append(head, len(group))))
-    hit = np.flatnonzero(doc > doc[head])
-    ref, ref_start = doc[head][hit], have["start"][classes][number[head]][hit] + offset[head][hit]
-    number, offset = number[hit], offset[hit]
-    order = np.lexsort((offset, number))
-    number, offset, ref, ref_start = number[order], offset[order], ref[order], ref_start[order]
-    begin = tx.run_starts(number, ref, offset - np.arange(len(offset)), ref_start - offset)
-    count = np.diff(np.append(begin, len(number)))
-    number, offset, ref, ref_start = number[begin], offset[begin], ref[begin], ref_start[begin]
+def _class_spans(have, sizes, body, begins, classes, members, member_class, units: Units, matcher: Matcher) -> dict[str, np.ndarray]:
+    """Spans that the matcher finds between `classes`, for all members of each."""
+    found = matcher.spans(have["doc"][classes], have["start"][classes], body, begins[classes], sizes[classes])
+    number, other = found["number"], classes[found["ref"]]
     bounds = np.searchsorted(member_class, np.arange(len(classes) + 1))
     times = np.diff(bounds)[number]
     pick = members[tx.ranges(bounds[:-1][number], times)]
     at = np.repeat(np.arange(len(number)), times)
-    start = have["start"][pick] + offset[at]
-    return {"doc": have["doc"][pick], "tag": have["tag"][pick], "start": start, "end": start + count[at] + units.length - 1, "ref": ref[at], "ref_start": ref_start[at]}
+    start = have["start"][pick] + found["offset"][at]
+    return {"doc": have["doc"][pick], "tag": have["tag"][pick], "start": start, "end": start + found["count"][at] + units.length - 1, "ref": have["doc"][other][at], "ref_start": (have["start"][other] + found["ref_offset"])[at]}
 
 
-def _compare(n: int, units: Units, resolve):
-    """A bucket of segments -> spans.  resolve(segments, bodies) -> spans of what is not equal as a whole."""
+def _compare(n: int, units: Units, matcher: Matcher):
+    """A bucket of segments -> spans."""
 
     def run(table: pa.Table) -> pa.Table:
         out = [tx.pack(np.zeros(0, np.int32), n, 0, {c: np.zeros(0, t) for c, t in SPANS.items()})]
@@ -363,62 +370,70 @@ def _compare(n: int, units: Units, resolve):
             have = {c: tx.unpack(rows, c, t) for c, t in SEGMENT.items()}
             body = np.frombuffer(b"".join(zlib.decompress(x.as_py()) for x in rows.column("body")), np.uint8)
             sizes = have["size"].astype(np.int64)
-            body_sizes = resolve.body_size(sizes)
+            body_sizes = matcher.body_size(sizes)
             begins = np.cumsum(body_sizes) - body_sizes
             have["key"] = _from_bytes(b"".join(x.as_py() for x in rows.column("key")))
-            content = [np.zeros(0, U64)]
-            for at in range(0, len(begins), 8192):  # hashing needs several words for each byte
-                b = slice(at, at + 8192)
-                content.append(resolve.content(body[begins[at] : begins[b][-1] + body_sizes[b][-1]], begins[b] - begins[at], sizes[b]))
-            have["content"] = np.concatenate(content)
-            order, label, stays, first = collapse(have["key"], have["content"], have["doc"], have["start"])
+            order, label, stays, first = collapse(matcher.classes(have["key"], body, begins, sizes), have["doc"], have["start"])
             have = {c: v[order] for c, v in have.items()}
             begins, sizes = begins[order], sizes[order]
             lead = first[label]
             gone = np.flatnonzero(~stays)
             spans = [{"doc": have["doc"][gone], "tag": have["tag"][gone], "start": have["start"][gone], "end": have["start"][gone] + sizes[gone] + units.length - 1, "ref": have["doc"][lead][gone], "ref_start": have["start"][lead][gone]}]
-            # A key with several different segments: their windows are compared.
-            key_first = tx.run_starts(have["key"][first])
+            # A key with several different segments: these are compared.
+            by_key = first[np.argsort(have["key"][first], kind="stable")]
+            key_first = tx.run_starts(have["key"][by_key])
             kinds = np.diff(np.append(key_first, len(first)))
             several = np.repeat(kinds > 1, kinds)
             class_of = np.full(len(have["key"]), -1)
-            for classes in _slices(first[several], have["key"], sizes):
+            for classes in _slices(by_key[several], have["key"], sizes):
                 class_of[:] = -1
                 class_of[classes] = np.arange(len(classes))
                 members = np.flatnonzero(stays & (class_of[lead] >= 0))  # all entries of a class in its smallest document
-                spans.append(_window_spans(have, sizes, body, begins, classes, members, class_of[lead[members]], units, resolve))
+                members = members[np.argsort(class_of[lead[members]], kind="stable")]
+                spans.append(_class_spans(have, sizes, body, begins, classes, members, class_of[lead[members]], units, matcher))
             out.append(_span_rows(n, 1, {c: np.concatenate([s[c] for s in spans]) for c in SPANS}))
         return pa.Table.from_batches(out)
 
     return run
 
 
-def shared_spans(documents: DataFrame, units: Units, payload, resolve, finish, schema: str, id_col: str, text_col: str) -> DataFrame:
-    """finish(docs of a bucket, list of per-row span arrays) for every document, spans found in smaller ids."""
-    n = tx.shuffle_partitions(documents.sparkSession) * tx.BUCKETS_PER_TASK
-    rows = documents.withColumn("doc_id", F.col(f"`{id_col}`").cast("long")).withColumn("text", F.col(f"`{text_col}`").cast("string"))
-    narrow = rows.select("doc_id", "text")
-    anchors = narrow.mapInArrow(_anchor_rows(units, n), tx.packed_schema(ANCHORS))
+ID, BUCKET = "__emberlog_id", "__emberlog_bucket"
+
+
+def shared_spans(documents: DataFrame, units: Units, matcher: Matcher, finish, schema, id_col: str, text_col: str) -> DataFrame:
+    """finish(documents, spans_of) for every document; spans_of(row) are the spans of a row found in smaller ids.
+
+    The tables that finish gets have the columns of `documents`; text_col is a string column.
+    """
+    n = tx.buckets(documents)
+    rows = documents.withColumn(ID, F.col(f"`{id_col}`").cast("long"))
+    known = rows.filter(F.col(ID).isNotNull())
+    anchors = known.select(ID, f"`{text_col}`").mapInArrow(_anchor_rows(units, n), tx.packed_schema(ANCHORS))
     shared = anchors.groupBy("bucket").applyInArrow(_find_shared(n), tx.packed_schema(ANCHORS))
-    dealt = rows.withColumn("__bucket", tx.doc_bucket_column(F.col("doc_id"), n))
-    cut, cut_schema = _segment_rows(units, n, payload, resolve)
-    found = dealt.groupBy("__bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut, cut_schema)
-    spans = found.groupBy("bucket").applyInArrow(_compare(n, units, resolve), tx.packed_schema(SPANS))
+    dealt = known.withColumn(BUCKET, tx.doc_bucket_column(F.col(ID), n))
+    cut, cut_schema = _segment_rows(units, n, matcher, text_col)
+    found = dealt.select(ID, BUCKET, f"`{text_col}`").groupBy(BUCKET).cogroup(shared.groupBy("bucket")).applyInArrow(cut, cut_schema)
+    spans = found.groupBy("bucket").applyInArrow(_compare(n, units, matcher), tx.packed_schema(SPANS))
 
     def final(docs: pa.Table, spans: pa.Table) -> pa.Table:
         have = {c: tx.unpack(spans, c, t) for c, t in SPANS.items()}
         order = np.lexsort((have["start"], have["doc"]))
         have = {c: v[order] for c, v in have.items()}
-        doc = tx.ids(docs.column("doc_id"))
+        doc = tx.ids(docs.column(ID))
         low, high = np.searchsorted(have["doc"], doc), np.searchsorted(have["doc"], doc, "right")
-
-        tags = _tags(doc, docs.column("text"))
+        tags = _tags(doc, docs.column(text_col))
 
         def spans_of(row: int) -> dict[str, np.ndarray]:
             part = {c: v[low[row] : high[row]] for c, v in have.items()}
             keep = part["tag"] == tags[row]
             return part if keep.all() else {c: v[keep] for c, v in part.items()}
 
-        return finish(docs.drop_columns(["__bucket"]), spans_of)
+        return finish(docs.drop_columns([ID, BUCKET]), spans_of)
+
+    def alone(batches):
+        nothing = {c: np.zeros(0, t) for c, t in SPANS.items()}
+        for batch in batches:
+            yield from finish(pa.Table.from_batches([batch]), lambda row: nothing).to_batches()
 
-    return dealt.groupBy("__bucket").cogroup(spans.groupBy("bucket")).applyInArrow(final, schema)
+    unknown = documents.filter(F.col(f"`{id_col}`").cast("long").isNull()).mapInArrow(alone, schema)
+    return dealt.groupBy(BUCKET).cogroup(spans.groupBy("bucket")).applyInArrow(final, schema).unionByName(unknown)

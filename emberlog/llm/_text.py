@@ -31,37 +31,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * _M)
-_powers: dict[str, np.ndarray] = {}
+#: Pseudo-random value of each (place << 8 | byte); places beyond the table are computed.
+_PLACES = 64
+_TABLE = mix(np.arange(1, (_PLACES << 8) + 1, dtype=U64) * _M)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """m**i and m**-i modulo 2**64 for i < n (m odd), grown on demand."""
-    if len(_powers.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        inverse = pow(int(_M), -1, 1 << 64)
-        for name, base in (("up", int(_M)), ("down", inverse)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a pair of hashes; the order counts, and no arithmetic structure of the parts survives."""
+    x = a * _A
+    x += b * _B
+    x ^= x >> U64(32)
+    x *= _M
+    x ^= x >> U64(29)
+    return x
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of codes[start:end], equal for equal contents wherever they stand."""
-    up, down = powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * up[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes data[start:end] of spans in order that do not overlap.
+
+    A span hashes to the sum of pseudo-random values of its (place, byte) pairs.  Unlike a
+    polynomial modulo 2**64 that has no texts that collide by their structure.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    begin, stop = int(starts[0]), int(ends[-1])
+    small = np.int32 if stop - begin < 1 << 22 else np.int64
+    code = np.arange(0, (stop - begin) << 8, 256, dtype=small)
+    code -= np.repeat(((starts - begin) << 8).astype(small), np.diff(np.append(starts, stop)))
+    code += data[begin:stop]
+    far = np.flatnonzero(code >= _PLACES << 8) if (ends - starts).max() + (starts[1:] - ends[:-1]).max(initial=0) > _PLACES else ()
+    values = _TABLE.take(code, mode="clip")
+    if len(far):
+        values[far] = mix((code[far] + 1).astype(U64) * _M)
+    sums = np.zeros(stop - begin + 1, U64)
+    np.cumsum(values, out=sums[1:])
+    return mix(sums[ends - begin] - sums[starts - begin] + (ends - starts).astype(U64) * _B)
 
 
 def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-grams of codes (one per start)."""
+    """Hashes of all k-grams of 64-bit codes (one per start), by doubling."""
     n = len(codes) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    at = np.arange(n)
-    return span_hashes(codes, at, at + k)
+    out, done, power, size = None, 0, codes, 1
+    while True:
+        if k & size:
+            out = power[:n] if out is None else join(out, power[done : done + n])
+            done += size
+        if done == k:
+            return out
+        power = join(power[:-size], power[size:])
+        size *= 2
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes that begin there, as a little-endian number (a view; none for the last seven)."""
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def byte_gram_hashes(data: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the k-grams of bytes (k is 8 or more) at all starts, or at those of `at`."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    view = eights(data)
+    take = (lambda o: view[o : o + n]) if at is None else (lambda o: view[at + o])
+    places = [*range(0, k - 7, 8)]
+    if places[-1] != k - 8:
+        places.append(k - 8)
+    out = np.array(take(0))
+    for o in places[1:]:
+        out = join(out, take(o))
+    return out
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -130,16 +171,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    return span_hashes(_BYTE[_LOWER[data] if lower else data], starts, ends)
-
-
-def lowered(data: np.ndarray) -> np.ndarray:
-    """ASCII letters in lower case; other bytes as they are."""
-    return _LOWER[data]
-
-
-def byte_codes(data: np.ndarray) -> np.ndarray:
-    return _BYTE[data]
+    return span_hashes(_LOWER[data] if lower else data, starts, ends)
 
 
 def sliding_min_positions(values: np.ndarray, width: int) -> np.ndarray:
@@ -205,26 +237,45 @@ def shuffle_partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-BUCKETS_PER_TASK = 2
+BUCKETS_PER_TASK, BUCKET_BYTES = 2, 64 << 20
+
+
+def buckets(df) -> int:
+    """Buckets for the rows of df: two a shuffle task, and more where the planner's size of df asks for it, so that a bucket's size is bounded."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 53  # a size that is not known is the largest long, or what projections make of it
+    return max(shuffle_partitions(df.sparkSession) * BUCKETS_PER_TASK, min(size // BUCKET_BYTES, 1 << 20) if known else 0)
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; sets a local one only where none is set (as in tests)."""
+    """A new folder under spark.checkpoint.dir; a local one only where none is set and Spark runs in this process."""
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() or None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         root = "file://" + tempfile.mkdtemp(prefix="emberlog-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df, name: str):
-    """df, cut from its lineage by a table in the shared folder."""
+    """df, cut from its lineage by a table in the shared folder (see discard)."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Deletes tables that `written` made, once nothing that is still to run reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def doc_bucket(values: np.ndarray, n: int) -> np.ndarray:

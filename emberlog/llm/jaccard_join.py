@@ -45,14 +45,17 @@ KEY_BYTES = 5
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text in order, and the bounds of each text."""
-    low = tx.lowered(data)
     starts, ends, first = tx.word_spans(data, offsets)
-    words = tx.word_hashes(low, starts, ends)
+    words = tx.word_hashes(data, starts, ends, lower=True)
     n_words = np.diff(first)
     counts = np.where(n_words >= WORDS, n_words - WORDS + 1, np.minimum(n_words, 1))
     at = tx.ranges(first[:-1], counts)
     text = np.repeat(np.arange(len(counts)), counts)
-    hashes = tx.span_hashes(words, at, at + np.minimum(WORDS, n_words)[text])
+    hashes = np.empty(len(at), U64)
+    whole = n_words[text] >= WORDS
+    hashes[whole] = tx.mix(tx.gram_hashes(words, WORDS)[at[whole]])
+    for i in np.flatnonzero(~whole).tolist():  # texts of fewer words
+        hashes[i] = tx.mix(tx.join(tx.gram_hashes(words[at[i] : at[i] + n_words[text[i]]], int(n_words[text[i]])), n_words[text[i : i + 1]].astype(U64)))[0]
     order = np.lexsort((hashes, text))
     hashes, text = hashes[order], text[order]
     keep = tx.run_starts(hashes, text)

@@ -3,9 +3,10 @@
 ``repetition_quality(documents)`` adds no shuffle: every text is judged alone, in
 Arrow batches, with rolling hashes of several n-gram lengths in numpy.
 
-Defined results: null and empty texts have no words and fail; a null doc_id is
-kept as null; repeated rows are judged one by one; extra columns are ignored by
-``repetition_quality`` and kept by ``keep_quality``.
+Defined results: null and empty texts have no words and fail; a text is judged whole,
+whatever its length; a null doc_id is kept as null; repeated rows are judged one by
+one; an empty table gives no rows; extra columns are ignored by ``repetition_quality``
+and kept by ``keep_quality``.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     keep = words_after > words_before
     line_starts, line_ends, words_before, words_after = line_starts[keep], line_ends[keep], words_before[keep], words_after[keep]
     text_of_line = np.searchsorted(offsets, line_starts, "right") - 1
-    line_hash = tx.span_hashes(tx.byte_codes(data), line_starts, line_ends) ^ salt[text_of_line]
+    line_hash = tx.span_hashes(data, line_starts, line_ends) ^ salt[text_of_line]
     order = np.argsort(line_hash, kind="stable")
     again = np.zeros(len(order), bool)
     again[order[1:]] = line_hash[order[1:]] == line_hash[order[:-1]]

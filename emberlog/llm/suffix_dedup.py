@@ -1,14 +1,17 @@
 """Suffix-array dedup: removes byte strings that a document with a smaller id also holds.
 
-Candidate segments (see ``_shared``) meet by their anchor.  Their suffixes of at
-least `length` bytes are ordered by deep-shallow sorting: multikey quicksort on
-8-byte digits down to a shallow depth, then a blind trie for each group that still
-shares that prefix.  Neighbours that agree on `length` bytes form a group, and all
-of its members but those of the smallest doc_id are removed.
-
-Defined results: null text is empty; texts shorter than `length` stay whole; rows
-without doc_id take no part and stay whole; repeated rows (equal doc_id) do not
-remove each other; extra columns pass through ``remove_substrings``.
+Candidate segments (see ``_shared``) meet by their anchor.  They are ordered by
+deep-shallow sorting: multikey quicksort on 8-byte digits down to a shallow depth,
+then blind tries for the groups that still share that prefix.  Whole segments are
+sorted first (equal ones form a class), then the suffixes of at least `length` bytes
+of the classes that differ; suffixes that agree on `length` bytes form a group, and
+all of its members but those of the smallest doc_id are removed.  The bytes decide
+what is equal; hashes only bring segments together.
+
+Defined results: null text is empty; texts shorter than `length` stay whole, long
+texts are taken whole; rows without doc_id take no part and stay whole; repeated rows
+(equal doc_id) do not remove each other; an empty table gives no rows; extra columns
+pass through ``remove_substrings``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,43 +21,46 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from emberlog.llm import _shared as sh
 from emberlog.llm import _text as tx
 
 LENGTH, GRAM, SHALLOW, DIGIT = 50, 20, 24, 8
+U64 = tx.U64
 
 
-def multikey_quicksort(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order suffixes (grouped by `group`, ascending) by their first `depth` bytes.
+def padded(data: np.ndarray) -> np.ndarray:
+    """Bytes that digits can be read from at every place."""
+    return np.concatenate([data, np.zeros(DIGIT, np.uint8)])
+
+
+def multikey_quicksort(data: np.ndarray, at: np.ndarray, part: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order suffixes (in parts: ascending numbers) by their first `depth` bytes; each has `depth` bytes or more.
 
     Ternary partition on 8-byte digits; all parts of one round are split together.
     Returns the order, and the number of the part (equal prefixes) of each place.
     """
-    padded = np.concatenate([data, np.zeros(depth + DIGIT, np.uint8)])
+    digits = tx.eights(padded(data))
     n = len(at)
     order = np.arange(n)
-    part = group.copy()
     level = np.zeros(n, np.int16)  # bytes that the members of a part share
-    live = np.ones(n, bool)
-    shifts = np.arange(DIGIT)
     while True:
         first = tx.run_starts(part)
         sizes = np.diff(np.append(first, n))
-        live = np.repeat(sizes > 1, sizes) & (level < depth)
-        where = np.flatnonzero(live)
+        where = np.flatnonzero(np.repeat(sizes > 1, sizes) & (level < depth))
         if not len(where):
             return order, np.repeat(np.arange(len(first)), sizes)
-        rows = padded[(at[order[where]] + level[where])[:, None] + shifts]
-        digit = rows.view(">u8").ravel().astype(np.uint64)
+        digit = digits[at[order[where]] + level[where]].byteswap()
         begin = tx.run_starts(part[where])
         length = np.diff(np.append(begin, len(where)))
         a, b, c = digit[begin], digit[begin + length // 2], digit[begin + length - 1]
         pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), length)
         side = (digit >= pivot).astype(np.int64) + (digit > pivot)
-        label = np.repeat(np.arange(len(begin)), length) * 3 + side
-        moved = np.argsort(label, kind="stable")
-        order[where], label = order[where[moved]], label[moved]
+        label = np.repeat(np.arange(len(begin)) * 3, length) + side
+        if (label[1:] < label[:-1]).any():
+            moved = np.argsort(label, kind="stable")
+            order[where], label = order[where[moved]], label[moved]
         level[where] += np.where(label % 3 == 1, DIGIT, 0).astype(np.int16)
         fresh = np.zeros(n, bool)
         fresh[first] = True
@@ -62,113 +68,107 @@ def multikey_quicksort(data: np.ndarray, at: np.ndarray, group: np.ndarray, dept
         part = np.cumsum(fresh)
 
 
-class BlindTrie:
-    """Orders strings of one length; inner nodes keep a position and branches only."""
-
-    def __init__(self, strings: list[bytes]):
-        self.strings, self.values = strings, [int.from_bytes(s, "big") for s in strings]
-        self.width = len(strings[0])
-        self.same: dict[int, list[int]] = {0: [0]}
-        self.root: int | tuple = 0  # a leaf is a number, a node (position, {byte: child})
-        for i in range(1, len(strings)):
-            self._insert(i)
-
-    def _insert(self, i: int) -> None:
-        text, node = self.strings[i], self.root
-        while type(node) is tuple:  # blind descent: only branching positions are looked at
-            children = node[1]
-            node = children.get(text[node[0]])
-            if node is None:
-                node = next(iter(children.values()))
-        differ = self.values[i] ^ self.values[node]
-        if not differ:
-            self.same[node].append(i)
-            return
-        common = self.width - (differ.bit_length() + 7) // 8
-        other = self.strings[node][common]
-        self.same[i] = [i]
-        parent, step, node = None, 0, self.root
-        while type(node) is tuple and node[0] < common:
-            parent, step = node, text[node[0]]
-            node = node[1][step]
-        if type(node) is tuple and node[0] == common:
-            node[1][text[common]] = i
-            return
-        inner = (common, {other: node, text[common]: i})
-        if parent is None:
-            self.root = inner
-        else:
-            parent[1][step] = inner
-
-    def ordered(self) -> list[list[int]]:
-        """Groups of equal strings, in order."""
-        out, stack = [], [self.root]
-        while stack:
-            node = stack.pop()
-            if type(node) is tuple:
-                stack.extend(node[1][b] for b in sorted(node[1], reverse=True))
-            else:
-                out.append(self.same[node])
-        return out
-
-
-def deep_sort(data: np.ndarray, at: np.ndarray, order: np.ndarray, part: np.ndarray, depth: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order the parts left by the shallow sort by bytes depth..length; numbers of equal strings."""
-    first = tx.run_starts(part)
-    sizes = np.diff(np.append(first, len(part)))
-    fresh = np.zeros(len(part), bool)
-    fresh[first] = True
-    pairs = first[sizes == 2]
-    shift = np.arange(depth, length)
-    step = 1 << 19
-    for lo in range(0, len(pairs), step):  # a trie of two leaves has one node: their first difference
-        p = pairs[lo : lo + step]
-        x, y = data[at[order[p]][:, None] + shift], data[at[order[p + 1]][:, None] + shift]
-        differ = x != y
-        some = differ.any(axis=1)
-        fresh[p + 1] = some
-        k, row = differ.argmax(axis=1), np.arange(len(p))
-        swap = p[some & (x[row, k] > y[row, k])]
-        order[swap], order[swap + 1] = order[swap + 1], order[swap]
-    whole = data.tobytes()
-    for begin, size in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        members = order[begin : begin + size]
-        trie = BlindTrie([whole[p + depth : p + length] for p in at[members].tolist()])
-        groups = trie.ordered()
-        order[begin : begin + size] = members[[i for g in groups for i in g]]
-        edge = begin + np.cumsum([0, *map(len, groups[:-1])])
-        fresh[edge] = True
-    return order, np.cumsum(fresh)
-
-
-class _Resolve:
-    def body_size(self, windows: np.ndarray) -> np.ndarray:
-        return windows + LENGTH - 1
-
-    def content(self, body, begins, windows):
-        return tx.span_hashes(tx.byte_codes(body), begins, begins + windows + LENGTH - 1)
+def blind_tries(data: np.ndarray, at: np.ndarray, order: np.ndarray, part: np.ndarray, depth: int, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order the parts left by the shallow sort by bytes depth..length (one length in a part); numbers of equal strings.
 
-    def __call__(self, body, begins, windows):
-        """Windows of the classes in suffix order, and the number of each group of equal ones."""
-        at = tx.ranges(begins, windows)
-        number = np.repeat(np.arange(len(begins)), windows)
-        offset = tx.ranges(np.zeros(len(begins), np.int64), windows)
-        order, part = multikey_quicksort(body, at, np.zeros(len(at), np.int64), SHALLOW)
-        order, group = deep_sort(body, at, order, part, SHALLOW, LENGTH)
-        return (number[order], offset[order]), group
+    A blind trie keeps of each inner node the position where its strings branch and
+    the bytes there, nothing of what they share.  The tries of all parts grow together,
+    one level a round, in arrays: a node's position is the least one at which a string
+    differs from the first of its node, its children are the strings with one byte there,
+    and a node whose strings do not differ is a leaf.
+    """
+    data = padded(data)
+    digits = tx.eights(data)
+    n = len(part)
+    order, node = order.copy(), part
+    level = np.full(n, depth)
+    grown = np.zeros(n, bool)
+    while True:
+        first = tx.run_starts(node)
+        sizes = np.diff(np.append(first, n))
+        where = np.flatnonzero(np.repeat(sizes > 1, sizes) & ~grown)
+        if not len(where):
+            return order, np.repeat(np.arange(len(first)), sizes)
+        begin = tx.run_starts(node[where])
+        count = np.diff(np.append(begin, len(where)))
+        own, lead, end = at[order[where]], np.repeat(at[order[where[begin]]], count), length[order[where]]
+        branch = level[where]
+        todo = np.arange(len(where))
+        while len(todo):  # where each string first differs from the first one of its node
+            differ = digits[own[todo] + branch[todo]] ^ digits[lead[todo] + branch[todo]]
+            same = differ == 0
+            step = np.bitwise_count((differ & (~differ + U64(1))) - U64(1)).astype(np.int64) >> 3
+            branch[todo] += np.where(same, DIGIT, step)
+            todo = todo[same]
+            todo = todo[branch[todo] < end[todo]]
+        branch = np.minimum(branch, end)
+        position = np.repeat(np.minimum.reduceat(branch, begin), count)
+        leaf = position == end
+        grown[where[leaf]] = True
+        inner = np.flatnonzero(~leaf)
+        child = (np.repeat(np.arange(len(begin)), count)[inner] << 8) | data[own[inner] + position[inner]]
+        moved = np.argsort(child, kind="stable")
+        places = where[inner]
+        order[places] = order[places[moved]]
+        level[places] = position[inner] + 1
+        fresh = np.zeros(n, bool)
+        fresh[first] = True
+        fresh[places[tx.run_starts(child[moved])]] = True
+        node = np.cumsum(fresh)
 
 
-def _payload(data, codes, low, high):
-    sizes = high - low + LENGTH
-    return sizes, data[tx.ranges(low, sizes)]
+def deep_shallow_sort(data: np.ndarray, at: np.ndarray, part: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order the strings data[at:at+length] of each part (one length in a part); the order, and numbers of equal strings."""
+    order, part = multikey_quicksort(data, at, part, SHALLOW)
+    return blind_tries(data, at, order, part, SHALLOW, length)
 
 
-UNITS = sh.Units(sh.byte_units, LENGTH, GRAM)
+class _Matcher:
+    def payload(self, data, codes, low, high):
+        sizes = high - low + LENGTH
+        return sizes, data[tx.ranges(low, sizes)]
 
+    def body_size(self, windows: np.ndarray) -> np.ndarray:
+        return windows + LENGTH - 1
 
-def _rows(docs: pa.Table, spans_of):
-    """(row, bytes, keep mask) of every text; mask None if nothing goes."""
-    for row, data, offsets in tx.chunks(docs.column("text")):
+    def windows(self, body, at):
+        return tx.byte_gram_hashes(body, LENGTH, at)
+
+    def classes(self, key, body, begins, windows):
+        """Whole segments in order; those of one key and one length are compared."""
+        group = np.lexsort((windows, key))
+        fresh = np.zeros(len(group), np.int64)
+        fresh[tx.run_starts(key[group], windows[group])] = 1
+        order, number = deep_shallow_sort(body, begins[group], np.cumsum(fresh), windows[group] + LENGTH - 1)
+        label = np.empty(len(group), np.int64)
+        label[group[order]] = number
+        return label
+
+    def spans(self, doc, start, body, begins, windows):
+        """Runs of suffixes whose first LENGTH bytes a suffix of a smaller document has too."""
+        at = tx.ranges(begins, windows)
+        number = np.repeat(np.arange(len(begins)), windows)
+        offset = tx.ranges(np.zeros(len(begins), np.int64), windows)
+        order, group = deep_shallow_sort(body, at, np.zeros(len(at), np.int64), np.full(len(at), LENGTH))
+        number, offset = number[order], offset[order]
+        order = np.lexsort((offset, doc[number], group))
+        number, offset, group = number[order], offset[order], group[order]
+        head = tx.run_starts(group)
+        head = np.repeat(head, np.diff(np.append(head, len(group))))
+        hit = np.flatnonzero(doc[number] > doc[number[head]])
+        ref, ref_offset, number, offset = number[head[hit]], offset[head[hit]], number[hit], offset[hit]
+        order = np.lexsort((offset, number))
+        number, offset, ref, ref_offset = number[order], offset[order], ref[order], ref_offset[order]
+        begin = tx.run_starts(number, ref, offset - np.arange(len(offset)), ref_offset - offset)
+        return {"number": number[begin], "offset": offset[begin], "count": np.diff(np.append(begin, len(number))), "ref": ref[begin], "ref_offset": ref_offset[begin]}
+
+
+UNITS = sh.Units(sh.byte_units, tx.byte_gram_hashes, LENGTH, GRAM)
+
+
+def _rows(docs: pa.Table, text_col: str, spans_of):
+    """(bytes, keep mask) of every text; mask None if nothing goes."""
+    for row, data, offsets in tx.chunks(docs.column(text_col)):
         for i in range(len(offsets) - 1):
             spans, text = spans_of(row + i), data[offsets[i] : offsets[i + 1]]
             yield text, ~tx.union_mask(len(text), spans["start"], spans["end"]) if len(spans["start"]) else None
@@ -179,7 +179,7 @@ def substring_digests(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     def finish(docs: pa.Table, spans_of) -> pa.Table:
         out = []
-        for text, keep in _rows(docs, spans_of):
+        for text, keep in _rows(docs, "text", spans_of):
             if keep is None:
                 out.append((len(text), 0, 0, hashlib.sha256(text.tobytes()).hexdigest()))
             else:
@@ -188,8 +188,8 @@ def substring_digests(documents: DataFrame, id_col: str = "doc_id", text_col: st
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(columns[0], pa.int64()), "n_removed": pa.array(columns[1], pa.int64()), "n_spans": pa.array(columns[2], pa.int64()), "kept_sha256": pa.array(columns[3], pa.string())})
 
-    narrow = documents.select(id_col, text_col)
-    return sh.shared_spans(narrow, UNITS, _payload, _Resolve(), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col)
+    narrow = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return sh.shared_spans(narrow, UNITS, _Matcher(), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", "doc_id", "text")
 
 
 def remove_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,13 +197,10 @@ def remove_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     Cuts fall between bytes; what is left of a split character is dropped.
     """
-    names = documents.columns
+    at = documents.columns.index(text_col)
 
     def finish(docs: pa.Table, spans_of) -> pa.Table:
-        texts = [text.tobytes().decode() if keep is None else text[keep].tobytes().decode(errors="ignore") for text, keep in _rows(docs, spans_of)]
-        at = names.index(text_col)
-        columns = [docs.column(c) for c in names]
-        columns[at] = pa.array(texts, pa.string())
-        return pa.table(dict(zip(names, columns, strict=True)))
+        texts = [text.tobytes().decode() if keep is None else text[keep].tobytes().decode(errors="ignore") for text, keep in _rows(docs, text_col, spans_of)]
+        return docs.set_column(at, text_col, pa.array(texts, pa.string()))
 
-    return sh.shared_spans(documents, UNITS, _payload, _Resolve(), finish, documents.schema, id_col, text_col)
+    return sh.shared_spans(documents, UNITS, _Matcher(), finish, documents.schema, id_col, text_col)

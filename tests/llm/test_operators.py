@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,12 +144,39 @@ def test_hot_passage_in_different_surroundings(spark):
         assert any(gone.values())
 
 
-def test_blind_trie_orders_strings():
-    rng = random.Random(1)
-    strings = [bytes(rng.choice(b"ab") for _ in range(9)) for _ in range(300)]
-    groups = suffix_dedup.BlindTrie(strings).ordered()
-    assert [strings[i] for g in groups for i in g] == sorted(strings)
-    assert len(groups) == len(set(strings))
+def test_deep_shallow_sort_orders_strings():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    data[1000:2000] = data[:1000]
+    at, whole = np.arange(2900), data.tobytes()
+    order, group = suffix_dedup.deep_shallow_sort(data, at, np.zeros(2900, np.int64), np.full(2900, 50))
+    strings = [whole[i : i + 50] for i in order]
+    assert strings == sorted(strings) and len(set(strings)) == len(set(group.tolist())) < 2900
+    same = suffix_dedup.deep_shallow_sort(np.full(400, 97, np.uint8), np.arange(300), np.zeros(300, np.int64), np.full(300, 50))
+    assert len(set(same[1].tolist())) == 1
+
+
+def test_block_index_finds_longest_matches():
+    rng = random.Random(4)
+    segments = [[rng.choice("ab") for _ in range(rng.randint(1, 31))] for _ in range(40)]
+    docs = np.array([rng.randrange(12) for _ in segments])
+    windows = np.array([ord(x) for s in segments for x in s], np.uint64)
+    sizes = np.array([len(s) for s in segments])
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    size, source = relative_lz.BlockIndex(windows, sizes).longest(docs[number])
+    places = [(i, j) for i, s in enumerate(segments) for j in range(len(s))]
+    for p, (i, j) in enumerate(places):
+        best = 0
+        for k, m in places:
+            if docs[k] < docs[i]:
+                n = 0
+                while j + n < len(segments[i]) and m + n < len(segments[k]) and segments[i][j + n] == segments[k][m + n]:
+                    n += 1
+                best = max(best, n)
+        assert size[p] == best
+        if best:
+            k, m = places[source[p]]
+            assert docs[k] < docs[i] and segments[k][m : m + best] == segments[i][j : j + best]
 
 
 def test_null_ids_take_no_part(spark):
