@@ -1,11 +1,14 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page_id into shards of about equal payload, computed
-from byte totals of fixed id strips, so a rerun makes the same shards.  A task
-writes its shard's files under temporary names, rolls them by compressed size, and
-renames each when it is whole; a second attempt writes the same bytes to the same
-name.  The manifest (one row per file) is committed last: readers take files from
-it alone.  Digests, lengths and record ids are computed anew from the payload.
+Records are range-sorted by page_id (then by digests of payload and url) and cut into
+shards where the running total of their bytes passes a multiple of the shard size, so
+the shards follow from the set of records alone, however its ids are spread, and one id
+with many pages is cut as well.  The bounds of the shards, at most MOST_SHARDS keys, go
+to every task.  A task writes its shard's files under temporary names, rolls them by
+compressed size, and renames each when it is whole; a second attempt writes the same
+bytes to the same name.  The manifest (one row per file) is committed last: readers
+take files from it alone.  Digests, lengths and record ids are computed anew from the
+payload.
 
 Files go through pyarrow's file systems, so the folder may be any that pyarrow
 opens (file, hdfs, s3, gs); it must be shared by all executors.
@@ -13,26 +16,33 @@ opens (file, hdfs, s3, gs); it must be shared by all executors.
 Defined results: null html is an empty payload; equal payloads of at least
 `min_bytes` bytes have one response, the largest page_id (rows that share that id
 are all responses), and revisits; a null page_id comes back as null and is a
-revisit if any equal payload has an id; null urls become an urn; control characters
-in urls are percent-encoded; extra columns are ignored.
+revisit if any equal payload has an id; equal rows are equal records; null urls become
+an urn; control characters in urls are percent-encoded; a payload of any length is one
+record; an empty table makes an empty manifest; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import json
 import uuid
 import zlib
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import _text as tx
 
-ROLL_BYTES, SHARD_BYTES, STRIPS = 256 << 20, 64 << 20, 1 << 14
+#: Shards of 1/64 of all payloads within these limits, however many that makes up to MOST_SHARDS; files roll at 1/8 of a shard.
+LEAST_SHARD, LARGEST_SHARD, MOST_SHARDS = 16 << 20, 1 << 30, 1 << 16
+HEAD_BYTES = 512  # of a record, about
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard long, sequence int, records long, bytes long, sha256 string, first_page long, last_page long"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, file string"
@@ -46,6 +56,39 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def record_key(page_id, digest, url):
+    """Text in the order of the records: page_id (null first), digest of the payload, digest of the url."""
+    number = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(number, F.lit("")), F.lit(":"), digest, F.left(F.sha1(F.coalesce(url, F.lit(""))), F.lit(8)))
+
+
+def shard_bounds(narrow: DataFrame, shard_bytes: int) -> list[str]:
+    """Keys at which shards begin, but for the first one; narrow(key, size)."""
+
+    def running(batches):
+        total, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            sums = total + np.cumsum(batch.column(1).to_numpy(zero_copy_only=False) + HEAD_BYTES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums), pa.array(np.full(len(sums), part))], ["key", "size", "total", "part"])
+            total = int(sums[-1]) if len(sums) else total
+
+    ordered = narrow.select("key", F.col("size").cast("long")).repartitionByRange(tx.buckets(narrow), "key").sortWithinPartitions("key")
+    table = tx.written(ordered.mapInArrow(running, "key string, size long, total long, part long"), "ordered")
+    before, offsets = 0, []
+    for r in table.groupBy("part").agg(F.max("total").alias("total")).orderBy("part").collect():  # one row a partition
+        offsets.append((r.part, before))
+        before += r.total
+    shard_bytes = max(shard_bytes, -(-before // MOST_SHARDS))
+    starts = table.join(F.broadcast(narrow.sparkSession.createDataFrame(offsets, "part long, before long")), "part") if offsets else table.withColumn("before", F.lit(0))
+    end = F.col("before") + F.col("total")
+    begin = end - F.col("size") - HEAD_BYTES
+    # A record that passes a multiple of the shard size is the first of a shard.
+    first = starts.filter((F.floor(begin / shard_bytes) < F.floor(end / shard_bytes)) & (begin > 0)).select("key").distinct()
+    bounds = sorted(r.key for r in first.collect())
+    tx.discard(table)
+    return bounds
+
+
 def record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
@@ -93,27 +136,30 @@ class _Roller:
         return self.name, self.shard, self.sequence, self.records, self.size, self.digest.hexdigest(), self.first, self.last
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int | None = None, shard_bytes: int | None = None, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write pages(page_id, url, html) to `folder`; returns the manifest."""
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    narrow = tx.written(rows.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("size")), "payloads")
+    key = record_key(F.col("page_id"), F.col("digest"), F.col("url"))
+    narrow = tx.written(rows.select("page_id", "url", F.sha1("payload").alias("digest"), F.length("payload").alias("size")).select("page_id", "digest", "size", key.alias("key")), "payloads")
     response = narrow.filter(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"))
     revisits = narrow.join(response, ["digest", "size"]).filter("refers_to is not null and not page_id <=> refers_to")
     revisits = tx.written(revisits.select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), "refers_to").distinct(), "revisits")
 
-    low, high = narrow.agg(F.min("page_id"), F.max("page_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // STRIPS))
-    strip = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long")
-    totals = narrow.groupBy(strip.alias("strip")).agg((F.sum("size") + F.count("*") * 512).alias("bytes"))
-    shard = F.floor((F.sum("bytes").over(Window.orderBy("strip").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")) / shard_bytes).cast("long")
-    shards = tx.written(totals.select("strip", shard.alias("shard")), "shards")  # at most STRIPS + 1 rows
-    count = (shards.agg(F.max("shard")).first()[0] or 0) + 1
-
-    placed = rows.withColumn("strip", strip).join(F.broadcast(shards), "strip").withColumn("digest", F.sha1("payload"))
-    placed = placed.join(revisits, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
-    ordered = placed.select("shard", "page_id", "url", "payload", "refers_to", "digest").repartition(count, "shard").sortWithinPartitions("shard", "page_id", "digest", "url").drop("digest")
+    payloads = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shard_bytes = shard_bytes or min(max(payloads // 64, LEAST_SHARD), LARGEST_SHARD)
+    roll_bytes = roll_bytes or shard_bytes // 8
+    known = spark.sparkContext.broadcast(shard_bounds(narrow, shard_bytes))
+    tx.discard(narrow)
+
+    @F.pandas_udf("int")
+    def shard_of(keys: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(known.value, k) for k in keys], dtype="int32")
+
+    placed = rows.withColumn("digest", F.sha1("payload"))
+    placed = placed.join(revisits, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left").withColumn("key", key).withColumn("shard", shard_of("key"))
+    ordered = placed.select("shard", "page_id", "url", "payload", "refers_to", "key").repartitionById(len(known.value) + 1, "shard").sortWithinPartitions("key", "url").drop("key")
 
     def run(batches):
         roller = _Roller(folder, roll_bytes)

@@ -265,3 +265,23 @@ def test_pipeline(spark):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "suffix_dedup", "mix_sources", "byte_bpe"]
     assert corpus_pipeline.run(spark, SF).count() > 50
+
+
+def test_warc_shards_follow_bytes_not_ids(spark, tmp_path):
+    html = "".join(random.Random(1).choice("abcdefgh") for _ in range(500))
+    ids = [*range(200), 10**15, *[300] * 60, None, None]
+    rows = [(p, f"u{i}", html[: i % 400] + str(i)) for i, p in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    runs = []
+    for i, p in enumerate((pages, pages.repartition(7))):
+        runs.append(sorted(map(tuple, warc.write_warc(p, f"file://{tmp_path}/{i}", roll_bytes=1500, shard_bytes=12000).collect())))
+    assert runs[0] == runs[1]
+    assert len({r[1] for r in runs[0]}) > 10  # shards, with an outlier among the ids
+    assert len([r for r in runs[0] if r[6] == r[7] == 300]) > 1  # one id over several files
+    back = warc.read_warc(spark, f"file://{tmp_path}/0")
+    assert sorted((r.page_id or -1, r.payload_bytes) for r in back.collect()) == sorted((p or -1, len(h)) for p, _, h in rows)
+
+
+def test_warc_small_payloads_are_all_responses(spark):
+    pages = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "long"), (4, "d", "long"), (4, "e", "long")], "page_id int, url string, html string")
+    assert sorted(tuple(r)[:1] + tuple(r)[3:5] for r in warc.round_trip(pages, min_bytes=2).collect()) == [(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None), (4, "response", None)]
