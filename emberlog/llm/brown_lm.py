@@ -18,9 +18,10 @@ What the driver or a broadcast holds is bounded by VOCABULARY * CLASSES.  Counts
 neighbours of the other words never leave their buckets: each block of texts asks for
 its distinct words there, and their classes and counts travel back.
 
-Defined results: null and empty texts are one end token; a null doc_id trains and
-is scored as null; repeated rows are scored one by one; an empty table gives no
-rows; extra columns are ignored.
+Defined results: null and empty texts are one end token; long texts are scored whole;
+a null doc_id trains and is scored as null; repeated rows are scored one by one; where
+no document trains, every token is unknown; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: A row is a block of whole texts: ids of documents, marks (1 held out, 2 no id), tokens of each text as numbers of
-#: frequent words (or RARE), END last, and for each rare token its place in the block's sorted rare words (keys).
+#: frequent words (or RARE), END last, and for each rare token its place in the block's rare words (keys, by bucket and hash).
 ENCODED = "block long, doc binary, mark binary, size binary, ids binary, place binary, keys binary"
 BLOCK = 1 << 18
 _TYPES = {"doc": np.int64, "mark": np.uint8, "size": np.int64, "ids": np.uint16, "place": np.uint32, "keys": U64, "label": np.uint8, "count": np.int64}
@@ -123,32 +124,35 @@ def _arrays(batch):
         yield {n: np.frombuffer(batch.column(i)[r].as_py(), _TYPES[n]) for i, n in names}
 
 
-def encoded(documents: DataFrame, frequent) -> DataFrame:
+def encoded(documents: DataFrame, frequent, n: int) -> DataFrame:
     def run(batches):
         words, part = frequent.value, TaskContext.get().partitionId() << 32
         rare_id, end_id = len(words), len(words) + 1
-        held, size, number = {n: [] for n in ("doc", "mark", "size", "ids", "rare")}, 0, 0
+        held, size, number = {c: [] for c in ("doc", "mark", "size", "ids", "rare")}, 0, 0
 
         def flush():
-            got = {n: np.concatenate(v) for n, v in held.items()}
+            got = {c: np.concatenate(v) for c, v in held.items()}
             keys, place = np.unique(got.pop("rare"), return_inverse=True)
-            got |= {"place": place, "keys": keys}
-            return pa.RecordBatch.from_arrays([pa.array([part + number], pa.int64()), *(pa.array([got[n].astype(_TYPES[n]).tobytes()], pa.binary()) for n in ("doc", "mark", "size", "ids", "place", "keys"))], ["block", "doc", "mark", "size", "ids", "place", "keys"])
+            order = np.argsort(_bucket(keys, n), kind="stable")
+            rank = np.empty(len(keys), np.int64)
+            rank[order] = np.arange(len(keys))
+            got |= {"place": rank[place], "keys": keys[order]}
+            return pa.RecordBatch.from_arrays([pa.array([part + number], pa.int64()), *(pa.array([got[c].astype(_TYPES[c]).tobytes()], pa.binary()) for c in ("doc", "mark", "size", "ids", "place", "keys"))], ["block", "doc", "mark", "size", "ids", "place", "keys"])
 
         for batch in batches:
             doc = tx.ids(batch.column(0))
             mark = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8) + 2 * batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             for row, hashes, first in _words(tx.strings(batch.column(2))):
-                n = len(first) - 1
+                texts = len(first) - 1
                 at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
                 known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-                new = {"doc": doc[row : row + n], "mark": mark[row : row + n], "size": np.diff(first) + 1, "ids": np.insert(np.where(known, at, rare_id), first[1:], end_id).astype(np.uint16), "rare": hashes[~known]}
+                new = {"doc": doc[row : row + texts], "mark": mark[row : row + texts], "size": np.diff(first) + 1, "ids": np.insert(np.where(known, at, rare_id), first[1:], end_id).astype(np.uint16), "rare": hashes[~known]}
                 for name, values in new.items():
                     held[name].append(values.copy())
-                size += len(hashes) + n
+                size += len(hashes) + texts
                 if size >= BLOCK:
                     yield flush()
-                    held, size, number = {n: [] for n in held}, 0, number + 1
+                    held, size, number = {c: [] for c in held}, 0, number + 1
         if size:
             yield flush()
 
@@ -184,16 +188,12 @@ def _requests(table: DataFrame, classes, n_words: int, n: int) -> DataFrame:
                 at, place = rare[train], block["place"][train]
                 before = np.where(at > 0, group[at - 1], CLASSES + 1)
                 pairs = np.stack([before, group[at + 1]], axis=1).astype(np.uint8)
-                times = np.bincount(place, minlength=len(keys))
-                bucket = _bucket(keys, n)
-                order, bounds = tx.by_bucket(bucket, n)
+                times = np.bincount(place, minlength=len(keys)).astype(np.uint32)
+                bounds = np.searchsorted(_bucket(keys, n), np.arange(n + 1))
                 used = np.flatnonzero(np.diff(bounds))
-                rank = np.empty(len(keys), np.int64)
-                rank[order] = np.arange(len(keys))
-                pairs = pairs[np.argsort(rank[place], kind="stable")]
-                ends = np.concatenate([[0], np.cumsum(times[order])])
-                cut = lambda v, lo, hi: v[lo:hi].tobytes()
-                rows = [(cut(keys[order], bounds[u], bounds[u + 1]), cut(times[order].astype(np.uint32), bounds[u], bounds[u + 1]), cut(pairs, ends[bounds[u]], ends[bounds[u + 1]])) for u in used]
+                pairs = pairs[np.argsort(place, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
+                rows = [(keys[a:b].tobytes(), zlib.compress(times[a:b].tobytes(), 1), pairs[ends[a] : ends[b]].tobytes()) for a, b in zip(bounds[used].tolist(), bounds[used + 1].tolist(), strict=True)]
                 columns = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), number), pa.int64()), *columns], ["bucket", "block", "key", "times", "pairs"])
 
@@ -222,13 +222,13 @@ def best_classes(word: np.ndarray, pairs: np.ndarray, n: int, table: np.ndarray)
 
 
 def _answers(requests: DataFrame, counts: DataFrame, bigrams) -> DataFrame:
-    """The class and count of each rare word, for every block that holds it; words seen less than LEAST times stay in the class of rare ones."""
+    """The class and count of each rare word, for every block that holds it, in the order of its request; words seen less than LEAST times stay in the class of rare ones."""
 
     def choose(asked: pa.Table, counted: pa.Table) -> pa.Table:
         if not asked.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "label": pa.array([], pa.binary()), "count": pa.array([], pa.binary())})
+            return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "label": pa.array([], pa.binary()), "count": pa.array([], pa.binary())})
         have, c = tx.unpack(counted, "key", U64), tx.unpack(counted, "count", np.int64)
-        key, times = tx.unpack(asked, "key", U64), tx.unpack(asked, "times", np.uint32)
+        key, times = tx.unpack(asked, "key", U64), np.frombuffer(b"".join(zlib.decompress(x.as_py()) for x in asked.column("times")), np.uint32)
         pairs = tx.unpack(asked, "pairs", np.uint8).reshape(-1, 2)
         words, at = np.unique(key, return_inverse=True)
         place = np.minimum(np.searchsorted(have, words), max(len(have) - 1, 0))
@@ -241,10 +241,10 @@ def _answers(requests: DataFrame, counts: DataFrame, bigrams) -> DataFrame:
         label[admitted] = best_classes(number[word[keep]], pairs[keep], int(admitted.sum()), bigrams.value)
         label, count = label.astype(np.uint8)[at], count[at]
         ends = np.concatenate([[0], np.cumsum([len(x.as_buffer()) // 8 for x in asked.column("key")])])
-        cut = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-        return pa.table({"block": asked.column("block"), "keys": cut(key), "label": cut(label), "count": cut(count)})
+        cut = lambda v: pa.array([zlib.compress(v[a:b].tobytes(), 1) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        return pa.table({"block": asked.column("block"), "part": asked.column("bucket"), "label": cut(label), "count": cut(count)})
 
-    return requests.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(choose, "block long, keys binary, label binary, count binary")
+    return requests.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(choose, "block long, part int, label binary, count binary")
 
 
 LABELLED = "block long, doc binary, mark binary, size binary, ids binary, place binary, label binary, count binary"
@@ -252,8 +252,8 @@ LABELLED = "block long, doc binary, mark binary, size binary, ids binary, place
 
 def _labelled(table: DataFrame, answers: DataFrame) -> DataFrame:
     def join(blocks: pa.Table, found: pa.Table) -> pa.Table:
-        order = np.argsort(tx.unpack(found, "keys", U64), kind="stable")
-        own = {c: [tx.unpack(found, c, _TYPES[c])[order].tobytes()] for c in ("label", "count")}
+        order = np.argsort(found.column("part").to_numpy(), kind="stable").tolist()
+        own = {c: [b"".join(zlib.decompress(found.column(c)[i].as_py()) for i in order)] for c in ("label", "count")}
         return pa.table({c: blocks.column(c) for c in ("block", "doc", "mark", "size", "ids", "place")} | {c: pa.array(v, pa.binary()) for c, v in own.items()})
 
     return table.drop("keys").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, LABELLED)
@@ -360,6 +360,19 @@ def _class_steps(bigrams: np.ndarray) -> np.ndarray:
     return (bigrams + ALPHA * unigram) / (bigrams.sum(axis=1, keepdims=True) + ALPHA)
 
 
+def token_probabilities(group, before, times, step, size, all_tokens, few_tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token the smoothed unigram and the mix with its class bigram.
+
+    times: its training count; step: P(class | class before); size: tokens of each class;
+    all_tokens, few_tokens: tokens and distinct ones, of all and of the class of words seen
+    less than LEAST times.  Words that are not known count as one more word of that class.
+    """
+    base = (times + ADD) / (all_tokens[0] + ADD * (all_tokens[1] + 1))
+    emit = np.where(group == CLASSES, (times + ADD) / (few_tokens[0] + ADD * (few_tokens[1] + 1)), times / np.maximum(size[group], 1))
+    emit[group == CLASSES + 1] = 1.0
+    return base, MIX * step[before, group] * emit + (1 - MIX) * base
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -377,21 +390,20 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     train_tokens, n_distinct = n_words_total + n_ends, n_distinct + (n_ends > 0)
     words, count = frequent_words(counts)
     n_words, n_classes = len(words), CLASSES + 2
-    table = tx.written(encoded(docs, spark.sparkContext.broadcast(words)), "encoded")
+    table = tx.written(encoded(docs, spark.sparkContext.broadcast(words), n), "encoded")
 
     by_count = np.argsort(np.argsort(-count, kind="stable"))
     label = np.concatenate([by_count % CLASSES, [CLASSES, CLASSES + 1]]).astype(np.int64)
-    for turn in range(2 * ROUNDS):
-        if turn == 0 or turn % 2 == 0:
-            right, left = neighbour_counts(table, spark.sparkContext.broadcast(label), n_words, n_classes)
-        if turn < 2 * ROUNDS - 1:
-            label = exchange(label, right, left, CLASSES, turn)
+    for turn in range(2 * ROUNDS):  # every half of the words moves on counts of the classes as they then are
+        right, left = neighbour_counts(table, spark.sparkContext.broadcast(label), n_words, n_classes)
+        label = exchange(label, right, left, CLASSES, turn)
     right, left = neighbour_counts(table, spark.sparkContext.broadcast(label), n_words, n_classes)
     bigrams = np.zeros((n_classes, n_classes))
     np.add.at(bigrams, label, right)
     classes = spark.sparkContext.broadcast(label)
     answers = _answers(_requests(table, classes, n_words, n), counts, spark.sparkContext.broadcast(bigrams))
     labelled = tx.written(_labelled(table, answers), "labelled")
+    tx.discard(table)
     bigrams = class_counts(labelled, classes, n_words)
     few = F.coalesce(F.sum("few"), F.lit(0)), F.coalesce(F.sum("few_tokens"), F.lit(0))
     rare_words, rare_tokens = counts.agg(*few).first() if n_words else (0, 0)
@@ -407,16 +419,13 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 group, rare = _classes_of(block, label, n_words)
                 times = known_count[block["ids"]]
                 times[rare] = block["count"][block["place"]]
-                base = (times + ADD) / (train_tokens + ADD * (n_distinct + 1))
-                few = group == CLASSES
-                emit = np.where(few, (times + ADD) / max(rare_tokens + ADD * (rare_words + 1), ADD), times / np.maximum(size[group], 1))
-                emit[group == CLASSES + 1] = 1.0
-                value = np.log10(MIX * step[_before(group, CLASSES + 1), group] * emit + (1 - MIX) * base)
+                base, mixed = token_probabilities(group, _before(group, CLASSES + 1), times, step, size, (train_tokens, n_distinct), (rare_tokens, rare_words))
+                base, value = np.log10(base), np.log10(mixed)
                 starts = np.cumsum(block["size"]) - block["size"]
                 mark = block["mark"]
                 sums = lambda v: np.add.reduceat(v, starts)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block["doc"], mask=(mark & 2) > 0), pa.array((mark & 1) > 0), pa.array(block["size"]), pa.array(sums((times > 0).astype(np.int64))), pa.array(np.full(len(mark), train_tokens), pa.int64()), pa.array(sums(np.log10(base))), pa.array(sums(value))],
+                    [pa.array(block["doc"], mask=(mark & 2) > 0), pa.array((mark & 1) > 0), pa.array(block["size"]), pa.array(sums((times > 0).astype(np.int64))), pa.array(np.full(len(mark), train_tokens), pa.int64()), pa.array(sums(base)), pa.array(sums(value))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

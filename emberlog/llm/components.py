@@ -4,6 +4,9 @@ Every round is two joins on keys; a hub with many neighbours is first reduced by
 partial minimum, and the join back to its neighbours is one that AQE can split.
 Rounds grow with the logarithm of the longest path.  Each round is written to the
 shared folder, so lost executors cost one round at most.
+
+Defined results: an edge with a null end and one from a node to itself are left out,
+repeated edges count once, nodes without other edges have no row; no edges, no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm._text import written
+from emberlog.llm._text import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +41,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        now = written(_small_star(_large_star(now)), "edges")
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

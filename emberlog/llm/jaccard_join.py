@@ -17,15 +17,22 @@ sketch of fixed size, so shared passages do not make candidates.
    the bound are verified, so no link between components is lost;
 5. components.
 
-No group is expanded into all of its pairs: pairs inside a component are skipped.
+No group is expanded into all of its pairs: pairs inside a component are skipped.  A
+key that many documents hold is cut into groups of at most GROUP members, in the task
+that makes its entries and again where they meet, so that it does not travel to one
+task whole; the groups of one key hold its smallest member each, or are led to it by a
+representative, and count as one group in step 4.
 
 Defined results: null, empty and blank texts have an empty set and are linked with
-nothing; fewer than 5 words make one shingle; a null doc_id has no component; rows
-that share a doc_id are one vertex; extra columns are ignored.
+nothing; fewer than 5 words make one shingle; the set of a long text is whole; a null
+doc_id has no component; rows that share a doc_id are one vertex, linked with what any
+of its texts is linked with; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +43,9 @@ from emberlog.llm.components import connected_components
 
 U64 = tx.U64
 WORDS, PERCENT = 5, 75
-SLOTS = 1 << 20  # of the count sketch: 4 MB, whatever the input; more slots tell rare from common on larger corpora
+#: Slots of the count sketch: one for SHARE shingles of the input, within these bounds (4 to 64 MB in a task, a byte each in the broadcast).
+LEAST_SLOTS, MOST_SLOTS, SHARE = 1 << 20, 1 << 24, 256
+GROUP = 1024  # most members of a group but for its smallest
 BLOCKS = 64
 LOWEST, STEP = 64, 4  # size bands: below 64 shingles, then 64..256, 256..1024 and so on
 FLUSH = 1 << 19
@@ -104,26 +113,25 @@ def set_table(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, SETS)
 
 
-def shingle_counts(documents: DataFrame) -> np.ndarray:
-    """Rounded logarithms of how many documents hold the shingles of each slot (SLOTS bytes)."""
+def shingle_counts(documents: DataFrame, slots: int) -> np.ndarray:
+    """Rounded logarithms of how many documents hold the shingles of each slot."""
 
     def count(batches):
-        slots = np.zeros(SLOTS, np.int64)
+        table = np.zeros(slots, np.uint32)
         for batch in batches:
             for _, data, offsets in tx.chunks(batch.column(1)):
                 hashes, _ = shingle_sets(data, offsets)
-                slots += np.bincount((hashes & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        parts = slots.reshape(BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS), pa.int32()), pa.array([np.minimum(p, 2**32 - 1).astype(np.uint32).tobytes() for p in parts], pa.binary())], ["block", "counts"])
+                np.add.at(table, (hashes & U64(slots - 1)).astype(np.int64), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in table.reshape(BLOCKS, -1)], pa.binary())], ["block", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table.column("counts"))
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.uint32).astype(np.int64) for x in table.column("counts"))
         log = np.log2(np.maximum(total, 1)).astype(np.uint8)
         return pa.table({"block": table.column("block")[:1], "counts": pa.array([log.tobytes()], pa.binary())})
 
     rows = documents.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
     blocks = {r.block: np.frombuffer(r.counts, np.uint8) for r in rows}
-    return np.concatenate([blocks.get(b, np.zeros(SLOTS // BLOCKS, np.uint8)) for b in range(BLOCKS)])
+    return np.concatenate([blocks.get(b, np.zeros(slots // BLOCKS, np.uint8)) for b in range(BLOCKS)])
 
 
 def _band(sizes: np.ndarray) -> np.ndarray:
@@ -154,7 +162,7 @@ def join_keys(hashes: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> tup
     if not len(head):
         return np.zeros(0, U64), np.zeros(0, np.int64)
     sketch = np.bitwise_xor.reduceat(h, head)
-    rare = np.minimum.reduceat(counts[(h & U64(SLOTS - 1)).astype(np.int64)], head)
+    rare = np.minimum.reduceat(counts[(h & U64(len(counts) - 1)).astype(np.int64)], head)
     item, part = item[head], part[head]
     key = tx.mix(sketch ^ tx.mix(part + (scheme[item].astype(U64) << U64(56)) + U64(1)))
     order = np.lexsort((key, rare, item))
@@ -169,6 +177,22 @@ def _squeezed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.diff(values, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T)
 
 
+def _groups_of(doc: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A number for each run of sorted ids, equal for equal runs."""
+    place = np.arange(len(doc)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return _sums(tx.mix(doc.astype(U64) * tx._M + place.astype(U64)), bounds).view(np.int64)
+
+
+def _key_number(bucket: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """A number of a key that its bucket can tell as well."""
+    return tx.join(bucket.astype(U64), short).view(np.int64)
+
+
+SHORT = U64((1 << 8 * KEY_BYTES) - 1)
+#: Packed entries: kind 0 keys and documents of a bucket; kind 1 a group cut off a hot key (numbers of group and key); kind 2 hot keys of a bucket.
+ENTRIES = "bucket int, kind int, key binary, doc binary"
+
+
 def _key_rows(n: int, counts):
     def flush(keys, docs, marks):
         key, doc, f1 = np.concatenate(keys), np.concatenate(docs), np.concatenate(marks)
@@ -180,13 +204,33 @@ def _key_rows(n: int, counts):
         stays[order] = doc[order] == least
         key, doc = key[stays], doc[stays]
         bucket = ((key >> U64(20)) % U64(n)).astype(np.int32)
+        order = np.lexsort((doc, key))
+        key, doc, bucket = key[order], doc[order], bucket[order]
+        keep = tx.run_starts(key, doc)
+        key, doc, bucket = key[keep], doc[keep], bucket[keep]
+        head = tx.run_starts(key)
+        size = np.diff(np.append(head, len(key)))
+        rows = []
+        if (size > GROUP).any():
+            travels = np.ones(len(key), bool)
+            hot = head[size > GROUP]
+            for begin, count in zip(hot.tolist(), size[size > GROUP].tolist(), strict=True):
+                number = _key_number(bucket[begin : begin + 1], key[begin : begin + 1] & SHORT)
+                for lo in range(begin, begin + count, GROUP):
+                    part = doc[lo : min(lo + GROUP, begin + count)]
+                    group = _groups_of(part, np.array([0, len(part)]))
+                    rows.append((int(group[0] % n), 1, group.tobytes() + number.tobytes(), _squeezed(part).tobytes()))
+                    travels[lo + 1 : lo + len(part)] = False  # the smallest of the part stands for it
+            for b in np.unique(bucket[hot]).tolist():
+                rows.append((b, 2, (key[hot[bucket[hot] == b]] & SHORT).tobytes(), b""))
+            key, doc, bucket = key[travels], doc[travels], bucket[travels]
         order = np.lexsort((doc, bucket))
         key, doc, bucket = key[order], doc[order], bucket[order]
         bounds = np.searchsorted(bucket, np.arange(n + 1))
-        used = np.flatnonzero(np.diff(bounds))
         short = key.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-        rows = [(short[bounds[b] : bounds[b + 1]].tobytes(), _squeezed(doc[bounds[b] : bounds[b + 1]]).tobytes()) for b in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "key", "doc"])
+        rows += [(b, 0, short[bounds[b] : bounds[b + 1]].tobytes(), _squeezed(doc[bounds[b] : bounds[b + 1]]).tobytes()) for b in np.flatnonzero(np.diff(bounds)).tolist()]
+        columns = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "key", "doc"])
 
     def run(batches):
         table = counts.value
@@ -211,31 +255,59 @@ def _key_rows(n: int, counts):
     return run
 
 
+def _plain(squeezed: bytes) -> np.ndarray:
+    """The ids that _squeezed packed."""
+    planes = np.frombuffer(squeezed, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
 def _groups(table: pa.Table) -> pa.Table:
-    """A bucket of keys -> (group, doc) of every group of documents with one key; equal groups appear once."""
-    raw = b"".join(x.as_py() for x in table.column("key"))
-    key = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
-    key[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
-    key = key.view(U64).ravel()
-    docs = []
-    for x in table.column("doc"):
-        planes = np.frombuffer(x.as_py(), np.uint8).reshape(8, -1)
-        docs.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel()))
-    doc = np.concatenate(docs)
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    keep = tx.run_starts(key, doc)
-    key, doc = key[keep], doc[keep]
-    head = tx.run_starts(key)
-    sizes = np.diff(np.append(head, len(key)))
-    many = np.repeat(sizes > 1, sizes)
-    doc, sizes = doc[many], sizes[sizes > 1]
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    place = np.arange(len(doc)) - np.repeat(bounds[:-1], sizes)
-    group = _sums(tx.mix(doc.astype(U64) * tx._M + place.astype(U64)), bounds)
-    _, once = np.unique(group, return_index=True)
-    at = tx.ranges(bounds[:-1][once], sizes[once])
-    return pa.table({"gid": pa.array(np.repeat(group[once], sizes[once]).view(np.int64)), "doc": pa.array(doc[at])})
+    """A bucket of entries -> (gid, doc) of every group of documents with one key, equal groups once, and (gid, sid) of the groups of a hot key."""
+    gids, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    of, whole = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # groups of hot keys, and the numbers of these keys
+    for x, y in zip(*(tx.filtered(table, 1).column(c).to_pylist() for c in ("key", "doc")), strict=True):
+        group, number = np.frombuffer(x, np.int64)
+        doc = _plain(y)
+        gids.append(np.full(len(doc), group))
+        members.append(doc)
+        of.append(np.array([group]))
+        whole.append(np.array([number]))
+    marked = np.unique(tx.unpack(tx.filtered(table, 2), "key", U64))
+    rows = tx.filtered(table, 0)
+    if rows.num_rows:
+        raw = b"".join(x.as_py() for x in rows.column("key"))
+        key = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+        key[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+        key = key.view(U64).ravel()
+        doc = np.concatenate([_plain(x.as_py()) for x in rows.column("doc")])
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        keep = tx.run_starts(key, doc)
+        key, doc = key[keep], doc[keep]
+        head = tx.run_starts(key)
+        sizes = np.diff(np.append(head, len(key)))
+        # Parts of at most GROUP members; all but the first of a key also hold its smallest.
+        parts = np.where(sizes > 1, -(-sizes // GROUP), 0)
+        owner = np.repeat(np.arange(len(head)), parts)
+        nth = tx.ranges(np.zeros(len(parts), np.int64), parts)
+        begin = head[owner] + nth * GROUP
+        length = np.minimum(head[owner] + sizes[owner] - begin, GROUP)
+        extra = (nth > 0).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(length + extra)])
+        at = np.empty(bounds[-1], np.int64)
+        at[tx.ranges(bounds[:-1] + extra, length)] = tx.ranges(begin, length)
+        at[bounds[:-1][extra > 0]] = head[owner[extra > 0]]
+        group = _groups_of(doc[at], bounds)
+        _, once = np.unique(group, return_index=True)
+        width = np.diff(bounds)
+        gids.append(np.repeat(group[once], width[once]))
+        members.append(doc[at[tx.ranges(bounds[:-1][once], width[once])]])
+        hot = (parts[owner] > 1) | np.isin(key[head[owner]], marked)
+        of.append(group[hot])
+        whole.append(_key_number(np.full(int(hot.sum()), table.column("bucket")[0].as_py()), key[head[owner[hot]]]))
+    gid, of = np.concatenate(gids), np.concatenate(of)
+    nulls = lambda k: pa.nulls(k, pa.int64())
+    return pa.table({"gid": np.concatenate([gid, of]), "doc": pa.chunked_array([pa.array(np.concatenate(members)), nulls(len(of))]), "sid": pa.chunked_array([nulls(len(gid)), pa.array(np.concatenate(whole))])})
 
 
 def similar(data_a, offsets_a, data_b, offsets_b) -> np.ndarray:
@@ -349,17 +421,26 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     spark = documents.sparkSession
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sets = tx.written(set_table(docs), "sets")
-    counts = spark.sparkContext.broadcast(shingle_counts(docs))
+    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    slots = 1 << min(max(total // SHARE, LEAST_SLOTS), MOST_SLOTS).bit_length() - 1
+    counts = spark.sparkContext.broadcast(shingle_counts(docs, slots))
     real = sets.filter("doc_id is not null and n_shingles > 0")
-    # Documents with equal sets are one vertex, named by the smallest of them.
+    # Documents with equal sets are one vertex, named by the smallest of them; a doc_id with several texts has several.
     vertex = real.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("v"))
-    named = tx.written(real.join(vertex, ["n_shingles", "f1", "f2"]).groupBy("doc_id").agg(F.min("v").alias("v"), F.min("n_shingles").alias("n")), "named")
-
-    n = tx.shuffle_partitions(spark) * tx.BUCKETS_PER_TASK
-    keys = docs.mapInArrow(_key_rows(n, counts), "bucket int, key binary, doc binary")
-    groups = keys.groupBy("bucket").applyInArrow(_groups, "gid long, doc long").distinct()
-    members = groups.join(named, groups.doc == named.doc_id).select("gid", F.col("v").alias("m"), "n").distinct()
-    members = tx.written(members, "members")
+    named = tx.written(real.join(vertex, ["n_shingles", "f1", "f2"]).select("doc_id", "v", F.col("n_shingles").alias("n")).distinct(), "named")
+    first = named.groupBy("doc_id").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    own = named.join(first.filter("least < most"), "doc_id").filter("v > least").select(F.col("least").alias("a"), F.col("v").alias("b"))
+
+    n = tx.buckets(docs)
+    keys = docs.mapInArrow(_key_rows(n, counts), ENTRIES)
+    groups = tx.written(keys.groupBy("bucket").applyInArrow(_groups, "gid long, doc long, sid long"), "groups")
+    grouped = groups.filter("doc is not null").select("gid", "doc").distinct()
+    members = tx.written(grouped.join(named, grouped.doc == named.doc_id).select("gid", F.col("v").alias("m"), "n").distinct(), "members")
+    # The groups of each hot key; keys with the same groups count once.
+    supers = groups.filter("sid is not null").select("sid", "gid").distinct()
+    alike = supers.groupBy("sid").agg(F.sum(F.xxhash64("gid").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("k")).groupBy("mark", "k").agg(F.min("sid").alias("sid"))
+    supers = tx.written(supers.join(alike.select("sid"), "sid"), "supers")
+    tx.discard(groups)
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs of different vertices whose sizes allow a link, each once."""
@@ -367,26 +448,32 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         return fit.select(F.least("m1", "m2").alias("a"), F.greatest("m1", "m2").alias("b")).distinct()
 
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    lead = members.groupBy("gid").agg(F.min(F.struct("m", "n")).alias("lead"))
-    first = members.join(lead, "gid").select(F.col("m").alias("m1"), F.col("n").alias("n1"), F.col("lead.m").alias("m2"), F.col("lead.n").alias("n2"))
-    tried = tx.written(sized(first), "pairs")
-    links = tx.written(verified(tried, texts), "links")
+    smallest = members.groupBy("gid").agg(F.min("m").alias("lead"))
+    lead = members.join(smallest, "gid").filter("m = lead").select("gid", "lead", F.col("n").alias("n2"))
+    against = members.join(lead, "gid").select(F.col("m").alias("m1"), F.col("n").alias("n1"), F.col("lead").alias("m2"), "n2")
+    tried = tx.written(sized(against), "pairs")
+    links = tx.written(verified(tried, texts).unionByName(own), "links")
 
     parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = members.join(parts, members.m == parts.node, "left").select("gid", "m", "n", F.coalesce("component", "m").alias("c"))
-    split = placed.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).filter("c0 < c1").select("gid", "size")
-    sketches = sets.groupBy("doc_id").agg(F.min("sketch").alias("sketch")).withColumnRenamed("doc_id", "m")
-    open_groups = placed.join(split, "gid").join(sketches, "m")
+    ends = placed.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"))
+    split = ends.filter("c0 < c1").select("gid", "size")
+    wide = supers.join(ends, "gid").groupBy("sid").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("size").alias("size")).filter("c0 < c1").select("sid", "size")
+    spread = supers.join(wide, "sid").join(placed, "gid").select(F.col("sid").alias("gid"), "size", "m", "n", "c").distinct()
+    sketches = real.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("n"), "sketch").distinct()
+    open_groups = placed.join(split, "gid").select("gid", "size", "m", "n", "c").unionByName(spread).join(sketches, ["m", "n"])
     again = tx.written(across_components(open_groups, n).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = tx.written(links.unionByName(verified(again, texts)), "links")
+    tx.discard(tried, again, members, supers)
 
     parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified_links"))
-    vertices = named.join(parts, named.v == parts.node, "left").join(degree, named.v == degree.node, "left").select("doc_id", F.coalesce("component", "v").alias("component_id"), F.coalesce("n_verified_links", F.lit(0)).alias("n_verified_links"))
+    vertices = named.groupBy("doc_id").agg(F.min("v").alias("v"))
+    vertices = vertices.join(parts, vertices.v == parts.node, "left").join(degree, vertices.v == degree.node, "left").select("doc_id", F.coalesce("component", "v").alias("component_id"), F.coalesce("n_verified_links", F.lit(0)).alias("n_verified_links"))
     return sets.join(vertices, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_verified_links", F.lit(0)).cast("long").alias("n_verified_links"))
 
 
 def keep_first_of_group(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`documents`, all columns, without those whose group holds a smaller doc_id."""
     gone = near_duplicates(documents, id_col, text_col).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents[id_col] == gone["__gone"], "left_anti")
+    return documents.join(gone, documents[id_col].cast("long") == gone["__gone"], "left_anti")
