@@ -10,9 +10,11 @@ Running sums are built from bucket totals, so a source with a third of all rows
 spread over as many tasks as its rows need.  Only the table of sources (one row
 each) is handled in one piece.
 
-Defined results: null text has size 0 and is taken 0 times; a null source is a
-source of its own, last in order; repeated rows queue one by one; null ids shuffle
-like any other value; extra columns pass through ``mixed``.
+Defined results: null text has size 0 and is taken 0 times; long texts count whole; a
+null source is a source of its own, last in order; repeated rows queue one by one, and
+of rows that share id, source and size those with the smaller text hashes come first;
+null ids shuffle like any other value; an empty table gives no rows; extra columns pass
+through ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.llm import _text as tx
 
@@ -110,14 +113,37 @@ def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of the mix, all columns of `documents`, in the order of their finish times.
 
     Rows are dealt out by range of finish time; a document taken twice appears twice.
-    Rows that share id, source and size are taken together.
+    The words of a row are those that ``mix_digest`` says it is taken for.
     """
     sizes = tx.written(sized(documents, id_col, text_col, source_col), "sizes")
-    plan = queue(sizes).filter("copy = 1").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "place", F.col("finish").alias("__finish"))
-    targets = source_targets(sizes).select(F.col("source").alias("__source"), F.col("place").alias("__place"))
-    plan = plan.join(targets, F.col("place") == F.col("__place")).drop("place", "__place", "__size")
-    same = documents[id_col].cast("long").eqNullSafe(plan["__id"]) & documents[source_col].cast("string").eqNullSafe(plan["__source"])
-    return documents.join(plan, same).orderBy("__finish").select(*[documents[c] for c in documents.columns])
+    plan = queue(sizes)
+    sources = source_targets(sizes).select(F.col("source").alias("__source"), F.col("place").alias("__place"))
+    plan = plan.join(F.broadcast(sources), F.col("place") == F.col("__place")) if sources.count() < MOST_BROADCAST else plan.join(sources, F.col("place") == F.col("__place"))
+    key = lambda doc_id, source, size: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), size.cast("string"), F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("")))
+    # One row for each (id, source, size), so that the join leaves its rows in one partition, where copies are told apart.
+    takes = plan.groupBy(key(F.col("doc_id"), F.col("__source"), F.col("size")).alias("__key")).agg(F.collect_list(F.struct("copy", "finish", "place")).alias("__takes"))
+    rows = _with_sizes(documents, text_col).withColumn("__own", key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{source_col}`").cast("string"), F.col(SIZE)))
+    joined = rows.join(takes.hint("merge"), F.col("__own") == F.col("__key"))
+    text = F.col(f"`{text_col}`").cast("string")
+    copy = F.row_number().over(Window.partitionBy("__own").orderBy(F.xxhash64(text), text))
+    taken = joined.withColumn("__copy", copy).withColumn("__take", F.explode(F.filter("__takes", lambda t: t["copy"] == F.col("__copy"))))
+    return taken.orderBy("__take.finish", "__take.place", "__own", "__copy").select(*[f"`{c}`" for c in documents.columns])
+
+
+SIZE = "__emberlog_size"
+MOST_BROADCAST = 1 << 20  # sources of the mix
+
+
+def _with_sizes(documents: DataFrame, text_col: str) -> DataFrame:
+    """`documents` with the number of words of each row."""
+    at = documents.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            sizes = [np.diff(tx.word_spans(data, offsets)[2]) for _, data, offsets in tx.chunks(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sizes or [np.zeros(0, np.int64)]))], [*batch.schema.names, SIZE])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(SIZE, T.LongType())]))
 
 
 ORACLE = r"""

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog.llm import _text as tx
 from emberlog.llm import bpe, brown_lm, chat, jaccard_join, mixing, quality, queries, relative_lz, suffix_dedup, topk_search, warc
 
 from ..oracle import connect, same
@@ -68,17 +69,47 @@ def test_bpe(docs, rows):
     assert {r.doc_id: bytes(r.decoded) for r in back.collect()} == {d: (t or "").encode() for d, t, _ in rows}
 
 
+def repetition(t):
+    """The measures of quality.py by brute force, and the verdict."""
+    w = words(t)
+
+    def inside(n):
+        grams = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        return {j for i in range(len(w) - n + 1) if grams[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+
+    lines = [x for x in (t or "").split("\n") if words(x)]
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    chars = sum(map(len, w))
+    line_chars = sum(len("".join(words(x))) for x in again)
+    grams = {n: sum(len(w[i]) for i in inside(n)) for n in quality.NGRAM_LIMITS}
+    failed = len(w) < 20 or 100 * len(inside(8)) > 30 * len(w)
+    kept = not failed and line_chars <= quality.LINE_CHAR_LIMIT * chars and all(grams[n] <= limit * chars for n, limit in quality.NGRAM_LIMITS.items())
+    return (len(w), chars, sum((t or "").count(c) for c in "#*$%&|<>"), len(again), len(inside(8)), failed, kept, line_chars, *grams.values())
+
+
 def test_quality(docs, rows):
-    got = by_id(quality.repetition_quality(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    for d, t, _ in rows:
-        w = words(t)
-        grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
-        covered = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
-        lines = [x for x in (t or "").split("\n") if words(x)]
-        assert got[d] == (len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w))
+    names = [x.split()[0] for x in quality.SCHEMA.split(", ")][1:]
+    assert by_id(quality.repetition_quality(docs), *names) == {d: repetition(t) for d, t, _ in rows}
     assert quality.keep_quality(docs).columns == docs.columns
 
 
+def test_quality_verdict_on_its_limits(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):  # texts with all shares of repeated phrases and lines
+        plain = [f"p{rng.randrange(10**6)}" for _ in range(rng.randint(15, 60))]
+        phrase = [f"q{j}" for j in range(rng.choice([4, 6, 8, 10]))]
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randint(0, len(plain))
+            plain[at:at] = phrase
+        line = " ".join(f"l{j}" for j in range(3))
+        rows.append((i, "\n".join([" ".join(plain), *[line] * rng.randint(0, 8)])))
+    names = [x.split()[0] for x in quality.SCHEMA.split(", ")][1:]
+    got = by_id(quality.repetition_quality(spark.createDataFrame(rows, "doc_id long, text string")), *names)
+    assert got == {d: repetition(t) for d, t in rows}
+    assert {(r[5], r[6]) for r in got.values()} == {(True, False), (False, True), (False, False)}
+
+
 def test_jaccard(docs, rows):
     sets = {}
     for d, t, _ in rows:
@@ -100,11 +131,17 @@ def test_jaccard(docs, rows):
 
 
 def windows_removed(units, length):
+    """units(doc_id -> bytes or list of words) -> the places that a smaller document's window covers."""
     first = {}
+    cut = (lambda u, i: u[i : i + length]) if isinstance(next(iter(units.values())), bytes) else (lambda u, i: tuple(u[i : i + length]))
     for d in sorted(units):
         for i in range(len(units[d]) - length + 1):
-            first.setdefault(tuple(units[d][i : i + length]), d)
-    return {d: {j for i in range(len(u) - length + 1) if first[tuple(u[i : i + length])] < d for j in range(i, i + length)} for d, u in units.items()}
+            first.setdefault(cut(units[d], i), d)
+    return {d: {j for i in range(len(u) - length + 1) if first[cut(u, i)] < d for j in range(i, i + length)} for d, u in units.items()}
+
+
+def runs(places):
+    return sum(p - 1 not in places for p in places)
 
 
 def test_relative_lz(docs, rows):
@@ -120,8 +157,8 @@ def test_relative_lz(docs, rows):
 def test_suffix_dedup(docs, rows):
     units = {d: (t or "").encode() for d, t, _ in rows}
     gone = windows_removed(units, 50)
-    want = {d: (len(u), len(gone[d]), hashlib.sha256(bytes(x for i, x in enumerate(u) if i not in gone[d])).hexdigest()) for d, u in units.items()}
-    assert by_id(suffix_dedup.substring_digests(docs), "n_bytes", "n_removed", "kept_sha256") == want
+    want = {d: (len(u), len(gone[d]), runs(gone[d]), hashlib.sha256(bytes(x for i, x in enumerate(u) if i not in gone[d])).hexdigest()) for d, u in units.items()}
+    assert by_id(suffix_dedup.substring_digests(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
 def test_hot_passage_in_different_surroundings(spark):
@@ -179,6 +216,78 @@ def test_block_index_finds_longest_matches():
             assert docs[k] < docs[i] and segments[k][m : m + best] == segments[i][j : j + best]
 
 
+def both_cuts(spark, rows, schema="doc_id long, text string"):
+    """Digests of both operators on rows against brute force."""
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    for query, units, join in (
+        (relative_lz.passage_digests, {d: words(t) for d, t in rows}, lambda x: " ".join(x).encode()),
+        (suffix_dedup.substring_digests, {d: (t or "").encode() for d, t in rows}, bytes),
+    ):
+        gone = windows_removed(units, 50)
+        want = {d: (len(gone[d]), hashlib.sha256(join([x for i, x in enumerate(u) if i not in gone[d]])).hexdigest()) for d, u in units.items()}
+        assert by_id(query(df), "n_removed", "kept_sha256") == want
+
+
+def test_texts_larger_than_a_chunk(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    long = [rng.choice(vocabulary) for _ in range(170_000)]
+    text = " ".join(long)
+    assert len(text.encode()) > tx.CHUNK_BYTES
+    other = long[1000:9000] + ["cut"] + long[9000:20000]
+    rows = [(1, text), (2, " ".join(other)), (3, "x" * 300), (4, " ".join(long[100_000:100_060]))]
+    both_cuts(spark, rows)
+    path, pattern = queries.vocabulary()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    back = bpe.decode_ids(bpe.encode_text(df, path, pattern), path, pattern)
+    assert {r.doc_id: bytes(r.decoded).decode() for r in back.collect()} == dict(rows)
+    assert by_id(mixing.sized(df.withColumn("source", F.lit("s")), "doc_id", "text", "source"), "size") == {d: (len(words(t)),) for d, t in rows}
+    assert by_id(jaccard_join.near_duplicates(df), "component_id") == {d: (d,) for d, _ in rows}
+    assert by_id(brown_lm.scores(df), "n_tokens") == {d: (len(words(t)) + 1,) for d, t in rows}
+
+
+def test_texts_that_polynomial_hashes_cannot_tell_apart(spark):
+    x = "a"
+    for _ in range(11):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([x] * 61)), (2, " ".join([y] * 61)), (3, " ".join([x, y] * 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    units = {d: words(t) for d, t in rows}
+    gone = windows_removed(units, 50)
+    assert by_id(relative_lz.passage_digests(df), "n_removed") == {d: (len(gone[d]),) for d in units}
+    lines = spark.createDataFrame([(1, f"{x}\n{y}\n{x}")], "doc_id long, text string")
+    assert by_id(quality.repetition_quality(lines), "n_dup_lines", "n_words") == {1: (1, 3)}
+    got = by_id(brown_lm.scores(spark.createDataFrame([(11, x), (12, y)], "doc_id long, text string")), "n_tokens")
+    assert got == {11: (2,), 12: (2,)}
+
+
+def test_many_texts_of_one_id(spark):
+    rng = random.Random(13)
+    common = " ".join(f"c{i}" for i in range(70))
+    rows = [(1, common)] + [(2, " ".join(f"t{k}x{i}" for i in range(rng.randint(0, 30))) + " " + common[: rng.randint(0, len(common))]) for k in range(320)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    base = {" ".join(words(common)[i : i + 50]) for i in range(21)}
+    want = Counter()
+    for d, t in rows:
+        w = words(t)
+        want[d, len(w), len({j for i in range(len(w) - 49) if d > 1 and " ".join(w[i : i + 50]) in base for j in range(i, i + 50)})] += 1
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in relative_lz.passage_digests(df).collect()) == want
+    kept = suffix_dedup.remove_substrings(df)
+    assert kept.schema == df.schema and kept.count() == len(rows)
+
+
+def test_columns_with_clashing_names(spark):
+    t = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(5, "a", t, 1), (6, "b", t, 2)], "k int, doc_id string, text string, bucket int")
+    for f in (relative_lz.remove_passages, suffix_dedup.remove_substrings):
+        out = f(df, id_col="k")
+        assert out.schema == df.schema
+        assert sorted((r.k, r.doc_id, len(r.text), r.bucket) for r in out.collect()) == [(5, "a", len(t), 1), (6, "b", 0, 2)]
+    assert sorted(tuple(r) for r in jaccard_join.keep_first_of_group(df, id_col="k").collect()) == [(5, "a", t, 1)]
+    assert {r.doc_id for r in mixing.mixed(df.withColumn("source", F.lit("s")), id_col="k").collect()} <= {"a", "b"}
+
+
 def test_null_ids_take_no_part(spark):
     t = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(None, t), (1, t), (1, t), (2, t), (None, None)], "doc_id long, text string")
@@ -255,33 +364,21 @@ def test_mixing_keeps_to_targets(docs):
     assert [tuple(r) for r in mixing.mixed(docs).collect()] == [tuple(r) for r in mixing.mixed(docs.repartition(2)).collect()]
 
 
+def test_the_mix_is_what_the_digest_says(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 2, 3, 4, None, 5, 6]), "w " * rng.randint(0, 6) + rng.choice(["", "a", "b"]), rng.choice(["x", "y", None]), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, place int").repartition(3)
+    said, mix = Counter(), Counter()
+    for r in mixing.mix_digest(df).collect():
+        said[r.doc_id, r.size] += r.taken
+    taken = mixing.mixed(df).collect()
+    for r in taken:
+        mix[r.doc_id, len(words(r.text))] += len(words(r.text))
+    assert {k: v for k, v in said.items() if v} == dict(mix)
+    assert [r[:3] for r in taken] == [r[:3] for r in mixing.mixed(df.repartition(5)).collect()]  # rows that differ elsewhere alone are alike
+    assert {(r.doc_id, r.text, r.source, r.place) for r in taken} <= set(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracles()))
 def test_query_equals_sql(spark, name):
     same(queries.queries()[name](spark, SF), connect(SF), queries.oracles()[name])
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "suffix_dedup", "mix_sources", "byte_bpe"]
-    assert corpus_pipeline.run(spark, SF).count() > 50
-
-
-def test_warc_shards_follow_bytes_not_ids(spark, tmp_path):
-    html = "".join(random.Random(1).choice("abcdefgh") for _ in range(500))
-    ids = [*range(200), 10**15, *[300] * 60, None, None]
-    rows = [(p, f"u{i}", html[: i % 400] + str(i)) for i, p in enumerate(ids)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    runs = []
-    for i, p in enumerate((pages, pages.repartition(7))):
-        runs.append(sorted(map(tuple, warc.write_warc(p, f"file://{tmp_path}/{i}", roll_bytes=1500, shard_bytes=12000).collect())))
-    assert runs[0] == runs[1]
-    assert len({r[1] for r in runs[0]}) > 10  # shards, with an outlier among the ids
-    assert len([r for r in runs[0] if r[6] == r[7] == 300]) > 1  # one id over several files
-    back = warc.read_warc(spark, f"file://{tmp_path}/0")
-    assert sorted((r.page_id or -1, r.payload_bytes) for r in back.collect()) == sorted((p or -1, len(h)) for p, _, h in rows)
-
-
-def test_warc_small_payloads_are_all_responses(spark):
-    pages = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "long"), (4, "d", "long"), (4, "e", "long")], "page_id int, url string, html string")
-    assert sorted(tuple(r)[:1] + tuple(r)[3:5] for r in warc.round_trip(pages, min_bytes=2).collect()) == [(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None), (4, "response", None)]
