@@ -2,7 +2,13 @@
 
 Each stage takes all rows that the one before kept and returns the columns of
 `documents` (the last one: ids and counts of tokens).  SQL cannot express the
-near-duplicate and substring stages, so the whole is tested against brute force.
+near-duplicate and substring stages; tests compare every stage with brute force.
+
+Defined results of all stages: null and empty texts fail the quality rules and go;
+a null doc_id is no near duplicate, is not cut, and is mixed and encoded like others;
+repeated rows are judged one by one, and none of them is a near duplicate of another
+row with its doc_id; long texts are taken whole; an empty table stays empty; extra
+columns stay as they are, and n_chars is made anew only where it is there.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that a document with a smaller id holds are cut; n_chars follows."""
     cut = suffix_dedup.remove_substrings(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
