@@ -412,7 +412,7 @@ def shared_spans(documents: DataFrame, units: Units, matcher: Matcher, finish, s
     shared = anchors.groupBy("bucket").applyInArrow(_find_shared(n), tx.packed_schema(ANCHORS))
     dealt = known.withColumn(BUCKET, tx.doc_bucket_column(F.col(ID), n))
     cut, cut_schema = _segment_rows(units, n, matcher, text_col)
-    found = dealt.select(ID, BUCKET, f"`{text_col}`").groupBy(BUCKET).cogroup(shared.groupBy("bucket")).applyInArrow(cut, cut_schema)
+    found = dealt.groupBy(BUCKET).cogroup(shared.groupBy("bucket")).applyInArrow(cut, cut_schema)
     spans = found.groupBy("bucket").applyInArrow(_compare(n, units, matcher), tx.packed_schema(SPANS))
 
     def final(docs: pa.Table, spans: pa.Table) -> pa.Table:
