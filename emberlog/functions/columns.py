@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +28,25 @@ def event_time(df: DataFrame, names=TIME_FIELDS) -> Column:
     return F.try_to_timestamp(first_of(df, names))
 
 
+def _balanced(conditions: list[Column], join) -> Column:
+    """One condition of many, as a tree of small depth."""
+    while len(conditions) > 1:
+        pairs = [join(a, b) for a, b in zip(conditions[::2], conditions[1::2], strict=False)]
+        conditions = pairs + conditions[len(pairs) * 2 :]
+    return conditions[0]
+
+
 def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False)) if conditions else F.lit(False)
+    return _balanced(conditions, lambda a, b: a | b) if conditions else F.lit(False)
 
 
 def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True)) if conditions else F.lit(True)
+    return _balanced(conditions, lambda a, b: a & b) if conditions else F.lit(True)
+
+
+def let(value: Column, then) -> Column:
+    """`then` of a value that is computed once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def contains_any(column: Column, words) -> Column:
@@ -46,14 +57,21 @@ def contains_any(column: Column, words) -> Column:
 
 
 def entropy(column: Column) -> Column:
-    """Shannon entropy over bytes; 0 for empty text."""
+    """Shannon entropy over bytes; 0 for empty text.
+
+    The bytes' hex pairs are sorted once; runs of equal ones are found by the places where
+    the pair changes, so the work grows with the length and not with its square.
+    """
     codes = F.hex(F.encode(F.coalesce(column, F.lit("")), "UTF-8"))
-    size = F.length(codes) / 2
-    byte = lambda i: F.substring(codes, (i * 2 + 1).cast("int"), F.lit(2))
-    bytes_ = F.transform(F.sequence(F.lit(0), F.greatest((size - 1).cast("int"), F.lit(0))), byte)
-    share = lambda c: F.size(F.filter(bytes_, lambda x: x == c)) / size
-    total = F.aggregate(F.array_distinct(bytes_), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
-    return F.when(size > 0, total).otherwise(F.lit(0.0))
+    pairs = F.array_sort(F.regexp_extract_all(codes, F.lit(".."), F.lit(0)))
+
+    def of(sorted_pairs: Column) -> Column:
+        size = F.size(sorted_pairs)
+        ends = F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (F.get(sorted_pairs, i) != F.get(sorted_pairs, i - 1)))
+        runs = F.transform(ends, lambda e, i: (e - F.coalesce(F.get(ends, i - 1), F.lit(0))) / size)
+        return F.aggregate(runs, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
+    return F.when(F.octet_length(F.coalesce(column, F.lit(""))) > 0, let(pairs, of)).otherwise(F.lit(0.0))
 
 
 def octets(ip: Column) -> Column:
@@ -67,6 +85,20 @@ def ip_number(ip: Column) -> Column:
     return F.aggregate(octets(ip), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
 
 
+def ipv6_hex(ip: Column) -> Column:
+    """The 32 hex digits of an IPv6 address (without zone or dotted part), or null; their order is that of the addresses."""
+    text = F.lower(ip)
+    halves = F.split(text, "::", -1)
+    groups = lambda t: F.filter(F.split(t, ":", -1), lambda g: g != "")
+    left, right = groups(F.get(halves, F.lit(0))), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
+    short = F.contains(text, F.lit("::"))
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    shape = text.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$")
+    fits = F.when(short, missing >= 1).otherwise(missing == 0)
+    return F.when(shape & fits, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def is_public_ip(ip: Column) -> Column:
     o = octets(ip)
     a, b = o[0], o[1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.columns import entropy, event_time, field, first_of, present
@@ -39,16 +39,26 @@ def high_entropy_command(df: DataFrame, length: int = 200, least: float = 4.5) -
     return df.filter(F.length(command) > length).withColumn("_entropy", entropy(field(df, "CommandLine"))).filter(F.col("_entropy") > least)
 
 
-def anomaly_report(df: DataFrame, user: str = "TargetUserName", ip: str = "IpAddress") -> DataFrame:
-    """category, severity, count and score of the anomaly kinds that occur."""
-    total = lambda d, category, severity, score: d.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(category).alias("category"), F.lit(severity).alias("severity"), "n", score.cast("double").alias("score"))
+def anomaly_report(df: DataFrame, user: str = "TargetUserName", ip: str = "IpAddress", evidence: int = 5) -> DataFrame:
+    """category, severity, count, score and evidence (the first `evidence` findings in order, as text) of the anomaly kinds that occur."""
+
+    def total(found: DataFrame, category: str, severity: str, score: Column, shown: Column) -> DataFrame:
+        # The smallest few of each partial result are all that travels, whatever the number of findings.
+        texts = found.select(shown.alias("text"))
+        first = texts.orderBy("text").limit(evidence).agg(F.array_sort(F.collect_list("text")).alias("evidence"))
+        counted = texts.agg(F.count("*").alias("n")).filter("n > 0")
+        row = counted.select(F.lit(category).alias("category"), F.lit(severity).alias("severity"), "n", score.cast("double").alias("score"))
+        return row.crossJoin(first)  # one row each
+
     n = F.col("n")
+    counted = lambda *names: F.concat_ws(" ", F.concat_ws(" > ", *names), F.concat(F.lit("("), F.col("n").cast("string"), F.lit(")")))
+    event = F.concat_ws(" ", field(df, "SystemTime"), field(df, user))
     parts = [
-        total(rare_process(df), "rare_process", "medium", F.least(n, F.lit(10))),
-        total(off_hours_logon(df), "off_hours_logon", "low", F.least(n * 0.5, F.lit(10.0))),
-        total(rare_parent_child(df), "rare_parent_child", "medium", F.least(n * 0.5, F.lit(10.0))),
-        total(brute_force(df, user, ip), "brute_force", "high", F.least(n * 2, F.lit(10))),
-        total(high_entropy_command(df), "high_entropy_command", "medium", F.least(n, F.lit(10))),
+        total(rare_process(df), "rare_process", "medium", F.least(n, F.lit(10)), counted("Image")),
+        total(off_hours_logon(df), "off_hours_logon", "low", F.least(n * 0.5, F.lit(10.0)), event),
+        total(rare_parent_child(df), "rare_parent_child", "medium", F.least(n * 0.5, F.lit(10.0)), counted("ParentImage", "Image")),
+        total(brute_force(df, user, ip), "brute_force", "high", F.least(n * 2, F.lit(10)), counted("user", "ip")),
+        total(high_entropy_command(df), "high_entropy_command", "medium", F.least(n, F.lit(10)), F.left(field(df, "CommandLine"), F.lit(200))),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -74,6 +84,13 @@ def logins_by_ip(df: DataFrame, ip: str = "IpAddress") -> DataFrame:
     return _logins(df, ip, lambda c: present(c) & (c != "-"))
 
 
+def login_brute_force(df: DataFrame, user: str = "TargetUserName", ip: str = "IpAddress", least: int = 5) -> DataFrame:
+    """Failed logons of people by (user, address) with `least` or more; by user alone where events have no address field."""
+    address = F.coalesce(F.nullif(field(df, ip), F.lit("")), F.lit("N/A"))
+    failed = df.filter((field(df, "EventID") == "4625") & _person(field(df, user))).select(field(df, user).alias("user"), address.alias("ip"))
+    return failed.groupBy("user", "ip").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.col("n").desc(), "user", "ip")
+
+
 def unusual_hours(df: DataFrame) -> DataFrame:
     return df.filter((field(df, "EventID") == "4624") & ((_hour(df) < 6) | (_hour(df) >= 20)))
 
@@ -94,23 +111,47 @@ def timeline(hits: DataFrame) -> DataFrame:
     return timed.groupBy("title", "level").agg(F.min("t").alias("first_seen"), F.count("*").alias("n"), techniques.alias("techniques")).orderBy(F.col("first_seen").asc_nulls_first(), "title")
 
 
-def attack_chains(hits: DataFrame, entities=("User", "Computer", "hostname", "LogonId", "ProcessId"), least: int = 2) -> DataFrame:
-    """Entities with hits of two rules or more: hits, rules, first and last time, seconds between.
+ENTITIES = ("User", "Computer", "hostname", "LogonId", "ProcessId")
+KEY_FIELDS = ("Image", "CommandLine", "EventID", "SourceIp", "DestinationIp")
+
+
+def _entities(hits: DataFrame, entities) -> DataFrame:
+    return hits.withColumn("entity", first_of(hits, entities)).withColumn("t", event_time(hits)).filter("entity is not null")
+
+
+def attack_chains(hits: DataFrame, entities=ENTITIES, least: int = 2) -> DataFrame:
+    """Entities with hits of two rules or more: hits, rules, tactics, seconds between first and last; longest chains first.
+
+    Aggregates only, whatever the number of hits; ``chain_events`` lists the hits in order.
+    """
+    rows = _entities(hits, entities)
+    tactics = F.transform(F.filter(F.coalesce("tags", F.array()), lambda x: F.lower(x).rlike(r"^attack\.[a-z]+([_-][a-z]+)*$")), lambda x: F.replace(F.substring(F.lower(x), 8, 40), F.lit("_"), F.lit("-")))
+    chains = rows.groupBy("entity").agg(F.count("*").alias("n"), F.count_distinct("title").alias("n_rules"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.array_sort(F.collect_set("title")).alias("rules"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(tactics)))).alias("tactics"))
+    kept = chains.filter((F.col("n") >= least) & (F.col("n_rules") >= 2)).withColumn("duration_sec", (F.unix_timestamp("t1") - F.unix_timestamp("t0")).cast("double"))
+    return kept.drop("t0", "t1").orderBy(F.col("n").desc(), "entity")
+
+
+def chain_events(hits: DataFrame, entities=ENTITIES, least: int = 2) -> DataFrame:
+    """The hits of every chain, numbered by time: entity, place, time, title, level and the key fields that are not empty.
 
-    Aggregates only: the hits themselves stay in `hits`, to be joined by entity.
+    One row a hit, ranked by a window, so that no chain is gathered into one value.
     """
-    rows = hits.withColumn("entity", first_of(hits, entities)).withColumn("t", event_time(hits)).filter("entity is not null")
-    chains = rows.groupBy("entity").agg(F.count("*").alias("n"), F.count_distinct("title").alias("n_rules"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.array_sort(F.collect_set("title")).alias("rules"))
-    return chains.filter((F.col("n") >= least) & (F.col("n_rules") >= 2)).withColumn("duration_sec", (F.unix_timestamp("t1") - F.unix_timestamp("t0")).cast("double")).drop("t0", "t1")
+    rows = _entities(hits, entities)
+    keys = [F.struct(F.lit(k).alias("key"), F.nullif(field(hits, k), F.lit("")).alias("value")) for k in KEY_FIELDS]
+    known = F.map_from_entries(F.filter(F.array(*keys), lambda e: e["value"].isNotNull()))
+    chains = attack_chains(hits, entities, least).select(F.col("entity").alias("e"))
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.col("t").asc_nulls_first(), "title", F.to_json("key_fields")))
+    named = rows.select("entity", "t", "title", "level", known.alias("key_fields"))
+    return named.join(chains, F.col("entity") == F.col("e")).drop("e").withColumn("place", place)
 
 
 def threat_scores(hits: DataFrame, hosts=("Computer", "hostname"), users=("User",), ips=("SourceIp", "src_ip")) -> DataFrame:
-    """Score per (entity, kind): sum of severity weights, at most 100, each hit once."""
+    """Score per (entity, kind): sum of severity weights, at most 100, each hit once; with the rules that add to it, highest first."""
     fields = [F.struct(field(hits, n).alias("entity"), F.lit(k).alias("kind")) for k, names in (("host", hosts), ("user", users), ("ip", ips)) for n in names]
     weight = F.coalesce(*[F.when(F.col("level") == k, F.lit(w)) for k, w in WEIGHTS.items()], F.lit(0.5))
     rows = hits.withColumn("w", weight).withColumn("e", F.explode(F.array_distinct(F.array(*fields)))).filter("e.entity not in ('', '-')")
     scored = rows.groupBy("e.entity", "e.kind").agg(F.sum("w").alias("s"), F.array_sort(F.collect_set("title")).alias("rules"), F.count("*").alias("n"))
-    return scored.select("entity", "kind", F.least("s", F.lit(100.0)).alias("score"), "n", F.size("rules").alias("n_rules"))
+    return scored.select("entity", "kind", F.least("s", F.lit(100.0)).alias("score"), "n", F.size("rules").alias("n_rules"), "rules").orderBy(F.col("score").desc(), "entity", "kind")
 
 
 def severity_stats(found: DataFrame) -> DataFrame:
@@ -127,12 +168,18 @@ def verdict(found: DataFrame, n_tactics: int = 0) -> DataFrame:
 
 
 def key_findings(found: DataFrame, n: int = 5) -> DataFrame:
-    return found.orderBy(level_rank(F.col("level")).desc(), F.col("n").desc(), "title").limit(n)
+    """The n most severe detections, with the names of the tactics in their tags where `found` has tags."""
+    best = found.orderBy(level_rank(F.col("level")).desc(), F.col("n").desc(), "title").limit(n)
+    if "tags" not in found.columns:
+        return best
+    slugs = F.filter(F.coalesce("tags", F.array()), lambda x: F.lower(x).rlike(r"^attack\.[a-z]+([_-][a-z]+)*$"))
+    named = F.transform(slugs, lambda x: F.replace(F.initcap(F.translate(F.substring(F.lower(x), 8, 40), "_-", "  ")), F.lit(" And "), F.lit(" and ")))
+    return best.withColumn("tactics", F.array_sort(F.array_distinct(named))).drop("tags")
 
 
 def evidence_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rule titles of two sets of hits: resolved, new or in both."""
-    a = before.select(F.col("title").alias("ta")).distinct()
-    b = after.select(F.col("title").alias("tb")).distinct()
+    """Rule titles of two sets of hits, resolved, new or in both, with their hits before and after."""
+    a = before.groupBy(F.col("title").alias("ta")).agg(F.count("*").alias("n_before"))
+    b = after.groupBy(F.col("title").alias("tb")).agg(F.count("*").alias("n_after"))
     state = F.when(F.col("tb").isNull(), "resolved").when(F.col("ta").isNull(), "new").otherwise("both")
-    return a.join(b, F.col("ta") == F.col("tb"), "full").select(F.coalesce("ta", "tb").alias("title"), state.alias("state"))
+    return a.join(b, F.col("ta") == F.col("tb"), "full").select(F.coalesce("ta", "tb").alias("title"), state.alias("state"), F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))

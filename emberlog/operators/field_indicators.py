@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.columns import any_of, field, is_public_ip
+from emberlog.functions.columns import any_of, field, is_public_ip, octets
 from emberlog.operators.indicators import PATTERNS, extract_iocs
 
 #: Names of fields (lower case) by what they hold (fixed values).
@@ -25,11 +25,11 @@ NOISE_PROGRAMS = ("svchost.exe", "services.exe", "lsass.exe", "csrss.exe", "smss
 NOISE_PATHS = ("c:\\windows\\explorer.exe", "c:\\windows\\system32\\msiexec.exe")
 NOISE_FOLDERS = ("winsxs", "assembly", "microsoft.net", "syswow64", "servicing")
 NOISE_KEYS = ("\\currentcontrolset\\services\\bam\\", "\\deliveryoptimization\\", "\\tracing\\")
-#: Domains of infrastructure, and last labels that are file extensions (fixed values).
+#: Domains of infrastructure, and last labels that are file extensions (fixed values; "com" is left out, which is a top-level domain as well).
 NOISE_DOMAINS = ("microsoft.com", "windows.com", "windowsupdate.com", "microsoftonline.com", "microsoftonline.cn", "office.com", "office365.com", "azure.com", "msocsp.com", "msn.com", "live.com", "bing.com", "aka.ms", "msol-test.com", "ccsctp.com", "live-int.com", "spoppe.com", "passport.net", "w3.org", "globalsign.com", "digicert.com", "verisign.com", "symantec.com", "thawte.com", "geotrust.com", "letsencrypt.org", "oasis-open.org", "xmlsoap.org", "dmtf.org", "outlook.com", "outlook.cn", "gmail.com", "google.com", "yandex.net", "yandex.ru", "cloudapp.net", "localhost.com", "kaspersky.com", "microsoft.net")
-FILE_ENDINGS = ("exe", "dll", "sys", "bat", "cmd", "ps1", "vbs", "js", "wsf", "msi", "msp", "scr", "com", "log", "txt", "cfg", "ini", "xml", "json", "yaml", "yml", "csv", "tsv", "tmp", "bak", "old", "dat", "db", "sqlite", "png", "jpg", "gif", "bmp", "ico", "svg", "doc", "docx", "xls", "xlsx", "pdf", "ppt", "pptx", "zip", "rar", "gz", "tar", "7z", "cab", "evtx", "etl", "dmp", "aspx", "asp", "php", "jsp", "cgi", "htm", "html", "css", "cs", "java", "py", "rb", "go", "rs", "cpp", "c", "h", "psm1", "psd1", "conf", "config", "properties", "env", "toml", "lock", "gen", "heur", "script")
+FILE_ENDINGS = ("exe", "dll", "sys", "bat", "cmd", "ps1", "vbs", "js", "wsf", "msi", "msp", "scr", "log", "txt", "cfg", "ini", "xml", "json", "yaml", "yml", "csv", "tsv", "tmp", "bak", "old", "dat", "db", "sqlite", "png", "jpg", "gif", "bmp", "ico", "svg", "doc", "docx", "xls", "xlsx", "pdf", "ppt", "pptx", "zip", "rar", "gz", "tar", "7z", "cab", "evtx", "etl", "dmp", "aspx", "asp", "php", "jsp", "cgi", "htm", "html", "css", "cs", "java", "py", "rb", "go", "rs", "cpp", "c", "h", "psm1", "psd1", "conf", "config", "properties", "env", "toml", "lock", "gen", "heur", "script")
 SCANNER_PREFIXES = ("trojan.", "exploit.", "heur:", "not-a-virus:", "backdoor.", "worm.", "virus.", "adware.", "riskware.", "hacktool.", "ransom.", "rootkit.", "bss:")
-NOISE_URL_PARTS = ("schemas.microsoft.com", "www.w3.org", "schemas.openxmlformats.org", "purl.org", "docs.oasis-open.org", "xmlsoap.org", "://localhost", "://127.0.0.1", ".local/", ".local:", ".local\\", ".internal/", ".internal:", "://192.168.", "://10.", "://172.16.", "://172.17.", "://172.18.", "://172.19.", "://172.2", "://172.30.", "://172.31.", "\\r\\n", "&#13;", "&#10;", "replace_percent_sign", "/unsubscribe", "/unsub/")
+NOISE_URL_PARTS = ("schemas.microsoft.com", "www.w3.org", "schemas.openxmlformats.org", "purl.org", "docs.oasis-open.org", "xmlsoap.org", "://localhost", ".local/", ".local:", ".local\\", ".internal/", ".internal:", "\\r\\n", "&#13;", "&#10;", "replace_percent_sign", "/unsubscribe", "/unsub/")
 ROLE_MAILBOXES = ("abuse", "postmaster", "noreply", "no-reply", "nobody", "dummy", "bookingmailbox", "mailer-daemon")
 
 
@@ -56,7 +56,9 @@ def noise_domain(domain: Column) -> Column:
 
 def noise_url(url: Column) -> Column:
     u = F.lower(url)
-    return u.rlike(_either(NOISE_URL_PARTS)) | u.rlike(r"\.(local|internal)$") | u.rlike(_either(NOISE_DOMAINS))
+    host = F.regexp_extract(u, r"://(?:[^/?#@]*@)?([0-9.]+)(?:[:/?#]|$)", 1)
+    inside = octets(host).isNotNull() & ~is_public_ip(host)
+    return inside | u.rlike(_either(NOISE_URL_PARTS)) | u.rlike(r"\.(local|internal)$") | u.rlike(_either(NOISE_DOMAINS))
 
 
 def noise_email(email: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.columns import any_of, entropy, field, present
+from emberlog.functions.columns import any_of, entropy, field, let, present
 
 # Fixed values of the hunts, in their order (the first that fits decides).
 SYSTEM_PROCESSES = ["svchost.exe", "lsass.exe", "csrss.exe", "smss.exe", "wininit.exe", "winlogon.exe", "services.exe", "spoolsv.exe", "conhost.exe", "dllhost.exe", "taskhost.exe", "taskhostw.exe", "RuntimeBroker.exe", "explorer.exe", "dwm.exe"]
@@ -186,13 +186,13 @@ def dns_subdomain(df: DataFrame) -> Column:
         "LONG_SUBDOMAIN": lambda x: F.length(x) > 30,
         "HEX_SUBDOMAIN": lambda x: x.rlike("(?i)^[0-9a-f]{16,}$"),
         "BASE64_SUBDOMAIN": lambda x: x.rlike("^[A-Za-z0-9+/=]{20,}$"),
-        "HIGH_ENTROPY_LABEL": lambda x: (F.length(x) >= 8) & (entropy(x) > 3.5),
+        "HIGH_ENTROPY_LABEL": lambda x: F.when((F.length(x) >= 8) & (F.octet_length(x) > 11), entropy(x) > 3.5).otherwise(False),  # 2**3.5 kinds of bytes at least
         "NUMERIC_SUBDOMAIN": lambda x: (F.length(x) >= 8) & (F.length(F.regexp_replace(x, "[^0-9]", "")) * 2 > F.length(x)),
     }
     tests = {"VERY_LONG_QUERY": F.length(name) > 100, "DEEP_NESTING": F.size(labels) > 4} | {k: F.exists(inner, f) for k, f in of_label.items()}
-    found = _some(F.when(F.length(name) > 5, F.array_sort(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()])))))
-    severe = F.arrays_overlap(found, F.array(*[F.lit(x) for x in ("VERY_LONG_QUERY", "HEX_SUBDOMAIN", "BASE64_SUBDOMAIN")]))
-    return finding("DnsSubdomain", F.when(severe, "high").otherwise("medium"), F.concat(F.lit("DNS anomaly: "), F.array_join(found, ", ")))
+    found = F.when(F.length(name) > 5, F.array_sort(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))))
+    grave = F.array(*[F.lit(x) for x in ("VERY_LONG_QUERY", "HEX_SUBDOMAIN", "BASE64_SUBDOMAIN")])
+    return let(found, lambda f: finding("DnsSubdomain", F.when(F.arrays_overlap(f, grave), "high").otherwise("medium"), F.concat(F.lit("DNS anomaly: "), F.array_join(_some(f), ", "))))
 
 
 HUNTS: dict[str, Hunt] = {f.__name__: f for f in (typosquat, masquerade, path_anomaly, double_extension, c2_framework, download_cradle, credential_exposure, shellcode, ps_reflection, parent_anomaly, registry_path, sensitive_file, lateral_command, persistence_command, recon_command, data_staging, dns_subdomain)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.columns import any_of, field, present
+from emberlog.functions.columns import field, present
 from emberlog.operators import attack as at
 from emberlog.operators.analytics import verdict
 
@@ -45,26 +45,6 @@ CHANNELS = {
     "msexchange-management": "MSExchange Management",
     "terminalservices-localsessionmanager": "Microsoft-Windows-TerminalServices-LocalSessionManager/Operational",
 }
-#: Formats that hold the events of a product (fixed values).
-PRODUCT_FORMATS = {
-    **dict.fromkeys(("zeek",), ("ZeekTsv", "Zeek")),
-    **dict.fromkeys(("linux", "macos"), ("Syslog", "SyslogRfc5424")),
-    **dict.fromkeys(("cisco", "juniper", "fortinet", "paloalto"), ("CEF", "LEEF", "Syslog")),
-    **dict.fromkeys(("aws", "azure", "gcp", "google_workspace", "m365", "okta", "github", "onelogin", "qualys"), ("JSON",)),
-    **dict.fromkeys(("apache",), ("W3C", "ApacheCombined")),
-}
-
-
-def logsource_formats(df: DataFrame, logsource: dict, column: str = "source_format") -> Column:
-    """Whether an event's format (or, for antivirus rules, its channel) can hold events of a rule's log source."""
-    product, category = (str(logsource.get(k) or "").lower() for k in ("product", "category"))
-    if product in PRODUCT_FORMATS:
-        return field(df, column).isin(*PRODUCT_FORMATS[product])
-    if category == "antivirus":
-        return any_of([F.contains(F.lower(field(df, "Channel")), F.lit(w)) for w in ("defender", "virus", "endpoint", "antivirus")])
-    return F.lit(True)
-
-
 def confidence(hits: DataFrame, rules: list[dict]) -> DataFrame:
     """(title, confidence): low where a hit's channel is not the one that the rule's service writes to."""
     expected = [(r["title"], CHANNELS.get(str((r.get("logsource") or {}).get("service") or "").lower())) for r in rules]

@@ -22,11 +22,18 @@ _UTF16 = "^(?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])+$"
 
 
 def extract_iocs(df: DataFrame, text: str, types=tuple(PATTERNS), public_ips: bool = True) -> DataFrame:
-    """(type, value) of every indicator of each row once, with the row's other columns."""
+    """(type, value) of every indicator of each row once, with the row's other columns.
+
+    Type `domain` is the host of a URL, where it is a name.
+    """
+    content = F.coalesce(F.col(text), F.lit(""))
 
     def of_type(t: str):
-        values = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERNS[t]), F.lit(0)))
-        return F.transform(values, lambda v: F.struct(F.lit(t).alias("type"), v.alias("value")))
+        found = F.regexp_extract_all(content, F.lit(PATTERNS["url" if t == "domain" else t]), F.lit(0))
+        if t == "domain":
+            hosts = F.transform(found, lambda u: F.lower(F.regexp_extract(u, r"^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
+            found = F.filter(hosts, lambda h: h.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}$"))
+        return F.transform(F.array_distinct(found), lambda v: F.struct(F.lit(t).alias("type"), v.alias("value")))
 
     found = [of_type(t) for t in types]
     rows = df.withColumn("ioc", F.explode(F.flatten(F.array(*found)))).select(*[c for c in df.columns if c != text], "ioc.type", "ioc.value")
@@ -38,9 +45,24 @@ def ioc_rollup(iocs: DataFrame, key: str) -> DataFrame:
     return iocs.groupBy("type", "value").agg(F.count("*").alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
 
 
-def enrich_iocs(iocs: DataFrame, reputation: DataFrame) -> DataFrame:
-    """Left join to a reputation table (type, value, zone)."""
-    return iocs.join(reputation, ["type", "value"], "left")
+#: Order in which indicators are looked up, and zones from worst on (fixed values).
+PRIORITY = ("sha256", "sha1", "md5", "ipv4", "domain", "url")
+ZONES = ("Red", "Orange", "Yellow", "Grey", "Green")
+
+
+def enrich_iocs(iocs: DataFrame, reputation: DataFrame, types=PRIORITY, most: int | None = None) -> DataFrame:
+    """Each (type, value) of the types once, with its zone in a reputation table (type, value, zone), worst zones first.
+
+    With `most`, only that many are looked up, in the order of PRIORITY and value (a limit of
+    the caller); indicators that the table lacks are Grey; of several zones the worst counts.
+    """
+    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("type"))
+    asked = iocs.select("type", "value").filter(F.col("type").isin(*types)).distinct()
+    if most is not None:
+        asked = asked.orderBy(rank, "value").limit(most)
+    order = lambda z: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ZONES)), z), F.lit(0)), F.lit(len(ZONES) + 1))
+    worst = reputation.groupBy("type", "value").agg(F.min_by("zone", order(F.col("zone"))).alias("zone"))
+    return asked.join(worst, ["type", "value"], "left").withColumn("zone", F.coalesce("zone", F.lit("Grey"))).orderBy(order(F.col("zone")), rank, "value")
 
 
 def entropy_level(df: DataFrame, name: str = "QueryName") -> DataFrame:
@@ -49,10 +71,14 @@ def entropy_level(df: DataFrame, name: str = "QueryName") -> DataFrame:
 
 
 def obfuscation_score(df: DataFrame, name: str = "CommandLine") -> DataFrame:
+    """obfuscation_score, and obfuscation_signs: the names of the parts that add to it."""
     c = field(df, name)
     count = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
-    parts = [(count("^") >= 3, 3), (F.contains(c, F.lit('"+"')) | F.contains(c, F.lit("'+'")), 3), (count("`") >= 2, 2), (count("%") >= 4, 2), (F.octet_length(c) > 1000, 1), (entropy(c) > 4.5, 2)]
-    return df.withColumn("obfuscation_score", sum((F.when(p, w).otherwise(0) for p, w in parts), F.lit(0)))
+    parts = [("carets", count("^") >= 3, 3), ("joined strings", F.contains(c, F.lit('"+"')) | F.contains(c, F.lit("'+'")), 3), ("backticks", count("`") >= 2, 2), ("variables", count("%") >= 4, 2), ("length", F.octet_length(c) > 1000, 1), ("entropy", entropy(c) > 4.5, 2)]
+    signs = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(sign).alias("sign"), F.lit(weight).alias("weight"))) for sign, test, weight in parts]))
+    found = df.withColumn("__signs", signs)
+    total = F.aggregate("__signs", F.lit(0), lambda acc, x: acc + x["weight"])
+    return found.withColumns({"obfuscation_score": total, "obfuscation_signs": F.transform("__signs", lambda x: x["sign"])}).drop("__signs")
 
 
 def decode_utf16_base64(df: DataFrame, name: str = "CommandLine") -> DataFrame:
@@ -66,6 +92,19 @@ def decode_utf16_base64(df: DataFrame, name: str = "CommandLine") -> DataFrame:
     return df.withColumn(f"decoded_{name}", F.try_element_at(printable, F.lit(1)))
 
 
+#: Fields that may hold coded commands (fixed values).
+CODED_FIELDS = ("CommandLine", "ScriptBlockText", "Payload", "ServiceFileName")
+
+
+def decode_base64(df: DataFrame, names=CODED_FIELDS) -> DataFrame:
+    """decoded_<name> of every one of the fields that the events have."""
+    known = {c.lower() for c in df.columns}
+    for name in names:
+        if name.lower() in known:
+            df = decode_utf16_base64(df, name)
+    return df
+
+
 def deobfuscate(df: DataFrame, name: str = "CommandLine") -> DataFrame:
     """deobfuscated_<name> and deobfuscation (kinds found), both null unless the text changes.
 

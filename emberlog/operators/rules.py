@@ -8,17 +8,24 @@ from __future__ import annotations
 
 import base64
 import ipaddress
+import json
+import operator
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.columns import all_of, any_of, field, ip_number
+from emberlog.functions.columns import all_of, any_of, field, ip_number, ipv6_hex, present
 
 LEVELS = ("informational", "low", "medium", "high", "critical")
-CHUNK = 256  # predicates per array, so that generated methods stay compilable
-MODIFIERS = {"contains", "startswith", "endswith", "re", "cidr", "gt", "gte", "lt", "lte", "base64", "base64offset", "windash", "all"}
+CHUNK = 64  # predicates per array, so that generated methods stay compilable
+WIDE = {"wide", "utf16", "utf16le"}
+MODIFIERS = {"contains", "startswith", "endswith", "re", "i", "cidr", "gt", "gte", "lt", "lte", "base64", "base64offset", "windash", "all", "fieldref", "exists", "cased"} | WIDE
+#: Columns of a hit that name its rule; columns of the events with these names become event_<name>.
+RULE_COLUMNS = ("rule", "title", "level", "tags")
+LOWER = "__lower_"  # prefix of columns with the lower-case text of a field
 
 
 def _wildcard(value: str) -> str | None:
@@ -36,69 +43,85 @@ def _wildcard(value: str) -> str | None:
     return out if wild else None
 
 
-def matches(column: Column, value: str, kind: str = "") -> Column:
-    """equals, contains, startswith or endswith without case; * and ? are wildcards."""
-    lower = F.lower(column)
+def lowered(df: DataFrame, name: str) -> Column:
+    """The field in lower case, from a column made before where there is one."""
+    made = LOWER + name.lower()
+    return F.col(f"`{made}`") if made in df.columns else F.lower(field(df, name))
+
+
+def matches(lower: Column, value: str, kind: str = "") -> Column:
+    """equals, contains, startswith or endswith of text and value in one case; * and ? are wildcards."""
     pattern = _wildcard(value)
     if pattern is not None:
         head, tail = ("^", "$") if kind == "" else ("^", "") if kind == "startswith" else ("", "$") if kind == "endswith" else ("", "")
-        return column.rlike(f"(?is){head}{pattern}{tail}")
-    text = F.lit(re.sub(r"\\([*?])", r"\1", value).lower())
+        return lower.rlike(f"(?s){head}{pattern}{tail}")
+    text = F.lit(re.sub(r"\\([*?])", r"\1", value))
     return {"": lambda: lower == text, "contains": lambda: F.contains(lower, text), "startswith": lambda: F.startswith(lower, text), "endswith": lambda: F.endswith(lower, text)}[kind]()
 
 
 def cidr(column: Column, network: str) -> Column:
+    """Whether an address lies in a network; text that is no address of its version does not."""
     net = ipaddress.ip_network(network, strict=False)
     if net.version == 6:
-        prefix = net.network_address.exploded[: net.prefixlen // 4 + net.prefixlen // 16]
-        return F.startswith(F.lower(column), F.lit(str(net.network_address).rstrip(":").lower())) | F.startswith(F.lower(column), F.lit(prefix))
+        low, high = (f"{int(x):032x}" for x in (net.network_address, net.broadcast_address))
+        return F.coalesce(ipv6_hex(column).between(low, high), F.lit(False))
     low = int(net.network_address)
     return F.coalesce(ip_number(column).between(low, low + net.num_addresses - 1), F.lit(False))
 
 
-def _base64_offsets(value: str) -> list[str]:
-    data = value.encode()
+def _base64_offsets(data: bytes) -> list[str]:
     return [base64.b64encode(b" " * i + data).decode()[(0, 2, 3)[i] : (None, -3, -2)[(len(data) + i) % 3]] for i in range(3)]
 
 
-def value_predicate(column: Column, value, modifiers: list[str]) -> Column:
-    """One value with its modifiers."""
+def value_predicate(df: DataFrame, name: str, value, modifiers: list[str]) -> Column:
+    """One value of a field with its modifiers."""
     unknown = set(modifiers) - MODIFIERS
     if unknown:
         raise ValueError(f"modifiers not supported: {sorted(unknown)}")
+    column = field(df, name)
+    if "exists" in modifiers:
+        return present(column) if value else ~present(column)
     if value is None or value == "":
         return column == ""
     if isinstance(value, bool):
-        return F.lower(column) == str(value).lower()
+        return lowered(df, name) == str(value).lower()
     for m in modifiers:
         if m in ("gt", "gte", "lt", "lte"):
             number, limit = column.try_cast("double"), F.lit(float(value))
             return F.coalesce({"gt": number > limit, "gte": number >= limit, "lt": number < limit, "lte": number <= limit}[m], F.lit(False))
     text = str(value)
+    kind = next((m for m in modifiers if m in ("contains", "startswith", "endswith")), "")
     if "re" in modifiers:
-        return column.rlike(text)
+        return column.rlike(f"(?i){text}" if "i" in modifiers else text)
     if "cidr" in modifiers:
         return cidr(column, text)
+    if "fieldref" in modifiers:
+        test = {"": operator.eq, "contains": F.contains, "startswith": F.startswith, "endswith": F.endswith}[kind]
+        return present(field(df, text)) & test(lowered(df, name), lowered(df, text))
     variants = [text]
     if "windash" in modifiers:
         variants += [x for x in (re.sub(r"(^|\s)-", r"\1/", text), text.replace("-", "/")) if x not in variants]
+    coding = "utf-16-le" if WIDE & set(modifiers) else "utf-8"
     if "base64offset" in modifiers:
-        variants = [o for v in variants for o in _base64_offsets(v)]
+        variants = [o for v in variants for o in _base64_offsets(v.encode(coding))]
+        kind = kind or "contains"
     elif "base64" in modifiers:
-        variants = [base64.b64encode(v.encode()).decode() for v in variants]
-    kind = next((m for m in modifiers if m in ("contains", "startswith", "endswith")), "contains" if "base64offset" in modifiers else "")
-    return any_of([matches(column, v, kind) for v in dict.fromkeys(variants)])
+        variants = [base64.b64encode(v.encode(coding)).decode() for v in variants]
+    elif coding != "utf-8":
+        variants = ["".join(c + "\0" for c in v) for v in variants]
+    if "cased" in modifiers:
+        return any_of([matches(column, v, kind) for v in dict.fromkeys(variants)])
+    return any_of([matches(lowered(df, name), v, kind) for v in dict.fromkeys(v.lower() for v in variants)])
 
 
 def field_predicate(df: DataFrame, key: str, value) -> Column:
     """`Field|modifier...: value or list`."""
     name, *modifiers = key.split("|")
-    column = field(df, name)
     if not isinstance(value, list):
-        return value_predicate(column, value, modifiers)
+        return value_predicate(df, name, value, modifiers)
     if not modifiers and value and all(isinstance(v, (str, int)) and not isinstance(v, bool) and v != "" and _wildcard(str(v)) is None for v in value):
-        return F.lower(column).isin([re.sub(r"\\([*?\\])", r"\1", str(v)).lower() for v in value])
-    parts = [value_predicate(column, v, modifiers) for v in value]
+        return lowered(df, name).isin([re.sub(r"\\([*?\\])", r"\1", str(v)).lower() for v in value])
+    parts = [value_predicate(df, name, v, modifiers) for v in value]
     return all_of(parts) if "all" in modifiers and parts else any_of(parts)
 
 
@@ -108,10 +131,34 @@ def selection(df: DataFrame, body) -> Column:
         return all_of([field_predicate(df, k, v) for k, v in body.items()])
     if isinstance(body, list):
         return any_of([selection(df, x) for x in body])
-    return matches(field(df, "_raw"), str(body), "contains")
+    return matches(lowered(df, "_raw"), str(body).lower(), "contains")
+
+
+class Algebra:
+    """What a condition is made of: Columns."""
+
+    false = staticmethod(lambda: F.lit(False))
+    both = staticmethod(lambda a, b: a & b)
+    either = staticmethod(lambda a, b: a | b)
+    negated = staticmethod(lambda a: ~a)
+    least = staticmethod(lambda parts, n: reduce(lambda a, b: a + b, [F.when(c, 1).otherwise(0) for c in parts]) >= n)
+
+
+def _both(a, b):
+    return b if a is None else a if b is None else a & b
+
+
+class EventIds(Algebra):
+    """What a condition is made of: the event ids that an event must have one of, None for any."""
+
+    false = staticmethod(lambda: frozenset())
+    both = staticmethod(_both)
+    either = staticmethod(lambda a, b: None if a is None or b is None else a | b)
+    negated = staticmethod(lambda a: None)
+    least = staticmethod(lambda parts, n: reduce(EventIds.either, parts))
 
 
-def condition(text: str, selections: dict[str, Column]) -> Column:
+def condition(text: str, selections: dict, algebra: type[Algebra] = Algebra):
     """and, or, not, ( ), `N of x*`, `1|any|all of them`."""
     words = re.findall(r"\(|\)|[^\s()]+", text)
     at = 0
@@ -119,53 +166,53 @@ def condition(text: str, selections: dict[str, Column]) -> Column:
     def peek():
         return words[at].lower() if at < len(words) else ""
 
-    def several() -> Column | None:
+    def several():
         nonlocal at
-        if at + 2 < len(words) and words[at + 1].lower() == "of" and (peek() in ("all", "any") or peek().isdigit()):
-            count, target = peek(), words[at + 2]
-            at += 3
-            prefix = target.rstrip("*")
-            chosen = [c for n, c in selections.items() if target.lower() == "them" or (n.startswith(prefix) if target.endswith("*") else n == target)]
-            if not chosen:
-                return F.lit(False)
-            if count == "all":
-                return all_of(chosen)
-            if count in ("any", "1"):
-                return any_of(chosen)
-            return reduce(lambda a, b: a + b, [F.when(c, 1).otherwise(0) for c in chosen]) >= int(count)
-        return None
-
-    def term() -> Column:
+        if not (at + 2 < len(words) and words[at + 1].lower() == "of" and (peek() in ("all", "any") or peek().isdigit())):
+            return False, None
+        count, target = peek(), words[at + 2]
+        at += 3
+        prefix = target.rstrip("*")
+        chosen = [c for n, c in selections.items() if target.lower() == "them" or (n.startswith(prefix) if target.endswith("*") else n == target)]
+        if not chosen:
+            return True, algebra.false()
+        if count == "all":
+            return True, reduce(algebra.both, chosen)
+        if count in ("any", "1"):
+            return True, reduce(algebra.either, chosen)
+        return True, algebra.least(chosen, int(count))
+
+    def term():
         nonlocal at
         if peek() == "not":
             at += 1
-            return ~term()
+            return algebra.negated(term())
         if peek() == "(":
             at += 1
             inner = either()
             at += 1
             return inner
-        found = several()
-        if found is not None:
-            return found
+        found, value = several()
+        if found:
+            return value
         name = words[at]
         at += 1
-        return selections.get(name, F.lit(False))
+        return selections[name] if name in selections else algebra.false()
 
-    def both() -> Column:
+    def both():
         nonlocal at
         out = term()
         while peek() == "and":
             at += 1
-            out = out & term()
+            out = algebra.both(out, term())
         return out
 
-    def either() -> Column:
+    def either():
         nonlocal at
         out = both()
         while peek() == "or":
             at += 1
-            out = out | both()
+            out = algebra.either(out, both())
         return out
 
     return either()
@@ -181,13 +228,80 @@ CATEGORY_EVENTS = {
 }
 
 
-def rule_predicate(df: DataFrame, rule: dict) -> Column:
+#: Formats that hold the events of a product (fixed values).
+PRODUCT_FORMATS = {
+    **dict.fromkeys(("zeek",), ("ZeekTsv", "Zeek")),
+    **dict.fromkeys(("linux", "macos"), ("Syslog", "SyslogRfc5424")),
+    **dict.fromkeys(("cisco", "juniper", "fortinet", "paloalto"), ("CEF", "LEEF", "Syslog")),
+    **dict.fromkeys(("aws", "azure", "gcp", "google_workspace", "m365", "okta", "github", "onelogin", "qualys"), ("JSON",)),
+    **dict.fromkeys(("apache",), ("W3C", "ApacheCombined")),
+}
+
+
+def logsource_formats(df: DataFrame, logsource: dict, column: str = "source_format") -> Column:
+    """Whether an event's format (or, for antivirus rules, its channel) can hold events of a rule's log source."""
+    product, category = (str(logsource.get(k) or "").lower() for k in ("product", "category"))
+    if product in PRODUCT_FORMATS:
+        return field(df, column).isin(*PRODUCT_FORMATS[product])
+    if category == "antivirus":
+        return any_of([F.contains(F.lower(field(df, "Channel")), F.lit(w)) for w in ("defender", "virus", "endpoint", "antivirus")])
+    return F.lit(True)
+
+
+def _source(df: DataFrame, rule: dict) -> tuple[Column | None, Column | None]:
+    """What the rule's log source asks of an event: its event ids, and its format where the events say one."""
+    logsource = rule.get("logsource") or {}
+    events = CATEGORY_EVENTS.get(logsource.get("category", ""))
+    formats = next((c for c in ("source_format", "_source_format") if c in df.columns), None)
+    asked = str(logsource.get("product") or "").lower() in PRODUCT_FORMATS and formats or logsource.get("category") == "antivirus" and "Channel" in df.columns
+    return field(df, "EventID").isin(events) if events else None, logsource_formats(df, logsource, formats) if asked else None
+
+
+def _detection(rule: dict) -> tuple[str, dict]:
     detection = rule["detection"]
-    selections = {k: selection(df, v) for k, v in detection.items() if k not in ("condition", "timeframe")}
     text = detection.get("condition", "")
-    out = condition(text[0] if isinstance(text, list) else text, selections)
-    events = CATEGORY_EVENTS.get((rule.get("logsource") or {}).get("category", ""))
-    return field(df, "EventID").isin(events) & out if events else out
+    return text[0] if isinstance(text, list) else text, {k: v for k, v in detection.items() if k not in ("condition", "timeframe")}
+
+
+def _own_predicate(df: DataFrame, rule: dict) -> Column:
+    text, bodies = _detection(rule)
+    return condition(text, {k: selection(df, v) for k, v in bodies.items()})
+
+
+def rule_predicate(df: DataFrame, rule: dict) -> Column:
+    return all_of([*[x for x in _source(df, rule) if x is not None], _own_predicate(df, rule)])
+
+
+def _ids_of(body) -> frozenset | None:
+    """The event ids that a selection asks for, None for any."""
+    if isinstance(body, dict):
+        out = None
+        for key, value in body.items():
+            values = value if isinstance(value, list) else [value]
+            if key.lower() == "eventid" and values and all(isinstance(v, int) and not isinstance(v, bool) or isinstance(v, str) and v.isdigit() for v in values):
+                out = _both(out, frozenset(map(str, values)))
+        return out
+    if isinstance(body, list) and body and all(isinstance(x, dict) for x in body):
+        return reduce(EventIds.either, map(_ids_of, body))
+    return None
+
+
+def rule_events(rule: dict) -> frozenset | None:
+    """The event ids outside of which the rule cannot hit, None if there are none."""
+    text, bodies = _detection(rule)
+    ids = condition(text, {k: _ids_of(v) for k, v in bodies.items()}, EventIds)
+    category = CATEGORY_EVENTS.get((rule.get("logsource") or {}).get("category", ""))
+    return _both(ids, frozenset(category)) if category else ids
+
+
+def prefilter_events(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """The events that any rule can hit by its event id; all where a rule names none.  A bare column test, so that sources filter by it."""
+    ids = [rule_events(r) for r in rules]
+    name = next((c for c in df.columns if c.lower() == "eventid"), None)
+    if name is None or not ids or any(x is None for x in ids):
+        return df
+    column = F.col(f"`{name}`")
+    return df.filter((column if dict(df.dtypes)[name] == "string" else column.cast("string")).isin(sorted(frozenset().union(*ids))))
 
 
 def select_rules(rules: list[dict], min_level: str = "informational", exclude=()) -> list[dict]:
@@ -195,25 +309,85 @@ def select_rules(rules: list[dict], min_level: str = "informational", exclude=()
     return [r for r in rules if LEVELS.index(r.get("level", "medium")) >= rank and not any(p.lower() in r["title"].lower() for p in exclude)]
 
 
-def apply_rules(df: DataFrame, rules: list[dict]) -> DataFrame:
-    """(rule number, title, level, tags and the event's columns) of every hit, in one pass over the events.
+def _shape_problem(rule: dict) -> str | None:
+    """What is wrong with a rule before any column is built, or None."""
+    try:
+        if not isinstance(rule.get("title"), str) or rule.get("level", "medium") not in LEVELS:
+            return "no title or no known level"
+        rule_events(rule)
+        _fields_of(rule)
+    except Exception as e:  # noqa: BLE001 - rules come from outside, and whatever is wrong with one is reported
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
+def _built(df: DataFrame, rule: dict) -> tuple[Column | None, str | None]:
+    """The rule's predicate, or why it cannot be built."""
+    try:
+        return _own_predicate(df, rule), None
+    except Exception as e:  # noqa: BLE001 - as above
+        return None, f"{type(e).__name__}: {e}"
+
 
-    Rules of one category share a filter on EventID; inside it, predicates become
-    arrays of rule numbers, CHUNK at a time.
+def rule_problems(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """(rule number, title, problem) of the rules that apply_rules(..., skip=True) leaves out."""
+    found = [(i, str(r.get("title")), p) for i, r in enumerate(rules) if (p := _shape_problem(r) or _built(df, r)[1])]
+    return df.sparkSession.createDataFrame(found, "rule int, title string, problem string")
+
+
+def _fields_of(rule: dict) -> set[str]:
+    """Names of the fields that a rule compares in lower case."""
+
+    def names(body) -> set[str]:
+        if isinstance(body, dict):
+            plain = {k.split("|")[0].lower() for k in body if not {"re", "cidr", "gt", "gte", "lt", "lte", "exists", "cased"} & set(k.split("|")[1:])}
+            return plain | {str(v).lower() for k, value in body.items() if "fieldref" in k.split("|") for v in (value if isinstance(value, list) else [value])}
+        return set().union(*map(names, body)) if isinstance(body, list) else {"_raw"}
+
+    return set().union(*(names(b) for b in _detection(rule)[1].values()))
+
+
+def apply_rules(df: DataFrame, rules: list[dict], skip: bool = False) -> DataFrame:
+    """(rule number, title, level, tags and the event's columns) of every hit, in one scan of the events.
+
+    The lower-case text of each field is made once.  Rules with one log source share
+    its test; behind it, their predicates become arrays of rule numbers, CHUNK at a
+    time, and all arrays of an event are one.  With `skip`, rules that cannot be
+    evaluated are left out (see rule_problems); else they raise.
     """
+    usable = [i for i, r in enumerate(rules) if not (skip and _shape_problem(r))]
+    taken = {c.lower() for c in df.columns}
+    for c in df.columns:
+        if c.lower() in RULE_COLUMNS:
+            free = f"event_{c}"
+            while free.lower() in taken:
+                free += "_"
+            df, taken = df.withColumnRenamed(c, free), taken | {free.lower()}
+    columns = df.columns
+    kept = prefilter_events(df, [rules[i] for i in usable])
+    known = {c.lower() for c in columns}
+    lower = {LOWER + n: F.lower(field(df, n)) for n in sorted(set().union(*(_fields_of(rules[i]) for i in usable)) & known)}
+    ready = kept.withColumns(lower) if lower else kept
     groups: dict[tuple, list[int]] = {}
-    for i, r in enumerate(rules):
-        groups.setdefault(tuple(CATEGORY_EVENTS.get((r.get("logsource") or {}).get("category", ""), ())), []).append(i)
-    out = []
-    for events, numbers in groups.items():
-        part = df.filter(field(df, "EventID").isin(list(events))) if events else df
-        for lo in range(0, len(numbers), CHUNK):
-            hits = F.array_compact(F.array(*[F.when(rule_predicate(df, rules[i]), F.lit(i)) for i in numbers[lo : lo + CHUNK]]))
-            out.append(part.withColumn("rule", F.explode(hits)))
-    hits = reduce(lambda a, b: a.unionByName(b), out)
-    info = [(i, r["title"], r.get("level", "medium"), [str(t) for t in r.get("tags") or []]) for i, r in enumerate(rules)]
+    for i in usable:
+        logsource = rules[i].get("logsource") or {}
+        groups.setdefault((str(logsource.get("category", "")), str(logsource.get("product", ""))), []).append(i)
+    none = F.array().cast("array<int>")
+    parts = []
+    for numbers in groups.values():
+        asked = [x for x in _source(ready, rules[numbers[0]]) if x is not None]
+        tests = []
+        for i in numbers:
+            test = _built(ready, rules[i])[0] if skip else _own_predicate(ready, rules[i])
+            if test is not None:
+                tests.append(F.when(test, F.lit(i)))
+        for lo in range(0, len(tests), CHUNK):
+            hits = F.array(*tests[lo : lo + CHUNK])
+            parts.append(F.when(all_of(asked), hits).otherwise(none) if asked else hits)
+    found = ready.withColumn("rule", F.explode(F.array_compact(F.concat(*parts)) if parts else none)).select(*[f"`{c}`" for c in columns], "rule")
+    info = [(i, rules[i]["title"], rules[i].get("level", "medium"), [str(t) for t in rules[i].get("tags") or []]) for i in usable]
     table = df.sparkSession.createDataFrame(info, "rule int, title string, level string, tags array<string>")
-    return hits.join(F.broadcast(table), "rule")  # one row per rule
+    return found.join(F.broadcast(table), "rule")  # one row per rule
 
 
 def level_rank(level: Column) -> Column:
@@ -225,8 +399,21 @@ def detections(hits: DataFrame) -> DataFrame:
     return hits.groupBy("title", "level").agg(F.count("*").alias("n")).orderBy(level_rank(F.col("level")).desc(), F.col("n").desc(), "title")
 
 
-def rule_coverage(hits: DataFrame, n_rules: int) -> DataFrame:
-    return hits.agg(F.count_distinct("rule").alias("rules_matched"), F.lit(n_rules).cast("long").alias("rules_loaded"), F.count_distinct("event_id").alias("events_matched"))
+def rule_coverage(hits: DataFrame, n_rules: int, key: str = "event_id", top: int = 5) -> DataFrame:
+    """One row: rules with hits and loaded, events hit, rules with hits of each level, and the `top` rules by hits."""
+    by_rule = hits.groupBy("rule").agg(F.first("title").alias("title"), F.first("level").alias("level"), F.count("*").alias("n"))
+    levels = [F.count_if(F.col("level") == x).alias(x) for x in LEVELS]
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("down"), "title"))), 1, top)
+    rules = by_rule.agg(F.count("*").alias("rules_matched"), *levels, F.transform(best, lambda x: F.concat(x["title"], F.lit(": "), (-x["down"]).cast("string"))).alias("top_rules"))
+    events = hits.agg(F.count_distinct(key).alias("events_matched"))
+    return rules.crossJoin(events).withColumn("rules_loaded", F.lit(n_rules).cast("long"))  # one row each
+
+
+def rule_profile(hits: DataFrame, n_events: int) -> DataFrame:
+    """Hits of each rule and their share of all events, most hits first."""
+    counted = hits.groupBy("rule", "title", "level").agg(F.count("*").alias("n"))
+    share = F.lit(None).cast("double") if not n_events else F.col("n") / F.lit(n_events)
+    return counted.select("title", "level", "n", share.alias("selectivity")).orderBy(F.col("n").desc(), "title")
 
 
 def sample_hits(hits: DataFrame, order: list, n: int = 200) -> DataFrame:
@@ -238,16 +425,25 @@ def sample_hits(hits: DataFrame, order: list, n: int = 200) -> DataFrame:
 
 
 def load_rules(spark, path: str) -> list[dict]:
-    """All *.yml and *.yaml rules under a path; what is not a rule is skipped."""
-    import yaml
+    """All *.yml and *.yaml rules under a path, read in tasks; what is not a rule is skipped.
 
+    Rules come to the driver, where plans are made; they are few and small.
+    """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{yml,yaml}")
-    rules = []
-    for row in files.toLocalIterator():
-        try:
-            rule = yaml.safe_load(row.value)
-        except yaml.YAMLError:
-            continue
-        if isinstance(rule, dict) and {"title", "detection"} <= rule.keys():
-            rules.append(rule)
-    return rules
+
+    def parsed(batches):
+        import yaml
+
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        for batch in batches:
+            out = []
+            for text in batch["value"]:
+                try:
+                    rule = yaml.load(text, loader)
+                    if isinstance(rule, dict) and {"title", "detection"} <= rule.keys():
+                        out.append(json.dumps(rule, default=str))
+                except yaml.YAMLError:
+                    continue
+            yield pd.DataFrame({"value": out}, dtype="object")
+
+    return [json.loads(r.value) for r in files.mapInPandas(parsed, "value string").toLocalIterator()]

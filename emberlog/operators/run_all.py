@@ -36,16 +36,24 @@ def analyse(df: DataFrame, rules: list[dict], techniques: DataFrame, user: str =
         "logins_by_user": an.logins_by_user(df, user),
         "logins_by_ip": an.logins_by_ip(df, ip),
         "confidence": inc.confidence(hits, rules),
+        "rule_profile": ru.rule_profile(hits, df.count()),
     }
     if hunts:
         out["hunts"] = hunt_summary(hunt(df, hunts))
     return out
 
 
-def sizes(parts: dict[str, DataFrame]) -> DataFrame:
-    """(part, n): the number of rows of each result."""
+#: What is summed of each result in digests.
+TOTALS = {
+    "hits": "1", "detections": "n", "rule_coverage": "events_matched", "timeline": "n", "attack_chains": "n", "threat_scores": "score", "kill_chain": "n_hits", "tactic_coverage": "n_hits", "recommendations": "length(advice)",
+    "incident_summary": "risk", "anomaly_report": "n + score", "logins_by_user": "success + 3 * failure", "logins_by_ip": "success + 3 * failure", "confidence": "length(confidence)", "rule_profile": "n", "hunts": "n",
+}
+
+
+def digests(parts: dict[str, DataFrame]) -> DataFrame:
+    """(part, n, total): the number of rows of each result, and the sum of what TOTALS names."""
     out = None
     for name, part in parts.items():
-        row = part.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        row = part.agg(F.count("*").alias("n"), F.coalesce(F.round(F.sum(F.expr(TOTALS[name]).cast("double")), 6), F.lit(0.0)).alias("total")).select(F.lit(name).alias("part"), "n", "total")
         out = row if out is None else out.unionByName(row)
     return out

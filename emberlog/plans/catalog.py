@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.columns import entropy, is_public_ip
 from emberlog.operators import analytics as an
+from emberlog.operators import attack as at
+from emberlog.operators import hunts as hu
 from emberlog.operators import indicators as ind
 from emberlog.operators import rules as ru
 from emberlog.operators import run_all
 from emberlog.operators import search as se
-from emberlog.plans import hunt_queries, incident_queries, ingest_queries
+from emberlog.plans import cookbook, hunt_queries, incident_queries, ingest_queries
 from emberlog.plans.log_view import WITH, log_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,7 +125,6 @@ _filters(
     recon_commands=(lambda e: e.filter(F.col("CommandLine").rlike("(?i)(whoami|net user|net group|ipconfig|systeminfo)")), """regexp_matches("CommandLine",'(?i)(whoami|net user|net group|ipconfig|systeminfo)')"""),
     encoded_powershell=(lambda e: e.filter(F.col("CommandLine").ilike("%powershell%-enc%")), """"CommandLine" ILIKE '%powershell%-enc%'"""),
     temp_exec=(lambda e: e.filter(F.col("Image").rlike(r"(?i)\\(temp|public|downloads)\\")), r""""Image" <> '' AND regexp_matches("Image",'(?i)\\(temp|public|downloads)\\')"""),
-    renamed_binary=(lambda e: e.filter((F.col("Image") != "") & ~F.endswith(F.lower("Image"), F.lit("\\cmd.exe"))), r""""Image" <> '' AND NOT ends_with(lower("Image"),'\cmd.exe')"""),
     dns_long=(lambda e: e.filter(F.length("QueryName") > 15), """length("QueryName") > 15"""),
     suspicious_tlds=(lambda e: e.filter(F.col("QueryName").rlike(r"\.(xyz|top|net)$")), r"""regexp_matches("QueryName",'\.(xyz|top|net)$')"""),
     privileged_logons=(lambda e: e.filter((F.col("EventID") == "4672") & ~F.endswith("AcctName", F.lit("$"))), """"EventID"='4672' AND NOT ends_with("AcctName",'$')"""),
@@ -141,9 +142,9 @@ def dns_beaconing(ev):
     return ev.filter("QueryName <> ''").groupBy("QueryName").agg(F.count("*").alias("n")).filter("n > 5")
 
 
-@query("""SELECT "Image", count(DISTINCT "IpAddress") AS n FROM logs WHERE "Image" <> '' GROUP BY 1""")
+@query("""SELECT "Image", count(DISTINCT "IpAddress") AS n FROM logs WHERE "Image" <> '' GROUP BY 1 ORDER BY n DESC, "Image" LIMIT 20""")
 def fanout_by_process(ev):
-    return ev.filter("Image <> ''").groupBy("Image").agg(F.count_distinct("IpAddress").alias("n"))
+    return ev.filter("Image <> ''").groupBy("Image").agg(F.count_distinct("IpAddress").alias("n")).orderBy(F.col("n").desc(), "Image").limit(20)
 
 
 @query("""SELECT DISTINCT "IpAddress" AS ip FROM logs WHERE starts_with("IpAddress",'203.')""")
@@ -213,11 +214,25 @@ def rule_hits(hits):
     return hits.select("event_id", "title")
 
 
-@hit_query("SELECT count(DISTINCT title) AS rules_matched, CAST(4 AS BIGINT) AS rules_loaded, count(DISTINCT event_id) AS events_matched FROM hits")
+@hit_query("""SELECT count(DISTINCT title) AS rules_matched, CAST(4 AS BIGINT) AS rules_loaded, count(DISTINCT event_id) AS events_matched, """ + ", ".join(f"count(DISTINCT title) FILTER (level='{x}') AS {x}" for x in ru.LEVELS) + """,
+(SELECT list(concat(title, ': ', n) ORDER BY n DESC, title) FROM (SELECT title, count(*) AS n FROM hits GROUP BY 1 ORDER BY n DESC, title LIMIT 5)) AS top_rules FROM hits""")
 def rule_coverage(hits):
     return ru.rule_coverage(hits, len(RULES))
 
 
+@query(None)
+def rule_profile(ev):
+    return ru.rule_profile(ru.apply_rules(ev, RULES), ev.count())
+
+
+_oracles["rule_profile"] = f"{_HITS} SELECT title, level, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM logs) AS selectivity FROM hits GROUP BY 1,2"
+
+
+@query("""SELECT event_id FROM logs WHERE "EventID" IN ('1','4688','4625')""")
+def prefilter_events(ev):
+    return ru.prefilter_events(ev, RULES).select("event_id")
+
+
 @hit_query("SELECT event_id, title FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY event_id) AS p FROM hits) WHERE p <= 20")
 def sample_hits(hits):
     return ru.sample_hits(hits, ["event_id"], 20).select("event_id", "title")
@@ -228,12 +243,18 @@ def timeline(hits):
     return an.timeline(hits)
 
 
-@hit_query("""SELECT "Computer" AS entity, count(*) AS n, count(DISTINCT title) AS n_rules, list_sort(list(DISTINCT title)) AS rules, CAST(date_diff('second', min(CAST("SystemTime" AS TIMESTAMP)), max(CAST("SystemTime" AS TIMESTAMP))) AS DOUBLE) AS duration_sec FROM hits GROUP BY 1 HAVING count(DISTINCT title) >= 2""")
+@hit_query("""SELECT "Computer" AS entity, count(*) AS n, count(DISTINCT title) AS n_rules, list_sort(list(DISTINCT title)) AS rules, list_sort(list(DISTINCT CASE title WHEN 'Discovery command' THEN 'discovery' WHEN 'Encoded shell' THEN 'execution' WHEN 'Download with a system tool' THEN 'command-and-control' ELSE 'credential-access' END)) AS tactics, CAST(date_diff('second', min(CAST("SystemTime" AS TIMESTAMP)), max(CAST("SystemTime" AS TIMESTAMP))) AS DOUBLE) AS duration_sec FROM hits GROUP BY 1 HAVING count(DISTINCT title) >= 2""")
 def attack_chains(hits):
     return an.attack_chains(hits)
 
 
-@hit_query("""SELECT entity, kind, least(sum(w), 100.0) AS score, count(*) AS n, CAST(count(DISTINCT title) AS INTEGER) AS n_rules FROM (
+@hit_query("""SELECT entity, place, SystemTime AS t, title, level, image FROM (SELECT "Computer" AS entity, "SystemTime", title, level, nullif("Image",'') AS image, row_number() OVER (PARTITION BY "Computer" ORDER BY "SystemTime", title, keys) AS place, count(*) OVER (PARTITION BY "Computer") AS n, titles FROM (
+SELECT *, concat('{', array_to_string(list_filter(['"Image":"' || replace("Image",'\\','\\\\') || '"', '"CommandLine":"' || replace("CommandLine",'\\','\\\\') || '"', '"EventID":"' || "EventID" || '"'], lambda x: NOT contains(x, ':""')), ','), '}') AS keys FROM hits JOIN (SELECT "Computer" AS c, count(DISTINCT title) AS titles FROM hits GROUP BY 1) ON c = "Computer")) WHERE titles >= 2""")
+def chain_events(hits):
+    return an.chain_events(hits).select("entity", "place", F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss").alias("t"), "title", "level", F.col("key_fields")["Image"].alias("image"))
+
+
+@hit_query("""SELECT entity, kind, least(sum(w), 100.0) AS score, count(*) AS n, CAST(count(DISTINCT title) AS INTEGER) AS n_rules, list_sort(list(DISTINCT title)) AS rules FROM (
 SELECT title, CAST(CASE level WHEN 'critical' THEN 10 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 ELSE 1 END AS DOUBLE) AS w, unnest(["Computer", "AcctName"]) AS entity, unnest(['host','user']) AS kind FROM hits) GROUP BY 1,2""")
 def threat_scores(hits):
     return an.threat_scores(hits, users=("AcctName",))
@@ -250,13 +271,13 @@ def verdict(hits):
     return an.verdict(ru.detections(hits)).select("verdict", "risk")
 
 
-@hit_query("""SELECT title, level, count(*) AS n FROM hits GROUP BY 1,2 ORDER BY CASE level WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC LIMIT 2""")
+@hit_query("""SELECT title, level, count(*) AS n, [CASE title WHEN 'Discovery command' THEN 'Discovery' WHEN 'Encoded shell' THEN 'Execution' WHEN 'Download with a system tool' THEN 'Command and Control' ELSE 'Credential Access' END] AS tactics FROM hits GROUP BY 1,2 ORDER BY CASE level WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC LIMIT 2""")
 def key_findings(hits):
-    return an.key_findings(ru.detections(hits), 2)
+    return an.key_findings(at.tagged(hits), 2)
 
 
-@hit_query("""SELECT coalesce(a.title, b.title) AS title, CASE WHEN b.title IS NULL THEN 'resolved' WHEN a.title IS NULL THEN 'new' ELSE 'both' END AS state
-FROM (SELECT DISTINCT title FROM hits WHERE "Computer"='WS1' AND level <> 'low') a FULL JOIN (SELECT DISTINCT title FROM hits WHERE "Computer"='WS2' AND level <> 'high') b ON a.title = b.title""")
+@hit_query("""SELECT coalesce(a.title, b.title) AS title, CASE WHEN b.title IS NULL THEN 'resolved' WHEN a.title IS NULL THEN 'new' ELSE 'both' END AS state, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after
+FROM (SELECT title, count(*) AS n FROM hits WHERE "Computer"='WS1' AND level <> 'low' GROUP BY 1) a FULL JOIN (SELECT title, count(*) AS n FROM hits WHERE "Computer"='WS2' AND level <> 'high' GROUP BY 1) b ON a.title = b.title""")
 def evidence_diff(hits):
     return an.evidence_diff(hits.filter("Computer='WS1' and level <> 'low'"), hits.filter("Computer='WS2' and level <> 'high'"))
 
@@ -286,16 +307,15 @@ def brute_force(ev):
     return an.brute_force(ev, "AcctName")
 
 
-@query("""SELECT event_id FROM logs WHERE length("CommandLine") > 20 AND "CommandLine" LIKE 'certutil%'""")
-def high_entropy_command(ev):
-    return an.high_entropy_command(ev.filter("CommandLine like 'certutil%'"), 20, 3.5).select("event_id")
+_ANOMALIES = {  # category: severity, score, findings as text t
+    "rare_process": ("medium", "least(count(*),10)", """SELECT concat("Image", ' (', count(*), ')') AS t FROM logs WHERE "Image" <> '' GROUP BY "Image" HAVING count(*) <= 2"""),
+    "off_hours_logon": ("low", "least(0.5*count(*),10)", f"""SELECT concat("SystemTime", ' ', "AcctName") AS t FROM logs WHERE "EventID"='4624' AND NOT ({_HOUR} BETWEEN 8 AND 18)"""),
+    "rare_parent_child": ("medium", "least(0.5*count(*),10)", """SELECT concat("ParentImage", ' > ', "Image", ' (1)') AS t FROM logs WHERE "ParentImage" <> '' AND "Image" <> '' GROUP BY "ParentImage", "Image" HAVING count(*) = 1"""),
+    "brute_force": ("high", "least(2*count(*),10)", """SELECT concat("AcctName", ' > ', "IpAddress", ' (', count(*), ')') AS t FROM logs WHERE "EventID"='4625' GROUP BY "AcctName", "IpAddress" HAVING count(*) >= 5"""),
+}
 
 
-@query(f"""SELECT * FROM (
-SELECT 'rare_process' AS category, 'medium' AS severity, count(*) AS n, CAST(least(count(*),10) AS DOUBLE) AS score FROM (SELECT "Image" FROM logs WHERE "Image" <> '' GROUP BY 1 HAVING count(*) <= 2) UNION ALL
-SELECT 'off_hours_logon', 'low', count(*), least(0.5*count(*), 10.0) FROM logs WHERE "EventID"='4624' AND NOT ({_HOUR} BETWEEN 8 AND 18) UNION ALL
-SELECT 'rare_parent_child', 'medium', count(*), least(0.5*count(*), 10.0) FROM (SELECT 1 FROM logs WHERE "ParentImage" <> '' AND "Image" <> '' GROUP BY "ParentImage", "Image" HAVING count(*) = 1) UNION ALL
-SELECT 'brute_force', 'high', count(*), least(2*count(*), 10) FROM (SELECT 1 FROM logs WHERE "EventID"='4625' GROUP BY "AcctName", "IpAddress" HAVING count(*) >= 5)) WHERE n > 0""")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{k}' AS category, '{severity}' AS severity, count(*) AS n, CAST({score} AS DOUBLE) AS score, list_sort(list(t))[1:5] AS evidence FROM ({found})""" for k, (severity, score, found) in _ANOMALIES.items()) + ") WHERE n > 0")
 def anomaly_report(ev):
     return an.anomaly_report(ev, "AcctName")
 
@@ -314,6 +334,16 @@ def logins_by_ip(ev):
     return an.logins_by_ip(ev)
 
 
+@query(f"""SELECT "AcctName" AS user, coalesce(nullif("IpAddress",''),'N/A') AS ip, count(*) AS n FROM logs WHERE "EventID"='4625' AND {_USER} GROUP BY 1,2 HAVING count(*) >= 5""")
+def login_brute_force(ev):
+    return an.login_brute_force(ev, "AcctName")
+
+
+@query(f"""SELECT "AcctName" AS user, 'N/A' AS ip, count(*) AS n FROM logs WHERE "EventID"='4625' AND {_USER} GROUP BY 1 HAVING count(*) >= 5""")
+def login_brute_force_without_addresses(ev):
+    return an.login_brute_force(ev.drop("IpAddress"), "AcctName")
+
+
 @query(f"""SELECT event_id FROM logs WHERE "EventID"='4624' AND ({_HOUR} < 6 OR {_HOUR} >= 20)""")
 def unusual_hours(ev):
     return an.unusual_hours(ev).select("event_id")
@@ -330,35 +360,6 @@ def privilege_use(ev):
 
 
 # --- indicators and enrichment --------------------------------------------------------------------
-_IOC = r"""SELECT doc_id, 'email' AS type, unnest(list_distinct(regexp_extract_all(coalesce(text,''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS value FROM documents UNION ALL
-SELECT doc_id, 'sha1', unnest(list_distinct(regexp_extract_all(coalesce(text,''), '\b[0-9a-fA-F]{40}\b'))) FROM documents"""
-
-
-@query(_IOC, logs=False)
-def extract_iocs(spark, sf):
-    return ind.extract_iocs(table(spark, sf, "documents").select("doc_id", "text"), "text", ("email", "sha1"))
-
-
-@query(f"SELECT type, value, count(*) AS n, min(doc_id) AS first_key, max(doc_id) AS last_key FROM ({_IOC}) GROUP BY 1,2", logs=False)
-def ioc_rollup(spark, sf):
-    return ind.ioc_rollup(extract_iocs(spark, sf), "doc_id")
-
-
-@query(r"""SELECT page_id, 'url' AS type, unnest(list_distinct(regexp_extract_all(url, 'https?://[^\s"''<>]+'))) AS value FROM pages""", logs=False)
-def page_urls(spark, sf):
-    return ind.extract_iocs(table(spark, sf, "pages").select("page_id", "url"), "url", ("url",))
-
-
-@query("""SELECT event_id, 3 * CAST(length("CommandLine") - length(replace("CommandLine",'^','')) >= 3 AS INT) AS obfuscation_score FROM logs WHERE "CommandLine" LIKE 'p^%' OR "CommandLine" LIKE 'net%'""")
-def obfuscation_score(ev):
-    return ind.obfuscation_score(ev.filter("CommandLine like 'p^%' or CommandLine like 'net%'")).select("event_id", "obfuscation_score")
-
-
-@query("""SELECT event_id, 'echo' AS decoded FROM logs WHERE contains("CommandLine",'-enc')""")
-def decode_base64(ev):
-    return ind.decode_utf16_base64(ev.filter("CommandLine like '%-enc%'")).select("event_id", F.col("decoded_CommandLine").alias("decoded"))
-
-
 @query("""SELECT c AS name, round(-sum(p*log2(p)), 2) AS entropy FROM (SELECT c, n/sum(n) OVER (PARTITION BY c) AS p FROM (
 SELECT c, ch, count(*) AS n FROM (SELECT c, unnest(string_split(c,'')) AS ch FROM (SELECT DISTINCT c_name AS c FROM customer)) WHERE ch <> '' GROUP BY 1,2)) GROUP BY 1""", logs=False)
 def entropy_of_names(spark, sf):
@@ -377,14 +378,20 @@ _ALL_IOC = "SELECT source, id, type, value FROM (SELECT *, CASE WHEN type = 'ipv
 
 
 @query(_ALL_IOC, logs=False)
-def extract_iocs_all(spark, sf):
+def extract_iocs(spark, sf):
     parts = [ind.extract_iocs(table(spark, sf, name).select(F.lit(source).alias("source"), F.col(key).alias("id"), column), column) for source, (name, key, column) in _ALL_TEXTS.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"SELECT type, value, count(*) AS n, min(id) AS first_key, max(id) AS last_key FROM ({_ALL_IOC}) GROUP BY 1,2", logs=False)
-def ioc_rollup_all(spark, sf):
-    return ind.ioc_rollup(extract_iocs_all(spark, sf), "id")
+def ioc_rollup(spark, sf):
+    return ind.ioc_rollup(extract_iocs(spark, sf), "id")
+
+
+@query("SELECT DISTINCT page_id, 'url' AS type, unnest(list_concat(" + ", ".join(f"""regexp_extract_all(coalesce({c},''), '{ind.PATTERNS["url"].replace("'", "''")}')""" for c in ("url", "html")) + ")) AS value FROM pages", logs=False)
+def page_urls(spark, sf):
+    pages = table(spark, sf, "pages")
+    return ind.extract_iocs(pages.select("page_id", F.concat_ws("\n", "url", "html").alias("text")), "text", ("url",))
 
 
 # --- commands over the whole view ------------------------------------------------------------------
@@ -394,14 +401,14 @@ SELECT c, unnest(regexp_extract_all(hex(encode(c)), '..')) AS b FROM (SELECT DIS
 
 
 @query(f"""{_ENTROPY} SELECT event_id, round(e, 2) AS entropy FROM logs JOIN ent ON c = "CommandLine" WHERE length(c) > 20 AND e > 3.5""")
-def high_entropy_command_all(ev):
+def high_entropy_command(ev):
     return an.high_entropy_command(ev, 20, 3.5).select("event_id", F.round("_entropy", 2).alias("entropy"))
 
 
 @query(f"""{_ENTROPY} SELECT event_id, CAST(3 * (length(c) - length(replace(c,'^','')) >= 3)::INT + 3 * (contains(c,'"+"') OR contains(c,'''+'''))::INT + 2 * (length(c) - length(replace(c,'`','')) >= 2)::INT
 + 2 * (length(c) - length(replace(c,'%','')) >= 4)::INT + (strlen(c) > 1000)::INT + 2 * (e > 4.5)::INT AS INTEGER) AS obfuscation_score
 FROM (SELECT event_id, "CommandLine" AS c, coalesce(e, 0) AS e FROM logs LEFT JOIN ent ON c = "CommandLine")""")
-def obfuscation_score_all(ev):
+def obfuscation_score(ev):
     return ind.obfuscation_score(ev).select("event_id", "obfuscation_score")
 
 
@@ -413,7 +420,7 @@ texts AS (SELECT c, arg_min(t, 2 * i + k) AS decoded FROM runs WHERE t <> '' AND
 
 
 @query(f"""{_DECODED} SELECT event_id, decoded FROM logs LEFT JOIN texts ON "CommandLine" = c""")
-def decode_base64_all(ev):
+def decode_base64(ev):
     return ind.decode_utf16_base64(ev).select("event_id", F.col("decoded_CommandLine").alias("decoded"))
 
 
@@ -421,18 +428,50 @@ ingest_queries.setup(RULES, _HITS, ru.apply_rules)
 incident_queries.setup(RULES, _HITS, ru.apply_rules)
 
 
-# --- all analyses by one call -------------------------------------------------------------------
-_PARTS = ("detections", "timeline", "attack_chains", "threat_scores", "kill_chain", "incident_summary", "logins_by_user", "logins_by_ip", "confidence")
+# --- enrichment of events and of indicators ---------------------------------------------------------
+@query("""SELECT event_id, CASE WHEN regexp_matches("Image",'(?i)cmd\\.exe|powershell|certutil') THEN TRUE END AS is_lolbin, CASE WHEN "Image" ILIKE '%certutil%' THEN 'certutil' WHEN "Image" ILIKE '%cmd.exe%' THEN 'cmd.exe' WHEN "Image" ILIKE '%powershell%' THEN 'powershell' END AS lolbin_name FROM logs""")
+def lolbin(ev):
+    return ind.lolbin(ev).select("event_id", "is_lolbin", "lolbin_name")
+
+
+_TEXT = "concat_ws(' ', IpAddress, CommandLine, QueryName, IpAddress)"
+
+
+@query(f"""SELECT event_id, CASE WHEN "IpAddress" <> '-' AND NOT starts_with("IpAddress",'10.') THEN "IpAddress" END AS ioc_ips, CASE WHEN contains("CommandLine",'http') THEN 'http://files.example.net/a' END AS ioc_urls,
+CASE WHEN contains("CommandLine",'http') OR "QueryName" <> '' THEN 'example.net' END AS ioc_domains FROM logs""")
+def inline_iocs(ev):
+    return ind.inline_iocs(ev.withColumn("_raw", F.expr(_TEXT))).select("event_id", "ioc_ips", "ioc_urls", "ioc_domains")
+
 
+@query(f"""{_DECODED} SELECT event_id, texts.decoded AS decoded_CommandLine, CASE event_id % 3 WHEN 0 THEN 'echo' END AS decoded_Payload FROM logs LEFT JOIN texts ON "CommandLine" = c""")
+def decode_base64_fields(ev):
+    payload = ev.withColumn("Payload", F.expr("CASE event_id % 3 WHEN 0 THEN 'x ZQBjAGgAbwA= y' WHEN 1 THEN '' ELSE NULL END"))
+    return ind.decode_base64(payload).select("event_id", "decoded_CommandLine", "decoded_Payload")
 
+
+_ZONES = """VALUES ('ipv4','203.0.113.1','Grey'), ('ipv4','203.0.113.1','Red'), ('ipv4','203.0.113.2','Green'), ('domain','files.example.net','Orange')"""
+
+
+@query(f"""SELECT type, value, coalesce(zone, 'Grey') AS zone FROM (SELECT DISTINCT 'ipv4' AS type, "IpAddress" AS value FROM logs WHERE starts_with("IpAddress",'203.') UNION ALL SELECT DISTINCT 'url', 'http://files.example.net/a' FROM logs WHERE contains("CommandLine",'http')
+UNION ALL SELECT DISTINCT 'domain', 'files.example.net' FROM logs WHERE contains("CommandLine",'http')) LEFT JOIN (SELECT t, v, arg_min(z, array_position(['Red','Orange','Yellow','Grey','Green'], z)) AS zone FROM ({_ZONES}) r(t, v, z) GROUP BY 1,2) ON t = type AND v = value""")
+def enrich_iocs(ev):
+    found = ind.extract_iocs(ev.select("event_id", F.expr("concat_ws(' ', IpAddress, CommandLine)").alias("text")), "text", (*ind.PATTERNS, "domain"))
+    return ind.enrich_iocs(found, ev.sparkSession.sql(f"SELECT * FROM {_ZONES} AS r(type, value, zone)"))
+
+
+# --- all analyses by one call -------------------------------------------------------------------
 def _analyse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = run_all.analyse(log_events(spark, sf_dir), RULES, ingest_queries.techniques(spark), user="AcctName")
-    return run_all.sizes({name: parts[name] for name in _PARTS})
+    parts = run_all.analyse(log_events(spark, sf_dir), RULES, ingest_queries.techniques(spark), user="AcctName", hunts=tuple(hu.HUNTS))
+    return run_all.digests(parts)
 
 
+#: Hunts that find something in the view as it is.
+_FOUND_HUNTS = ("typosquat", "path_anomaly", "download_cradle", "parent_anomaly")
+_HUNT_ROWS = "SELECT name, severity, description, count(*) AS n FROM (" + " UNION ALL ".join([f"SELECT '{h}' AS name, severity, description FROM ({hunt_queries.oracles()[f'hunt_{h}']})" for h in _FOUND_HUNTS] + [f"""SELECT 'recon_command', 'low', CASE WHEN contains("CommandLine",'whoami') THEN 'a' ELSE 'b' END FROM ({WITH} SELECT * FROM logs) WHERE contains("CommandLine",'whoami') OR contains("CommandLine",'net user')"""]) + ") GROUP BY 1,2,3"
+_known = _oracles | ingest_queries.oracles() | incident_queries.oracles() | {"hits": _oracles["rule_hits"], "hunts": _HUNT_ROWS, "confidence": f"{_HITS} SELECT title, 'high' AS confidence FROM hits GROUP BY 1"}
 _queries["analyse_all"] = _analyse_all
-_known = _oracles | ingest_queries.oracles() | incident_queries.oracles()
-_oracles["analyse_all"] = " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n FROM ({_known[name]})" for name in _PARTS)
+_oracles["analyse_all"] = " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n, round(CAST(sum({total}) AS DOUBLE), 6) AS total FROM ({_known[name]})" for name, total in run_all.TOTALS.items())
+_cookbook = cookbook.queries(), cookbook.oracles()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,8 +479,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _queries | hunt_queries.queries() | ingest_queries.queries() | incident_queries.queries()
+    return _queries | hunt_queries.queries() | _cookbook[0] | ingest_queries.queries() | incident_queries.queries()
 
 
 def oracles() -> dict[str, str]:
-    return _oracles | hunt_queries.oracles() | ingest_queries.oracles() | incident_queries.oracles()
+    return _oracles | hunt_queries.oracles() | _cookbook[1] | ingest_queries.oracles() | incident_queries.oracles()

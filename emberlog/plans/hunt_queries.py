@@ -57,17 +57,6 @@ _add("hunt_dns_subdomain", "dns_subdomain", "CASE event_id % 4 WHEN 0 THEN 'DNS
 
 
 def hunt_summary(spark, sf):
-    return hu.hunt_summary(hu.hunt(log_events(spark, sf), ("path_anomaly", "recon_command", "parent_anomaly"))).drop("technique")
-
-
-_queries["hunt_summary"] = hunt_summary
-_oracles["hunt_summary"] = rf"""{WITH} SELECT transform, severity, description, tactic, count(*) AS n FROM (
-SELECT 'ProcessPathAnomaly' AS transform, 'medium' AS severity, 'Executable in suspicious directory: PUBLIC_PROFILE' AS description, 'execution' AS tactic FROM logs WHERE contains("Image",'\Public\') UNION ALL
-SELECT 'ReconIndicator', 'low', CASE WHEN contains("CommandLine",'whoami') THEN 'Reconnaissance: whoami' ELSE 'Reconnaissance: net user' END, 'discovery' FROM logs WHERE contains("CommandLine",'whoami') OR contains("CommandLine",'net user') UNION ALL
-SELECT 'ParentProcessAnomaly', 'high', 'OFFICE_SPAWN: winword.exe spawned ' || regexp_extract("Image",'[a-z]+\.exe$'), 'execution' FROM logs WHERE ends_with("ParentImage",'WINWORD.EXE') AND regexp_matches("Image",'(cmd|powershell|certutil)\.exe$')) GROUP BY 1,2,3,4"""
-
-
-def hunt_summary_all(spark, sf):
     """All hunts over the view with the fields that it lacks."""
     ev = log_events(spark, sf).withColumns({k: F.expr(_spark_text(v)) for k, v in _MORE.items()})
     return hu.hunt_summary(hu.hunt(ev)).select("transform", "severity", "description", "n")
@@ -78,8 +67,8 @@ _FOUND = {
     "typosquat": "ProcessTyposquatting", "path_anomaly": "ProcessPathAnomaly", "double_extension": "DoubleExtension", "c2_framework": "C2Framework", "download_cradle": "DownloadCradle", "shellcode": "ShellcodeIndicator",
     "ps_reflection": "PowerShellReflection", "parent_anomaly": "ParentProcessAnomaly", "registry_path": "SuspiciousRegistryPath", "sensitive_file": "SensitiveFileAccess",
 }
-_queries["hunt_summary_all"] = hunt_summary_all
-_oracles["hunt_summary_all"] = "SELECT transform, severity, description, count(*) AS n FROM (" + " UNION ALL ".join(
+_queries["hunt_summary"] = hunt_summary
+_oracles["hunt_summary"] = "SELECT transform, severity, description, count(*) AS n FROM (" + " UNION ALL ".join(
     [f"SELECT '{kind}' AS transform, severity, description FROM ({_oracles[f'hunt_{name}']})" for name, kind in _FOUND.items()]
     + [f"""SELECT 'ReconIndicator', 'low', d FROM ({WITH} SELECT CASE WHEN contains("CommandLine",'whoami') THEN 'Reconnaissance: whoami' WHEN contains("CommandLine",'net user') THEN 'Reconnaissance: net user' END AS d FROM logs) WHERE d IS NOT NULL"""]
 ) + ") GROUP BY 1,2,3"

@@ -37,7 +37,7 @@ def test_decoding_of_any_command(spark):
 def test_high_entropy_over_all_commands(spark):
     logs = catalog.log_events(spark, SF).select("event_id", "CommandLine").collect()
     want = {r.event_id for r in logs if len(r.CommandLine) > 20 and bits(r.CommandLine) > 3.5}
-    assert {r.event_id for r in catalog.queries()["high_entropy_command_all"](spark, SF).collect()} == want
+    assert {r.event_id for r in catalog.queries()["high_entropy_command"](spark, SF).collect()} == want
     assert any(re.search("-enc", r.CommandLine) for r in logs if r.event_id in want)
 
 
