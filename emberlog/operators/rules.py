@@ -215,7 +215,10 @@ def condition(text: str, selections: dict, algebra: type[Algebra] = Algebra):
             out = algebra.either(out, both())
         return out
 
-    return either()
+    out = either()
+    if at < len(words):
+        raise ValueError(f"condition not understood: {text!r}")
+    return out
 
 
 #: Category of the log source -> event ids that it covers (fixed values).
