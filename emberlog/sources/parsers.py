@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TEXT_MAP = "map<string,string>"
+from emberlog.sources.json_lines import json_fields
 
 
 def _entry(key: Column, value: Column) -> Column:
@@ -43,31 +43,6 @@ def _groups(text: Column, pattern: str, names) -> Column:
     return F.array(*parts)
 
 
-def json_fields(text: Column, depth: int = 4) -> Column:
-    """Nested objects become a_b_c, a leaf also its bare name where that is free; lists are joined by ', '.
-
-    `Data` lists of (@Name, #text) become one field per name.  Objects deeper than `depth` stay JSON text.
-    """
-    leaf = lambda key, bare, value: F.struct(key.alias("key"), bare.alias("bare"), value.alias("value"))
-
-    def opened(e: Column) -> Column:
-        inner = F.map_entries(F.from_json(e["value"], _TEXT_MAP))
-        named = F.from_json(e["value"], "array<struct<`@Name`:string,`#text`:string>>")
-        return (
-            F.when(e["value"].rlike(r"^\s*\{"), F.transform(inner, lambda n: leaf(F.concat(e["key"], F.lit("_"), n["key"]), n["key"], n["value"])))
-            .when(e["value"].rlike(r'^\s*\[\s*\{\s*"@Name"'), F.transform(named, lambda n: leaf(n["@Name"], n["@Name"], n["#text"])))
-            .otherwise(F.array(leaf(e["key"], e["bare"], e["value"])))
-        )
-
-    entries = F.transform(F.map_entries(F.from_json(text, _TEXT_MAP)), lambda e: leaf(e["key"], e["key"], e["value"]))
-    for _ in range(depth):
-        entries = F.flatten(F.transform(entries, opened))
-    plain = lambda v: F.when(v.rlike(r"^\s*\["), F.coalesce(F.array_join(F.from_json(v, "array<string>"), ", "), v)).otherwise(v)
-    flat = F.transform(entries, lambda e: leaf(e["key"], e["bare"], plain(e["value"])))
-    named = lambda x, name: F.transform(x, lambda e: _entry(e[name], e["value"]))
-    return first_wins(_let(flat, lambda x: F.concat(named(x, "key"), named(x, "bare"))))
-
-
 _RFC5424 = r"^<([0-9]{1,3})>([0-9]+) (\S+) (\S+) (\S+) (\S+) (\S+) ?(.*)$"
 _RFC3164 = r"^(?:<([0-9]{1,3})>)?([A-Z][a-z]{2}\s+[0-9]{1,2} [0-9:]{8}) (\S+) ([^\s\[:]+)(?:\[([0-9]+)\])?: ?(.*)$"
 

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from emberlog.sources import parsers, readers
@@ -78,3 +80,16 @@ def test_csv_json_array_and_report(spark, tmp_path):
 def test_later_alias_counts(spark):
     got = fields(spark, lambda v: parsers.with_aliases(parsers.json_fields(v)), '{"SubjectUserName":"s","TargetUserName":"t","EventXML_Q":"q"}')[0]
     assert got["User"] == "t" and got["Q"] == "q"
+
+
+def test_json_of_any_depth(spark):
+    deep = "x"
+    for i in reversed(range(30)):
+        deep = {f"k{i}": deep}
+    lines = [json.dumps({"a": deep, "n": 1.50}).replace("1.5", "1.50"), '{"a":{"b":1,"c":true,"d":null,"e":""},"b":"top"}', '{"l":["x",1,null,{"y":[1.0,"z"]}],"Data":[{"@Name":"N","#text":"t"},{"@Name":"M","#text":null}]}', "[1]", "no", None, ""]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
+    got = {r.i: r.f for r in rows.select("i", parsers.json_fields(F.col("value")).alias("f")).collect()}
+    assert got[0] == {"a_" + "_".join(f"k{i}" for i in range(30)): "x", "k29": "x", "n": "1.50"}
+    assert got[1] == {"a_b": "1", "a_c": "true", "b": "top", "c": "true"}
+    assert got[2] == {"l": 'x, 1, {"y":[1.0,"z"]}', "N": "t"}
+    assert got[3] is got[4] is got[5] is got[6] is None
