@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +40,18 @@ def format_of(name: Column, head: Column) -> Column:
 
 
 def classify_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, format) of every file below `path`; Spark's source for whole files takes up to 2 GB of each and leaves out empty ones."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    head = F.decode(F.substring("content", 1, HEAD), "ISO-8859-1")  # the tests look at ASCII alone
-    return files.select("path", format_of(F.col("path"), head).alias("format"))
+    """(path, format) of every file below `path`; of each file its first HEAD bytes are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+
+    def heads(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                system, inner = (fs.LocalFileSystem(), unquote(name.removeprefix("file:").replace("//", "/", 1))) if name.startswith("file:") else fs.FileSystem.from_uri(name)
+                with system.open_input_stream(inner, compression=None) as stream:
+                    out.append(stream.read(HEAD).decode("latin-1"))  # the tests look at ASCII alone
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["path", "head"])
+
+    return files.mapInArrow(heads, "path string, head string").select("path", format_of(F.col("path"), F.col("head")).alias("format"))

@@ -5,20 +5,40 @@ Lines are read by Spark's text source, so that files split and .gz and .bz2 open
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.sources import parsers
 
 
+_LINE = "__emberlog_line"
+
+
+def _named(df: DataFrame, include: str, exclude: str) -> DataFrame:
+    """Rows of files whose names hold `include` and not `exclude`, without regard to case."""
+    name = F.lower(F.col("_metadata.file_name"))
+    kept = df.filter(F.contains(name, F.lit(include.lower()))) if include else df
+    return kept.filter(~F.contains(name, F.lit(exclude.lower()))) if exclude else kept
+
+
 def lines(spark: SparkSession, path, end: str | None = None, include: str = "", exclude: str = "") -> DataFrame:
-    """Lines below a path; file names must hold `include` and not `exclude`, without regard to case."""
+    """Lines below a path, of the files that _named keeps."""
     reader = spark.read.option("recursiveFileLookup", "true")
     text = (reader.option("lineSep", end) if end else reader).text(path).select(F.rtrim(F.col("value"), F.lit("\r")).alias("value"), "_metadata")
-    name = F.lower(F.col("_metadata.file_name"))
-    kept = text.filter(F.contains(name, F.lit(include.lower()))) if include else text
-    kept = kept.filter(~F.contains(name, F.lit(exclude.lower()))) if exclude else kept
-    return kept.select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
+    return _named(text, include, exclude).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def discover(spark: SparkSession, path, include: str = "", exclude: str = "") -> DataFrame:
+    """(path, name, size) of the files below a path, without reading them; Spark's source leaves out empty ones."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = files.select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"))
+    kept = listed.filter(F.contains(F.lower("name"), F.lit(include.lower()))) if include else listed
+    return kept.filter(~F.contains(F.lower("name"), F.lit(exclude.lower()))) if exclude else kept
 
 
 def landed(df: DataFrame, fields: Column, source_format: str, raw: str = "value") -> DataFrame:
@@ -35,7 +55,7 @@ def _by_line(name: str, parser, end: str | None = None):
     return read
 
 
-read_jsonl = _by_line("json", lambda v: parsers.with_aliases(parsers.json_fields(v)))
+read_jsonl = _by_line("json", lambda v: _json(v))
 read_syslog = _by_line("syslog", parsers.syslog_fields)
 read_cef = _by_line("cef", parsers.cef_fields)
 read_leef = _by_line("leef", parsers.leef_fields)
@@ -45,20 +65,40 @@ read_event_xml = _by_line("event_xml", lambda v: F.when(F.contains(v, F.lit("<Ev
 read_macos = _by_line("macos", lambda v: parsers.with_aliases(parsers.json_fields(v), parsers.MACOS))
 
 
-def read_json_array(spark: SparkSession, path) -> DataFrame:
+def read_json_array(spark: SparkSession, path, include: str = "", exclude: str = "", parser=None) -> DataFrame:
     """Files that hold one array of objects each; such a file is one row until it is taken apart."""
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
-    each = whole.select(F.explode(F.from_json("value", "array<string>")).alias("value"), "source_file")
-    return landed(each, parsers.with_aliases(parsers.json_fields(F.col("value"))), "json")
+    whole = _named(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", "_metadata"), include, exclude)
+    each = whole.select(F.explode(F.from_json("value", "array<string>")).alias("value"), F.col("_metadata.file_path").alias("source_file"))
+    return landed(each, (parser or _json)(F.col("value")), "json" if parser is None else "macos")
+
+
+def _json(value: Column) -> Column:
+    return parsers.with_aliases(parsers.json_fields(value))
+
 
+def read_macos_array(spark: SparkSession, path, **names) -> DataFrame:
+    """The unified log as one array of objects in each file."""
+    return read_json_array(spark, path, parser=lambda v: parsers.with_aliases(parsers.json_fields(v), parsers.MACOS), **names)
 
-def read_csv(spark: SparkSession, path, sep: str = ",") -> DataFrame:
-    """Header row; empty cells are left out. Columns are those of all files' headers."""
-    df = spark.read.option("recursiveFileLookup", "true").csv(path, header=True, sep=sep, mode="PERMISSIVE", enforceSchema=False)
-    names = df.columns
-    cells = F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"`{n}`").alias("value")) for n in names])
-    raw = F.concat_ws(sep, *[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names])
-    return landed(df.select(parsers.first_wins(cells).alias("f"), raw.alias("value"), F.col("_metadata.file_path").alias("source_file")), F.col("f"), "csv" if sep == "," else "tsv")
+
+def read_csv(spark: SparkSession, path, sep: str = ",", include: str = "", exclude: str = "") -> DataFrame:
+    """Header row; empty cells are left out, cells beyond the header are field_{i}. Columns are those of all files' headers."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("sep", sep).option("columnPruning", "false")  # a pruned line has no surplus
+    names = reader.csv(path, header=True).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _LINE]])
+    df = reader.csv(path, schema=schema, header=True, mode="PERMISSIVE", enforceSchema=True, columnNameOfCorruptRecord=_LINE)
+    df = _named(df.select("*", "_metadata"), include, exclude)
+    cells = [F.struct(F.lit(n).alias("key"), F.col(f"`{n}`").alias("value")) for n in names]
+    # A line with more cells than the header comes whole in _LINE; its cells are taken apart once more.
+    extra = F.length(_LINE) - F.length(F.replace(F.col(_LINE), F.lit(sep), F.lit("")))
+    longest = df.agg(F.max(extra), F.count(f"`{names[0]}`")).first()[0] if names else None  # Spark reads no line column alone
+    more = F.array().cast("array<struct<key:string,value:string>>")
+    if longest:
+        all_cells = F.from_csv(F.col(_LINE), ", ".join(f"c{i} string" for i in range(max(longest + 1, len(names)))), {"sep": sep})
+        more = F.array(*[F.struct(F.lit(f"field_{i}").alias("key"), all_cells[f"c{i}"].alias("value")) for i in range(len(names), longest + 1)]) if longest + 1 > len(names) else more
+    entries = F.concat(F.array(*cells), F.when(F.col(_LINE).isNotNull(), more).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
+    raw = F.coalesce(F.col(_LINE), F.concat_ws(sep, *[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]))
+    return landed(df.select(parsers.first_wins(entries).alias("f"), raw.alias("value"), F.col("_metadata.file_path").alias("source_file")), F.col("f"), "csv" if sep == "," else "tsv")
 
 
 def _with_header(spark: SparkSession, path, mark: str) -> DataFrame:
@@ -84,18 +124,29 @@ def read_w3c(spark: SparkSession, path) -> DataFrame:
     return landed(df, F.when(stamp.isNotNull(), F.map_concat(F.map_filter(known, lambda k, v: k != "timestamp"), F.create_map(F.lit("timestamp"), stamp))).otherwise(known), "w3c")
 
 
+def _directive(spark: SparkSession, path, mark: str) -> DataFrame:
+    """(source_file, text): what follows a directive of a file; the first one counts."""
+    found = lines(spark, path).filter(F.startswith("value", F.lit(mark)))
+    return found.groupBy("source_file").agg(F.min_by(F.substring("value", len(mark) + 1, 1_000_000), "block").alias("text"))
+
+
 def read_zeek(spark: SparkSession, path) -> DataFrame:
-    """Tab-separated logs with #fields; unset ('-') and '(empty)' are missing; dots in names become _."""
+    """Logs with #fields and the separator, unset and empty marks that their directives name (tab, '-' and '(empty)' without); dots in names become _."""
     df = _with_header(spark, path, "#fields")
-    names = F.transform(F.slice(F.split("head", "\t"), 2, 100_000), lambda n: F.replace(n, F.lit("."), F.lit("_")))
-    cells = F.zip_with(names, F.split("value", "\t"), lambda k, v: F.struct(k.alias("key"), F.when(~v.isin("-", "(empty)"), v).alias("value")))
-    kinds = lines(spark, path).filter(F.startswith("value", F.lit("#path"))).groupBy("source_file").agg(F.min(F.get(F.split("value", "\t"), F.lit(1))).alias("kind"))
-    df = df.join(kinds, "source_file", "left")
-    kind = F.array(F.struct(F.lit("_zeek_log_type").alias("key"), F.col("kind").alias("value")))
+    for name, mark in (("kind", "#path"), ("separator", "#separator"), ("unset", "#unset_field"), ("empty", "#empty_field")):
+        df = df.join(_directive(spark, path, mark).withColumnRenamed("text", name), "source_file", "left")
+    code = F.regexp_extract(F.trim("separator"), r"^\\x([0-9a-fA-F]{2})$", 1)
+    sep = F.when(code != "", F.char(F.conv(code, 16, 10).cast("int"))).otherwise(F.coalesce(F.nullif(F.trim("separator"), F.lit("")), F.lit("\t")))
+    df = df.withColumn("sep", sep)
+    split = lambda text: F.split(text, F.concat(F.lit(r"\Q"), F.col("sep"), F.lit(r"\E")), -1)
+    after = lambda name, usual: F.coalesce(F.nullif(F.replace(F.col(name), F.col("sep"), F.lit("")), F.lit("")), F.lit(usual))
+    names = F.transform(F.slice(split(F.col("head")), 2, 100_000), lambda n: F.replace(n, F.lit("."), F.lit("_")))
+    cells = F.zip_with(names, split(F.col("value")), lambda k, v: F.struct(k.alias("key"), F.when((v != after("unset", "-")) & (v != after("empty", "(empty)")), v).alias("value")))
+    kind = F.array(F.struct(F.lit("_zeek_log_type").alias("key"), F.nullif(F.trim(F.replace("kind", F.col("sep"), F.lit(""))), F.lit("")).alias("value")))
     return landed(df, parsers.first_wins(F.concat(F.filter(cells, lambda e: e["key"].isNotNull()), kind)), "zeek")
 
 
-READERS = {"json": read_jsonl, "json_array": read_json_array, "csv": read_csv, "tsv": lambda spark, path: read_csv(spark, path, "\t"), "syslog": read_syslog, "cef": read_cef, "leef": read_leef, "w3c": read_w3c, "zeek": read_zeek, "auditd": read_auditd, "event_xml": read_event_xml, "macos": read_macos, "text": read_text_log}
+READERS = {"json": read_jsonl, "json_array": read_json_array, "csv": read_csv, "tsv": lambda spark, path: read_csv(spark, path, "\t"), "syslog": read_syslog, "cef": read_cef, "leef": read_leef, "w3c": read_w3c, "zeek": read_zeek, "auditd": read_auditd, "event_xml": read_event_xml, "macos": read_macos, "macos_array": read_macos_array, "text": read_text_log}
 
 
 def wide(landing: DataFrame, names) -> DataFrame:
@@ -113,6 +164,21 @@ def ingest_report(landing: DataFrame) -> DataFrame:
 
 
 def evidence_manifest(spark: SparkSession, path) -> DataFrame:
-    """SHA-256 and size of every file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """SHA-256 and size of every file; files are read in blocks, so their size has no limit. Spark's source leaves out empty ones."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+
+    def hashed(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                system, inner = (fs.LocalFileSystem(), unquote(name.removeprefix("file:").replace("//", "/", 1))) if name.startswith("file:") else fs.FileSystem.from_uri(name)
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner, compression=None) as stream:
+                    while block := stream.read(1 << 20):
+                        digest.update(block)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], ["path", "size", "sha256"])
+
+    return files.mapInArrow(hashed, "path string, size long, sha256 string")

@@ -93,3 +93,28 @@ def test_json_of_any_depth(spark):
     assert got[1] == {"a_b": "1", "a_c": "true", "b": "top", "c": "true"}
     assert got[2] == {"l": 'x, 1, {"y":[1.0,"z"]}', "N": "t"}
     assert got[3] is got[4] is got[5] is got[6] is None
+
+
+def test_csv_cells_beyond_the_header(spark, tmp_path):
+    put(tmp_path, "a.csv", 'A,B\n1,2\n3,"x,y",4,5\n6\n')
+    rows = {tuple(sorted(r.fields.items())) for r in readers.read_csv(spark, str(tmp_path)).collect()}
+    assert rows == {(("A", "1"), ("B", "2")), (("A", "3"), ("B", "x,y"), ("field_2", "4"), ("field_3", "5")), (("A", "6"),)}
+    put(tmp_path, "b.csv", "A,B\n7,8\n")
+    assert [r.fields["A"] for r in readers.read_csv(spark, str(tmp_path), include="B.CSV").collect()] == ["7"]
+
+
+def test_zeek_directives(spark, tmp_path):
+    put(tmp_path, "x.log", "#separator |\n#set_separator|,\n#empty_field|EMPTY\n#unset_field|NONE\n#path|conn\n#fields|id.orig_h|a|b|c\n1.2.3.4|EMPTY|NONE|-\n")
+    put(tmp_path, "y.log", "#separator \\x09\n#path\tdns\n#fields\tq\tr\nname\t(empty)\n")
+    got = {frozenset(r.fields.items()) for r in readers.read_zeek(spark, str(tmp_path)).collect()}
+    assert got == {frozenset({("id_orig_h", "1.2.3.4"), ("c", "-"), ("_zeek_log_type", "conn")}), frozenset({("q", "name"), ("_zeek_log_type", "dns")})}
+
+
+def test_files_are_listed_and_hashed(spark, tmp_path):
+    import hashlib
+
+    put(tmp_path, "a b%.json", '{"x":1}')
+    put(tmp_path, "b.log", "x")
+    assert {(r.name, r["size"]) for r in readers.discover(spark, str(tmp_path)).collect()} == {("a b%.json", 7), ("b.log", 1)}
+    assert [r.name for r in readers.discover(spark, str(tmp_path), exclude="JSON").collect()] == ["b.log"]
+    assert {r["size"]: r.sha256 for r in readers.evidence_manifest(spark, str(tmp_path)).collect()} == {7: hashlib.sha256(b'{"x":1}').hexdigest(), 1: hashlib.sha256(b"x").hexdigest()}
