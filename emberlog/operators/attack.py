@@ -55,10 +55,17 @@ def kill_chain(found: DataFrame, techniques: DataFrame) -> DataFrame:
     return grouped.orderBy(tactic_rank(F.col("tactic")))
 
 
+#: Colour of a technique by the level of its most severe detection, and of the scale (fixed values).
+COLORS = {"critical": "#ff0000", "high": "#ff6666", "medium": "#ffcc00", "low": "#66ccff", "informational": "#99ccff"}
+GRADIENT = ("#66ccff", "#ffcc00", "#ff0000")
+
+
 def navigator_layer(found: DataFrame, name: str = "detections") -> DataFrame:
-    """One row: the layer as JSON, with the hits of each technique as its score."""
-    scores = parse_tags(found).filter("technique is not null").groupBy("technique").agg(F.sum("n").alias("score"))
-    techniques = F.array_sort(F.collect_list(F.struct(F.col("technique").alias("techniqueID"), "score")))
+    """One row: the layer as JSON, with the hits of each technique as its score and the colour of its most severe detection."""
+    tags = parse_tags(found).filter("technique is not null")
+    scores = tags.groupBy("technique").agg(F.sum("n").alias("score"), F.max_by("level", level_rank(F.col("level"))).alias("level"))
+    color = F.coalesce(*[F.when(F.col("level") == k, F.lit(v)) for k, v in COLORS.items()])
+    techniques = F.array_sort(F.collect_list(F.struct(F.col("technique").alias("techniqueID"), "score", color.alias("color"))))
     layer = scores.agg(techniques.alias("techniques"), F.coalesce(F.max("score"), F.lit(1)).alias("top"))
-    gradient = F.struct(F.array(F.lit("#ffffff"), F.lit("#ff0000")).alias("colors"), F.lit(0).alias("minValue"), F.col("top").alias("maxValue"))
+    gradient = F.struct(F.array(*map(F.lit, GRADIENT)).alias("colors"), F.lit(0).alias("minValue"), F.col("top").alias("maxValue"))
     return layer.select(F.to_json(F.struct(F.lit(name).alias("name"), F.lit("enterprise-attack").alias("domain"), "techniques", gradient.alias("gradient"))).alias("value"))

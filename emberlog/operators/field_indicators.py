@@ -116,6 +116,7 @@ def extract_iocs_all_text(df: DataFrame, key: str, without=("_raw",)) -> DataFra
 
 
 def iocs_table(iocs: DataFrame, first: str, last: str | None = None) -> DataFrame:
-    """Type, Value, Count, First Seen, Last Seen and Source Fields of indicators(type, value, field, time), for CSV."""
+    """Type, Value, Count, First Seen, Last Seen, Source Fields and, where there is source_file, Source Files of indicators(type, value, field, time), for CSV."""
+    files = [F.array_join(F.array_sort(F.collect_set("source_file")), "; ").alias("Source Files")] if "source_file" in iocs.columns else []
     grouped = iocs.groupBy(F.col("type").alias("Type"), F.col("value").alias("Value"))
-    return grouped.agg(F.count("*").alias("Count"), F.min(first).alias("First Seen"), F.max(last or first).alias("Last Seen"), F.array_join(F.array_sort(F.collect_set("field")), "; ").alias("Source Fields"))
+    return grouped.agg(F.count("*").alias("Count"), F.min(first).alias("First Seen"), F.max(last or first).alias("Last Seen"), F.array_join(F.array_sort(F.collect_set("field")), "; ").alias("Source Fields"), *files)

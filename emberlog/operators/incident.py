@@ -69,12 +69,8 @@ def recommendations(found: DataFrame, techniques: DataFrame) -> DataFrame:
     return _tactics(found, techniques).select(F.posexplode(_advice(F.col("tactics"))).alias("place", "advice"))
 
 
-def _display(tactic: Column) -> Column:
-    return F.replace(F.initcap(F.replace(tactic, F.lit("-"), F.lit(" "))), F.lit(" And "), F.lit(" and "))
-
-
 def incident_summary(found: DataFrame, techniques: DataFrame, scores: DataFrame, window: DataFrame | None = None) -> DataFrame:
-    """One row: verdict, risk, the ten highest entities, advice, and a text.
+    """One row: verdict and what it means, risk, the ten highest entities, advice, and the time window.
 
     found(title, level, n, tags), scores(entity, score); window holds one row
     (first, last) or is left out.  Risk is 60 % by detections and 40 % by the highest
@@ -93,20 +89,20 @@ def incident_summary(found: DataFrame, techniques: DataFrame, scores: DataFrame,
     risk = F.least(F.when(highest > 0, by_rules * 0.6 + highest * 0.4).otherwise(by_rules), F.lit(100.0))
     word = F.when((c >= 3) | ((c >= 1) & (h >= 5)), "breach").when((c >= 1) | (h >= 3) | (F.size("tactics") >= 3), "likely").when((h > 0) | (m > 2), "suspicious").otherwise("clean")
     meaning = F.create_map(*[F.lit(x) for pair in MEANING.items() for x in pair])
-    across = F.when(F.size("entities") > 0, F.concat(F.lit(" across "), F.size("entities").cast("string"), F.lit(" entities"))).otherwise("")
-    sentences = [
-        meaning[F.col("verdict")],
-        F.when(sum((F.col(x) for x in ("critical", "high", "medium", "low", "informational")), F.lit(0)) > 0, F.concat(c.cast("string"), F.lit(" critical and "), h.cast("string"), F.lit(" high severity detections found"), across, F.lit("."))),
-        F.concat(F.lit("In the window "), F.substring("first", 1, 16), F.lit(" to "), F.substring("last", 1, 16), F.lit(".")),
-        F.when(F.size("tactics") > 0, F.concat(F.lit("Key indicators include "), F.array_join(F.transform(F.slice("tactics", 1, 4), _display), ", "), F.lit("."))),
-    ]
     out = row.withColumn("verdict", word).withColumn("risk", F.round(risk, 6)).withColumn("advice", _advice(F.col("tactics")))
-    return out.select("verdict", "risk", "critical", "high", "medium", "low", "tactics", "entities", "advice", F.concat_ws(" ", *sentences).alias("summary"))
+    return out.select("verdict", "risk", "critical", "high", "medium", "low", "tactics", "entities", "advice", meaning[F.col("verdict")].alias("meaning"), "first", "last")
 
 
-def run_report(summary: DataFrame, found: DataFrame, sure: DataFrame | None = None) -> DataFrame:
-    """One JSON row: the summary and all rules with hits (rules, not hits, so it stays small)."""
+def run_report(summary: DataFrame, found: DataFrame, sure: DataFrame | None = None, files: DataFrame | None = None, problems: DataFrame | None = None) -> DataFrame:
+    """JSON lines: the summary with all rules with hits (rules, not hits, so it stays small), then one line a file and one a problem.
+
+    files(path, size, sha256) as evidence_manifest makes them, problems(title, problem) as rule_problems does.
+    """
     rules = found.join(sure, "title", "left") if sure is not None else found.withColumn("confidence", F.lit("high"))
     listed = rules.agg(F.array_sort(F.collect_list(F.struct("title", "level", F.col("n").alias("count"), "tags", "confidence"))).alias("detections")).withColumn("one", F.lit(1))
     joined = summary.select(F.struct(*summary.columns).alias("summary"), F.lit(1).alias("one")).join(listed, "one")
-    return joined.select(F.to_json(F.struct("summary", "detections")).alias("value"))
+    out = joined.select(F.to_json(F.struct(F.lit("summary").alias("kind"), "summary", "detections")).alias("value"))
+    for kind, rows, columns in (("file", files, ("path", "size", "sha256")), ("problem", problems, ("title", "problem"))):
+        if rows is not None:
+            out = out.unionByName(rows.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *columns)).alias("value")))
+    return out

@@ -15,7 +15,7 @@ from emberlog.operators import indicators as ind
 from emberlog.operators import rules as ru
 from emberlog.operators import run_all
 from emberlog.operators import search as se
-from emberlog.plans import cookbook, hunt_queries, incident_queries, ingest_queries
+from emberlog.plans import cookbook, file_queries, hunt_queries, incident_queries, ingest_queries
 from emberlog.plans.log_view import WITH, log_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -426,6 +426,7 @@ def decode_base64(ev):
 
 ingest_queries.setup(RULES, _HITS, ru.apply_rules)
 incident_queries.setup(RULES, _HITS, ru.apply_rules)
+file_queries.setup(RULES, _HITS)
 
 
 # --- enrichment of events and of indicators ---------------------------------------------------------
@@ -471,7 +472,7 @@ _HUNT_ROWS = "SELECT name, severity, description, count(*) AS n FROM (" + " UNIO
 _known = _oracles | ingest_queries.oracles() | incident_queries.oracles() | {"hits": _oracles["rule_hits"], "hunts": _HUNT_ROWS, "confidence": f"{_HITS} SELECT title, 'high' AS confidence FROM hits GROUP BY 1"}
 _queries["analyse_all"] = _analyse_all
 _oracles["analyse_all"] = " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n, round(CAST(sum({total}) AS DOUBLE), 6) AS total FROM ({_known[name]})" for name, total in run_all.TOTALS.items())
-_cookbook = cookbook.queries(), cookbook.oracles()
+_more = cookbook.queries() | file_queries.queries(), cookbook.oracles() | file_queries.oracles()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,8 +480,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _queries | hunt_queries.queries() | _cookbook[0] | ingest_queries.queries() | incident_queries.queries()
+    return _queries | hunt_queries.queries() | _more[0] | ingest_queries.queries() | incident_queries.queries()
 
 
 def oracles() -> dict[str, str]:
-    return _oracles | hunt_queries.oracles() | _cookbook[1] | ingest_queries.oracles() | incident_queries.oracles()
+    return _oracles | hunt_queries.oracles() | _more[1] | ingest_queries.oracles() | incident_queries.oracles()

@@ -105,7 +105,7 @@ e AS (SELECT list(concat(entity, ' (score: ', CAST(round_even(score, 0) AS INT),
 w AS (SELECT min("SystemTime") AS a, max("SystemTime") AS b FROM hits),
 t AS (SELECT list(slug ORDER BY pos) AS tactics, string_agg(shown, ', ' ORDER BY pos) AS shown FROM tactic)
 SELECT 'likely' AS verdict, round(least((10 * critical + 5 * high + 2 * medium + low) * 0.6 + highest * 0.4, 100), 6) AS risk, critical, high, medium, low, tactics, entities, {advice} AS advice,
-concat('Evidence indicates likely compromise. ', critical, ' critical and ', high, ' high severity detections found across ', len(entities), ' entities. In the window ', substr(a,1,16), ' to ', substr(b,1,16), '. Key indicators include ', shown, '.') AS summary FROM s, e, w, t"""
+'Evidence indicates likely compromise.' AS meaning, a AS first, b AS last FROM s, e, w, t"""
     _queries["recommendations"] = lambda spark, sf: inc.recommendations(at.tagged(apply_rules(log_events(spark, sf), rules)), techniques(spark))
     _oracles["recommendations"] = f"""{tactics} SELECT unnest(range(len(a)))::INT AS place, unnest(a) AS advice FROM (SELECT {advice} AS a)"""
 

@@ -64,7 +64,7 @@ def test_summary_without_detections(spark):
     scores = spark.createDataFrame([], "entity string, score double")
     summary = incident.incident_summary(found, techniques, scores)
     (row,) = summary.collect()
-    assert (row.verdict, row.risk, row.tactics, row.entities, row.advice, row.summary) == ("clean", 0.0, [], [], [incident.BASELINE], "No significant threats detected.")
+    assert (row.verdict, row.risk, row.tactics, row.entities, row.advice, row.meaning) == ("clean", 0.0, [], [], [incident.BASELINE], "No significant threats detected.")
     (report,) = incident.run_report(summary, found).collect()
     assert json.loads(report.value)["detections"] == []
 

@@ -29,7 +29,7 @@ def test_logs_of_rules(hits, tmp_path):
     (log,) = values(sinks.sarif(found))
     assert log["runs"][0]["results"] == [{"ruleId": "R", "level": "error", "message": {"text": "R: 2 events"}}]
     (layer,) = values(attack.navigator_layer(found))
-    assert layer["techniques"] == [{"techniqueID": "T1059.001", "score": 2}]
+    assert layer["techniques"] == [{"techniqueID": "T1059.001", "score": 2, "color": "#ff6666"}]
     sinks.write(sinks.detections_table(found), str(tmp_path / "d"))
     sinks.save_events(hits, str(tmp_path / "e"))
     assert hits.sparkSession.read.parquet(str(tmp_path / "e")).count() == 2
