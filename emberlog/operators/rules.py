@@ -1,7 +1,9 @@
 """Detection rules as Spark predicates: value matchers, selections, conditions and one-pass evaluation.
 
 A rule is a mapping with title, level, tags, logsource and detection, as read from
-YAML.  Predicates are Column trees; missing fields count as ''.
+YAML.  Predicates are SQL text, which Spark parses once a chunk of rules: thousands of
+rules as Columns would take a call into the JVM for every literal.  Missing fields
+count as ''.
 """
 
 from __future__ import annotations
@@ -9,15 +11,14 @@ from __future__ import annotations
 import base64
 import ipaddress
 import json
-import operator
 import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions.columns import all_of, any_of, field, ip_number, ipv6_hex, present
+from emberlog.functions.columns import field
 
 LEVELS = ("informational", "low", "medium", "high", "critical")
 CHUNK = 64  # predicates per array, so that generated methods stay compilable
@@ -43,64 +44,99 @@ def _wildcard(value: str) -> str | None:
     return out if wild else None
 
 
-def lowered(df: DataFrame, name: str) -> Column:
+def quoted(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def plain(df: DataFrame, name: str) -> str:
+    """The field as text."""
+    known = {c.lower(): c for c in df.columns}
+    return "coalesce(cast(`{}` as string), '')".format(known[name.lower()].replace("`", "``")) if name.lower() in known else "''"
+
+
+def lowered(df: DataFrame, name: str) -> str:
     """The field in lower case, from a column made before where there is one."""
     made = LOWER + name.lower()
-    return F.col(f"`{made}`") if made in df.columns else F.lower(field(df, name))
+    return "`{}`".format(made.replace("`", "``")) if made in df.columns else f"lower({plain(df, name)})"
+
 
+def one_of(parts: list[str]) -> str:
+    return f"({' OR '.join(parts)})" if parts else "FALSE"
 
-def matches(lower: Column, value: str, kind: str = "") -> Column:
+
+def each_of(parts: list[str]) -> str:
+    return f"({' AND '.join(parts)})" if parts else "TRUE"
+
+
+def matches(lower: str, value: str, kind: str = "") -> str:
     """equals, contains, startswith or endswith of text and value in one case; * and ? are wildcards."""
     pattern = _wildcard(value)
     if pattern is not None:
         head, tail = ("^", "$") if kind == "" else ("^", "") if kind == "startswith" else ("", "$") if kind == "endswith" else ("", "")
-        return lower.rlike(f"(?s){head}{pattern}{tail}")
-    text = F.lit(re.sub(r"\\([*?])", r"\1", value))
-    return {"": lambda: lower == text, "contains": lambda: F.contains(lower, text), "startswith": lambda: F.startswith(lower, text), "endswith": lambda: F.endswith(lower, text)}[kind]()
+        return f"{lower} RLIKE {quoted(f'(?s){head}{pattern}{tail}')}"
+    text = quoted(re.sub(r"\\([*?])", r"\1", value))
+    return f"{kind}({lower}, {text})" if kind else f"{lower} = {text}"
+
+
+def _java(pattern: str) -> str:
+    """The pattern, if the engine that will run it takes it."""
+    SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    return pattern
 
 
-def cidr(column: Column, network: str) -> Column:
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_GROUPS = "(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?"
+
+
+def cidr(text: str, network: str) -> str:
     """Whether an address lies in a network; text that is no address of its version does not."""
     net = ipaddress.ip_network(network, strict=False)
     if net.version == 6:
-        low, high = (f"{int(x):032x}" for x in (net.network_address, net.broadcast_address))
-        return F.coalesce(ipv6_hex(column).between(low, high), F.lit(False))
+        # 32 hex digits, whose order is that of the addresses
+        x = f"lower({text})"
+        side = lambda i: f"filter(split(coalesce(get(split({x}, '::', -1), {i}), ''), ':', -1), g -> g <> '')"
+        missing = f"(8 - size({side(0)}) - size({side(1)}))"
+        shape = f"{x} RLIKE {quoted(f'^{_GROUPS}(?:::{_GROUPS})?$')} AND CASE WHEN contains({x}, '::') THEN {missing} >= 1 ELSE {missing} = 0 END"
+        digits = f"array_join(transform(concat({side(0)}, array_repeat('0', greatest({missing}, 0)), {side(1)}), g -> lpad(g, 4, '0')), '')"
+        low, high = (f"{int(a):032x}" for a in (net.network_address, net.broadcast_address))
+        return f"(CASE WHEN {shape} THEN {digits} BETWEEN '{low}' AND '{high}' ELSE FALSE END)"
     low = int(net.network_address)
-    return F.coalesce(ip_number(column).between(low, low + net.num_addresses - 1), F.lit(False))
+    number = f"aggregate(transform(split({text}, '[.]'), o -> cast(o as bigint)), 0L, (a, o) -> a * 256 + o)"
+    return f"(CASE WHEN {text} RLIKE {quoted(f'^{_OCTET}([.]{_OCTET}){{3}}$')} THEN {number} BETWEEN {low} AND {low + net.num_addresses - 1} ELSE FALSE END)"
 
 
 def _base64_offsets(data: bytes) -> list[str]:
     return [base64.b64encode(b" " * i + data).decode()[(0, 2, 3)[i] : (None, -3, -2)[(len(data) + i) % 3]] for i in range(3)]
 
 
-def value_predicate(df: DataFrame, name: str, value, modifiers: list[str]) -> Column:
+def value_predicate(df: DataFrame, name: str, value, modifiers: list[str]) -> str:
     """One value of a field with its modifiers."""
     unknown = set(modifiers) - MODIFIERS
     if unknown:
         raise ValueError(f"modifiers not supported: {sorted(unknown)}")
-    column = field(df, name)
+    text = plain(df, name)
     if "exists" in modifiers:
-        return present(column) if value else ~present(column)
+        return f"{text} <> ''" if value else f"{text} = ''"
     if value is None or value == "":
-        return column == ""
+        return f"{text} = ''"
     if isinstance(value, bool):
-        return lowered(df, name) == str(value).lower()
+        return f"{lowered(df, name)} = '{str(value).lower()}'"
     for m in modifiers:
         if m in ("gt", "gte", "lt", "lte"):
-            number, limit = column.try_cast("double"), F.lit(float(value))
-            return F.coalesce({"gt": number > limit, "gte": number >= limit, "lt": number < limit, "lte": number <= limit}[m], F.lit(False))
-    text = str(value)
+            return f"coalesce(try_cast({text} AS DOUBLE) {dict(gt='>', gte='>=', lt='<', lte='<=')[m]} {float(value)!r}D, FALSE)"
+    given = str(value)
     kind = next((m for m in modifiers if m in ("contains", "startswith", "endswith")), "")
     if "re" in modifiers:
-        return column.rlike(f"(?i){text}" if "i" in modifiers else text)
+        return f"{text} RLIKE {quoted(_java(f'(?i){given}' if 'i' in modifiers else given))}"
     if "cidr" in modifiers:
-        return cidr(column, text)
+        return cidr(text, given)
     if "fieldref" in modifiers:
-        test = {"": operator.eq, "contains": F.contains, "startswith": F.startswith, "endswith": F.endswith}[kind]
-        return present(field(df, text)) & test(lowered(df, name), lowered(df, text))
-    variants = [text]
+        a, b = lowered(df, name), lowered(df, given)
+        return f"({b} <> '' AND {f'{kind}({a}, {b})' if kind else f'{a} = {b}'})"
+    variants = [given]
     if "windash" in modifiers:
-        variants += [x for x in (re.sub(r"(^|\s)-", r"\1/", text), text.replace("-", "/")) if x not in variants]
+        variants += [x for x in (re.sub(r"(^|\s)-", r"\1/", given), given.replace("-", "/")) if x not in variants]
     coding = "utf-16-le" if WIDE & set(modifiers) else "utf-8"
     if "base64offset" in modifiers:
         variants = [o for v in variants for o in _base64_offsets(v.encode(coding))]
@@ -110,38 +146,39 @@ def value_predicate(df: DataFrame, name: str, value, modifiers: list[str]) -> Co
     elif coding != "utf-8":
         variants = ["".join(c + "\0" for c in v) for v in variants]
     if "cased" in modifiers:
-        return any_of([matches(column, v, kind) for v in dict.fromkeys(variants)])
-    return any_of([matches(lowered(df, name), v, kind) for v in dict.fromkeys(v.lower() for v in variants)])
+        return one_of([matches(text, v, kind) for v in dict.fromkeys(variants)])
+    return one_of([matches(lowered(df, name), v, kind) for v in dict.fromkeys(v.lower() for v in variants)])
 
 
-def field_predicate(df: DataFrame, key: str, value) -> Column:
+def field_predicate(df: DataFrame, key: str, value) -> str:
     """`Field|modifier...: value or list`."""
     name, *modifiers = key.split("|")
     if not isinstance(value, list):
         return value_predicate(df, name, value, modifiers)
     if not modifiers and value and all(isinstance(v, (str, int)) and not isinstance(v, bool) and v != "" and _wildcard(str(v)) is None for v in value):
-        return lowered(df, name).isin([re.sub(r"\\([*?\\])", r"\1", str(v)).lower() for v in value])
+        texts = [quoted(re.sub(r"\\([*?\\])", r"\1", str(v)).lower()) for v in value]
+        return f"{lowered(df, name)} IN ({', '.join(texts)})"
     parts = [value_predicate(df, name, v, modifiers) for v in value]
-    return all_of(parts) if "all" in modifiers and parts else any_of(parts)
+    return each_of(parts) if "all" in modifiers and parts else one_of(parts)
 
 
-def selection(df: DataFrame, body) -> Column:
+def selection(df: DataFrame, body) -> str:
     """A mapping is AND, a list is OR, a bare text is a keyword of the raw event."""
     if isinstance(body, dict):
-        return all_of([field_predicate(df, k, v) for k, v in body.items()])
+        return each_of([field_predicate(df, k, v) for k, v in body.items()])
     if isinstance(body, list):
-        return any_of([selection(df, x) for x in body])
+        return one_of([selection(df, x) for x in body])
     return matches(lowered(df, "_raw"), str(body).lower(), "contains")
 
 
 class Algebra:
-    """What a condition is made of: Columns."""
+    """What a condition is made of: SQL text."""
 
-    false = staticmethod(lambda: F.lit(False))
-    both = staticmethod(lambda a, b: a & b)
-    either = staticmethod(lambda a, b: a | b)
-    negated = staticmethod(lambda a: ~a)
-    least = staticmethod(lambda parts, n: reduce(lambda a, b: a + b, [F.when(c, 1).otherwise(0) for c in parts]) >= n)
+    false = staticmethod(lambda: "FALSE")
+    both = staticmethod(lambda a, b: f"({a} AND {b})")
+    either = staticmethod(lambda a, b: f"({a} OR {b})")
+    negated = staticmethod(lambda a: f"(NOT {a})")
+    least = staticmethod(lambda parts, n: "(" + " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in parts) + f") >= {n}")
 
 
 def _both(a, b):
@@ -241,23 +278,29 @@ PRODUCT_FORMATS = {
 }
 
 
-def logsource_formats(df: DataFrame, logsource: dict, column: str = "source_format") -> Column:
-    """Whether an event's format (or, for antivirus rules, its channel) can hold events of a rule's log source."""
+def _formats(df: DataFrame, logsource: dict, column: str) -> str:
     product, category = (str(logsource.get(k) or "").lower() for k in ("product", "category"))
     if product in PRODUCT_FORMATS:
-        return field(df, column).isin(*PRODUCT_FORMATS[product])
+        return f"{plain(df, column)} IN ({', '.join(map(quoted, PRODUCT_FORMATS[product]))})"
     if category == "antivirus":
-        return any_of([F.contains(F.lower(field(df, "Channel")), F.lit(w)) for w in ("defender", "virus", "endpoint", "antivirus")])
-    return F.lit(True)
+        return one_of([f"contains(lower({plain(df, 'Channel')}), '{w}')" for w in ("defender", "virus", "endpoint", "antivirus")])
+    return "TRUE"
 
 
-def _source(df: DataFrame, rule: dict) -> tuple[Column | None, Column | None]:
+def logsource_formats(df: DataFrame, logsource: dict, column: str = "source_format") -> Column:
+    """Whether an event's format (or, for antivirus rules, its channel) can hold events of a rule's log source."""
+    return F.expr(_formats(df, logsource, column))
+
+
+def _source(df: DataFrame, rule: dict) -> list[str]:
     """What the rule's log source asks of an event: its event ids, and its format where the events say one."""
     logsource = rule.get("logsource") or {}
     events = CATEGORY_EVENTS.get(logsource.get("category", ""))
+    out = [f"{plain(df, 'EventID')} IN ({', '.join(map(quoted, events))})"] if events else []
     formats = next((c for c in ("source_format", "_source_format") if c in df.columns), None)
-    asked = str(logsource.get("product") or "").lower() in PRODUCT_FORMATS and formats or logsource.get("category") == "antivirus" and "Channel" in df.columns
-    return field(df, "EventID").isin(events) if events else None, logsource_formats(df, logsource, formats) if asked else None
+    if str(logsource.get("product") or "").lower() in PRODUCT_FORMATS and formats or logsource.get("category") == "antivirus" and "Channel" in df.columns:
+        out.append(_formats(df, logsource, formats or ""))
+    return out
 
 
 def _detection(rule: dict) -> tuple[str, dict]:
@@ -266,13 +309,13 @@ def _detection(rule: dict) -> tuple[str, dict]:
     return text[0] if isinstance(text, list) else text, {k: v for k, v in detection.items() if k not in ("condition", "timeframe")}
 
 
-def _own_predicate(df: DataFrame, rule: dict) -> Column:
+def _own_predicate(df: DataFrame, rule: dict) -> str:
     text, bodies = _detection(rule)
     return condition(text, {k: selection(df, v) for k, v in bodies.items()})
 
 
 def rule_predicate(df: DataFrame, rule: dict) -> Column:
-    return all_of([*[x for x in _source(df, rule) if x is not None], _own_predicate(df, rule)])
+    return F.expr(each_of([*_source(df, rule), _own_predicate(df, rule)]))
 
 
 def _ids_of(body) -> frozenset | None:
@@ -324,7 +367,7 @@ def _shape_problem(rule: dict) -> str | None:
     return None
 
 
-def _built(df: DataFrame, rule: dict) -> tuple[Column | None, str | None]:
+def _built(df: DataFrame, rule: dict) -> tuple[str | None, str | None]:
     """The rule's predicate, or why it cannot be built."""
     try:
         return _own_predicate(df, rule), None
@@ -375,19 +418,20 @@ def apply_rules(df: DataFrame, rules: list[dict], skip: bool = False) -> DataFra
     for i in usable:
         logsource = rules[i].get("logsource") or {}
         groups.setdefault((str(logsource.get("category", "")), str(logsource.get("product", ""))), []).append(i)
-    none = F.array().cast("array<int>")
+    none = "cast(array() as array<int>)"
     parts = []
     for numbers in groups.values():
-        asked = [x for x in _source(ready, rules[numbers[0]]) if x is not None]
+        asked = _source(ready, rules[numbers[0]])
         tests = []
         for i in numbers:
             test = _built(ready, rules[i])[0] if skip else _own_predicate(ready, rules[i])
             if test is not None:
-                tests.append(F.when(test, F.lit(i)))
+                tests.append(f"CASE WHEN {test} THEN {i} END")
         for lo in range(0, len(tests), CHUNK):
-            hits = F.array(*tests[lo : lo + CHUNK])
-            parts.append(F.when(all_of(asked), hits).otherwise(none) if asked else hits)
-    found = ready.withColumn("rule", F.explode(F.array_compact(F.concat(*parts)) if parts else none)).select(*[f"`{c}`" for c in columns], "rule")
+            hits = f"array({', '.join(tests[lo : lo + CHUNK])})"
+            parts.append(F.expr(f"CASE WHEN {each_of(asked)} THEN {hits} ELSE {none} END" if asked else hits))
+    numbers = F.array_compact(F.concat(*parts)) if parts else F.expr(none)
+    found = ready.withColumn("rule", F.explode(numbers)).select(*[f"`{c}`" for c in columns], "rule")
     info = [(i, rules[i]["title"], rules[i].get("level", "medium"), [str(t) for t in rules[i].get("tags") or []]) for i in usable]
     table = df.sparkSession.createDataFrame(info, "rule int, title string, level string, tags array<string>")
     return found.join(F.broadcast(table), "rule")  # one row per rule
