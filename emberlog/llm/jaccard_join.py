@@ -372,13 +372,19 @@ def _compare_cells(buckets: int):
 
 
 def _pair_rows(pairs: np.ndarray, buckets: int) -> pa.Table:
-    pairs = np.unique(pairs, axis=0)
+    pairs = _once(pairs)
     bucket = (tx.mix(pairs[:, 0].astype(U64) * tx._M ^ pairs[:, 1].astype(U64)) % U64(buckets)).astype(np.int32)
     return pa.Table.from_batches([tx.pack(bucket, buckets, 0, {"a": pairs[:, 0], "b": pairs[:, 1]})])
 
 
+def _once(pairs: np.ndarray) -> np.ndarray:
+    """Each pair once, in order."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[tx.run_starts(pairs[:, 0], pairs[:, 1])]
+
+
 def _unique_pairs(table: pa.Table) -> pa.Table:
-    pairs = np.unique(np.stack([tx.unpack(table, "a", np.int64), tx.unpack(table, "b", np.int64)], axis=1), axis=0)
+    pairs = _once(np.stack([tx.unpack(table, "a", np.int64), tx.unpack(table, "b", np.int64)], axis=1))
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -390,7 +396,10 @@ def across_components(open_groups: DataFrame, buckets: int) -> DataFrame:
     blocks = F.ceil(F.col("size") / CELL).cast("long")
     rows = open_groups.withColumn("b", F.pmod(F.xxhash64("m"), blocks).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     rows = rows.withColumn("i", F.least("b", "k")).withColumn("j", F.greatest("b", "k"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(buckets)).cast("int"))
+    cell = F.xxhash64("gid", "i", "j")
+    # Small cells share a bucket, a large one has its own, so that what a task holds is bounded by a cell.
+    alone = F.lit(buckets) + F.pmod(cell, F.lit(1 << 30))
+    rows = rows.withColumn("bucket", F.when(F.col("size") > CELL // 8, alone).otherwise(F.pmod(cell, F.lit(buckets))).cast("int"))
     packed = rows.select("bucket", "gid", "i", "j", "m", "n", "c", "b", "sketch").groupBy("bucket").applyInArrow(_compare_cells(buckets), tx.packed_schema(["a", "b"]))
     return packed.groupBy("bucket").applyInArrow(_unique_pairs, "a long, b long")
 
@@ -427,7 +436,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     real = sets.filter("doc_id is not null and n_shingles > 0")
     # Documents with equal sets are one vertex, named by the smallest of them; a doc_id with several texts has several.
     vertex = real.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("v"))
-    named = tx.written(real.join(vertex, ["n_shingles", "f1", "f2"]).select("doc_id", "v", F.col("n_shingles").alias("n")).distinct(), "named")
+    sizes = F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")  # of the sets of a vertex
+    named = tx.written(real.join(vertex, ["n_shingles", "f1", "f2"]).groupBy("doc_id", "v").agg(*sizes), "named")
     first = named.groupBy("doc_id").agg(F.min("v").alias("least"), F.max("v").alias("most"))
     own = named.join(first.filter("least < most"), "doc_id").filter("v > least").select(F.col("least").alias("a"), F.col("v").alias("b"))
 
@@ -435,36 +445,33 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     keys = docs.mapInArrow(_key_rows(n, counts), ENTRIES)
     groups = tx.written(keys.groupBy("bucket").applyInArrow(_groups, "gid long, doc long, sid long"), "groups")
     grouped = groups.filter("doc is not null").select("gid", "doc").distinct()
-    members = tx.written(grouped.join(named, grouped.doc == named.doc_id).select("gid", F.col("v").alias("m"), "n").distinct(), "members")
+    members = grouped.join(named, grouped.doc == named.doc_id).groupBy("gid", F.col("v").alias("m")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    members = tx.written(members, "members")
     # The groups of each hot key; keys with the same groups count once.
     supers = groups.filter("sid is not null").select("sid", "gid").distinct()
     alike = supers.groupBy("sid").agg(F.sum(F.xxhash64("gid").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("k")).groupBy("mark", "k").agg(F.min("sid").alias("sid"))
     supers = tx.written(supers.join(alike.select("sid"), "sid"), "supers")
     tx.discard(groups)
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs of different vertices whose sizes allow a link, each once."""
-        fit = pairs.filter((F.col("m1") != F.col("m2")) & (100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2")))
-        return fit.select(F.least("m1", "m2").alias("a"), F.greatest("m1", "m2").alias("b")).distinct()
-
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    smallest = members.groupBy("gid").agg(F.min("m").alias("lead"))
-    lead = members.join(smallest, "gid").filter("m = lead").select("gid", "lead", F.col("n").alias("n2"))
-    against = members.join(lead, "gid").select(F.col("m").alias("m1"), F.col("n").alias("n1"), F.col("lead").alias("m2"), "n2")
-    tried = tx.written(sized(against), "pairs")
+    lead = members.groupBy("gid").agg(F.min(F.struct("m", "low", "high")).alias("lead"))
+    fit = (F.col("m") != F.col("lead.m")) & (100 * F.col("high") >= PERCENT * F.col("lead.low")) & (100 * F.col("lead.high") >= PERCENT * F.col("low"))
+    against = members.join(lead, "gid").filter(fit).select(F.col("lead.m").alias("a"), F.col("m").alias("b")).distinct()
+    tried = tx.written(against, "pairs")
     links = tx.written(verified(tried, texts).unionByName(own), "links")
 
     parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = members.join(parts, members.m == parts.node, "left").select("gid", "m", "n", F.coalesce("component", "m").alias("c"))
+    placed = tx.written(members.join(parts, members.m == parts.node, "left").select("gid", "m", F.coalesce("component", "m").alias("c")), "placed")
     ends = placed.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"))
     split = ends.filter("c0 < c1").select("gid", "size")
     wide = supers.join(ends, "gid").groupBy("sid").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("size").alias("size")).filter("c0 < c1").select("sid", "size")
-    spread = supers.join(wide, "sid").join(placed, "gid").select(F.col("sid").alias("gid"), "size", "m", "n", "c").distinct()
+    split = split.join(supers.join(wide, "sid").select("gid"), "gid", "left_anti")  # compared as a part of its key
+    spread = supers.join(wide, "sid").join(placed, "gid").select(F.col("sid").alias("gid"), "size", "m", "c").distinct()
     sketches = real.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("n"), "sketch").distinct()
-    open_groups = placed.join(split, "gid").select("gid", "size", "m", "n", "c").unionByName(spread).join(sketches, ["m", "n"])
+    open_groups = placed.join(split, "gid").select("gid", "size", "m", "c").unionByName(spread).join(sketches, "m")
     again = tx.written(across_components(open_groups, n).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = tx.written(links.unionByName(verified(again, texts)), "links")
-    tx.discard(tried, again, members, supers)
+    tx.discard(tried, again, members, supers, placed)
 
     parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified_links"))
