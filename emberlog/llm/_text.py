@@ -155,9 +155,9 @@ def ids(column) -> np.ndarray:
 NO_ID = -(1 << 63)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, word ends, and for each text the number of its first word (one more at the end)."""
-    word = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, word ends, and for each text the number of its first word (one more at the end); `space` tells which bytes part words."""
+    word = ~space[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     ends = word.copy()

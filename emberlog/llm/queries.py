@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, brown_lm, chat, jaccard_join, mixing, quality, relative_lz, suffix_dedup, topk_search, warc
+from emberlog.llm import bpe, brown_lm, chat, jaccard_join, lexical_search, mixing, quality, relative_lz, suffix_dedup, topk_search, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,9 +66,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op7_topk_search": topk_search.ORACLE, "op8_chat_format": chat.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op7_topk_search": topk_search.ORACLE, "op8_chat_format": chat.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
