@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, brown_lm, chat, jaccard_join, lexical_search, mixing, quality, relative_lz, suffix_dedup, topk_search, warc
+from emberlog.llm import bpe, brown_lm, chat, jaccard_join, lexical_search, mixing, packing, quality, relative_lz, suffix_dedup, topk_search, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,6 +66,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(_table(spark, sf_dir, "documents"))
 
 
+def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
