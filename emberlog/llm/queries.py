@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, brown_lm, chat, jaccard_join, lexical_search, mixing, packing, quality, relative_lz, suffix_dedup, topk_search, warc
+from emberlog.llm import ball_kmeans, bpe, brown_lm, chat, jaccard_join, lexical_search, mixing, packing, quality, relative_lz, suffix_dedup, topk_search, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(_table(spark, sf_dir, "documents"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op7_topk_search": topk_search.ORACLE, "op8_chat_format": chat.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op7_topk_search": topk_search.ORACLE, "op8_chat_format": chat.ORACLE, "op11_ball_kmeans": ball_kmeans.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
