@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from emberlog.llm import _text as tx
 
 SIZE, END = 4096, 1
 GROUP = 1 << 16  # pieces that one task places
-MEMO_RUNS, MEMO_BYTES = 1 << 20, 64  # runs kept in a worker's memo, and the longest of them
+MARKS = frozenset(b",.;:!?")
+MEMO_RUNS, MEMO_BYTES = 3 << 19, 64  # runs kept in a worker's memo, and the longest of them
 
 
 class RunEncoder:
@@ -49,6 +51,10 @@ class RunEncoder:
 
         self.tool = Tokenizer.from_file(path)
         self.batch = getattr(self.tool, "encode_batch_fast", self.tool.encode_batch)
+        vocabulary = self.tool.get_vocab()
+        suffix = getattr(self.tool.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -56,32 +62,66 @@ class RunEncoder:
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, runs: list[bytes]) -> None:
-        ids = [e.ids for e in self.batch([r.decode() for r in runs], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
+        """Ids of new runs; one that ends in a mark behind an ASCII letter has those of its two parts."""
+        number = self.number
+        marked = [r for r in runs if r[-1] in MARKS and r[-2:-1].isalpha()]
+        whole = [r for r in runs if not (r[-1] in MARKS and r[-2:-1].isalpha())]
+        parts = {p for r in marked for p in (r[:-1], r[-1:])}
+        whole += [p for p in parts.difference(whole) if p not in number]
+        self._encode(whole)
+        if marked:
+            both = np.fromiter((number[p] for r in marked for p in (r[:-1], r[-1:])), np.int64, 2 * len(marked))
+            sizes = self.sizes[both]
+            self._add(marked, sizes[::2] + sizes[1::2], self.flat[tx.ranges(self.starts[both], sizes)])
+
+    def _encode(self, runs: list[bytes]) -> None:
+        """Runs of letters go as one text, if as many tokens in it end a word as there are runs; others one by one."""
+        texts = [r.decode() for r in runs]
+        plain = [(r, t) for r, t in zip(runs, texts, strict=True) if t.isalpha()]
+        step = 4096
+        for lo in range(0, len(plain), step):
+            some = plain[lo : lo + step]
+            ids = np.array(self.batch([" ".join([t for _, t in some])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(some) and len(ids) == ends[-1] + 1:
+                self._add([r for r, _ in some], np.diff(ends, prepend=-1), ids)
+            else:
+                self._one_by_one([r for r, _ in some], [t for _, t in some])
+        rest = [(r, t) for r, t in zip(runs, texts, strict=True) if not t.isalpha()]
+        self._one_by_one([r for r, _ in rest], [t for _, t in rest])
+
+    def _one_by_one(self, runs: list[bytes], texts: list[str]) -> None:
+        found = [e.ids for e in self.batch(texts, add_special_tokens=False)]
+        self._add(runs, np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
+
+    def _add(self, runs: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
         self.number.update(zip(runs, range(len(self.sizes), len(self.sizes) + len(runs)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+        self.flat = np.concatenate([self.flat, ids])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids."""
-        if len(self.number) > MEMO_RUNS:
+        if len(self.number) > MEMO_RUNS or len(self.flat) > 8 * MEMO_RUNS:
             self._reset()
-        found = [t.split() for t in texts]
+        # the tokenizer lowers letters itself, but looks for special tokens before
+        found = [(t if b"<|" in t else t.lower()).split() for t in texts]
         number = self.number
-        fresh = list({r for runs in found for r in runs if r not in number})
+        runs = list(chain.from_iterable(found))
+        at = np.array(list(map(number.get, runs)), float)  # nan: not known yet
+        new = np.flatnonzero(np.isnan(at)).tolist()
+        fresh = list({runs[i] for i in new})
         if fresh:
             self._learn(fresh)
+            at[new] = [number[runs[i]] for i in new]
+        at = at.astype(np.int64)
         per_text = np.fromiter(map(len, found), np.int64, len(found))
-        at = np.fromiter((number[r] for runs in found for r in runs), np.int64, int(per_text.sum()))
         sizes = self.sizes[at]
         ids = self.flat[tx.ranges(self.starts[at], sizes)]
         sums = np.concatenate([[0], np.cumsum(sizes)])
         for r in fresh:
             if len(r) > MEMO_BYTES:
                 del number[r]
-        if len(self.flat) > 8 * MEMO_RUNS:
-            self._reset()
         return ids, np.diff(sums[np.concatenate([[0], np.cumsum(per_text)])])
 
 
