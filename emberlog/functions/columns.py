@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 TIME_FIELDS = ("SystemTime", "UtcTime", "TimeCreated", "timestamp", "Timestamp", "@timestamp", "time", "ts", "EventTime", "_time")
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def field(df: DataFrame, name: str) -> Column:
     """A field as text; null, '' and a column that is not there are all ''."""
     known = {c.lower(): c for c in df.columns}
-    return F.coalesce(F.col(f"`{known[name.lower()]}`").cast("string"), F.lit("")) if name.lower() in known else F.lit("")
+    return F.coalesce(column(known[name.lower()]).cast("string"), F.lit("")) if name.lower() in known else F.lit("")
 
 
 def present(column: Column) -> Column:

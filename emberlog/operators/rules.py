@@ -1,82 +1,48 @@
-"""Detection rules as Spark predicates: value matchers, selections, conditions and one-pass evaluation.
+"""Detection rules: predicates of single rules, rule sets over events in one scan, and what hits add up to.
 
-A rule is a mapping with title, level, tags, logsource and detection, as read from
-YAML.  Predicates are SQL text, which Spark parses once a chunk of rules: thousands of
-rules as Columns would take a call into the JVM for every literal.  Missing fields
-count as ''.
+`rule_predicate` is one rule as a Column.  `apply_rules` is a set of any size: its texts become
+one multi-pattern automaton for each field (rule_set.py).  Rules are taken apart in
+rule_parts.py, and log_sources.py tells which events a rule is about.  Missing fields count as ''.
 """
 
 from __future__ import annotations
 
-import base64
 import ipaddress
 import json
-import re
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions.columns import field
+from emberlog.functions.columns import all_of, any_of, column, field
+from emberlog.operators import rule_parts as rp
+from emberlog.operators import rule_set
+from emberlog.operators.log_sources import format_column, route, routed
 
 LEVELS = ("informational", "low", "medium", "high", "critical")
-CHUNK = 64  # predicates per array, so that generated methods stay compilable
-WIDE = {"wide", "utf16", "utf16le"}
-MODIFIERS = {"contains", "startswith", "endswith", "re", "i", "cidr", "gt", "gte", "lt", "lte", "base64", "base64offset", "windash", "all", "fieldref", "exists", "cased"} | WIDE
 #: Columns of a hit that name its rule; columns of the events with these names become event_<name>.
 RULE_COLUMNS = ("rule", "title", "level", "tags")
-LOWER = "__lower_"  # prefix of columns with the lower-case text of a field
 
-
-def _wildcard(value: str) -> str | None:
-    """A whole-value regex for * and ?, or None if the value has neither (a backslash escapes both)."""
-    out, wild, i = "", False, 0
-    while i < len(value):
-        c = value[i]
-        if c == "\\" and i + 1 < len(value) and value[i + 1] in "*?\\":
-            out, i = out + re.escape(value[i + 1]), i + 1
-        elif c in "*?":
-            out, wild = out + (".*" if c == "*" else "."), True
-        else:
-            out += re.escape(c)
-        i += 1
-    return out if wild else None
-
-
-def quoted(text: str) -> str:
-    """A SQL literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def plain(df: DataFrame, name: str) -> str:
-    """The field as text."""
-    known = {c.lower(): c for c in df.columns}
-    return "coalesce(cast(`{}` as string), '')".format(known[name.lower()].replace("`", "``")) if name.lower() in known else "''"
-
-
-def lowered(df: DataFrame, name: str) -> str:
-    """The field in lower case, from a column made before where there is one."""
-    made = LOWER + name.lower()
-    return "`{}`".format(made.replace("`", "``")) if made in df.columns else f"lower({plain(df, name)})"
-
-
-def one_of(parts: list[str]) -> str:
-    return f"({' OR '.join(parts)})" if parts else "FALSE"
-
-
-def each_of(parts: list[str]) -> str:
-    return f"({' AND '.join(parts)})" if parts else "TRUE"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_GROUPS = "(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?"
 
 
-def matches(lower: str, value: str, kind: str = "") -> str:
-    """equals, contains, startswith or endswith of text and value in one case; * and ? are wildcards."""
-    pattern = _wildcard(value)
-    if pattern is not None:
-        head, tail = ("^", "$") if kind == "" else ("^", "") if kind == "startswith" else ("", "$") if kind == "endswith" else ("", "")
-        return f"{lower} RLIKE {quoted(f'(?s){head}{pattern}{tail}')}"
-    text = quoted(re.sub(r"\\([*?])", r"\1", value))
-    return f"{kind}({lower}, {text})" if kind else f"{lower} = {text}"
+def cidr(text: Column, network: str) -> Column:
+    """Whether an address lies in a network; text that is no address of its version does not."""
+    net = ipaddress.ip_network(network, strict=False)
+    if net.version == 6:
+        # 32 hex digits, whose order is that of the addresses
+        low = F.lower(text)
+        halves = F.split(low, "::", -1)
+        side = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":", -1), lambda g: g != "")
+        missing = F.lit(8) - F.size(side(0)) - F.size(side(1))
+        shape = low.rlike(f"^{_GROUPS}(?:::{_GROUPS})?\\z") & F.when(F.contains(low, F.lit("::")), missing >= 1).otherwise(missing == 0)
+        digits = F.array_join(F.transform(F.concat(side(0), F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), side(1)), lambda g: F.lpad(g, 4, "0")), "")
+        return F.when(shape, digits.between(*(f"{int(a):032x}" for a in (net.network_address, net.broadcast_address)))).otherwise(False)
+    first = int(net.network_address)
+    number = F.aggregate(F.transform(F.split(text, "[.]"), lambda o: o.cast("bigint")), F.lit(0).cast("bigint"), lambda a, o: a * 256 + o)
+    return F.when(text.rlike(f"^{_OCTET}([.]{_OCTET}){{3}}\\z"), number.between(first, first + net.num_addresses - 1)).otherwise(False)
 
 
 def _java(pattern: str) -> str:
@@ -85,269 +51,79 @@ def _java(pattern: str) -> str:
     return pattern
 
 
-_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_GROUPS = "(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?"
-
-
-def cidr(text: str, network: str) -> str:
-    """Whether an address lies in a network; text that is no address of its version does not."""
-    net = ipaddress.ip_network(network, strict=False)
-    if net.version == 6:
-        # 32 hex digits, whose order is that of the addresses
-        x = f"lower({text})"
-        side = lambda i: f"filter(split(coalesce(get(split({x}, '::', -1), {i}), ''), ':', -1), g -> g <> '')"
-        missing = f"(8 - size({side(0)}) - size({side(1)}))"
-        shape = f"{x} RLIKE {quoted(f'^{_GROUPS}(?:::{_GROUPS})?$')} AND CASE WHEN contains({x}, '::') THEN {missing} >= 1 ELSE {missing} = 0 END"
-        digits = f"array_join(transform(concat({side(0)}, array_repeat('0', greatest({missing}, 0)), {side(1)}), g -> lpad(g, 4, '0')), '')"
-        low, high = (f"{int(a):032x}" for a in (net.network_address, net.broadcast_address))
-        return f"(CASE WHEN {shape} THEN {digits} BETWEEN '{low}' AND '{high}' ELSE FALSE END)"
-    low = int(net.network_address)
-    number = f"aggregate(transform(split({text}, '[.]'), o -> cast(o as bigint)), 0L, (a, o) -> a * 256 + o)"
-    return f"(CASE WHEN {text} RLIKE {quoted(f'^{_OCTET}([.]{_OCTET}){{3}}$')} THEN {number} BETWEEN {low} AND {low + net.num_addresses - 1} ELSE FALSE END)"
-
-
-def _base64_offsets(data: bytes) -> list[str]:
-    return [base64.b64encode(b" " * i + data).decode()[(0, 2, 3)[i] : (None, -3, -2)[(len(data) + i) % 3]] for i in range(3)]
-
-
-def value_predicate(df: DataFrame, name: str, value, modifiers: list[str]) -> str:
-    """One value of a field with its modifiers."""
-    unknown = set(modifiers) - MODIFIERS
-    if unknown:
-        raise ValueError(f"modifiers not supported: {sorted(unknown)}")
-    text = plain(df, name)
-    if "exists" in modifiers:
-        return f"{text} <> ''" if value else f"{text} = ''"
-    if value is None or value == "":
-        return f"{text} = ''"
-    if isinstance(value, bool):
-        return f"{lowered(df, name)} = '{str(value).lower()}'"
-    for m in modifiers:
-        if m in ("gt", "gte", "lt", "lte"):
-            return f"coalesce(try_cast({text} AS DOUBLE) {dict(gt='>', gte='>=', lt='<', lte='<=')[m]} {float(value)!r}D, FALSE)"
-    given = str(value)
-    kind = next((m for m in modifiers if m in ("contains", "startswith", "endswith")), "")
-    if "re" in modifiers:
-        return f"{text} RLIKE {quoted(_java(f'(?i){given}' if 'i' in modifiers else given))}"
-    if "cidr" in modifiers:
-        return cidr(text, given)
-    if "fieldref" in modifiers:
-        a, b = lowered(df, name), lowered(df, given)
-        return f"({b} <> '' AND {f'{kind}({a}, {b})' if kind else f'{a} = {b}'})"
-    variants = [given]
-    if "windash" in modifiers:
-        variants += [x for x in (re.sub(r"(^|\s)-", r"\1/", given), given.replace("-", "/")) if x not in variants]
-    coding = "utf-16-le" if WIDE & set(modifiers) else "utf-8"
-    if "base64offset" in modifiers:
-        variants = [o for v in variants for o in _base64_offsets(v.encode(coding))]
-        kind = kind or "contains"
-    elif "base64" in modifiers:
-        variants = [base64.b64encode(v.encode(coding)).decode() for v in variants]
-    elif coding != "utf-8":
-        variants = ["".join(c + "\0" for c in v) for v in variants]
-    if "cased" in modifiers:
-        return one_of([matches(text, v, kind) for v in dict.fromkeys(variants)])
-    return one_of([matches(lowered(df, name), v, kind) for v in dict.fromkeys(v.lower() for v in variants)])
-
-
-def field_predicate(df: DataFrame, key: str, value) -> str:
-    """`Field|modifier...: value or list`."""
-    name, *modifiers = key.split("|")
-    if not isinstance(value, list):
-        return value_predicate(df, name, value, modifiers)
-    if not modifiers and value and all(isinstance(v, (str, int)) and not isinstance(v, bool) and v != "" and _wildcard(str(v)) is None for v in value):
-        texts = [quoted(re.sub(r"\\([*?\\])", r"\1", str(v)).lower()) for v in value]
-        return f"{lowered(df, name)} IN ({', '.join(texts)})"
-    parts = [value_predicate(df, name, v, modifiers) for v in value]
-    return each_of(parts) if "all" in modifiers and parts else one_of(parts)
-
-
-def selection(df: DataFrame, body) -> str:
-    """A mapping is AND, a list is OR, a bare text is a keyword of the raw event."""
-    if isinstance(body, dict):
-        return each_of([field_predicate(df, k, v) for k, v in body.items()])
-    if isinstance(body, list):
-        return one_of([selection(df, x) for x in body])
-    return matches(lowered(df, "_raw"), str(body).lower(), "contains")
-
-
-class Algebra:
-    """What a condition is made of: SQL text."""
-
-    false = staticmethod(lambda: "FALSE")
-    both = staticmethod(lambda a, b: f"({a} AND {b})")
-    either = staticmethod(lambda a, b: f"({a} OR {b})")
-    negated = staticmethod(lambda a: f"(NOT {a})")
-    least = staticmethod(lambda parts, n: "(" + " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in parts) + f") >= {n}")
-
-
-def _both(a, b):
-    return b if a is None else a if b is None else a & b
-
-
-class EventIds(Algebra):
-    """What a condition is made of: the event ids that an event must have one of, None for any."""
-
-    false = staticmethod(lambda: frozenset())
-    both = staticmethod(_both)
-    either = staticmethod(lambda a, b: None if a is None or b is None else a | b)
-    negated = staticmethod(lambda a: None)
-    least = staticmethod(lambda parts, n: reduce(EventIds.either, parts))
-
-
-def condition(text: str, selections: dict, algebra: type[Algebra] = Algebra):
-    """and, or, not, ( ), `N of x*`, `1|any|all of them`."""
-    words = re.findall(r"\(|\)|[^\s()]+", text)
-    at = 0
-
-    def peek():
-        return words[at].lower() if at < len(words) else ""
-
-    def several():
-        nonlocal at
-        if not (at + 2 < len(words) and words[at + 1].lower() == "of" and (peek() in ("all", "any") or peek().isdigit())):
-            return False, None
-        count, target = peek(), words[at + 2]
-        at += 3
-        prefix = target.rstrip("*")
-        chosen = [c for n, c in selections.items() if target.lower() == "them" or (n.startswith(prefix) if target.endswith("*") else n == target)]
-        if not chosen:
-            return True, algebra.false()
-        if count == "all":
-            return True, reduce(algebra.both, chosen)
-        if count in ("any", "1"):
-            return True, reduce(algebra.either, chosen)
-        return True, algebra.least(chosen, int(count))
-
-    def term():
-        nonlocal at
-        if peek() == "not":
-            at += 1
-            return algebra.negated(term())
-        if peek() == "(":
-            at += 1
-            inner = either()
-            at += 1
-            return inner
-        found, value = several()
-        if found:
-            return value
-        name = words[at]
-        at += 1
-        return selections[name] if name in selections else algebra.false()
-
-    def both():
-        nonlocal at
-        out = term()
-        while peek() == "and":
-            at += 1
-            out = algebra.both(out, term())
-        return out
-
-    def either():
-        nonlocal at
-        out = both()
-        while peek() == "or":
-            at += 1
-            out = algebra.either(out, both())
-        return out
-
-    out = either()
-    if at < len(words):
-        raise ValueError(f"condition not understood: {text!r}")
-    return out
-
-
-#: Category of the log source -> event ids that it covers (fixed values).
-CATEGORY_EVENTS = {
-    "process_creation": ["1", "4688"], "file_change": ["2"], "network_connection": ["3", "5156"], "process_termination": ["5"],
-    "driver_load": ["6"], "image_load": ["7"], "create_remote_thread": ["8"], "raw_access_thread": ["9"], "process_access": ["10"],
-    "file_event": ["11"], "registry_add": ["12"], "registry_delete": ["12"], "registry_set": ["13"], "registry_rename": ["14"],
-    "registry_event": ["12", "13", "14"], "create_stream_hash": ["15"], "pipe_created": ["17", "18"], "wmi_event": ["19", "20", "21"],
-    "dns_query": ["22"], "file_delete": ["23", "26"], "clipboard_change": ["24"], "process_tampering": ["25"], "ps_script": ["4104"], "ps_module": ["4103"],
-}
-
-
-#: Formats that hold the events of a product (fixed values).
-PRODUCT_FORMATS = {
-    **dict.fromkeys(("zeek",), ("ZeekTsv", "Zeek")),
-    **dict.fromkeys(("linux", "macos"), ("Syslog", "SyslogRfc5424")),
-    **dict.fromkeys(("cisco", "juniper", "fortinet", "paloalto"), ("CEF", "LEEF", "Syslog")),
-    **dict.fromkeys(("aws", "azure", "gcp", "google_workspace", "m365", "okta", "github", "onelogin", "qualys"), ("JSON",)),
-    **dict.fromkeys(("apache",), ("W3C", "ApacheCombined")),
-}
-
-
-def _formats(df: DataFrame, logsource: dict, column: str) -> str:
-    product, category = (str(logsource.get(k) or "").lower() for k in ("product", "category"))
-    if product in PRODUCT_FORMATS:
-        return f"{plain(df, column)} IN ({', '.join(map(quoted, PRODUCT_FORMATS[product]))})"
-    if category == "antivirus":
-        return one_of([f"contains(lower({plain(df, 'Channel')}), '{w}')" for w in ("defender", "virus", "endpoint", "antivirus")])
-    return "TRUE"
-
-
-def logsource_formats(df: DataFrame, logsource: dict, column: str = "source_format") -> Column:
-    """Whether an event's format (or, for antivirus rules, its channel) can hold events of a rule's log source."""
-    return F.expr(_formats(df, logsource, column))
-
-
-def _source(df: DataFrame, rule: dict) -> list[str]:
-    """What the rule's log source asks of an event: its event ids, and its format where the events say one."""
-    logsource = rule.get("logsource") or {}
-    events = CATEGORY_EVENTS.get(logsource.get("category", ""))
-    out = [f"{plain(df, 'EventID')} IN ({', '.join(map(quoted, events))})"] if events else []
-    formats = next((c for c in ("source_format", "_source_format") if c in df.columns), None)
-    if str(logsource.get("product") or "").lower() in PRODUCT_FORMATS and formats or logsource.get("category") == "antivirus" and "Channel" in df.columns:
-        out.append(_formats(df, logsource, formats or ""))
-    return out
-
-
-def _detection(rule: dict) -> tuple[str, dict]:
-    detection = rule["detection"]
-    text = detection.get("condition", "")
-    return text[0] if isinstance(text, list) else text, {k: v for k, v in detection.items() if k not in ("condition", "timeframe")}
-
-
-def _own_predicate(df: DataFrame, rule: dict) -> str:
-    text, bodies = _detection(rule)
-    return condition(text, {k: selection(df, v) for k, v in bodies.items()})
+_MATCH = {"": lambda a, b: a == b, "contains": F.contains, "startswith": F.startswith, "endswith": F.endswith}
+_ORDER = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
+
+
+def node_column(df: DataFrame, node: tuple) -> Column:
+    """A node of rule_parts as a Column."""
+    kind = node[0]
+    if kind == "const":
+        return F.lit(node[1])
+    if kind == "not":
+        return ~node_column(df, node[1])
+    if kind == "least":
+        return reduce(lambda a, b: a + b, [F.when(node_column(df, x), 1).otherwise(0) for x in node[2]]) >= node[1]
+    if kind == "and":
+        return all_of([node_column(df, x) for x in node[1]])
+    if kind == "or":
+        equal: dict[str, list[str]] = {}
+        for x in node[1]:
+            if x[0] == "text" and x[2] == "" and not x[4]:
+                equal.setdefault(x[1], []).append(x[3])
+        lists = [F.lower(field(df, name)).isin(texts) for name, texts in equal.items()]
+        return any_of(lists + [node_column(df, x) for x in node[1] if not (x[0] == "text" and x[2] == "" and not x[4])])
+    text = field(df, node[1])
+    if kind == "text":
+        return _MATCH[node[2]](text if node[4] else F.lower(text), F.lit(node[3]))
+    if kind == "like":
+        return (text if node[5] else F.lower(text)).rlike("(?s)" + ("^" if node[2] in ("", "startswith") else "") + node[3] + ("\\z" if node[2] in ("", "endswith") else ""))
+    if kind == "re":
+        return text.rlike(_java(node[2]))
+    if kind == "cidr":
+        return cidr(text, node[2])
+    if kind == "number":
+        return F.coalesce(_ORDER[node[2]](text.try_cast("double"), F.lit(node[3])), F.lit(False))
+    if kind == "empty":
+        return text == ""
+    a, b = F.lower(text), F.lower(field(df, node[2]))
+    return (b != "") & _MATCH[node[3]](a, b)
 
 
 def rule_predicate(df: DataFrame, rule: dict) -> Column:
-    return F.expr(each_of([*_source(df, rule), _own_predicate(df, rule)]))
-
-
-def _ids_of(body) -> frozenset | None:
-    """The event ids that a selection asks for, None for any."""
-    if isinstance(body, dict):
-        out = None
-        for key, value in body.items():
-            values = value if isinstance(value, list) else [value]
-            if key.lower() == "eventid" and values and all(isinstance(v, int) and not isinstance(v, bool) or isinstance(v, str) and v.isdigit() for v in values):
-                out = _both(out, frozenset(map(str, values)))
-        return out
-    if isinstance(body, list) and body and all(isinstance(x, dict) for x in body):
-        return reduce(EventIds.either, map(_ids_of, body))
-    return None
+    """Whether an event is of the rule's log source and its condition holds; a rule none of whose fields is a column never does."""
+    node = rp.rule_node(rule)
+    return F.lit(False) if _silent(df, rule, node) else routed(df, rule.get("logsource")) & node_column(df, node)
 
 
 def rule_events(rule: dict) -> frozenset | None:
     """The event ids outside of which the rule cannot hit, None if there are none."""
-    text, bodies = _detection(rule)
-    ids = condition(text, {k: _ids_of(v) for k, v in bodies.items()}, EventIds)
-    category = CATEGORY_EVENTS.get((rule.get("logsource") or {}).get("category", ""))
-    return _both(ids, frozenset(category)) if category else ids
+    return rp.meet(rp.asked(rule, "eventid"), route(rule.get("logsource")).event_ids)
 
 
 def prefilter_events(df: DataFrame, rules: list[dict]) -> DataFrame:
-    """The events that any rule can hit by its event id; all where a rule names none.  A bare column test, so that sources filter by it."""
-    ids = [rule_events(r) for r in rules]
-    name = next((c for c in df.columns if c.lower() == "eventid"), None)
-    if name is None or not ids or any(x is None for x in ids):
+    """The events that any rule can hit by its event id or, where it asks for none, by its channel; all where a rule names neither.
+
+    Event ids are a bare column test, so that sources filter by it.
+    """
+    known = {c.lower(): c for c in df.columns}
+    ids, channels = [], []
+    for rule in rules:
+        events = rule_events(rule) if "eventid" in known else None
+        names = rp.asked(rule, "channel") if events is None and "channel" in known else None
+        if events is None and names is None:
+            return df
+        ids, channels = ids + sorted(events or ()), channels + sorted(names or ())
+    if not rules:
         return df
-    column = F.col(f"`{name}`")
-    return df.filter((column if dict(df.dtypes)[name] == "string" else column.cast("string")).isin(sorted(frozenset().union(*ids))))
+    tests = []
+    if ids:
+        number = column(known["eventid"])
+        plain = number if dict(df.dtypes)[known["eventid"]] == "string" else number.cast("string")
+        tests.append(plain.isin(sorted(set(ids))))
+    if channels:
+        tests.append(F.lower(field(df, "channel")).isin(sorted(set(channels))))
+    return df.filter(any_of(tests))
 
 
 def select_rules(rules: list[dict], min_level: str = "informational", exclude=()) -> list[dict]:
@@ -355,53 +131,46 @@ def select_rules(rules: list[dict], min_level: str = "informational", exclude=()
     return [r for r in rules if LEVELS.index(r.get("level", "medium")) >= rank and not any(p.lower() in r["title"].lower() for p in exclude)]
 
 
-def _shape_problem(rule: dict) -> str | None:
-    """What is wrong with a rule before any column is built, or None."""
+def _taken_apart(rule: dict) -> tuple[tuple | None, str | None]:
+    """The rule's node, or why it cannot be evaluated."""
     try:
         if not isinstance(rule.get("title"), str) or rule.get("level", "medium") not in LEVELS:
-            return "no title or no known level"
+            return None, "no title or no known level"
         rule_events(rule)
-        _fields_of(rule)
+        node = rp.rule_node(rule)
+        rule_set.check(node)
     except Exception as e:  # noqa: BLE001 - rules come from outside, and whatever is wrong with one is reported
-        return f"{type(e).__name__}: {e}"
-    return None
+        return None, f"{type(e).__name__}: {e}"
+    return node, None
 
 
-def _built(df: DataFrame, rule: dict) -> tuple[str | None, str | None]:
-    """The rule's predicate, or why it cannot be built."""
-    try:
-        return _own_predicate(df, rule), None
-    except Exception as e:  # noqa: BLE001 - as above
-        return None, f"{type(e).__name__}: {e}"
+def _silent(df: DataFrame, rule: dict, node: tuple) -> str | None:
+    """Why a rule has nothing to say about these events, or None."""
+    if route(rule.get("logsource")).formats is not None and format_column(df) is None:
+        return "its log source is told by the format, and the events name none: no hits"
+    names = rp.fields_of(node)
+    if names and not names & {c.lower() for c in df.columns}:
+        return "none of its fields is a column of the events: no hits"
+    return None
 
 
 def rule_problems(df: DataFrame, rules: list[dict]) -> DataFrame:
-    """(rule number, title, problem) of the rules that apply_rules(..., skip=True) leaves out."""
-    found = [(i, str(r.get("title")), p) for i, r in enumerate(rules) if (p := _shape_problem(r) or _built(df, r)[1])]
+    """(rule number, title, problem) of the rules that apply_rules(..., skip=True) leaves out, and of those that cannot hit these events."""
+    found = []
+    for i, rule in enumerate(rules):
+        node, problem = _taken_apart(rule)
+        if problem := problem or _silent(df, rule, node):
+            found.append((i, str(rule.get("title")), problem))
     return df.sparkSession.createDataFrame(found, "rule int, title string, problem string")
 
 
-def _fields_of(rule: dict) -> set[str]:
-    """Names of the fields that a rule compares in lower case."""
-
-    def names(body) -> set[str]:
-        if isinstance(body, dict):
-            plain = {k.split("|")[0].lower() for k in body if not {"re", "cidr", "gt", "gte", "lt", "lte", "exists", "cased"} & set(k.split("|")[1:])}
-            return plain | {str(v).lower() for k, value in body.items() if "fieldref" in k.split("|") for v in (value if isinstance(value, list) else [value])}
-        return set().union(*map(names, body)) if isinstance(body, list) else {"_raw"}
-
-    return set().union(*(names(b) for b in _detection(rule)[1].values()))
-
-
 def apply_rules(df: DataFrame, rules: list[dict], skip: bool = False) -> DataFrame:
     """(rule number, title, level, tags and the event's columns) of every hit, in one scan of the events.
 
-    The lower-case text of each field is made once.  Rules with one log source share
-    its test; behind it, their predicates become arrays of rule numbers, CHUNK at a
-    time, and all arrays of an event are one.  With `skip`, rules that cannot be
-    evaluated are left out (see rule_problems); else they raise.
+    With `skip`, rules that cannot be evaluated are left out (see rule_problems); else they raise.
     """
-    usable = [i for i, r in enumerate(rules) if not (skip and _shape_problem(r))]
+    nodes = {i: _taken_apart(r)[0] if skip else rp.rule_node(r) for i, r in enumerate(rules)}
+    usable = [i for i, node in nodes.items() if node is not None and not _silent(df, rules[i], node)]
     taken = {c.lower() for c in df.columns}
     for c in df.columns:
         if c.lower() in RULE_COLUMNS:
@@ -410,29 +179,11 @@ def apply_rules(df: DataFrame, rules: list[dict], skip: bool = False) -> DataFra
                 free += "_"
             df, taken = df.withColumnRenamed(c, free), taken | {free.lower()}
     columns = df.columns
-    kept = prefilter_events(df, [rules[i] for i in usable])
-    known = {c.lower() for c in columns}
-    lower = {LOWER + n: F.lower(field(df, n)) for n in sorted(set().union(*(_fields_of(rules[i]) for i in usable)) & known)}
-    ready = kept.withColumns(lower) if lower else kept
-    groups: dict[tuple, list[int]] = {}
-    for i in usable:
-        logsource = rules[i].get("logsource") or {}
-        groups.setdefault((str(logsource.get("category", "")), str(logsource.get("product", ""))), []).append(i)
-    none = "cast(array() as array<int>)"
-    parts = []
-    for numbers in groups.values():
-        asked = _source(ready, rules[numbers[0]])
-        tests = []
-        for i in numbers:
-            test = _built(ready, rules[i])[0] if skip else _own_predicate(ready, rules[i])
-            if test is not None:
-                tests.append(f"CASE WHEN {test} THEN {i} END")
-        for lo in range(0, len(tests), CHUNK):
-            hits = f"array({', '.join(tests[lo : lo + CHUNK])})"
-            parts.append(F.expr(f"CASE WHEN {each_of(asked)} THEN {hits} ELSE {none} END" if asked else hits))
-    numbers = F.array_compact(F.concat(*parts)) if parts else F.expr(none)
-    found = ready.withColumn("rule", F.explode(numbers)).select(*[f"`{c}`" for c in columns], "rule")
-    info = [(i, rules[i]["title"], rules[i].get("level", "medium"), [str(t) for t in rules[i].get("tags") or []]) for i in usable]
+    chosen = [rules[i] for i in usable]
+    kept = prefilter_events(df, chosen)
+    numbers = rule_set.matches(kept, [(i, nodes[i], route(r.get("logsource"))) for i, r in zip(usable, chosen, strict=True)])
+    found = kept.withColumn("rule", F.explode(numbers)).select(*map(column, columns), "rule")
+    info = [(i, r["title"], r.get("level", "medium"), [str(t) for t in r.get("tags") or []]) for i, r in zip(usable, chosen, strict=True)]
     table = df.sparkSession.createDataFrame(info, "rule int, title string, level string, tags array<string>")
     return found.join(F.broadcast(table), "rule")  # one row per rule
 
@@ -468,7 +219,7 @@ def sample_hits(hits: DataFrame, order: list, n: int = 200) -> DataFrame:
     from pyspark.sql import Window
 
     ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("title").orderBy(*order))).filter(F.col("place") <= n).drop("place")
-    return ranked.select(*[F.left(F.col(f"`{c}`"), F.lit(1000)).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in ranked.dtypes])
+    return ranked.select(*[F.left(column(c), F.lit(1000)).alias(c) if t == "string" else column(c) for c, t in ranked.dtypes])
 
 
 def load_rules(spark, path: str) -> list[dict]:
@@ -493,4 +244,4 @@ def load_rules(spark, path: str) -> list[dict]:
                     continue
             yield pd.DataFrame({"value": out}, dtype="object")
 
-    return [json.loads(r.value) for r in files.mapInPandas(parsed, "value string").toLocalIterator()]
+    return [json.loads(r.value) for r in files.mapInPandas(parsed, "value string").collect()]

@@ -15,7 +15,7 @@ from emberlog.operators import indicators as ind
 from emberlog.operators import rules as ru
 from emberlog.operators import run_all
 from emberlog.operators import search as se
-from emberlog.plans import cookbook, file_queries, hunt_queries, incident_queries, ingest_queries
+from emberlog.plans import cookbook, detection_queries, file_queries, hunt_queries, incident_queries, ingest_queries
 from emberlog.plans.log_view import WITH, log_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -472,7 +472,7 @@ _HUNT_ROWS = "SELECT name, severity, description, count(*) AS n FROM (" + " UNIO
 _known = _oracles | ingest_queries.oracles() | incident_queries.oracles() | {"hits": _oracles["rule_hits"], "hunts": _HUNT_ROWS, "confidence": f"{_HITS} SELECT title, 'high' AS confidence FROM hits GROUP BY 1"}
 _queries["analyse_all"] = _analyse_all
 _oracles["analyse_all"] = " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n, round(CAST(sum({total}) AS DOUBLE), 6) AS total FROM ({_known[name]})" for name, total in run_all.TOTALS.items())
-_more = cookbook.queries() | file_queries.queries(), cookbook.oracles() | file_queries.oracles()
+_more = cookbook.queries() | detection_queries.queries() | file_queries.queries(), cookbook.oracles() | detection_queries.oracles() | file_queries.oracles()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

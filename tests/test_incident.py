@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from emberlog.operators import attack, incident, rules
+from emberlog.operators import attack, incident, log_sources
 from emberlog.operators import field_indicators as fi
 from emberlog.operators import indicators as ind
 from emberlog.sources.formats import classify_files
@@ -54,7 +54,7 @@ def test_deobfuscate(spark):
 
 def test_logsource_formats(spark):
     df = spark.createDataFrame([("Syslog", ""), ("JSON", "Windows Defender"), (None, None)], "source_format string, Channel string")
-    count = lambda **logsource: df.filter(rules.logsource_formats(df, logsource)).count()
+    count = lambda **logsource: df.filter(log_sources.routed(df, logsource)).count()
     assert [count(product="linux"), count(product="okta"), count(category="antivirus"), count(product="windows"), count()] == [1, 1, 1, 3, 3]
 
 

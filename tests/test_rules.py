@@ -88,7 +88,7 @@ def test_one_scan_skips_reports_and_keeps_clashing_columns(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, EventID string, Image string, level string, source_format string").write.parquet(path)
     df = spark.read.parquet(path)
     found = ru.apply_rules(df, RULES, skip=True)
-    assert {(r.event_id, r.title, r.level, r.event_level) for r in found.collect()} == {(1, "one", "high", "mine"), (2, "three", "medium", None), (5, "one", "high", "l"), (5, "two", "medium", "l")}
+    assert {(r.event_id, r.title, r.level, r.event_level) for r in found.collect()} == {(1, "one", "high", "mine"), (2, "three", "medium", None), (4, "two", "medium", "l"), (5, "one", "high", "l"), (5, "two", "medium", "l")}
     assert {r.title for r in ru.rule_problems(df, RULES).collect()} == {"bad", "worse", "nothing"}
     with pytest.raises(ValueError):
         ru.apply_rules(df, RULES[:4])
