@@ -1,13 +1,24 @@
-"""Heuristics over single events; each yields at most one finding (transform, severity, description) per event."""
+"""Heuristics over single events; each yields at most one finding (transform, severity, description) per event.
+
+The texts of all tables are searched by one automaton, once for each distinct value of a
+batch; the hunts themselves are expressions over what it found (`hunt` puts both together).
+"""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Callable
+from functools import cache, lru_cache
+from itertools import accumulate
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.columns import any_of, entropy, field, let, present
+from emberlog.functions.columns import any_of, field, let, present
 
 # Fixed values of the hunts, in their order (the first that fits decides).
 SYSTEM_PROCESSES = ["svchost.exe", "lsass.exe", "csrss.exe", "smss.exe", "wininit.exe", "winlogon.exe", "services.exe", "spoolsv.exe", "conhost.exe", "dllhost.exe", "taskhost.exe", "taskhostw.exe", "RuntimeBroker.exe", "explorer.exe", "dwm.exe"]
@@ -54,46 +65,142 @@ Hunt = Callable[[DataFrame], Column]
 def finding(transform: str, severity: Column | str, description: Column) -> Column:
     """The finding, or null where the description is null."""
     level = F.lit(severity) if isinstance(severity, str) else severity
-    return F.when(description.isNotNull(), F.struct(F.lit(transform).alias("transform"), level.alias("severity"), description.alias("description")))
+    return let(description, lambda d: F.when(d.isNotNull(), _entry(transform, level, d)))
 
 
-def _long(df: DataFrame, name: str, more_than: int) -> Column:
-    """A field of more than so many characters in lower case, or null."""
-    value = field(df, name)
-    return F.when(F.length(value) > more_than, F.lower(value))
+def _entry(transform: str, severity: Column, description: Column) -> Column:
+    return F.struct(F.lit(transform).alias("transform"), severity.alias("severity"), description.alias("description"))
 
 
 def _file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^\\/]*$", 0)
 
 
-def _label(text: Column, table) -> Column:
-    """Label of the first pattern that the text holds, or null."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(row[0])), F.lit(row[1])) for row in table])
+#: Tables of texts that fields are searched for, all in one pass of each distinct value.
+_TABLES = {"dirs": SUSPICIOUS_DIRS, "cradles": CRADLES, "shellcode": [(k, k) for k in SHELLCODE], "reflection": [(k, k) for k in REFLECTION], "registry": REGISTRY, "files": SENSITIVE_FILES, "lateral": LATERAL, "persistence": PERSISTENCE, "recon": [(k, k) for k in RECON], "staging": STAGING}
+_FIRST = dict(zip(_TABLES, accumulate([0, *map(len, _TABLES.values())]), strict=False))
+_SEARCHED = ("CommandLine", "ScriptBlockText", "TargetFilename", "ObjectName", "TargetObject", "Image")
+_MARKS, _LOOKALIKE, _DNS = "__emberlog_marks", "__emberlog_lookalike", "__emberlog_dns"
+
+
+@cache
+def _automaton():
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    for at, text in enumerate(row[0] for table in _TABLES.values() for row in table):
+        places.setdefault(text, []).append(at)
+    out = ahocorasick.Automaton()
+    for text, at in places.items():
+        out.add_word(text, at)
+    out.make_automaton()
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def marks_of(text: str) -> list[int]:
+    """Numbers of all rows of all tables whose text a value holds, without regard to case."""
+    return sorted({n for _, found in _automaton().iter(text.lower()) for n in found})
+
+
+def _marks(df: DataFrame) -> Column:
+    """What each searched field holds: a struct of arrays of numbers."""
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: array<int>" for n in _SEARCHED) + ">")
+    def marks(*texts: pa.Array) -> pa.Array:
+        out = []
+        for column in texts:
+            found = pc.dictionary_encode(column)
+            lists = pa.array([marks_of(v) for v in found.dictionary.to_pylist()], pa.list_(pa.int32()))
+            out.append(lists.take(found.indices))
+        return pa.StructArray.from_arrays(out, _SEARCHED)
+
+    return marks.asNondeterministic()(*[field(df, n) for n in _SEARCHED])  # once an event, however many hunts name it
 
 
-def _held(text: Column, table) -> Column:
-    """Labels of all patterns that the text holds, in order."""
-    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(label)) for p, label in table]))
+def _found(name: str, table: str) -> Column:
+    """Places in a table, in order, of the texts that a field holds."""
+    first = _FIRST[table]
+    return F.filter(F.col(_MARKS)[name], lambda n: n.between(first, first + len(_TABLES[table]) - 1))
+
+
+def _labels(places: Column, table: str, column: int = 1) -> Column:
+    values = F.array(*[F.lit(row[column]) for row in _TABLES[table]])
+    return F.transform(places, lambda n: F.get(values, n - F.lit(_FIRST[table])))
+
+
+def _label(df: DataFrame, name: str, table: str, more_than: int = -1) -> Column:
+    """Label of the first text of a table that a field of more than so many characters holds, or null."""
+    return F.when(F.length(field(df, name)) > more_than, F.get(_labels(_found(name, table), table), F.lit(0)))
+
+
+def _held(df: DataFrame, name: str, table: str, more_than: int = -1) -> Column:
+    """Labels of all texts of a table that it holds, in order."""
+    return F.when(F.length(field(df, name)) > more_than, _labels(_found(name, table), table))
 
 
 def _some(labels: Column, least: int = 1) -> Column:
-    return F.when(F.size(labels) >= least, labels)
+    return let(labels, lambda x: F.when(F.size(x) >= least, x))
 
 
-def typosquat(df: DataFrame) -> Column:
-    """Names one or two letters away from a system process, or equal to one after swapping look-alike letters."""
-    name = F.lower(_file_name(field(df, "Image")))
-    low = name
-    plain = F.replace(F.replace(F.replace(F.replace(low, F.lit("0"), F.lit("o")), F.lit("1"), F.lit("l")), F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
+def _deletions(word: str, most: int) -> set[str]:
+    """The word without up to `most` of its letters."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
 
-    def near(target: str) -> Column:
-        t = target.lower()
-        distance = F.levenshtein(low, F.lit(t), 1 if len(t) <= 7 else 2)
-        return F.when(distance > 0, F.concat(name, F.lit(" is Levenshtein distance "), distance, F.lit(f" from {target}"))).when(plain == t, F.concat(name, F.lit(f" is homoglyph of {target}")))
 
-    known = low.isin([x.lower() for x in SYSTEM_PROCESSES + LOOKALIKES_ALLOWED])
-    return finding("ProcessTyposquatting", "high", F.when(present(name) & ~known, F.coalesce(*[near(t) for t in SYSTEM_PROCESSES])))
+#: Lower-case target -> most letters that a name may be away from it.
+_AWAY = {t.lower(): 1 if len(t) <= 7 else 2 for t in SYSTEM_PROCESSES}
+_NEAR: dict[str, list[str]] = {}  # what targets leave without one or two letters -> the targets
+for _target, _most in _AWAY.items():
+    for _left in _deletions(_target, _most):
+        _NEAR.setdefault(_left, []).append(_target)
+_SHORTEST, _LONGEST = min(map(len, _AWAY)) - 2, max(map(len, _AWAY)) + 2
+_KNOWN = {x.lower() for x in SYSTEM_PROCESSES + LOOKALIKES_ALLOWED}
+
+
+@lru_cache(maxsize=1 << 16)
+def lookalike(name: str) -> str | None:
+    """What a lower-case file name imitates: two words are so many letters apart only if both leave a common word without as many."""
+    if not name or name in _KNOWN:
+        return None
+    near = {t for w in _deletions(name, 2) for t in _NEAR.get(w, ())} if _SHORTEST <= len(name) <= _LONGEST else set()
+    plain = name.replace("0", "o").replace("1", "l").replace("rn", "m").replace("vv", "w")
+    for target in SYSTEM_PROCESSES:
+        low = target.lower()
+        if low in near and 0 < (distance := _distance(name, low)) <= _AWAY[low]:
+            return f"{name} is Levenshtein distance {distance} from {target}"
+        if plain == low:
+            return f"{name} is homoglyph of {target}"
+    return None
+
+
+def _lookalikes(df: DataFrame) -> Column:
+    """What the image's file name imitates; each name of a batch is looked at once."""
+
+    @F.arrow_udf("string")
+    def verdict(names: pa.Array) -> pa.Array:
+        found = pc.dictionary_encode(names)
+        return pa.array([lookalike(n) for n in found.dictionary.to_pylist()], pa.string()).take(found.indices)
+
+    return verdict.asNondeterministic()(F.lower(_file_name(field(df, "Image"))))
+
+
+def typosquat(df: DataFrame) -> Column:
+    """Names one or two letters away from a system process, or equal to one after swapping look-alike letters."""
+    return finding("ProcessTyposquatting", "high", F.col(_LOOKALIKE))
 
 
 def masquerade(df: DataFrame) -> Column:
@@ -105,7 +212,7 @@ def masquerade(df: DataFrame) -> Column:
 
 
 def path_anomaly(df: DataFrame) -> Column:
-    return finding("ProcessPathAnomaly", "medium", F.concat(F.lit("Executable in suspicious directory: "), _label(F.lower(field(df, "Image")), SUSPICIOUS_DIRS)))
+    return finding("ProcessPathAnomaly", "medium", F.concat(F.lit("Executable in suspicious directory: "), _label(df, "Image", "dirs")))
 
 
 def double_extension(df: DataFrame) -> Column:
@@ -114,12 +221,13 @@ def double_extension(df: DataFrame) -> Column:
 
 
 def c2_framework(df: DataFrame) -> Column:
-    named = lambda n: F.coalesce(*[F.when((F.length(field(df, n)) > 5) & field(df, n).rlike(p), F.lit(who)) for p, who in C2_PATTERNS])
+    any_of_them = "|".join(f"(?:{p})" for p, _ in C2_PATTERNS)  # most texts fail this one and see no other
+    named = lambda n: F.when((F.length(field(df, n)) > 5) & field(df, n).rlike(any_of_them), F.coalesce(*[F.when(field(df, n).rlike(p), F.lit(who)) for p, who in C2_PATTERNS]))
     return finding("C2Framework", "critical", F.concat(F.coalesce(named("CommandLine"), named("ScriptBlockText")), F.lit(" C2 framework indicators detected")))
 
 
 def download_cradle(df: DataFrame) -> Column:
-    found = F.coalesce(*[_some(_held(_long(df, n, 5), CRADLES)) for n in ("CommandLine", "ScriptBlockText")])
+    found = F.coalesce(*[_some(_held(df, n, "cradles", 5)) for n in ("CommandLine", "ScriptBlockText")])
     return finding("DownloadCradle", "high", F.concat(F.lit("Download cradle: "), F.array_join(found, ", ")))
 
 
@@ -130,12 +238,12 @@ def credential_exposure(df: DataFrame) -> Column:
 
 
 def shellcode(df: DataFrame) -> Column:
-    found = F.coalesce(*[_some(_held(_long(df, n, 20), [(k, k) for k in SHELLCODE]), 2) for n in ("CommandLine", "ScriptBlockText")])
+    found = F.coalesce(*[_some(_held(df, n, "shellcode", 20), 2) for n in ("CommandLine", "ScriptBlockText")])
     return finding("ShellcodeIndicator", "critical", F.concat(F.lit("Shellcode indicators ("), F.size(found), F.lit("): "), F.array_join(F.slice(found, 1, 3), ", ")))
 
 
 def ps_reflection(df: DataFrame) -> Column:
-    found = _some(_held(_long(df, "ScriptBlockText", 20), [(k, k) for k in REFLECTION]), 2)
+    found = _some(_held(df, "ScriptBlockText", "reflection", 20), 2)
     return finding("PowerShellReflection", "high", F.concat(F.lit(".NET reflection abuse: "), F.array_join(found, ", ")))
 
 
@@ -147,52 +255,76 @@ def parent_anomaly(df: DataFrame) -> Column:
     return finding("ParentProcessAnomaly", "high", F.when(child.isin(SCRIPT_ENGINES), F.concat(kind, F.lit(": "), parent, F.lit(" spawned "), child)))
 
 
-def _graded(transform: str, text: Column, table, prefix: str) -> Column:
-    return F.coalesce(*[F.when(F.contains(text, F.lit(p)), finding(transform, severity, F.lit(prefix + label))) for p, label, severity in table])
+def _graded(transform: str, places: Column, table: str, prefix: str) -> Column:
+    """The first row of a table that is found, with its own severity."""
+    place = lambda n, i: F.get(F.array(*[F.lit(row[i]) for row in _TABLES[table]]), n - F.lit(_FIRST[table]))
+    return F.get(F.transform(F.slice(places, 1, 1), lambda n: _entry(transform, place(n, 2), F.concat(F.lit(prefix), place(n, 1)))), F.lit(0))
 
 
 def registry_path(df: DataFrame) -> Column:
-    target = F.lower(F.when(present(field(df, "TargetObject")), field(df, "TargetObject")).otherwise(field(df, "ObjectName")))
-    return _graded("SuspiciousRegistryPath", target, REGISTRY, "Suspicious registry path: ")
+    target = F.when(present(field(df, "TargetObject")), _found("TargetObject", "registry")).otherwise(_found("ObjectName", "registry"))
+    return _graded("SuspiciousRegistryPath", target, "registry", "Suspicious registry path: ")
 
 
 def sensitive_file(df: DataFrame) -> Column:
-    return F.coalesce(*[_graded("SensitiveFileAccess", F.lower(field(df, n)), SENSITIVE_FILES, "Access to sensitive file: ") for n in ("TargetFilename", "ObjectName", "CommandLine")])
+    return F.coalesce(*[_graded("SensitiveFileAccess", _found(n, "files"), "files", "Access to sensitive file: ") for n in ("TargetFilename", "ObjectName", "CommandLine")])
 
 
 def lateral_command(df: DataFrame) -> Column:
-    return finding("LateralMovement", "high", F.concat(F.lit("Lateral movement: "), _label(_long(df, "CommandLine", 5), LATERAL)))
+    return finding("LateralMovement", "high", F.concat(F.lit("Lateral movement: "), _label(df, "CommandLine", "lateral", 5)))
 
 
 def persistence_command(df: DataFrame) -> Column:
-    return finding("PersistenceClassifier", "medium", F.concat(F.lit("Persistence mechanism: "), _label(_long(df, "CommandLine", 5), PERSISTENCE)))
+    return finding("PersistenceClassifier", "medium", F.concat(F.lit("Persistence mechanism: "), _label(df, "CommandLine", "persistence", 5)))
 
 
 def recon_command(df: DataFrame) -> Column:
-    found = _some(_held(_long(df, "CommandLine", 3), [(k, k) for k in RECON]))
+    found = _some(_held(df, "CommandLine", "recon", 3))
     return finding("ReconIndicator", F.when(F.size(found) >= 3, "medium").otherwise("low"), F.concat(F.lit("Reconnaissance: "), F.array_join(found, ", ")))
 
 
 def data_staging(df: DataFrame) -> Column:
-    return finding("DataStaging", "medium", F.concat(F.lit("Data staging activity: "), _label(_long(df, "CommandLine", 5), STAGING)))
+    return finding("DataStaging", "medium", F.concat(F.lit("Data staging activity: "), _label(df, "CommandLine", "staging", 5)))
+
+
+_GRAVE = ("VERY_LONG_QUERY", "HEX_SUBDOMAIN", "BASE64_SUBDOMAIN")
+_LABEL_TESTS = {
+    "LONG_SUBDOMAIN": lambda x: len(x) > 30,
+    "HEX_SUBDOMAIN": lambda x: re.fullmatch("[0-9a-fA-F]{16,}", x),
+    "BASE64_SUBDOMAIN": lambda x: re.fullmatch("[A-Za-z0-9+/=]{20,}", x),
+    "HIGH_ENTROPY_LABEL": lambda x: len(x) >= 8 and len(x.encode()) > 11 and _entropy(x.encode()) > 3.5,  # 2**3.5 kinds of bytes at least
+    "NUMERIC_SUBDOMAIN": lambda x: len(x) >= 8 and 2 * len(re.findall("[0-9]", x)) > len(x),
+}
+
+
+def _entropy(data: bytes) -> float:
+    return -sum(n / len(data) * math.log2(n / len(data)) for n in Counter(data).values())
+
+
+@lru_cache(maxsize=1 << 16)
+def dns_anomalies(name: str) -> list[str]:
+    """What is odd about a queried name: its length, its depth, or a label before the last two."""
+    if len(name) <= 5:
+        return []
+    labels = name.rstrip(".").split(".")
+    found = [k for k, test in _LABEL_TESTS.items() if any(test(x) for x in labels[:-2])]
+    return sorted(found + ["VERY_LONG_QUERY"] * (len(name) > 100) + ["DEEP_NESTING"] * (len(labels) > 4))
+
+
+def _dns_names(df: DataFrame) -> Column:
+    @F.arrow_udf("array<string>")
+    def anomalies(names: pa.Array) -> pa.Array:
+        found = pc.dictionary_encode(names)
+        return pa.array([dns_anomalies(n) for n in found.dictionary.to_pylist()], pa.list_(pa.string())).take(found.indices)
+
+    return anomalies.asNondeterministic()(field(df, "QueryName"))
 
 
 def dns_subdomain(df: DataFrame) -> Column:
     """Names that look like tunnelled data: long, deep, or with odd labels before the last two."""
-    name = field(df, "QueryName")
-    labels = F.split(F.rtrim(name, F.lit(".")), r"\.")
-    inner = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))
-    of_label = {
-        "LONG_SUBDOMAIN": lambda x: F.length(x) > 30,
-        "HEX_SUBDOMAIN": lambda x: x.rlike("(?i)^[0-9a-f]{16,}$"),
-        "BASE64_SUBDOMAIN": lambda x: x.rlike("^[A-Za-z0-9+/=]{20,}$"),
-        "HIGH_ENTROPY_LABEL": lambda x: F.when((F.length(x) >= 8) & (F.octet_length(x) > 11), entropy(x) > 3.5).otherwise(False),  # 2**3.5 kinds of bytes at least
-        "NUMERIC_SUBDOMAIN": lambda x: (F.length(x) >= 8) & (F.length(F.regexp_replace(x, "[^0-9]", "")) * 2 > F.length(x)),
-    }
-    tests = {"VERY_LONG_QUERY": F.length(name) > 100, "DEEP_NESTING": F.size(labels) > 4} | {k: F.exists(inner, f) for k, f in of_label.items()}
-    found = F.when(F.length(name) > 5, F.array_sort(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))))
-    grave = F.array(*[F.lit(x) for x in ("VERY_LONG_QUERY", "HEX_SUBDOMAIN", "BASE64_SUBDOMAIN")])
-    return let(found, lambda f: finding("DnsSubdomain", F.when(F.arrays_overlap(f, grave), "high").otherwise("medium"), F.concat(F.lit("DNS anomaly: "), F.array_join(_some(f), ", "))))
+    found = F.col(_DNS)
+    grave = F.arrays_overlap(found, F.array(*[F.lit(x) for x in _GRAVE]))
+    return finding("DnsSubdomain", F.when(grave, "high").otherwise("medium"), F.concat(F.lit("DNS anomaly: "), F.array_join(_some(found), ", ")))
 
 
 HUNTS: dict[str, Hunt] = {f.__name__: f for f in (typosquat, masquerade, path_anomaly, double_extension, c2_framework, download_cradle, credential_exposure, shellcode, ps_reflection, parent_anomaly, registry_path, sensitive_file, lateral_command, persistence_command, recon_command, data_staging, dns_subdomain)}
@@ -200,8 +332,9 @@ HUNTS: dict[str, Hunt] = {f.__name__: f for f in (typosquat, masquerade, path_an
 
 def hunt(df: DataFrame, names=tuple(HUNTS), fast: bool = False) -> DataFrame:
     """Adds hunt_findings, an array of (transform, severity, description); `fast` leaves out the edit distances."""
-    chosen = [HUNTS[n](df) for n in names if not (fast and n == "typosquat")]
-    return df.withColumn("hunt_findings", F.array_compact(F.array(*chosen)))
+    chosen = [n for n in names if not (fast and n == "typosquat")]
+    looked = df.withColumns({_MARKS: _marks(df)} | ({_LOOKALIKE: _lookalikes(df)} if "typosquat" in chosen else {}) | ({_DNS: _dns_names(df)} if "dns_subdomain" in chosen else {}))
+    return looked.withColumn("hunt_findings", F.array_compact(F.array(*[HUNTS[n](looked) for n in chosen]))).drop(_MARKS, _LOOKALIKE, _DNS)
 
 
 def hunt_summary(hunted: DataFrame) -> DataFrame:

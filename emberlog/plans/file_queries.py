@@ -48,6 +48,43 @@ _queries["read_csv"] = read_csv
 _oracles["read_csv"] = f"""{WITH} SELECT CAST(event_id AS VARCHAR) AS event_id, "EventID", "AcctName", "Computer", CASE WHEN event_id % 7 = 0 THEN 'more' END AS field_4 FROM logs"""
 
 
+def read_csv_folders(spark, sf):
+    """Files with the same columns in other orders, some with a column more, in one folder."""
+    path = _folder(spark, "csv-folders")
+    names = {0: ("event_id", "EventID", "AcctName"), 1: ("AcctName", "event_id", "EventID"), 2: ("Computer", "AcctName", "EventID", "event_id")}
+    events = log_events(spark, sf)
+    for k, columns in names.items():
+        part = events.filter(F.pmod(F.col("event_id"), F.lit(3)) == k)
+        part.select(*[F.concat(c, F.lit(",")).alias(c) if c == "AcctName" else F.col(c) for c in columns]).write.option("header", True).csv(f"{path}/{k}")
+    return _fields(readers.read_csv(spark, path, include="part-"), "event_id", "EventID", "AcctName", "Computer")
+
+
+_queries["read_csv_folders"] = read_csv_folders
+_oracles["read_csv_folders"] = f"""{WITH} SELECT CAST(event_id AS VARCHAR) AS event_id, "EventID", "AcctName" || ',' AS "AcctName", CASE WHEN event_id % 3 = 2 THEN "Computer" END AS "Computer" FROM logs"""
+
+
+def ingest_counts(spark, sf):
+    """Lines, events and lines without an event of four formats, counted by the job that saves the events."""
+    every = lambda n, bad, good: f"CASE WHEN event_id % {n} = 0 THEN {bad} ELSE {good} END"
+    made = {
+        "json": (readers.read_jsonl, every(10, """concat('{"a": ', event_id)""", """concat('{"EventID": ', EventID, ', "id": ', event_id, '}')""")),
+        "cef": (readers.read_cef, every(7, "'CEF without bars'", "concat('CEF:0|V|P|1|', EventID, '|n|5|src=10.0.0.1 id=', event_id)")),
+        "leef": (readers.read_leef, every(5, "concat('LEEF-', event_id)", "concat('LEEF:1.0|V|P|1|', EventID, '|id=', event_id)")),
+        "auditd": (readers.read_auditd, every(4, "'no pairs here'", "concat('type=X id=', event_id)")),
+    }
+    ingest, found = readers.Ingest(), None
+    for name, (read, value) in made.items():
+        part = read(spark, _text(spark, sf, name, value), ingest=ingest)
+        found = part if found is None else found.unionByName(part)
+    with ingest:
+        found.write.parquet(_folder(spark, "landed"))
+    return ingest.report(spark).drop("seconds")
+
+
+_queries["ingest_counts"] = ingest_counts
+_oracles["ingest_counts"] = f"{WITH} SELECT f AS source_format, count(*) AS lines, count(*) FILTER (event_id % n <> 0) AS events, count(*) FILTER (event_id % n = 0) AS malformed FROM logs, (VALUES ('json', 10), ('cef', 7), ('leef', 5), ('auditd', 4)) v(f, n) GROUP BY 1"
+
+
 def read_json_array(spark, sf):
     """Files of at most 500 events, one array each."""
     path = _folder(spark, "arrays")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.tables import spread
+
 _K = "CAST(regexp_extract(props,'[0-9]+',0) AS INT)"
 COLUMNS = {
     "event_id": "event_id",
@@ -32,4 +34,4 @@ def as_logs(events: DataFrame) -> DataFrame:
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_logs(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return as_logs(spread(spark.read.parquet(f"{sf_dir}/events.parquet")))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _text(value) -> str | None:
@@ -46,6 +45,8 @@ def flattened(line: str | None) -> list[tuple[str, str]] | None:
         return None
     if not isinstance(top, dict):
         return None
+    if not any(isinstance(v, (dict, list)) for v in top.values()):
+        return [(k, t) for k, v in top.items() if (t := v if isinstance(v, str) else _text(v))]
     leaves: list[tuple[str, str, str | None]] = []
     todo = [("", top)]
     while todo:
@@ -77,8 +78,15 @@ def json_fields(text: Column) -> Column:
     parser takes (about a thousand levels); what is no object has no fields (null).
     """
 
-    @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-    def fields(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: None if (f := flattened(x)) is None else dict(f), na_action=None)
+    @F.arrow_udf("map<string,string>")
+    def fields(lines: pa.Array) -> pa.Array:
+        found = [flattened(x) for x in lines.to_pylist()]
+        bounds, at = [], 0
+        for f in found:
+            bounds.append(None if f is None else at)
+            at += len(f or ())
+        pairs = [p for f in found if f for p in f]
+        keys, values = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.MapArray.from_arrays(pa.array([*bounds, at], pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
 
     return fields(text)
