@@ -233,6 +233,11 @@ def union_mask(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def numbered(df):
+    """df with its columns named c0, c1 and so on: names with dots do not pass through mapInArrow."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def shuffle_partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -242,7 +242,7 @@ def encode_text(documents: DataFrame, path: str, pattern: str, text_col: str = "
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*names, ids_col])
 
     schema = T.StructType([*(documents.schema[c] for c in names), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return documents.mapInArrow(run, schema)
+    return tx.numbered(documents).mapInArrow(run, schema)
 
 
 def _ids(column) -> tuple[np.ndarray, np.ndarray]:
@@ -265,17 +265,18 @@ def _pieces(table: _Pieces, ids: np.ndarray, bounds: np.ndarray, limit: int = 1
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """`encoded` with a binary column of the bytes that its token ids stand for."""
+    """`encoded` with a binary column of the bytes that its token ids stand for, in place of one of that name."""
     at = encoded.columns.index(ids_col)
-    names = [*encoded.columns, out_col]
+    keep = [i for i, c in enumerate(encoded.columns) if c != out_col]
+    names = [*(encoded.columns[i] for i in keep), out_col]
 
     def run(batches):
         for batch in batches:
             table = encoder(path, pattern).ranks.bytes_table
             decoded = [bytes(x) for x in _pieces(table, *_ids(batch.column(at)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(decoded, pa.binary())], names)
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    return tx.numbered(encoded).mapInArrow(run, T.StructType([*(encoded.schema.fields[i] for i in keep), T.StructField(out_col, T.BinaryType())]))
 
 
 def token_digests(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,4 +296,4 @@ def token_digests(documents: DataFrame, path: str, pattern: str, id_col: str = "
                 decoded = [(hashlib.sha256(x).hexdigest(), len(x)) for x in _pieces(tool.ranks.bytes_table, ids, bounds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(counts), pa.array(decimals), pa.array([d for d, _ in decoded]), pa.array([n for _, n in decoded])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, SCHEMA)

@@ -12,7 +12,8 @@ comes back unchanged and never ends a turn.
 
 Defined results: null text and null role are empty; a null turn sorts first and
 ties are ordered by role and text; equal messages of one turn each count; a null
-conversation is one of its own; extra columns are ignored.
+conversation is one of its own; a text of any length is one turn; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def formatted(paths_with_turns: DataFrame) -> DataFrame:
 
 
 def read_back(conversations: DataFrame) -> DataFrame:
-    """Adds `read_turns`, array<struct<role, text>>, parsed from `formatted` alone."""
+    """Adds `read_turns`, array<struct<role, text>>, and `read_loss`, the text under the loss mask; both parsed from `formatted` alone."""
     blocks = F.filter(F.split("formatted", F.lit("</s>"), -1), lambda b: b != "")
 
     def turn(block: Column) -> Column:
@@ -113,14 +114,16 @@ def read_back(conversations: DataFrame) -> DataFrame:
         inner = F.substring(body, F.lit(len(USER_OPEN) + 1), F.length(body) - len(USER_OPEN) - len(USER_CLOSE))
         return F.struct(role.alias("role"), unescape(F.when(role == "user", inner).otherwise(body)).alias("text"))
 
-    return conversations.withColumn("read_turns", F.transform(blocks, turn))
+    learnt = F.lit(f"{OPEN}assistant{CLOSE}")
+    masked = F.transform(F.filter(blocks, lambda b: F.startswith(b, learnt)), lambda b: unescape(F.substring(b, F.length(learnt) + 1, F.length(b))))
+    return conversations.withColumns({"read_turns": F.transform(blocks, turn), "read_loss": F.concat_ws("", masked)})
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
     """The digest columns of every path, from what is read back."""
     rows = read_back(formatted(conversations_of(chained(conversations))))
     said = F.concat_ws("", F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = F.concat_ws("", F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: unescape(p["text"])))
+    loss = F.col("read_loss")
     return rows.select(
         F.col("conv").alias("conv_id"),
         F.size("read_turns").cast("long").alias("n_turns"),

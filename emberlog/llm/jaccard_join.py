@@ -483,4 +483,4 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def keep_first_of_group(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`documents`, all columns, without those whose group holds a smaller doc_id."""
     gone = near_duplicates(documents, id_col, text_col).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents[id_col].cast("long") == gone["__gone"], "left_anti")
+    return documents.join(gone, F.col(f"`{id_col}`").cast("long") == gone["__gone"], "left_anti")

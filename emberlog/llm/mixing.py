@@ -115,6 +115,9 @@ def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are dealt out by range of finish time; a document taken twice appears twice.
     The words of a row are those that ``mix_digest`` says it is taken for.
     """
+    names = documents.columns
+    documents = tx.numbered(documents)  # no name of a caller meets one of the plan
+    id_col, text_col, source_col = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
     sizes = tx.written(sized(documents, id_col, text_col, source_col), "sizes")
     plan = queue(sizes)
     sources = source_targets(sizes).select(F.col("source").alias("__source"), F.col("place").alias("__place"))
@@ -127,7 +130,7 @@ def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`").cast("string")
     copy = F.row_number().over(Window.partitionBy("__own").orderBy(F.xxhash64(text), text))
     taken = joined.withColumn("__copy", copy).withColumn("__take", F.explode(F.filter("__takes", lambda t: t["copy"] == F.col("__copy"))))
-    return taken.orderBy("__take.finish", "__take.place", "__own", "__copy").select(*[f"`{c}`" for c in documents.columns])
+    return taken.orderBy("__take.finish", "__take.place", "__own", "__copy").select(*documents.columns).toDF(*names)
 
 
 SIZE = "__emberlog_size"

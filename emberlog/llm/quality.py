@@ -115,7 +115,7 @@ def repetition_quality(documents: DataFrame, id_col: str = "doc_id", text_col: s
             for row, n, m in _measured(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), *(pa.array(m[c]) for c in names)], ["doc_id", *names])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, SCHEMA)
 
 
 def keep_quality(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -127,4 +127,5 @@ def keep_quality(documents: DataFrame, text_col: str = "text") -> DataFrame:
             kept = np.concatenate([m["kept"] for _, _, m in _measured(batch.column(at))] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(kept))
 
-    return documents.mapInArrow(run, documents.schema)
+    safe = tx.numbered(documents)
+    return safe.mapInArrow(run, safe.schema).toDF(*documents.columns)

@@ -195,12 +195,18 @@ def substring_digests(documents: DataFrame, id_col: str = "doc_id", text_col: st
 def remove_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`documents`, all columns, with the repeated bytes cut out of the text.
 
-    Cuts fall between bytes; what is left of a split character is dropped.
+    Cuts fall between bytes; what is left of a split character is dropped.  A text column
+    that is not text raises.
     """
     at = documents.columns.index(text_col)
+    if documents.schema[at].dataType.typeName() != "string":
+        raise ValueError(f"column {text_col} holds no text")
+    names = documents.columns
+    documents = tx.numbered(documents)  # no name of a caller meets one of the plan
+    id_col, text_col = f"c{names.index(id_col)}", f"c{at}"
 
     def finish(docs: pa.Table, spans_of) -> pa.Table:
         texts = [text.tobytes().decode() if keep is None else text[keep].tobytes().decode(errors="ignore") for text, keep in _rows(docs, text_col, spans_of)]
         return docs.set_column(at, text_col, pa.array(texts, pa.string()))
 
-    return sh.shared_spans(documents, UNITS, _Matcher(), finish, documents.schema, id_col, text_col)
+    return sh.shared_spans(documents, UNITS, _Matcher(), finish, documents.schema, id_col, text_col).toDF(*names)
