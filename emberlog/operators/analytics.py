@@ -39,31 +39,38 @@ def high_entropy_command(df: DataFrame, length: int = 200, least: float = 4.5) -
     return df.filter(F.length(command) > length).withColumn("_entropy", entropy(field(df, "CommandLine"))).filter(F.col("_entropy") > least)
 
 
+#: Kind of anomaly -> severity, points a finding, highest score.
+ANOMALIES = {"rare_process": ("medium", 1.0), "off_hours_logon": ("low", 0.5), "rare_parent_child": ("medium", 0.5), "brute_force": ("high", 2.0), "high_entropy_command": ("medium", 1.0)}
+HIGHEST, SALTS = 10.0, 64
+
+
 def anomaly_report(df: DataFrame, user: str = "TargetUserName", ip: str = "IpAddress", evidence: int = 5) -> DataFrame:
-    """category, severity, count, score and evidence (the first `evidence` findings in order, as text) of the anomaly kinds that occur."""
-
-    def total(found: DataFrame, category: str, severity: str, score: Column, shown: Column) -> DataFrame:
-        # The smallest few of each partial result are all that travels, whatever the number of findings.
-        texts = found.select(shown.alias("text"))
-        first = texts.orderBy("text").limit(evidence).agg(F.array_sort(F.collect_list("text")).alias("evidence"))
-        counted = texts.agg(F.count("*").alias("n")).filter("n > 0")
-        row = counted.select(F.lit(category).alias("category"), F.lit(severity).alias("severity"), "n", score.cast("double").alias("score"))
-        return row.crossJoin(first)  # one row each
-
-    n = F.col("n")
-    counted = lambda *names: F.concat_ws(" ", F.concat_ws(" > ", *names), F.concat(F.lit("("), F.col("n").cast("string"), F.lit(")")))
-    event = F.concat_ws(" ", field(df, "SystemTime"), field(df, user))
-    parts = [
-        total(rare_process(df), "rare_process", "medium", F.least(n, F.lit(10)), counted("Image")),
-        total(off_hours_logon(df), "off_hours_logon", "low", F.least(n * 0.5, F.lit(10.0)), event),
-        total(rare_parent_child(df), "rare_parent_child", "medium", F.least(n * 0.5, F.lit(10.0)), counted("ParentImage", "Image")),
-        total(brute_force(df, user, ip), "brute_force", "high", F.least(n * 2, F.lit(10)), counted("user", "ip")),
-        total(high_entropy_command(df), "high_entropy_command", "medium", F.least(n, F.lit(10)), F.left(field(df, "CommandLine"), F.lit(200))),
+    """category, severity, count, score and evidence (the first `evidence` findings in order, as text) of the anomaly kinds that occur.
+
+    One scan: each event adds to the groups of all kinds at once, and the findings of a kind
+    come together as counts and as the first few of each of SALTS parts.
+    """
+    image, parent, number, command = (field(df, n) for n in ("Image", "ParentImage", "EventID", "CommandLine"))
+    group = lambda kind, a, b=F.lit(""): F.struct(F.lit(kind).alias("category"), a.alias("a"), b.alias("b"))
+    tests = [
+        F.when(present(image), group("rare_process", image)),
+        F.when(present(parent) & present(image), group("rare_parent_child", parent, image)),
+        F.when((number == "4624") & ~_hour(df).between(8, 18), group("off_hours_logon", F.concat_ws(" ", field(df, "SystemTime"), field(df, user)))),
+        F.when(number == "4625", group("brute_force", field(df, user), field(df, ip))),
+        F.when((F.length(command) > 200) & F.when(F.length(command) > 200, entropy(command) > 4.5), group("high_entropy_command", F.left(command, F.lit(200)))),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    counted = df.select(F.explode(F.array_compact(F.array(*tests))).alias("g")).groupBy("g.category", "g.a", "g.b").agg(F.count("*").alias("n"))
+    kind, n = F.col("category"), F.col("n")
+    each = kind.isin("off_hours_logon", "high_entropy_command")  # every event is a finding
+    found = counted.filter(each | ((kind == "rare_process") & (n <= 2)) | ((kind == "rare_parent_child") & (n == 1)) | ((kind == "brute_force") & (n >= 5)))
+    named = F.concat(F.concat_ws(" > ", "a", F.when(kind != "rare_process", F.col("b"))), F.lit(" ("), n.cast("string"), F.lit(")"))
+    found = found.select("category", F.when(each, F.col("a")).otherwise(named).alias("text"), F.when(each, n).otherwise(1).alias("times")).withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)))
+    part = Window.partitionBy("category", "salt")
+    first = found.withColumn("place", F.row_number().over(part.orderBy("text"))).withColumn("all", F.sum("times").over(part)).filter(F.col("place") <= evidence)
+    repeated = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("text", "times"))), lambda x: F.array_repeat(x["text"], F.least(x["times"], F.lit(evidence)).cast("int"))))
+    rows = first.groupBy("category").agg(F.sum(F.when(F.col("place") == 1, F.col("all"))).alias("n"), F.slice(repeated, 1, evidence).alias("evidence"))
+    lookup = lambda i: F.create_map(*[F.lit(x) for k, v in ANOMALIES.items() for x in (k, v[i])])[kind]
+    return rows.select("category", lookup(0).alias("severity"), "n", F.least(n * lookup(1), F.lit(HIGHEST)).alias("score"), "evidence")
 
 
 def _person(column: Column) -> Column:

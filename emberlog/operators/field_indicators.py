@@ -75,11 +75,16 @@ def implausible_hash(value: Column) -> Column:
     return (kinds < 8) | (zeros * 5 > F.length(v) * 2) | v.rlike("^[0-9]+$")
 
 
+def is_noise(kind: Column, value: Column) -> Column:
+    """Whether an indicator is missing or well-known noise."""
+    v, t = F.trim(F.coalesce(value, F.lit(""))), kind
+    tests = {"file_path": noise_path(v), "registry_key": noise_registry(v), "domain": noise_domain(v), "url": noise_url(v), "email": noise_email(v), **dict.fromkeys(("md5", "sha1", "sha256"), implausible_hash(v)), "pipe_name": v.isin("-", "\\"), "service_name": v == "-", "task_name": v == "-", "ipv4": ~is_public_ip(v)}
+    return (v == "") | any_of([(t == kind) & test for kind, test in tests.items()])
+
+
 def without_noise(iocs: DataFrame) -> DataFrame:
     """Rows of (type, value) that are no well-known noise; missing values go."""
-    v, t = F.trim(F.coalesce("value", F.lit(""))), F.col("type")
-    tests = {"file_path": noise_path(v), "registry_key": noise_registry(v), "domain": noise_domain(v), "url": noise_url(v), "email": noise_email(v), **dict.fromkeys(("md5", "sha1", "sha256"), implausible_hash(v)), "pipe_name": v.isin("-", "\\"), "service_name": v == "-", "task_name": v == "-", "ipv4": ~is_public_ip(v)}
-    return iocs.filter((v != "") & ~any_of([(t == kind) & test for kind, test in tests.items()]))
+    return iocs.filter(~is_noise(F.col("type"), F.col("value")))
 
 
 def kinds_of(name: str) -> list[str]:
@@ -97,16 +102,23 @@ def field_iocs(df: DataFrame, key: str) -> DataFrame:
     The last label of a domain must be letters; no list of public suffixes is used.
     """
 
+    found = indicators_of(df, key)
+    if found is None:
+        return df.select(key, F.lit("").alias("type"), F.lit("").alias("value"), F.lit("").alias("field")).limit(0)
+    return without_noise(df.select(key, F.explode(found).alias("i")).select(key, "i.type", "i.value", "i.field"))
+
+
+def indicators_of(df: DataFrame, *without: str) -> Column | None:
+    """Array of (type, value, field) of an event's fields but those of `without`; None if no field is named for an indicator."""
+
     def found(kind: str, name: str) -> Column:
         text = F.trim(field(df, name))
         pattern = {"ipv4": PATTERNS["ipv4"], "domain": DOMAIN}.get(kind)
         values = F.array_distinct(F.regexp_extract_all(F.lower(text) if kind == "domain" else text, F.lit(pattern), F.lit(0))) if pattern else F.array(text)
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), F.lit(name).alias("field")))
 
-    parts = [found(kind, name) for name in df.columns if name != key for kind in kinds_of(name)]
-    if not parts:
-        return df.select(key, F.lit("").alias("type"), F.lit("").alias("value"), F.lit("").alias("field")).limit(0)
-    return without_noise(df.select(key, F.explode(F.flatten(F.array(*parts))).alias("i")).select(key, "i.type", "i.value", "i.field"))
+    parts = [found(kind, name) for name in df.columns if name not in without for kind in kinds_of(name)]
+    return F.flatten(F.array(*parts)) if parts else None
 
 
 def extract_iocs_all_text(df: DataFrame, key: str, without=("_raw",)) -> DataFrame:

@@ -227,7 +227,11 @@ def load_rules(spark, path: str) -> list[dict]:
 
     Rules come to the driver, where plans are made; they are few and small.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{yml,yaml}")
+    return rules_of(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{yml,yaml}"))
+
+
+def rules_of(files: DataFrame) -> list[dict]:
+    """Rules of whole YAML texts (value)."""
 
     def parsed(batches):
         import yaml

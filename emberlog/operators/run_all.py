@@ -9,7 +9,9 @@ from emberlog.operators import analytics as an
 from emberlog.operators import attack as at
 from emberlog.operators import incident as inc
 from emberlog.operators import rules as ru
-from emberlog.operators.hunts import hunt, hunt_summary
+from emberlog.operators import field_indicators as fi
+from emberlog.operators.hunts import HUNTS, hunt, hunt_summary
+from emberlog.operators.transforms import apply_transforms
 
 
 def analyse(df: DataFrame, rules: list[dict], techniques: DataFrame, user: str = "TargetUserName", ip: str = "IpAddress", time: str = "SystemTime", hunts: tuple | None = None) -> dict[str, DataFrame]:
@@ -43,6 +45,22 @@ def analyse(df: DataFrame, rules: list[dict], techniques: DataFrame, user: str =
     return out
 
 
+def enrich_all(df: DataFrame, transforms=None, hunts=tuple(HUNTS), fast: bool = False) -> DataFrame:
+    """The events with all transforms applied, their hunt_findings, and iocs: an array of (type, value, field) without noise."""
+    hunted = hunt(apply_transforms(df, transforms), hunts, fast)
+    found = fi.indicators_of(df)
+    empty = F.array().cast("array<struct<type:string,value:string,field:string>>")
+    return hunted.withColumn("iocs", empty if found is None else F.filter(found, lambda i: ~fi.is_noise(i["type"], i["value"])))
+
+
+def enrich_summary(enriched: DataFrame, columns) -> DataFrame:
+    """(part, name, n) of what `enrich_all` found, in one pass over the events: filled columns of transforms, kinds of findings and of indicators."""
+    pair = lambda part, name: F.struct(F.lit(part).alias("part"), name.alias("name"))
+    filled = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) != "", pair("transform", F.lit(c))) for c in columns]))
+    found = F.concat(filled, F.transform("hunt_findings", lambda f: pair("hunt", f["transform"])), F.transform("iocs", lambda i: pair("ioc", i["type"])))
+    return enriched.select(F.explode(found).alias("x")).groupBy("x.part", "x.name").agg(F.count("*").alias("n"))
+
+
 #: What is summed of each result in digests.
 TOTALS = {
     "hits": "1", "detections": "n", "rule_coverage": "events_matched", "timeline": "n", "attack_chains": "n", "threat_scores": "score", "kill_chain": "n_hits", "tactic_coverage": "n_hits", "recommendations": "length(advice)",

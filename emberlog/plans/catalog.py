@@ -15,6 +15,7 @@ from emberlog.operators import indicators as ind
 from emberlog.operators import rules as ru
 from emberlog.operators import run_all
 from emberlog.operators import search as se
+from emberlog.operators import transforms as tr
 from emberlog.plans import cookbook, detection_queries, file_queries, hunt_queries, incident_queries, ingest_queries
 from emberlog.plans.log_view import WITH, log_events
 
@@ -460,6 +461,36 @@ def enrich_iocs(ev):
     return ind.enrich_iocs(found, ev.sparkSession.sql(f"SELECT * FROM {_ZONES} AS r(type, value, zone)"))
 
 
+# --- transforms, hunts and indicators by one call ---------------------------------------------------
+_NAME_ENTROPY = """, name AS (SELECT c, -sum(p*log2(p)) AS e FROM (SELECT c, n/sum(n) OVER (PARTITION BY c) AS p FROM (SELECT c, b, count(*) AS n FROM (
+SELECT c, unnest(regexp_extract_all(hex(encode(c)), '..')) AS b FROM (SELECT DISTINCT "QueryName" AS c FROM logs WHERE "QueryName" <> '')) GROUP BY 1,2)) GROUP BY 1)"""
+
+
+@query(f"""{_NAME_ENTROPY} SELECT level, count(*) AS n, round(sum(e), 2) AS total FROM (SELECT round(coalesce(e, 0), 2) AS e, CASE WHEN round(coalesce(e, 0), 2) > 4.5 THEN 'very_high' WHEN round(coalesce(e, 0), 2) > 3.5 THEN 'high' WHEN round(coalesce(e, 0), 2) > 2.5 THEN 'medium' ELSE 'low' END AS level FROM logs LEFT JOIN name ON c = "QueryName") GROUP BY 1""")
+def dns_entropy(ev):
+    return ind.entropy_level(ev).groupBy(F.col("QueryName_entropy_level").alias("level")).agg(F.count("*").alias("n"), F.round(F.sum("QueryName_entropy"), 2).alias("total"))
+
+
+def _weekday(df: DataFrame) -> DataFrame:
+    return df.withColumn("weekday", F.when(F.col("EventID") == "4625", F.date_format("SystemTime", "E")))
+
+
+@query(r"""SELECT part, name, count(*) AS n FROM (
+SELECT 'transform' AS part, unnest(['is_lolbin', 'lolbin_name']) AS name FROM logs WHERE regexp_matches("Image", '(?i)cmd\.exe|powershell|certutil') UNION ALL
+SELECT 'transform', 'weekday' FROM logs WHERE "EventID" = '4625' UNION ALL
+SELECT 'hunt', 'ProcessTyposquatting' FROM logs WHERE ends_with("Image", 'svch0st.exe') UNION ALL
+SELECT 'hunt', 'ProcessPathAnomaly' FROM logs WHERE contains("Image", '\Public') UNION ALL
+SELECT 'ioc', 'ipv4' FROM logs WHERE starts_with("IpAddress", '203.') UNION ALL
+SELECT 'ioc', 'domain' FROM logs WHERE "QueryName" <> '' UNION ALL
+SELECT 'ioc', 'file_path' FROM (SELECT unnest(["Image", "ParentImage"]) AS f FROM logs) WHERE f <> '' AND NOT regexp_matches(f, '(svchost|explorer)\.exe$')) GROUP BY 1, 2""")
+def enrich_all(ev):
+    """A transform of one's own, two that are there, two hunts and the indicators of all fields, in one scan."""
+    if "weekday" not in tr.transforms():
+        tr.register_transform("weekday", _weekday)
+    enriched = run_all.enrich_all(ev, ("lolbin", "weekday"), ("typosquat", "path_anomaly"))
+    return run_all.enrich_summary(enriched, ("is_lolbin", "lolbin_name", "weekday"))
+
+
 # --- all analyses by one call -------------------------------------------------------------------
 def _analyse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = run_all.analyse(log_events(spark, sf_dir), RULES, ingest_queries.techniques(spark), user="AcctName", hunts=tuple(hu.HUNTS))

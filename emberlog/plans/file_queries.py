@@ -117,6 +117,52 @@ _queries["read_zeek"] = read_zeek
 _oracles["read_zeek"] = f"""{WITH} SELECT CAST(event_id AS VARCHAR) AS uid, nullif("IpAddress",'-') AS id_orig_h, CASE WHEN event_id % 5 <> 0 THEN "Computer" END AS host, 'conn' AS _zeek_log_type FROM logs"""
 
 
+def read_macos(spark, sf):
+    """Unified log lines; a field has the alias only where it is not there itself."""
+    line = """CASE WHEN event_id % 4 = 0 THEN concat('{"processImagePath":"/bin/', Computer, '","Image":"own"}') ELSE concat('{"processImagePath":"/bin/', Computer, '","processID":', event_id, ',"eventMessage":"', AcctName, '"}') END"""
+    return _fields(readers.read_macos(spark, _text(spark, sf, "macos", line)), "Image", "ProcessId", "message")
+
+
+_queries["read_macos"] = read_macos
+_oracles["read_macos"] = f"""{WITH} SELECT CASE WHEN event_id % 4 = 0 THEN 'own' ELSE '/bin/' || "Computer" END AS "Image", CASE WHEN event_id % 4 <> 0 THEN CAST(event_id AS VARCHAR) END AS "ProcessId", CASE WHEN event_id % 4 <> 0 THEN "AcctName" END AS message FROM logs"""
+
+
+def discovered_files(spark, sf):
+    """Folders of the files that a listing finds, of those that hold failed or special logons."""
+    path = _folder(spark, "listed")
+    log_events(spark, sf).select("event_id", "EventID", "Computer").repartition("EventID", "Computer").write.partitionBy("EventID", "Computer").parquet(path)
+    found = readers.discover(spark, path, include=".PARQUET")
+    return found.select(F.regexp_extract("path", "EventID=([0-9]+)", 1).alias("EventID"), F.regexp_extract("path", "Computer=(WS[0-9]+)", 1).alias("Computer")).distinct()
+
+
+_queries["discovered_files"] = discovered_files
+_oracles["discovered_files"] = f"""{WITH} SELECT DISTINCT "EventID", "Computer" FROM logs"""
+
+
+def loaded_rules(spark, sf):
+    """A rule file for each computer and kind of logon, read back, chosen by level and title, and applied."""
+    path = _folder(spark, "rules")
+    text = """concat('title: ', Computer, ' type ', LogonType, '\\nlevel: ', CASE WHEN n % 3 = 0 THEN 'low' WHEN n % 3 = 1 THEN 'high' ELSE 'critical' END, '\\ndetection:\\n  s:\\n    Computer: "', Computer, '"\\n    LogonType: ', LogonType, '\\n    EventID: 4625\\n  condition: s\\n')"""
+    counted = log_events(spark, sf).groupBy("Computer", "LogonType").agg(F.count("*").alias("n"))
+    counted.select(F.expr(text).alias("value"), F.concat("Computer", "LogonType").alias("part")).repartition("part").write.partitionBy("part").text(path)
+    rules = ru.select_rules(ru.rules_of(spark.read.text(path, recursiveFileLookup=True, wholetext=True)), "high", exclude=("ws3 ",))
+    return ru.detections(ru.apply_rules(log_events(spark, sf), rules))
+
+
+_queries["loaded_rules"] = loaded_rules
+_oracles["loaded_rules"] = f"""{WITH} SELECT "Computer" || ' type ' || "LogonType" AS title, CASE WHEN count(*) % 3 = 1 THEN 'high' ELSE 'critical' END AS level, count(*) FILTER ("EventID" = '4625') AS n FROM logs WHERE "Computer" <> 'WS3' GROUP BY "Computer", "LogonType" HAVING count(*) % 3 > 0 AND count(*) FILTER ("EventID" = '4625') > 0"""
+
+
+def event_hashes(spark, sf):
+    """Lines and different hashes of lines, by day: equal lines have equal hashes and others do not."""
+    found = readers.read_text_log(spark, _text(spark, sf, "hashes", "concat(SystemTime, ' ', EventID)"))
+    return found.groupBy(F.substring("raw", 1, 10).alias("day")).agg(F.count("*").alias("n"), F.count_distinct("event_hash").alias("different"))
+
+
+_queries["event_hashes"] = event_hashes
+_oracles["event_hashes"] = f"""{WITH} SELECT substr("SystemTime", 1, 10) AS day, count(*) AS n, count(DISTINCT "SystemTime" || ' ' || "EventID") AS different FROM logs GROUP BY 1"""
+
+
 def save_events(spark, sf):
     """Events by day, read again."""
     path = _folder(spark, "events")
