@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.columns import any_of, field, is_public_ip, octets
+from emberlog.functions.tables import broadcast_if_small, written
 from emberlog.operators.indicators import PATTERNS, extract_iocs
 
 #: Names of fields (lower case) by what they hold (fixed values).
@@ -18,6 +19,7 @@ PATH_FIELDS = ("image", "parentimage", "targetfilename", "sourcefilename", "imag
 DOMAIN_FIELDS = ("queryname", "destinationhostname", "sourcehostname", "r-dns", "query", "host", "server_name", "sni", "domain")
 REGISTRY_FIELDS = ("targetobject", "objectname")
 SERVICE_FIELDS = ("servicename", "service_name")
+WHOLE_NAME = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,63}\b"
 DOMAIN = r"\b[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.[a-zA-Z]{2,63}\b"
 
 #: Programs and folders of the operating system (fixed values).
@@ -96,24 +98,29 @@ def kinds_of(name: str) -> list[str]:
     return [kind for kind, holds in tests.items() if holds]
 
 
-def field_iocs(df: DataFrame, key: str) -> DataFrame:
+def field_iocs(df: DataFrame, key: str, suffixes: DataFrame | None = None) -> DataFrame:
     """(key, type, value, field) of every indicator in the fields named for it, without noise, in one pass.
 
-    The last label of a domain must be letters; no list of public suffixes is used.
+    A domain is a label and a last label of letters; with a list of public suffixes (see
+    with_public_suffix) it is a whole name below one of them.
     """
 
-    found = indicators_of(df, key)
+    found = indicators_of(df, key, domain=DOMAIN if suffixes is None else WHOLE_NAME)
     if found is None:
         return df.select(key, F.lit("").alias("type"), F.lit("").alias("value"), F.lit("").alias("field")).limit(0)
-    return without_noise(df.select(key, F.explode(found).alias("i")).select(key, "i.type", "i.value", "i.field"))
+    iocs = without_noise(df.select(key, F.explode(found).alias("i")).select(key, "i.type", "i.value", "i.field"))
+    if suffixes is None:
+        return iocs
+    domains = with_public_suffix(iocs.filter("type = 'domain'"), suffixes).filter("registered_domain IS NOT NULL").select(iocs.columns)
+    return iocs.filter("type <> 'domain'").unionByName(domains)
 
 
-def indicators_of(df: DataFrame, *without: str) -> Column | None:
+def indicators_of(df: DataFrame, *without: str, domain: str = DOMAIN) -> Column | None:
     """Array of (type, value, field) of an event's fields but those of `without`; None if no field is named for an indicator."""
 
     def found(kind: str, name: str) -> Column:
         text = F.trim(field(df, name))
-        pattern = {"ipv4": PATTERNS["ipv4"], "domain": DOMAIN}.get(kind)
+        pattern = {"ipv4": PATTERNS["ipv4"], "domain": domain}.get(kind)
         values = F.array_distinct(F.regexp_extract_all(F.lower(text) if kind == "domain" else text, F.lit(pattern), F.lit(0))) if pattern else F.array(text)
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), F.lit(name).alias("field")))
 
@@ -121,6 +128,31 @@ def indicators_of(df: DataFrame, *without: str) -> Column | None:
     return F.flatten(F.array(*parts)) if parts else None
 
 
+def with_public_suffix(df: DataFrame, suffixes: DataFrame, name: str = "value") -> DataFrame:
+    """`df` with public_suffix and registered_domain (a label more) of a column of domains; null where no suffix fits.
+
+    suffixes(suffix) is a list of public suffixes, one a row, in which `*.x` stands for every
+    name right below x, and `!y` takes y out of such a rule.  The longest suffix that fits
+    counts.  Each different domain is looked up once, by its last labels.
+    """
+    domain = F.rtrim(F.lower(F.trim(F.col(f"`{name}`"))), F.lit("."))
+    known = broadcast_if_small(written(suffixes.select(F.lower(F.trim("suffix")).alias("rule")).filter("rule <> ''").distinct(), "suffixes"))
+    distinct = df.select(domain.alias("domain")).filter("domain <> ''").distinct()
+    labels = F.split("domain", r"\.", -1)
+    size = F.size("labels")
+    tails = distinct.withColumn("labels", labels).select("domain", "labels", F.explode(F.sequence(F.lit(1), size)).alias("k"))
+    tail = lambda k: F.array_join(F.slice("labels", size - k + 1, k), ".")
+    keys = F.array(tail(F.col("k")), F.concat(F.lit("!"), tail(F.col("k"))), F.when(F.col("k") > 1, F.concat(F.lit("*."), tail(F.col("k") - 1))))
+    hits = tails.select("domain", "labels", "k", F.explode(keys).alias("key")).filter("key IS NOT NULL").join(known, F.col("key") == F.col("rule"))
+    exact = F.max(F.when(F.startswith("key", F.lit("!")), F.col("k") - 1))
+    longest = hits.groupBy("domain", "labels").agg(F.coalesce(exact, F.max("k")).alias("k"))
+    found = longest.select("domain", tail(F.col("k")).alias("public_suffix"), F.when(F.col("k") < size, tail(F.col("k") + 1)).alias("registered_domain"))
+    taken = {"public_suffix", "registered_domain"} & set(df.columns)
+    if taken:
+        raise ValueError(f"columns that are there: {sorted(taken)}")
+    return df.join(found.withColumnRenamed("domain", "__emberlog_domain"), domain == F.col("__emberlog_domain"), "left").drop("__emberlog_domain")
+
+
 def extract_iocs_all_text(df: DataFrame, key: str, without=("_raw",)) -> DataFrame:
     """(key, type, value) of every pattern in the values of all columns but `without`."""
     text = F.concat_ws(" ", *[field(df, c) for c in df.columns if c not in (key, *without)])

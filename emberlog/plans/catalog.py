@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.columns import entropy, is_public_ip
 from emberlog.operators import analytics as an
 from emberlog.operators import attack as at
+from emberlog.operators import field_indicators as fi
 from emberlog.operators import hunts as hu
 from emberlog.operators import indicators as ind
 from emberlog.operators import rules as ru
@@ -461,6 +462,17 @@ def enrich_iocs(ev):
     return ind.enrich_iocs(found, ev.sparkSession.sql(f"SELECT * FROM {_ZONES} AS r(type, value, zone)"))
 
 
+_SUFFIXES = "VALUES ('net'), ('example.net'), ('uk'), ('co.uk'), ('*.ck'), ('!www.ck'), ('io'), ('github.io')"
+_HOST = "concat(Computer, '.', AcctName, CASE event_id % 9 WHEN 0 THEN '.co.uk' WHEN 1 THEN '.uk' WHEN 2 THEN '.foo.ck' WHEN 3 THEN '.www.ck' WHEN 4 THEN '.github.io' WHEN 5 THEN '.IO' WHEN 6 THEN '.example.net' WHEN 7 THEN '.local' ELSE '.other.net.' END)"
+
+
+@query(f"""SELECT public_suffix, registered_domain, count(*) AS n FROM (SELECT s AS public_suffix, lower(a || '.' || s) AS registered_domain FROM (SELECT "AcctName" AS a, "Computer" AS c, CASE event_id % 9 WHEN 0 THEN 'co.uk' WHEN 1 THEN 'uk' WHEN 2 THEN 'foo.ck' WHEN 4 THEN 'github.io' WHEN 5 THEN 'io' WHEN 6 THEN 'example.net' END AS s, event_id % 9 AS k FROM logs) WHERE k NOT IN (3, 7, 8)
+UNION ALL SELECT CASE event_id % 9 WHEN 3 THEN 'ck' WHEN 8 THEN 'net' END, CASE event_id % 9 WHEN 3 THEN 'www.ck' WHEN 8 THEN 'other.net' END FROM logs WHERE event_id % 9 IN (3, 7, 8)) GROUP BY 1, 2""")
+def registered_domains(ev):
+    hosts = ev.select(F.expr(_HOST).alias("value"))
+    return fi.with_public_suffix(hosts, ev.sparkSession.sql(f"SELECT * FROM {_SUFFIXES} AS s(suffix)")).groupBy("public_suffix", "registered_domain").agg(F.count("*").alias("n"))
+
+
 # --- transforms, hunts and indicators by one call ---------------------------------------------------
 _NAME_ENTROPY = """, name AS (SELECT c, -sum(p*log2(p)) AS e FROM (SELECT c, n/sum(n) OVER (PARTITION BY c) AS p FROM (SELECT c, b, count(*) AS n FROM (
 SELECT c, unnest(regexp_extract_all(hex(encode(c)), '..')) AS b FROM (SELECT DISTINCT "QueryName" AS c FROM logs WHERE "QueryName" <> '')) GROUP BY 1,2)) GROUP BY 1)"""

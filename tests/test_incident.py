@@ -79,3 +79,16 @@ def test_report_lists_rules(spark):
     report = json.loads(row.value)
     assert report["detections"] == [{"title": "R", "level": "high", "count": 2, "tags": ["attack.persistence"], "confidence": "low"}]
     assert report["summary"]["risk"] == 23.0 and report["summary"]["entities"] == ["h (score: 50/100)"]
+
+
+def test_public_suffixes(spark):
+    names = ["a.co.uk", "co.uk", "x.y.CO.UK.", "b.github.io", "github.io", "c.foo.ck", "foo.ck", "d.www.ck", "www.ck", "e.invalid", "uk", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "value string")
+    suffixes = spark.createDataFrame([(s,) for s in ("uk", "co.uk", "io", "github.io", "*.ck", "!www.ck", "", None)], "suffix string")
+    got = {r.value: (r.public_suffix, r.registered_domain) for r in fi.with_public_suffix(df, suffixes).collect()}
+    assert got == {
+        "a.co.uk": ("co.uk", "a.co.uk"), "co.uk": ("co.uk", None), "x.y.CO.UK.": ("co.uk", "y.co.uk"), "b.github.io": ("github.io", "b.github.io"), "github.io": ("github.io", None), "c.foo.ck": ("foo.ck", "c.foo.ck"),
+        "foo.ck": ("foo.ck", None), "d.www.ck": ("ck", "www.ck"), "www.ck": ("ck", "www.ck"), "e.invalid": (None, None), "uk": ("uk", None), "": (None, None), None: (None, None),
+    }
+    events = spark.createDataFrame([(1, "evil.co.uk"), (2, "co.uk"), (3, "some.thing")], "id long, QueryName string")
+    assert [r.value for r in fi.field_iocs(events, "id", suffixes).collect()] == ["evil.co.uk"]
