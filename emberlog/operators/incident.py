@@ -93,16 +93,17 @@ def incident_summary(found: DataFrame, techniques: DataFrame, scores: DataFrame,
     return out.select("verdict", "risk", "critical", "high", "medium", "low", "tactics", "entities", "advice", meaning[F.col("verdict")].alias("meaning"), "first", "last")
 
 
-def run_report(summary: DataFrame, found: DataFrame, sure: DataFrame | None = None, files: DataFrame | None = None, problems: DataFrame | None = None) -> DataFrame:
-    """JSON lines: the summary with all rules with hits (rules, not hits, so it stays small), then one line a file and one a problem.
+def run_report(summary: DataFrame, found: DataFrame, sure: DataFrame | None = None, files: DataFrame | None = None, problems: DataFrame | None = None, ingest: DataFrame | None = None) -> DataFrame:
+    """JSON lines: the summary with all rules with hits (rules, not hits, so it stays small), then one line a file, a problem and a format.
 
-    files(path, size, sha256) as evidence_manifest makes them, problems(title, problem) as rule_problems does.
+    files(path, size, sha256) as evidence_manifest makes them, problems(title, problem) as rule_problems does,
+    ingest(source_format, lines, events, malformed, seconds) as Ingest.report does.
     """
     rules = found.join(sure, "title", "left") if sure is not None else found.withColumn("confidence", F.lit("high"))
     listed = rules.agg(F.array_sort(F.collect_list(F.struct("title", "level", F.col("n").alias("count"), "tags", "confidence"))).alias("detections")).withColumn("one", F.lit(1))
     joined = summary.select(F.struct(*summary.columns).alias("summary"), F.lit(1).alias("one")).join(listed, "one")
     out = joined.select(F.to_json(F.struct(F.lit("summary").alias("kind"), "summary", "detections")).alias("value"))
-    for kind, rows, columns in (("file", files, ("path", "size", "sha256")), ("problem", problems, ("title", "problem"))):
+    for kind, rows, columns in (("file", files, ("path", "size", "sha256")), ("problem", problems, ("title", "problem")), ("ingest", ingest, ("source_format", "lines", "events", "malformed", "seconds"))):
         if rows is not None:
             out = out.unionByName(rows.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *columns)).alias("value")))
     return out

@@ -1,8 +1,11 @@
-"""Checks of a table of detection rules."""
+"""Checks of a table of detection rules, or of the files that hold them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators.rules import LEVELS
@@ -32,3 +35,36 @@ def validate_rules(rules: DataFrame) -> DataFrame:
     first = rules.filter("id is not null").groupBy("id").agg(F.min("path").alias("first"))
     again = rules.join(first, "id").filter("path > first").select("path", F.lit("duplicate id").alias("problem"))
     return own.unionByName(again)
+
+
+def rule_table(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error and the required keys as text) of all *.yml and *.yaml files below a path, read in tasks; mappings and lists are JSON."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{yml,yaml}").text(path, wholetext=True).select("_metadata.file_path", "value")
+    names = ("path", "error", *REQUIRED)
+
+    def text(value) -> str | None:
+        return value if value is None or isinstance(value, str) else json.dumps(value, default=str)
+
+    def parsed(batches):
+        import yaml
+
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        for batch in batches:
+            rows = []
+            for source in batch.column(1).to_pylist():
+                try:
+                    rule = yaml.load(source, loader)
+                    error = None if isinstance(rule, dict) else "no mapping"
+                except yaml.YAMLError:
+                    rule, error = None, "no YAML"
+                rows.append((error, *[text(rule.get(k)) if error is None else None for k in REQUIRED]))
+            columns = zip(*rows, strict=True) if rows else [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], list(names))
+
+    return files.mapInArrow(parsed, ", ".join(f"{n} string" for n in names))
+
+
+def validate_rule_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, problem) of the rule files below a path; what is no YAML mapping has that problem alone."""
+    table = rule_table(spark, path)
+    return validate_rules(table.filter("error IS NULL")).unionByName(table.filter("error IS NOT NULL").select("path", F.col("error").alias("problem")))

@@ -77,6 +77,9 @@ def test_report_lists_rules(spark):
     sure = incident.confidence(hits, [{"title": "R", "logsource": {"service": "security"}}])
     (row,) = incident.run_report(incident.incident_summary(found, techniques, scores), found, sure).collect()
     report = json.loads(row.value)
+    read = spark.createDataFrame([("json", 9, 7, 2, 1.5)], "source_format string, lines long, events long, malformed long, seconds double")
+    lines = incident.run_report(incident.incident_summary(found, techniques, scores), found, sure, ingest=read).collect()
+    assert json.loads(lines[1].value) == {"kind": "ingest", "source_format": "json", "lines": 9, "events": 7, "malformed": 2, "seconds": 1.5}
     assert report["detections"] == [{"title": "R", "level": "high", "count": 2, "tags": ["attack.persistence"], "confidence": "low"}]
     assert report["summary"]["risk"] == 23.0 and report["summary"]["entities"] == ["h (score: 50/100)"]
 

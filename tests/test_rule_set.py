@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import log_sources as ls
 from emberlog.operators import rules as ru
+from emberlog.operators.rule_checks import validate_rule_files
 from emberlog.sources import readers as rd
 
 WORDS = ["who", "whoami", "net user", "${jndi}", "a$b", "/C", "-enc", "İx", "Σς", "\\cmd.exe", "*", "10.1.2.3", "10.9.0.1", "fc00::1", "7", "7.5", " 8 ", "nan", "1e3", "0x1", "", "tail"]
@@ -144,3 +145,17 @@ def test_log_source_table(spark):
     assert table.filter("product = 'linux' AND service = 'auditd'").first().format == "auditd"
     assert {r.event_id for r in table.filter("category = 'registry_set'").collect()} == {"12", "13", "14"}
     assert table.filter(F.col("format").isNotNull() & F.col("event_id").isNotNull()).count() == 0
+
+
+def test_rule_files_are_checked(spark, tmp_path):
+    good = "title: a\nid: {id}\nstatus: test\ndescription: d\nlogsource: {{product: x}}\nlevel: low\ndetection:\n  s: {{a: 1}}\n  condition: s\n"
+    ids = [f"0000000{i}-0000-0000-0000-000000000000" for i in range(3)]
+    (tmp_path / "a.yml").write_text(good.format(id=ids[0]))
+    (tmp_path / "b.yaml").write_text(good.format(id=ids[0]))
+    (tmp_path / "c.yml").write_text(good.format(id="x").replace("low", "loud").replace("  condition: s\n", ""))
+    (tmp_path / "d.yml").write_text(good.format(id=ids[1]).replace("status: test\n", ""))
+    (tmp_path / "e.yml").write_text("a: [")
+    (tmp_path / "f.yml").write_text("- x\n")
+    (tmp_path / "g.txt").write_text("a: [")
+    got = {(r.path.rsplit("/", 1)[1], r.problem) for r in validate_rule_files(spark, str(tmp_path)).collect()}
+    assert got == {("b.yaml", "duplicate id"), ("c.yml", "no condition"), ("c.yml", "invalid id"), ("c.yml", "invalid level"), ("d.yml", "missing: status"), ("e.yml", "no YAML"), ("f.yml", "no mapping")}
