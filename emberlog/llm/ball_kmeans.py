@@ -36,7 +36,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from emberlog.llm import _text as tx
 
@@ -181,7 +180,9 @@ def _round(blocks: DataFrame, balls: list[Balls], dim: int, double: bool, last_f
 
     def run(batches):
         sums: dict = {}
+        kinds: list = []  # of the blocks' columns
         for block in _each(batches):
+            kinds = block.schema.types
             x = _decoded(block.column(2)[0].as_py(), dim, double)
             x = x.reshape(len(x), parts, width)
             codes = np.frombuffer(block.column(3)[0].as_py(), np.uint8).reshape(-1, parts)
@@ -198,11 +199,12 @@ def _round(blocks: DataFrame, balls: list[Balls], dim: int, double: bool, last_f
                     sums[p, e] = (n + len(at), [a + b for a, b in zip(before, total, strict=True)], max(far, int(distance[at].max())))
             yield pa.RecordBatch.from_arrays([*block.columns[:3], pa.array([new.tobytes()], pa.binary()), *(pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.string())), pa.array([0], pa.int32())], names)
         keys = sorted(sums)
+        if not keys:
+            return
         rows = [[k[0] for k in keys], [k[1] for k in keys], [sums[k][0] for k in keys], [[str(v) for v in sums[k][1]] for k in keys], [str(max(sums[k][2], last_far.get(k, -1) if shared.value[k[0]].still[k[1]] else -1)) for k in keys]]
         blank = [pa.nulls(len(keys), t) for t in kinds]
         yield pa.RecordBatch.from_arrays([*blank, *(pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.string()), strict=True)), pa.array([1] * len(keys), pa.int32())], names)
 
-    kinds = [to_arrow_type(f.dataType) for f in blocks.schema.fields]
     return blocks.mapInArrow(run, schema)
 
 
