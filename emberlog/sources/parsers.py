@@ -132,12 +132,18 @@ MACOS = [("processImagePath", "Image"), ("processID", "ProcessId"), ("eventMessa
 
 def with_aliases(fields: Column, aliases=tuple(ALIASES)) -> Column:
     """Adds short names that are not there; fields EventXML_x also become x."""
+    long_names = [long for long, _ in aliases]
+
     def extended(m: Column) -> Column:
         added = F.array(*[_entry(F.lit(short), F.try_element_at(m, F.lit(long))) for long, short in reversed(list(aliases))])
         stripped = F.transform(F.filter(F.map_entries(m), lambda e: F.startswith(e["key"], F.lit("EventXML_"))), lambda e: _entry(F.substring(e["key"], 10, 1_000), e["value"]))
-        return F.concat(F.map_entries(m), added, stripped)
+        return first_wins(F.concat(F.map_entries(m), added, stripped))
+
+    def named(m: Column) -> Column:  # most events have no long name and are not taken apart
+        some = F.exists(F.map_keys(m), lambda k: k.isin(long_names) | F.startswith(k, F.lit("EventXML_")))
+        return F.when(some, extended(m)).otherwise(F.map_filter(m, lambda k, v: F.coalesce(v, F.lit("")) != ""))
 
-    return first_wins(_let(fields, extended))
+    return _let(fields, named)
 
 
 PARSERS = {"json": json_fields, "syslog": syslog_fields, "cef": cef_fields, "leef": leef_fields, "auditd": auditd_fields, "event_xml": event_xml_fields, "text": text_fields}

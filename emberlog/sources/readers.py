@@ -73,10 +73,11 @@ def discover(spark: SparkSession, path, include: str = "", exclude: str = "") ->
 
 def landed(df: DataFrame, fields: Column, source_format: str, raw: str = "value", ingest: Ingest | None = None) -> DataFrame:
     """The landing schema; rows without fields are left out."""
+    some = lambda m: F.size(m) > 0
+    if ingest is None:  # no row or its one map of fields: a filter would be moved below the fields, and parse each line twice
+        fields = F.explode(F.filter(F.array(fields), some))
     rows = df.select(fields.alias("fields"), F.col(raw).alias("raw"), "source_file", F.lit(source_format).alias("source_format"), F.xxhash64(raw).alias("event_hash"))
-    if ingest is not None:
-        rows = ingest.watched(rows, source_format)
-    return rows.filter(F.size("fields") > 0)
+    return rows if ingest is None else ingest.watched(rows, source_format).filter(some("fields"))
 
 
 def _by_line(name: str, parser, end: str | None = None):

@@ -118,3 +118,26 @@ def test_files_are_listed_and_hashed(spark, tmp_path):
     assert {(r.name, r["size"]) for r in readers.discover(spark, str(tmp_path)).collect()} == {("a b%.json", 7), ("b.log", 1)}
     assert [r.name for r in readers.discover(spark, str(tmp_path), exclude="JSON").collect()] == ["b.log"]
     assert {r["size"]: r.sha256 for r in readers.evidence_manifest(spark, str(tmp_path)).collect()} == {7: hashlib.sha256(b'{"x":1}').hexdigest(), 1: hashlib.sha256(b"x").hexdigest()}
+
+
+def test_each_line_is_parsed_once(spark, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    array = readers.read_json_array(spark, put(tmp_path, "a.json", '[{"a":{"b":1}},{},3,null,{"c":""}]'))
+    assert plan(array.select("fields")).count("ArrowEvalPython") == 1 and rows(array) == [{"a_b": "1", "b": "1"}]
+    syslog = readers.read_syslog(spark, put(tmp_path, "s.log", "plain\n\n"))
+    assert plan(syslog.select("fields")).count("map_from_entries") == 1 and rows(syslog) == [{"message": "plain"}]
+
+
+def test_aliases_where_there_are_some(spark):
+    lines = ['{"a":"1"}', '{"NewProcessName":"x","Image":"own"}', '{"IpPort":"5"}', '{"EventXML_":"e"}', '{"EventXML_Image":"y","NewProcessName":"x"}', "no", None]
+    want = [{"a": "1"}, {"NewProcessName": "x", "Image": "own"}, {"IpPort": "5", "SourcePort": "5"}, {"EventXML_": "e", "": "e"}, {"EventXML_Image": "y", "NewProcessName": "x", "Image": "x"}, None, None]
+    assert fields(spark, lambda v: parsers.with_aliases(parsers.json_fields(v)), *lines) == want
+    maps = spark.sql("SELECT map('a', '', 'b', NULL, 'c', 'x') AS m, 1 AS n UNION ALL SELECT map('IpPort', '', 'b', 'y'), 2")
+    assert [r.m for r in maps.select("n", parsers.with_aliases(F.col("m")).alias("m")).orderBy("n").collect()] == [{"c": "x"}, {"b": "y"}]
+    mac = fields(spark, lambda v: parsers.with_aliases(parsers.json_fields(v), parsers.MACOS), '{"processID":7,"NewProcessName":"x"}')
+    assert mac == [{"processID": "7", "NewProcessName": "x", "ProcessId": "7"}]
+
+
+def test_names_of_inner_json_leaves(spark):
+    line = '{"a":{"":{"b":1},"c":"top c"},"":{"d":"2"},"c":"own","Data":[{"@Name":"a_c","#text":"late"},{"@Name":"l","#text":["p",2]},{"@Name":"o","#text":{}}]}'
+    assert fields(spark, parsers.json_fields, line) == [{"a__b": "1", "a_c": "top c", "d": "2", "c": "own", "l": "p, 2", "b": "1"}]
