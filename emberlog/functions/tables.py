@@ -36,7 +36,12 @@ def broadcast_if_small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if rows <= SMALL_ROWS and total <= SMALL_BYTES else table
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its few files make fewer tasks than that; a plan over many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+def spread(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df over all cores where its few files make fewer tasks than that; a plan over many files stays as it is.
+
+    With `most`, there are as many tasks as give each so many bytes of the files at most, on average.
+    """
+    tasks, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if most:
+        tasks = max(tasks, -(-plan.optimizedPlan().stats().sizeInBytes() // most))
+    return df.repartition(tasks) if plan.toRdd().getNumPartitions() < tasks else df

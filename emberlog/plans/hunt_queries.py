@@ -18,6 +18,9 @@ _COMMANDS = "CASE event_id % 6 WHEN 0 THEN 'psexec host cmd' WHEN 1 THEN 'schtas
 _DNS = "CASE event_id % 4 WHEN 0 THEN 'deadbeefdeadbeef01.example.net' WHEN 1 THEN 'a.b.c.example.net' WHEN 2 THEN '1234567890x.example.net' ELSE 'www.example.net' END"
 _IMAGE = r"CASE event_id % 3 WHEN 0 THEN 'C:\Temp\svchost.exe' WHEN 1 THEN 'C:\Windows\System32\lsass.exe' ELSE 'C:\Windows\System32\lsas.exe' END"
 
+#: Bytes of the table for a task: a hundred thousand events or so, as hunts take longer than reading does.
+_TASK = 2 << 20
+
 _queries, _oracles = {}, {}
 
 
@@ -29,8 +32,8 @@ def _add(name: str, hunt: str, description: str, severity: str, **columns: str):
     """Registers hunt `hunt` with the view's columns replaced; SQL names the description (null: none) and severity."""
 
     def run(spark, sf):
-        ev = log_events(spark, sf).withColumns({k: F.expr(_spark_text(v)) for k, v in (_MORE | columns).items()})
-        found = hu.hunt(ev, (hunt,)).select("event_id", F.explode("hunt_findings").alias("f"))
+        ev = log_events(spark, sf, _TASK).withColumns({k: F.expr(_spark_text(v)) for k, v in (_MORE | columns).items()})
+        found = hu.findings(hu.hunt(ev, (hunt,)), "event_id")
         return found.select("event_id", "f.severity", "f.description")
 
     _queries[name] = run
@@ -58,7 +61,7 @@ _add("hunt_dns_subdomain", "dns_subdomain", "CASE event_id % 4 WHEN 0 THEN 'DNS
 
 def hunt_summary(spark, sf):
     """All hunts over the view with the fields that it lacks."""
-    ev = log_events(spark, sf).withColumns({k: F.expr(_spark_text(v)) for k, v in _MORE.items()})
+    ev = log_events(spark, sf, _TASK).withColumns({k: F.expr(_spark_text(v)) for k, v in _MORE.items()})
     return hu.hunt_summary(hu.hunt(ev)).select("transform", "severity", "description", "n")
 
 

@@ -33,5 +33,6 @@ def as_logs(events: DataFrame) -> DataFrame:
     return events.withColumn("k", F.expr(_K)).select(*[F.expr(sql).alias(name) for name, sql in doubled.items()])
 
 
-def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_logs(spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
+def log_events(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """The view over the table; `most` bytes of its files for a task, where that is given."""
+    return as_logs(spread(spark.read.parquet(f"{sf_dir}/events.parquet"), most))

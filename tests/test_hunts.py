@@ -7,6 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from emberlog.functions.tables import spread
 from emberlog.operators import hunts as hu
 
 
@@ -97,3 +98,43 @@ def test_tables_are_searched_as_one_by_one(spark):
                 want.add((i, "ShellcodeIndicator", "critical", f"Shellcode indicators ({len(held)}): {', '.join(held[:3])}"))
                 break
     assert got == want and len(want) > 100
+
+
+def test_searches_by_their_first_field(spark):
+    rows = [
+        (0, "x\\CurrentVersion\\Run\\a", "\\appinit_dlls", "C:\\Downloads\\Temp\\a", "rar a", None),
+        (1, "plain", "\\appinit_dlls", "/tmp/\n", "RAR A", "a" * 10 + "GetType(  Invoke("),
+        (2, "", "\\AppInit_DLLs", "", "SC CREATE x", "gettype(x invoke("),
+        (3, None, None, None, "iex(", "downloadfile"),
+        (4, None, None, None, "iex((", "downloadfile"),
+        (5, "\\GlobalFlag", None, None, "iex(\U0001f600", "gettype(" * 3),
+    ]
+    df = spark.createDataFrame(rows, "i int, TargetObject string, ObjectName string, Image string, CommandLine string, ScriptBlockText string")
+    names = ("registry_path", "path_anomaly", "data_staging", "persistence_command", "download_cradle", "ps_reflection")
+    got = {(r.i, *r.f) for r in hu.findings(hu.hunt(df, names), "i").collect()}
+    assert got == {
+        (0, "SuspiciousRegistryPath", "medium", "Suspicious registry path: RUN_KEY"),
+        (0, "ProcessPathAnomaly", "medium", "Executable in suspicious directory: DOWNLOADS"),
+        (1, "ProcessPathAnomaly", "medium", "Executable in suspicious directory: LINUX_TMP"),
+        (1, "PowerShellReflection", "high", ".NET reflection abuse: gettype(, invoke("),
+        (2, "SuspiciousRegistryPath", "high", "Suspicious registry path: APPINIT_DLLS"),
+        (2, "PersistenceClassifier", "medium", "Persistence mechanism: service_creation"),
+        (3, "DownloadCradle", "high", "Download cradle: Net.WebClient.DownloadFile"),
+        (4, "DownloadCradle", "high", "Download cradle: Net.WebClient.DownloadFile"),
+        (5, "SuspiciousRegistryPath", "high", "Suspicious registry path: GLOBAL_FLAG"),
+    }
+
+
+def test_each_event_is_hunted_once(spark):
+    df = spark.createDataFrame([("C:\\Temp\\svchost.exe",)], "Image string")
+    summary = hu.hunt_summary(hu.hunt(df))
+    assert summary._jdf.queryExecution().optimizedPlan().toString().count("ProcessMasquerade, severity") == 1
+    assert {(r.transform, r.n) for r in summary.collect()} == {("ProcessMasquerade", 1), ("ProcessPathAnomaly", 1)}
+
+
+def test_tasks_grow_with_the_files(spark, tmp_path):
+    spark.range(40_000).repartition(2).write.parquet(f"file://{tmp_path}/t")
+    table = spark.read.parquet(f"file://{tmp_path}/t")
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    assert spread(table, size // 9).rdd.getNumPartitions() >= 9 and spread(table, size).rdd.getNumPartitions() == spread(table).rdd.getNumPartitions()
+    assert spread(table, size // 9).count() == 40_000
